@@ -29,6 +29,8 @@ LENGTH = 200
 K = 32
 BASE = 0x9E3779B97F4A7C15
 TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Windows in a range of a phrase whose trigger is very common.
+STEP = 16
 #: Bytes of text handled at once; positions must fit the low bits of a sort key.
 BLOCK = 2_000_000
 LOW = np.uint64(0xFFFFFF)
@@ -91,7 +93,10 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
 
 
 def phrases_of(texts: list[bytes]) -> pd.DataFrame:
-    """row, s1, s2 (first and last window start), trig, fp1, fp2, n of every phrase; runs of one phrase are one row."""
+    """row, s1, s2 (first and last window start), trig, fp1, fp2, n, e, off of every phrase.
+
+    A run of n equal phrases is one row; e is the last window start of its first phrase, off where the trigger is in it.
+    """
     parts = []
     width = LENGTH - K + 1
     for buf, row, offset, size in _blocks(texts):
@@ -116,8 +121,9 @@ def phrases_of(texts: list[bytes]) -> pd.DataFrame:
         parts.append(pd.DataFrame({
             "row": row[p[first]], "s1": a[first] + shift[first], "s2": b[end] + shift[end], "trig": h[anchor[new[first]]].view(np.int64),
             "fp1": fp[first, 0].astype(np.int64), "fp2": fp[first, 1].astype(np.int64), "n": end - first + 1,
+            "e": b[first] + shift[first], "off": (anchor[new] - a)[first],
         }))
-    return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "s1", "s2", "trig", "fp1", "fp2", "n")})
+    return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "s1", "s2", "trig", "fp1", "fp2", "n", "e", "off")})
 
 
 def _bytes(texts: pd.Series) -> list[bytes]:
@@ -125,7 +131,7 @@ def _bytes(texts: pd.Series) -> list[bytes]:
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """did, th, s1, s2, trig, fp1, fp2, n: the phrases of every text in keyed form."""
+    """did, th and the columns of phrases_of: the phrases of every text in keyed form."""
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -136,22 +142,22 @@ def parse(docs: DataFrame) -> DataFrame:
                 p.insert(1, "th", part.th.to_numpy()[p.row])
                 yield p.drop(columns="row")
 
-    return docs.select("did", "th", "text").mapInPandas(parsed, "did long, th long, s1 long, s2 long, trig long, fp1 long, fp2 long, n long")
+    return docs.select("did", "th", "text").mapInPandas(parsed, "did long, th long, s1 long, s2 long, trig long, fp1 long, fp2 long, n long, e long, off long")
 
 
 def contents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """mixed with the bytes of each phrase: did, th, s1, trig, peers, part."""
-    lists = mixed.groupBy("did", "th").agg(F.collect_list(F.struct("s1", "s2", "trig", "peers")).alias("p"))
+    """mixed with the bytes of each phrase: did, th, s1, off, trig, peers, part."""
+    lists = mixed.groupBy("did", "th").agg(F.collect_list(F.struct("s1", "e", "off", "trig", "peers")).alias("p"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for did, th, text, p in zip(b.did, b.th, b.text, b.p):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(did, th, x["s1"], x["trig"], x["peers"], raw[x["s1"] : x["s2"] + LENGTH]) for x in p]
-            yield pd.DataFrame(rows, columns=["did", "th", "s1", "trig", "peers", "part"])
+                rows += [(did, th, x["s1"], x["off"], x["trig"], x["peers"], raw[x["s1"] : x["e"] + LENGTH]) for x in p]
+            yield pd.DataFrame(rows, columns=["did", "th", "s1", "off", "trig", "peers", "part"])
 
-    return docs.select("did", "th", "text").join(lists, ["did", "th"]).mapInPandas(cut, "did long, th long, s1 long, trig long, peers long, part binary")
+    return docs.select("did", "th", "text").join(lists, ["did", "th"]).mapInPandas(cut, "did long, th long, s1 long, off long, trig long, peers long, part binary")
 
 
 def _windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,25 +191,57 @@ def shared_in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"did": pdf.did.to_numpy()[p], "th": pdf.th.to_numpy()[p], "a": s1 + at[first], "b": s1 + at[last] + LENGTH})
 
 
+def split_phrase(part: bytes, off: int) -> list[tuple[int, int, int, int, int, bytes]]:
+    """Ranges of up to STEP windows by their distance from the trigger: start, last start, core, hashes, bytes.
+
+    The core is what all windows at these distances have in common, whatever of them the phrase holds.
+    """
+    out = []
+    last = len(part) - LENGTH
+    for j in range(max(0, off - last) // STEP, off // STEP + 1):
+        a, b = max(0, off - STEP * j - STEP + 1), min(last, off - STEP * j)
+        if a <= b:
+            at = off - STEP * j
+            own = part[a : b + LENGTH]
+            h = int.from_bytes(xxhash.xxh3_128_digest(own), "big")
+            core = xxhash.xxh3_64_intdigest(part[at : at + LENGTH - STEP + 1], seed=j)
+            out.append((a, b, core - 2**63, (h >> 64) - 2**63, h % 2**64 - 2**63, own))
+    return out
+
+
 def shared_spans(parts: DataFrame, bucket_rows: int = 4000, most_peers: int = 512) -> DataFrame:
     """did, th, a, b: what distinct phrases of one trigger share.
 
     Triggers with up to `most_peers` distinct phrases are dealt into even buckets and compared inside these. Phrases of
-    more common triggers give one row per window, counted by hash over the whole table, so no task holds such a group.
+    more common triggers are split into ranges of STEP windows, which are phrases of their own with the core as trigger:
+    equal ranges are repeated whole, a core that occurs once is unique, and only the windows of the ranges in between
+    are counted one by one over the whole table. So no task holds such a group.
     """
     n = max(1, -(-parts.count() // bucket_rows))
     few = parts.where(F.col("peers") <= most_peers).groupBy(F.pmod(F.xxhash64("trig"), F.lit(n)).alias("bucket"))
     near = few.applyInPandas(lambda pdf: shared_in_bucket(pdf), "did long, th long, a long, b long")
 
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(did, th, s1 + x[0], s1 + x[1], *x[2:]) for did, th, s1, off, part in zip(b.did, b.th, b.s1, b.off, b.part) for x in split_phrase(part, off)]
+            yield pd.DataFrame(rows, columns=["did", "th", "s1", "s2", "core", "fp1", "fp2", "part"])
+
+    ranges = materialise(parts.where(F.col("peers") > most_peers).mapInPandas(split, "did long, th long, s1 long, s2 long, core long, fp1 long, fp2 long, part binary"))
+    words = ranges.groupBy("core", "fp1", "fp2").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "s1")).alias("rep"))
+    equal = hot_join(ranges.select("did", "th", "s1", "s2", "core", "fp1", "fp2"), words.where("n > 1").select("core", "fp1", "fp2"), ["core", "fp1", "fp2"])
+    both = words.groupBy("core").count().where("count > 1").select("core")
+    open_ = hot_join(words.select("core", "rep.*"), both, ["core"])
+    open_ = ranges.select("did", "th", "s1", "part").join(open_.select("did", "th", "s1"), ["did", "th", "s1"])
+
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own, at, h1, h2 = _windows(b.part.tolist())
             yield pd.DataFrame({"did": b.did.to_numpy()[own], "th": b.th.to_numpy()[own], "a": b.s1.to_numpy()[own] + at, "h1": h1, "h2": h2})
 
-    w = parts.where(F.col("peers") > most_peers).mapInPandas(hashed, "did long, th long, a long, h1 long, h2 long")
+    w = open_.mapInPandas(hashed, "did long, th long, a long, h1 long, h2 long")
     twice = w.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     far = hot_join(w, twice, ["h1", "h2"]).select("did", "th", "a", (F.col("a") + LENGTH).alias("b"))
-    return near.unionByName(far)
+    return near.unionByName(equal.select("did", "th", F.col("s1").alias("a"), (F.col("s2") + LENGTH).alias("b"))).unionByName(far)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -211,7 +249,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     p = parse(docs)
     again = p.groupBy("trig").agg(F.sum("n").alias("n")).where("n > 1").select("trig")
     known = materialise(hot_join(p, again, ["trig"]))
-    words = known.groupBy("fp1", "fp2").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "s1", "s2", "trig")).alias("rep"))
+    words = known.groupBy("fp1", "fp2").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "s1", "e", "off", "trig")).alias("rep"))
     words = materialise(words.select("fp1", "fp2", "n", "rep.*"))
     whole = hot_join(known.select("did", "th", "s1", "s2", "fp1", "fp2"), words.where("n > 1").select("fp1", "fp2"), ["fp1", "fp2"])
     peers = words.groupBy("trig").agg(F.count("*").alias("peers")).where("peers > 1")
