@@ -1,10 +1,461 @@
-"""Registered queries of the graph operators."""
+"""Registered queries of the graph operators over the driver's tables, and their SQL."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import scalar as S
+from .graph import Graph
+from .operators import conflicts, evaluation, evidence, quality, ranking, references, threads, traversal, writes
+from .sources import files
+from .sources.tables import edges_sql, id_sql, nodes_sql, star_graph, table
+from .streaming import incremental
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+PLACES = ("PART_OF", "LOCATED_IN", "BASED_IN")
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def _id(kind: str, key: int) -> Column:
+    return S.stable_id(kind, F.lit(str(key)))
+
+
+def _seed(spark: SparkSession, kind: str, *keys: int) -> DataFrame:
+    return spark.range(1).select(F.explode(F.array(*[_id(kind, k) for k in keys])).alias("id"))
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+
+
+def _first_vector(spark: SparkSession, d: str) -> list[float]:
+    return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+
+
+# lookups and counts
+
+
+@_query(f"select id, label, primary_text from ({nodes_sql()}) where label = 'customer' order by id limit 20")
+def label_scan(spark, d):
+    return star_graph(spark, d, ()).by_label("customer", 20).select("id", "label", "primary_text")
+
+
+@_query(f"select id, label, primary_text from ({nodes_sql()}) where label = 'part' and id = {id_sql('part', '7')}")
+def point_lookup(spark, d):
+    g = star_graph(spark, d, ())
+    return g.by_label("part").join(_seed(spark, "part", 7), "id", "left_semi").select("id", "label", "primary_text")
+
+
+@_query(f"select n.id, label, primary_text from ({nodes_sql()}) n join (select {id_sql('customer', 'o_custkey')} as id from orders where o_orderkey <= 50) s on n.id = s.id")
+def batch_lookup(spark, d):
+    ids = table(spark, d, "orders").where("o_orderkey <= 50").select(S.stable_id("customer", F.col("o_custkey").cast("string")).alias("id"))
+    return star_graph(spark, d, ()).by_ids(ids).select("id", "label", "primary_text")
+
+
+@_query(f"select id, primary_text from ({nodes_sql()}) where label = 'order' and primary_text = 'F' order by id limit 50")
+def property_lookup(spark, d):
+    return star_graph(spark, d, ()).by_property("order", "primary_text", "F").select("id", "primary_text")
+
+
+@_query(f"select label, count(*) as n from ({nodes_sql()}) group by label")
+def label_counts(spark, d):
+    return star_graph(spark, d, ()).label_counts()
+
+
+@_query(f"select rel_type, count(*) as n from ({edges_sql()}) group by rel_type")
+def rel_type_counts(spark, d):
+    return star_graph(spark, d).rel_type_counts()
+
+
+@_query("select doc_id, n_chars from (select doc_id, n_chars, row_number() over (order by doc_id) as rn, count(*) over () as n from documents) where (rn - 1) % greatest(1, n // 100) = 0 order by doc_id limit 100")
+def strided_sample(spark, d):
+    return files.strided(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 100)
+
+
+# traversal
+
+
+@_query(f"with e as ({edges_sql(('PLACED',))}), n as ({nodes_sql()}) select e.src as seed, e.dst as id, n.primary_text from e join n on e.dst = n.id where e.src in ({id_sql('customer', '1')}, {id_sql('customer', '4')})")
+def one_hop_out(spark, d):
+    g = star_graph(spark, d, ("PLACED",))
+    return traversal.one_hop(g, _seed(spark, "customer", 1, 4), "PLACED").select("seed", "id", "primary_text")
+
+
+@_query(f"with e as ({edges_sql(('LOCATED_IN',))}), n as ({nodes_sql()}) select e.dst as seed, e.src as id, n.primary_text from e join n on e.src = n.id where e.dst = {id_sql('nation', '3')}")
+def one_hop_in(spark, d):
+    g = star_graph(spark, d, ("LOCATED_IN",))
+    return traversal.one_hop(g, _seed(spark, "nation", 3), "LOCATED_IN", "incoming").select("seed", "id", "primary_text")
+
+
+_ADJ = "(select src as at, src_label as at_label, dst as \"to\", id, rel_type, src, dst from e union all select dst, dst_label, src, id, rel_type, src, dst from e)"
+
+
+@_query(f"with e as ({edges_sql(PLACES)}), h as (select *, row_number() over (partition by at_label order by id, \"at\", \"to\") as rn from {_ADJ} where \"at\" in ({id_sql('nation', '1')}, {id_sql('nation', '2')}, {id_sql('region', '0')})) select \"at\", \"to\", rel_type, id as edge from h where rn <= 25")
+def expand_capped(spark, d):
+    g = star_graph(spark, d, PLACES)
+    seeds = _seed(spark, "nation", 1, 2).unionByName(_seed(spark, "region", 0))
+    return traversal.expand(g, seeds, most=25).select("at", "to", "rel_type", F.col("id").alias("edge"))
+
+
+_PATHS = f"""with recursive e as ({edges_sql(('PLACED', 'CONTAINS', 'SUPPLIED_BY'))}), p as (
+    select src as start, dst as "end", 1 as hops, [src, dst] as nodes, [id] as edges from e where src = {id_sql('customer', '1')}
+    union all select p.start, e.dst, p.hops + 1, list_append(p.nodes, e.dst), list_append(p.edges, e.id) from p join e on e.src = p."end" where p.hops < 3 and not list_contains(p.edges, e.id))"""
+
+
+@_query(_PATHS + """ select start, "end", hops, array_to_string(nodes, '>') as path from p where hops between 1 and 3 order by hops, nodes, edges limit 200""")
+def variable_length(spark, d):
+    g = star_graph(spark, d, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    found = traversal.bounded(g, _seed(spark, "customer", 1), ("PLACED", "CONTAINS", "SUPPLIED_BY"), "outgoing", 1, 3)
+    return found.select("start", "end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@_query(_PATHS + """ select hops, array_to_string(nodes, '>') as path, hops::double as cost from p where "end" in (select max(dst) from e where rel_type = 'SUPPLIED_BY') order by hops, nodes, edges limit 5""")
+def shortest_paths(spark, d):
+    g = star_graph(spark, d, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    target = g.edges.where("rel_type = 'SUPPLIED_BY'").agg(F.max("dst")).first()[0]
+    found = traversal.shortest_paths(g, _seed(spark, "customer", 1), target, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    return found.select("hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "cost")
+
+
+@_query(_PATHS + """ select "end", hops, array_to_string(nodes, '>') as path from p order by hops, nodes, edges limit 20""")
+def single_source_paths(spark, d):
+    g = star_graph(spark, d, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    found = traversal.single_source_paths(g, _seed(spark, "customer", 1), ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    return found.select("end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
+
+
+def _bfs_sql(hops: int = 3, budget: int = 40, cap: int = 200) -> str:
+    out = [f"e as ({edges_sql()})", f"adj as {_ADJ}", f"s0 as (select id, 0 as hop, label, -1::bigint as via from ({nodes_sql()}) where id in ({id_sql('customer', '1')}, {id_sql('nation', '5')}))"]
+    for h in range(1, hops + 1):
+        out.append(f"r{h} as (select * from (select adj.*, row_number() over (partition by adj.at_label order by adj.id, adj.at, adj.\"to\") as rn from adj join s{h - 1} s on s.id = adj.at and s.hop = {h - 1}) where rn <= {cap})")
+        out.append(f"n{h} as (select r.\"to\" as id, {h} as hop, min(n.label) as label, min(r.id) as via from r{h} r join ({nodes_sql()}) n on n.id = r.\"to\" where r.\"to\" not in (select id from s{h - 1}) group by r.\"to\" order by via, id limit {budget})")
+        out.append(f"s{h} as (select * from (select * from s{h - 1} union all select * from n{h}) order by hop, via, id limit {budget})")
+    return "with " + ", ".join(out) + f" select id, hop, label from s{hops}"
+
+
+@_query(_bfs_sql())
+def budgeted_expansion(spark, d):
+    g = star_graph(spark, d)
+    seeds = _seed(spark, "customer", 1).unionByName(_seed(spark, "nation", 5))
+    return traversal.budgeted(g, seeds)[0].select("id", "hop", "label")
+
+
+FLAGSHIP = budgeted_expansion
+
+
+# vectors
+
+_Q = "(select embedding::double[] as q from embeddings where vec_id = 0)"
+_COS = "round(list_cosine_similarity(embedding::double[], q), 6)"
+
+
+@_query(f"select vec_id as id, label, {_COS} as score from embeddings, {_Q} order by score desc, id limit 10")
+def topk_cosine(spark, d):
+    return ranking.search(_vectors(spark, d), _first_vector(spark, d), 10).select("id", "label", "score")
+
+
+@_query(f"select vec_id as id, label, {_COS} as score from embeddings, {_Q} where label in (1, 3) order by score desc, id limit 10")
+def topk_by_label(spark, d):
+    return ranking.search(_vectors(spark, d), _first_vector(spark, d), 10, [1, 3]).select("id", "label", "score")
+
+
+@_query(f"select * from (select vec_id as id, {_COS} as score from embeddings, {_Q} order by score desc, id limit 5) where score >= 0.3")
+def score_floor(spark, d):
+    return ranking.above(ranking.search(_vectors(spark, d), _first_vector(spark, d), 5), 0.3).select("id", "score")
+
+
+@_query(f"select vec_id as id, {_COS} as score from embeddings, {_Q} where vec_id in (select doc_id from labels) order by score desc, id limit 10")
+def search_among(spark, d):
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return ranking.among(_vectors(spark, d), _first_vector(spark, d), ids, 10).select("id", "score")
+
+
+@_query(f"with c as (select l.doc_id as id, {_COS} as score from (select distinct doc_id from labels) l join embeddings on vec_id = l.doc_id, {_Q} order by score desc, id limit 8) select id, score from c union all select distinct doc_id, null from labels where doc_id not in (select vec_id from embeddings)")
+def relevance_cut(spark, d):
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
+    return ranking.relevance_cut(ids, _vectors(spark, d), _first_vector(spark, d), 8)
+
+
+@_query(f"with m as (select vec_id as id, {_COS} as score from embeddings, {_Q} order by score desc, id limit 10) select m.id, score, rank::integer as rank, lang, source from (select *, row_number() over (order by score desc, id) as rank from m) m join documents on doc_id = m.id")
+def hydrate_ranked(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
+    return ranking.hydrate(ranking.search(_vectors(spark, d), _first_vector(spark, d), 10).select("id", "score"), docs)
+
+
+# candidates
+
+
+def _pool(spark, d) -> DataFrame:
+    c = table(spark, d, "customer").where("c_custkey <= 30").select(F.concat(F.lit("customer#00000000"), (F.col("c_custkey") % 5).cast("string")).alias("mention"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.col("c_custkey").alias("ord"))
+    s = table(spark, d, "customer").where("c_custkey between 20 and 60").select(F.concat(F.lit("customer#00000000"), (F.col("c_custkey") % 5).cast("string")).alias("mention"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), (-F.col("c_custkey")).alias("ord"))
+    return ranking.candidate_pool(c, s)
+
+
+_POOL = """with u as (select 'customer#00000000' || (c_custkey % 5) as mention, c_custkey as id, c_name as text, 0 as src, c_custkey as ord from customer where c_custkey <= 30
+    union all select 'customer#00000000' || (c_custkey % 5), c_custkey, c_name, 1, -c_custkey from customer where c_custkey between 20 and 60),
+    pool as (select * from (select *, row_number() over (partition by mention, id order by src, ord) as rn from u) where rn = 1)"""
+
+
+@_query(_POOL + " select mention, id, src::integer as src from pool")
+def candidate_pool(spark, d):
+    return _pool(spark, d).select("mention", "id", "src")
+
+
+@_query(_POOL + ", f as (select *, (starts_with(lower(text), mention) or starts_with(mention, lower(text)))::int as hit from pool), g as (select *, max(hit) over (partition by mention) as any_hit from f) select mention, id from (select *, row_number() over (partition by mention order by src, ord, id) as k from g where hit = any_hit) where k <= 8")
+def shortlist_overlap(spark, d):
+    return ranking.shortlist(_pool(spark, d)).select("mention", "id")
+
+
+@_query(_POOL + ", c as (select *, round(1.0 / (1 + id % 17), 6)::double as confidence from pool), r as (select *, row_number() over (partition by mention order by confidence desc, ord, id) as rank, max(confidence) over (partition by mention) as top from c) select mention, id, confidence, rank::integer as rank from r where (rank = 1 or confidence >= 0.1) and rank <= 5 and top >= 0.08")
+def confidence_filter(spark, d):
+    pool = _pool(spark, d).withColumn("confidence", F.round(F.lit(1.0) / (1 + F.col("id") % 17), 6))
+    return ranking.confident(pool, least=0.1).select("mention", "id", "confidence", "rank")
+
+
+@_query(f"""with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}), h as (select a.at as id, a.id as edge, a."to" as other, n.primary_text || ' (' || n.label || ')' as name from {_ADJ} a join n on n.id = a."to" where a.at_label in ('nation', 'region')),
+    f as (select * from (select *, row_number() over (partition by id order by edge, other) as rn from h where other <> id) where rn <= 12), g as (select id, name, min(edge) as edge from f group by id, name), k as (select *, row_number() over (partition by id order by edge) as rn from g)
+    select id, string_agg(name, ', ' order by edge) as summary from k where rn <= 6 group by id""")
+def neighbour_summary(spark, d):
+    g = star_graph(spark, d, PLACES)
+    hops = g.adjacency().where("at_label in ('nation', 'region')").select(F.col("at").alias("id"), F.col("id").alias("edge"), F.col("to").alias("other"))
+    hops = hops.join(g.nodes.select(F.col("id").alias("other"), F.col("primary_text").alias("text"), "label"), "other")
+    return ranking.neighbour_summary(hops)
+
+
+# evidence
+
+
+@_query("""select d.doc_id as id, case when length(text) > 200 then substr(text, 1, 200) || '… [truncated ' || (length(text) - 200) || ' chars]' else text end as body,
+    case when l.quality = 1 then 'resolved' when l.toxic = 1 then 'conflict' when d.doc_id % 3 = 0 then 'evidence' else 'hop' end as role from documents d left join labels l on d.doc_id = l.doc_id""")
+def evidence_roles(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    is_ = lambda c: F.coalesce(F.col(c) == 1, F.lit(False))
+    role = evidence.role(is_("quality"), is_("toxic"), F.col("doc_id") % 3 == 0, F.lit("hop"))
+    return rows.select(F.col("doc_id").alias("id"), S.truncated("text", 200).alias("body"), role.alias("role"))
+
+
+@_query("select c_custkey as id, coalesce(nullif(case when c_custkey % 2 = 0 then '' else c_name end, ''), d.text) as body from customer left join documents d on c_custkey = d.doc_id")
+def body_attach(spark, d):
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.create_map(F.lit("content"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name"))).alias("properties"))
+    bodies = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return writes.attach_bodies(nodes, bodies).select("id", "body")
+
+
+# conflicts and time
+
+_DUP = """with k as (select doc_id as id, md5(lower(trim(text, ' '))) as h, source from documents), p as (select a.id as src, b.id as dst from k a join k b on a.h = b.h and a.id < b.id),
+    e as (select src, dst, 'CONTRADICTS' as rel_type, src * 1000000 + dst as id from p union all select dst, src, 'SUPERSEDES', src * 1000000 + dst + 500000000000 from p where (src + dst) % 3 = 0),
+    t as (select doc_id as id, case when doc_id % 5 = 0 then null else '2026-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') end as at from documents)"""
+
+
+@_query(_DUP + """, o as (select *, least(src, dst) as a, greatest(src, dst) as b, row_number() over (partition by least(src, dst), greatest(src, dst) order by rel_type <> 'SUPERSEDES', id) as rn from e)
+    select a, b, rel_type, case when rel_type = 'SUPERSEDES' or s.at is null or d.at is null or s.at >= d.at then src else dst end as winner, case when rel_type = 'SUPERSEDES' then 'supersedes' when s.at is not null and d.at is not null then 'later' else 'defaulted' end as reason
+    from o join t s on s.id = src join t d on d.id = dst where rn = 1""")
+def conflict_resolution(spark, d):
+    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.lower(F.trim("text")).cast("binary")).alias("h"))
+    p = k.select(F.col("id").alias("src"), "h").join(k.select(F.col("id").alias("dst"), "h"), "h").where("src < dst")
+    e = p.selectExpr("src", "dst", "'CONTRADICTS' as rel_type", "src * 1000000 + dst as id").unionByName(p.where("(src + dst) % 3 = 0").selectExpr("dst as src", "src as dst", "'SUPERSEDES' as rel_type", "src * 1000000 + dst + 500000000000 as id"))
+    at = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
+    return conflicts.detect(table(spark, d, "documents").select(F.col("doc_id").alias("id"), at.alias("at")), e)
+
+
+_SPANS = """with i as (select o_custkey as key, o_orderkey as owner, strftime(o_orderdate, '%Y-%m-%d') as valid_from, coalesce(strftime(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), '%Y-%m-%d'), '') as valid_to from orders),
+    q as (select distinct c_custkey as key, t from customer, (values ('1995-06-17'), ('1997-01-01')) v(t))"""
+
+
+def _intervals(spark, d) -> tuple[DataFrame, DataFrame]:
+    nxt = F.lead("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    i = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("owner"), day("o_orderdate").alias("valid_from"), F.coalesce(day(nxt), F.lit("")).alias("valid_to"))
+    q = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.explode(F.array(F.lit("1995-06-17"), F.lit("1997-01-01"))).alias("t"))
+    return i, q
+
+
+@_query(_SPANS + " select q.key, q.t, i.owner from q join i on i.key = q.key and valid_from <= t and (valid_to = '' or t <= valid_to)")
+def interval_ownership(spark, d):
+    return conflicts.held_at(*_intervals(spark, d))
+
+
+@_query(_SPANS + " select q.key, q.t, (select owner from i where i.key = q.key and valid_from <= q.t order by valid_from desc, owner desc limit 1) as owner from q")
+def as_of_owner(spark, d):
+    return conflicts.latest_before(*_intervals(spark, d))
+
+
+# links and audits
+
+_TOK = "with x as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]{6,}')) as token, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9_-]{6,}'), 1) as pos from documents)"
+
+
+def _links(spark, d, cap: int) -> DataFrame:
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(S.link_tokens("text")).alias("pos", "token"))
+    cited = x.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("src"), (F.col("pos") + 1).alias("pos"), "token")
+    return references.resolve_links(cited, x.where("doc_id % 10 = 0").select(F.col("doc_id").alias("dst"), "token"), 3, cap, digits=False)
+
+
+@_query(_TOK + """, k as (select token, dst from (select distinct token, doc_id as dst from x where doc_id % 10 = 0) where token in (select token from x where doc_id % 10 = 0 group by token having count(distinct doc_id) <= 3)),
+    f as (select src, dst, token from (select x.doc_id as src, k.dst, x.token, row_number() over (partition by x.doc_id, k.dst order by x.pos, x.token) as rn from x join k on x.token = k.token where x.doc_id % 10 <> 0) where rn = 1)
+    select src, dst, token from f where token not in (select token from f group by token having count(*) > 20)""")
+def link_resolution(spark, d):
+    return _links(spark, d, 20)
+
+
+@_query(f"with g as (select dst, count(*) as n from ({edges_sql()}) group by dst), b as (select case when n <= 1 then '1' when n <= 5 then '2-5' when n <= 20 then '6-20' when n <= 100 then '21-100' when n <= 1000 then '101-1000' else '>1000' end as bucket, n from g) select bucket, count(*) as targets, sum(n)::bigint as edges, round(100.0 * sum(n) / (select sum(n) from g), 1)::double as pct from b group by bucket")
+def in_degree_histogram(spark, d):
+    return references.histogram(references.in_degrees(star_graph(spark, d).edges))
+
+
+@_query(f"select dst as id, dst_label as label, count(*) as n from ({edges_sql()}) group by all having count(*) > 50 order by n desc, id limit 15")
+def hubs(spark, d):
+    return references.hubs(references.in_degrees(star_graph(spark, d).edges), 50).orderBy(F.desc("n"), "id").limit(15)
+
+
+@_query(f"with e as ({edges_sql(PLACES)}) select rel_type, count(*) as n from e where not (rel_type = 'LOCATED_IN' and dst in (select dst from e where rel_type = 'LOCATED_IN' group by dst having count(*) > 60)) group by rel_type")
+def prune_hubs(spark, d):
+    e = star_graph(spark, d, PLACES).edges
+    return writes.prune_into(e, references.hubs(references.in_degrees(e, "LOCATED_IN"), 60), "LOCATED_IN").groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@_query(f"with e as ({edges_sql()}), n as ({nodes_sql()}) select 'nodes' as what, count(*) as n from n union all select 'edges', count(*) from e union all select 'dangling', count(*) from e where src not in (select id from n) or dst not in (select id from n) union all select 'untitled', count(*) from n where coalesce(primary_text, '') = ''")
+def graph_report(spark, d):
+    return quality.verify_graph(star_graph(spark, d))
+
+
+# writes
+
+
+@_query("""with o as (select c_custkey as id, c_name as t, c_mktsegment as seg from customer where c_custkey % 3 <> 0), u as (select c_custkey as id, upper(c_name) as t, c_nationkey::varchar as nation from customer where c_custkey % 2 = 0)
+    select coalesce(o.id, u.id) as id, coalesce(u.t, o.t) as primary_text, o.seg as seg, u.nation as nation from o full join u on o.id = u.id""")
+def upsert_nodes(spark, d):
+    c = table(spark, d, "customer")
+    node = lambda df, text, key, val: df.select(F.col("c_custkey").alias("id"), F.lit("customer").alias("label"), text.alias("primary_text"), F.create_map(F.lit(key), F.col(val).cast("string")).alias("properties"))
+    old = node(c.where("c_custkey % 3 <> 0"), F.col("c_name"), "seg", "c_mktsegment")
+    new = node(c.where("c_custkey % 2 = 0"), F.upper("c_name"), "nation", "c_nationkey").withColumn("seq", F.lit(1))
+    return writes.upsert_nodes(old, new).select("id", "primary_text", Graph.value("seg").alias("seg"), Graph.value("nation").alias("nation"))
+
+
+@_query(f"with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}) select rel_type, src, dst from e where src_label <> 'supplier' or src in (select id from n)")
+def upsert_edges(spark, d):
+    g = star_graph(spark, d, PLACES)
+    part = Graph(g.nodes, g.edges.where("rel_type <> 'LOCATED_IN' or id % 2 = 0"))
+    again = g.edges.withColumn("seq", F.lit(1)).unionByName(g.edges.limit(5).withColumns({"src": F.lit(1).cast("bigint"), "seq": F.lit(2)}))
+    return writes.upsert_edges(part, again).select("rel_type", "src", "dst")
+
+
+@_query(f"with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}), c as (select 10000 + (1::bigint << 47) as id) select rel_type, count(*) as n from e where src < (select id from c) and dst < (select id from c) group by rel_type union all select 'nodes', count(*) from n where id < (select id from c)")
+def detach_delete(spark, d):
+    g = writes.detach_delete(star_graph(spark, d, PLACES), 10000 + 2**47)
+    return g.edges.groupBy("rel_type").agg(F.count("*").alias("n")).unionByName(g.nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("rel_type"), "n"))
+
+
+@_query("select doc_id as id from documents where doc_id not in (select doc_id from labels)")
+def resume_queue(spark, d):
+    q = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
+    return writes.resume(q.unionByName(q), table(spark, d, "labels").select(F.col("doc_id").alias("id"))).select("id")
+
+
+# texts
+
+
+@_query("""with f as (select user_id, event_id, ts, event_type, case when lag(event_type) over w = event_type then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
+    r as (select *, sum(new) over (partition by user_id order by ts, event_id) as run from f) select user_id, run::bigint as run, min(event_type) as event_type, count(*) as n from r group by user_id, run""")
+def speaker_runs(spark, d):
+    r = threads.islands(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
+    return r.groupBy("user_id", F.col("run").cast("bigint").alias("run")).agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+
+
+_CHAT = "(select conv_id as id, turn, upper(role[1]) || role[2:] as head, trim(replace(replace(text, chr(10), ' '), ':', ' '), ' ') as body from conversations)"
+
+
+@_query(f"select id, row_number() over (partition by id order by turn) as seq, head as speaker, body from {_CHAT}")
+def chat_parse(spark, d):
+    c = table(spark, d, "conversations")
+    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(": "), F.trim(F.translate("text", "\n:", "  ")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    return threads.chat_messages(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
+
+
+@_query(f"select id, row_number() over (partition by id order by turn) as seq, head as title, body from {_CHAT}")
+def section_parse(spark, d):
+    c = table(spark, d, "conversations")
+    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(":\n"), F.trim(F.translate("text", "\n:", "  ")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
+    return threads.field_sections(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
+
+
+@_query()
+def email_parse(spark, d):
+    c = table(spark, d, "conversations")
+    mail = F.concat(F.lit("From: "), "role", F.lit(" <a@b.example>\nSubject: Re: t\n---\n\n"), F.translate("text", ":", " "))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", mail.alias("mail")))), lambda x: x["mail"]), "\n")
+    return threads.email_messages(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
+
+
+@_query("select c_custkey as id, c_name as name, lower(c_name) || '@x.example' as address from customer")
+def address_parse(spark, d):
+    raw = F.concat("c_name", F.lit(" <"), F.lower("c_name"), F.lit("@x.example>"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), raw.alias("raw")).select("id", S.address("raw").alias("a")).select("id", "a.name", "a.address")
+
+
+@_query("select p_partkey as id, array_to_string(list_transform(list_filter(regexp_split_to_array(p_name, '[_\\s]+'), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') as title, (length(p_name) >= 6 and regexp_matches(p_name, '[0-9]')) as distinctive, " + id_sql("part", "p_partkey") + " as node from part")
+def names_and_keys(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.title_case("p_name").alias("title"), S.distinctive_key("p_name").alias("distinctive"), S.stable_id("part", F.col("p_partkey").cast("string")).alias("node"))
+
+
+@_query("select doc_id as id, substr(concat_ws(chr(10), nullif(source, ''), nullif(text, '')), 1, 4000) as text from documents")
+def embed_texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), S.embedding_text("source", "text").alias("text"))
+
+
+# evaluation
+
+_GOLD = """with g as (select d.source as question_type, (doc_id // 10) as question_id, list(doc_id order by doc_id) as expected from documents d where doc_id % 2 = 0 group by all),
+    f as (select doc_id // 10 as question_id, list(doc_id order by doc_id) as found from documents where doc_id % 3 = 0 group by all),
+    s as (select g.*, found, len(list_filter(expected, lambda x: list_contains(found, x)))::double / len(expected) as recall, len(list_filter(found, lambda x: not list_contains(expected, x)))::double as extra from g left join f on g.question_id = f.question_id)"""
+
+
+@_query(_GOLD + " select question_type, count(*) as n, count(recall) as answered, round(avg(recall), 6) as recall, round(avg(extra), 6) as extra from s group by grouping sets ((), (question_type))")
+def eval_summary(spark, d):
+    docs = table(spark, d, "documents")
+    q = F.floor(F.col("doc_id") / 10)
+    g = docs.where("doc_id % 2 = 0").groupBy(F.col("source").alias("question_type"), q.alias("question_id")).agg(F.collect_list("doc_id").alias("expected"))
+    f = docs.where("doc_id % 3 = 0").groupBy(q.alias("question_id")).agg(F.collect_list("doc_id").alias("found"))
+    s = g.join(f, "question_id", "left").select("question_type", evaluation.recall("expected", "found").alias("recall"), evaluation.surplus("expected", "found").cast("double").alias("extra"))
+    s = s.withColumn("extra", F.when(F.col("recall").isNotNull(), F.col("extra")))
+    return evaluation.summary(s, "question_type", "recall", "extra")
+
+
+@_query("select round(avg(quality * (1 - toxic)), 6) as score from labels")
+def leaderboard(spark, d):
+    return evaluation.leaderboard(table(spark, d, "labels").select(F.col("quality").alias("correct"), (1 - F.col("toxic")).alias("completeness")))
+
+
+# extensions: event time and star-schema aggregates
 
 
-def queries():
-    return {}
+@_query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by all")
+def tumbling_windows(spark, d):
+    return incremental.windowed_counts(table(spark, d, "events"), "1 hour")
 
 
-FLAGSHIP = None
+@_query("""select l_returnflag, l_linestatus, sum(l_quantity)::double as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2)::double as revenue, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by all""")
+def pricing_summary(spark, d):
+    rows = table(spark, d, "lineitem").where("l_shipdate <= date'1998-09-02'").groupBy("l_returnflag", "l_linestatus")
+    return rows.agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).cast("double").alias("revenue"), F.count("*").alias("n"))
