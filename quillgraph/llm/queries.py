@@ -61,8 +61,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLE_SQL = {
     "op1_exact_topk": """
         with v as (
-            select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as v from embeddings
-            where embedding is not null and len(embedding) > 0 and vec_id is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+            where embedding is not null and len(embedding) > 0 and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
         ), s as (
             select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
             from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
