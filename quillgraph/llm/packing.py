@@ -21,7 +21,8 @@ from .common import materialise
 CAPACITY = 2048
 END = 0
 MOST_CACHED = 1_000_000
-SPACE = re.compile("[ \n]")
+#: The vocabulary's pattern for lower-case ASCII (a fixed value).
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
 class WordTokens(dict):
@@ -33,9 +34,25 @@ class WordTokens(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            got = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
+        return got
 
     def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
+        """Printable ASCII needs no normalisation but lower case and goes to the merges by piece; the rest goes whole."""
+        new = []
+        for w in words:
+            if w in self:
+                continue
+            if w.isascii() and w.isprintable() and not any(s in w for s in self.specials):
+                self[w] = b"".join([self._piece(p) for p in ASCII_PIECES.findall(w.lower())])
+            else:
+                new.append(w)
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
@@ -45,6 +62,7 @@ class WordTokens(dict):
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self) > MOST_CACHED:
             self.clear()
+            self.pieces.clear()
         self.learn(set().union(*cut))
         return [b"".join(map(self.__getitem__, words)) for words in cut]
 
