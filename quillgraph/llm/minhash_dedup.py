@@ -28,7 +28,9 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 T = BANDS * ROWS
 _WORD = odd_constants(SHINGLE, 11)
-_ROUND = odd_constants(2 * T, 12)
+#: Coordinates of the longer sketch that candidates of a crowded bucket are compared by, before their full sets are.
+LONG = 480
+_ROUND = odd_constants(2 * LONG, 12)
 _BAND = odd_constants(ROWS, 13)
 
 
@@ -62,24 +64,24 @@ def shingles(texts: list[str], words: _Words | None = None) -> list[np.ndarray]:
     return out
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """T coordinates for each non-empty set."""
+def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
+    """t coordinates for each non-empty set."""
     size = np.array([len(s) for s in sets])
     if not size.sum():
-        return np.zeros((len(sets), T), np.uint64)
+        return np.zeros((len(sets), t), np.uint64)
     flat = np.concatenate(sets)
     own = np.repeat(np.arange(len(sets)), size)
-    out = np.full(len(sets) * T, np.uint64(2**64 - 1))
-    for i in range(2 * T):
+    out = np.full(len(sets) * t, np.uint64(2**64 - 1))
+    for i in range(2 * t):
         h = mix64(flat * _ROUND[i] + np.uint64(i))
-        bins = (h % np.uint64(T)).astype(np.int64) if i < T else np.full(len(h), i - T)
-        np.minimum.at(out, own * T + bins, (np.uint64(i) << np.uint64(52)) | (h >> np.uint64(12)))
-        open_ = (out.reshape(-1, T) == np.uint64(2**64 - 1)).any(1)
+        bins = (h % np.uint64(t)).astype(np.int64) if i < t else np.full(len(h), i - t)
+        np.minimum.at(out, own * t + bins, (np.uint64(i) << np.uint64(52)) | (h >> np.uint64(12)))
+        open_ = (out.reshape(-1, t) == np.uint64(2**64 - 1)).any(1)
         if not open_[size > 0].any():
             break
         go = open_[own]
         flat, own = flat[go], own[go]
-    return out.reshape(-1, T)
+    return out.reshape(-1, t)
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
@@ -104,7 +106,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, s: the shingle hashes of the wanted (node, did, th)."""
+    """node, n, s, bands, sk: shingle hashes, bucket keys and the long sketch's low bytes of the wanted (node, did, th)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -112,9 +114,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
                 sets = shingles(part.text.tolist(), words)
-                yield pd.DataFrame({"node": part.node.to_numpy(), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
+                yield pd.DataFrame({"node": part.node.to_numpy(), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets], "bands": list(band_keys(sketches(sets))), "sk": [x.tobytes() for x in sketches(sets, LONG).astype(np.uint8)]})
 
-    return docs.select("did", "th", "text").join(wanted, ["did", "th"]).mapInPandas(made, "node long, n long, s array<long>")
+    return docs.select("did", "th", "text").join(wanted, ["did", "th"]).mapInPandas(made, "node long, n long, s array<long>, bands array<long>, sk binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -128,7 +130,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("un") + F.col("vn") - common) * percent).select("u", "v")
 
 
-def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 4) -> DataFrame:
+def _cell_pairs(key: int, cell: pd.DataFrame, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different groups in one cell whose sketches agree enough, if the cell's bucket is the first they share."""
+    sk = np.frombuffer(b"".join(cell.sk), np.uint8).reshape(len(cell), -1)
+    bands, g, node, own = np.stack(cell.bands.to_numpy()), cell.g.to_numpy(), cell.node.to_numpy(), cell.own.to_numpy()
+    ci, cj = cell.ci.iat[0], cell.cj.iat[0]
+    left, right = np.flatnonzero(own == ci), np.flatnonzero(own == cj)
+    for i in range(0, len(left), 64):
+        a = left[i : i + 64]
+        near = (sk[a][:, None, :] == sk[right][None, :, :]).mean(2) >= least
+        near &= g[a][:, None] != g[right][None, :]
+        if ci == cj:
+            near &= node[a][:, None] > node[right][None, :]
+        x, y = np.nonzero(near)
+        x, y = a[x], right[y]
+        same = bands[x] == bands[y]
+        first = bands[x, same.argmax(1)] == key
+        u, v = node[x[first]], node[y[first]]
+        yield np.maximum(u, v), np.minimum(u, v)
+
+
+def across_groups(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, block: int = 1024, rows_per_task: int = 4096) -> DataFrame:
+    """u, v: candidate pairs of different groups in open buckets. members: key, node, g; open_: key, m (members).
+
+    A bucket is cut into blocks of about `block` members, and every two blocks meet in a cell of their own, so a crowded
+    bucket is spread over tasks; many small buckets share one. Inside a cell the long sketches are compared; pairs more
+    than 5.5 standard deviations under the threshold go, and of pairs in several buckets the first counts.
+    """
+    p = percent / 100
+    least = p - 5.5 * (p * (1 - p) / LONG) ** 0.5
+    n = F.ceil(F.col("m") / block).cast("int")
+    rows = hot_join(members, open_.select("key", n.alias("nb")), ["key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "node", "g", "own", F.least("own", "j").alias("ci"), F.greatest("own", "j").alias("cj"))
+    rows = materialise(hot_join(rows, sets.select("node", "bands", "sk"), ["node"]))
+    tasks = max(1, -(-rows.count() // rows_per_task))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [x for (key, _, _), cell in pdf.groupby(["key", "ci", "cj"]) for x in _cell_pairs(key, cell, least)]
+        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pd.DataFrame({"u": u, "v": v})
+
+    return rows.groupBy(F.pmod(F.xxhash64("key", "ci", "cj"), F.lit(tasks)).alias("t")).applyInPandas(lambda pdf: compare(pdf), "u long, v long")
+
+
+def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> DataFrame:
     """did, th, n_shingles, root of each keyed document; root is null for documents without words.
 
     Equal sets are one node, named by their smallest document. Rows that share an id count as one document.
@@ -148,14 +193,12 @@ def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 4) -> Dat
         group = F.col("node") if roots is None else F.coalesce("root", "node")
         members = (buckets if roots is None else hot_join(buckets, roots, ["node"], "left")).select("key", "node", group.alias("g"))
         order = F.struct((F.col("node") if r == 0 else F.xxhash64(F.lit(r), "node")).alias("h"), F.col("node").alias("node"), F.col("g").alias("g"))
-        open_ = members.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min(order).alias("p")).where("g0 < g1")
-        open_ = open_.select("key", F.col("p.node").alias("pivot"), F.col("p.g").alias("pg"))
+        open_ = members.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min(order).alias("p"), F.count("*").alias("m")).where("g0 < g1")
+        open_ = open_.select("key", "m", F.col("p.node").alias("pivot"), F.col("p.g").alias("pg"))
         if r < pivot_rounds:
-            pairs = hot_join(members, open_, ["key"]).where("g != pg").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+            pairs = hot_join(members, open_.drop("m"), ["key"]).where("g != pg").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
         else:
-            left = hot_join(members, open_.select("key"), ["key"])
-            right = left.select("key", F.col("node").alias("other"), F.col("g").alias("og"))
-            pairs = hot_join(left, right, ["key"]).where("g < og").select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v"))
+            pairs = across_groups(members, open_, sets, percent)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
