@@ -121,11 +121,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets overlap enough: 100 * intersection >= percent * union."""
-    fits = F.least("un", "vn") * 100 >= F.greatest("un", "vn") * percent
-    sizes = sets.select("node", "n")
-    near = hot_join(hot_join(pairs, sizes.select(F.col("node").alias("u"), F.col("n").alias("un")), ["u"]), sizes.select(F.col("node").alias("v"), F.col("n").alias("vn")), ["v"]).where(fits)
-    left = hot_join(near, sets.select(F.col("node").alias("u"), F.col("s").alias("us")), ["u"])
-    both = hot_join(left, sets.select(F.col("node").alias("v"), F.col("s").alias("vs")), ["v"])
+    left = hot_join(pairs, sets.select(F.col("node").alias("u"), F.col("n").alias("un"), F.col("s").alias("us")), ["u"])
+    both = hot_join(left, sets.select(F.col("node").alias("v"), F.col("n").alias("vn"), F.col("s").alias("vs")), ["v"])
     common = F.size(F.array_intersect("us", "vs"))
     return both.where(common * 100 >= (F.col("un") + F.col("vn") - common) * percent).select("u", "v")
 
