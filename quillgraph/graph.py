@@ -6,6 +6,7 @@ properties. Stored partitioned by label and rel_type, so that those filters prun
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -80,3 +81,11 @@ def first_per(df: DataFrame, keys: Sequence[str], *order: Column | str, most: in
     """The first rows of each key in a stated order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder the cluster names; a local one only where none is named."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-"))
+    return df.checkpoint()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, first_per
+from ..graph import Graph, cut, first_per
 
 
 def one_hop(graph: Graph, seeds: DataFrame, rel_type: str, direction: str = "outgoing") -> DataFrame:
@@ -56,21 +56,22 @@ def budgeted(graph: Graph, seeds: DataFrame, rel_types: Sequence[str] | None = N
 
     In each hop a label's frontier brings at most `most_rows` edges, by edge id; new nodes are taken by edge id and id
     until the budget is full. Parallel edges of one type collapse; edges to nodes that did not fit go. The budgets bound
-    everything that is kept between hops.
+    everything that is kept between hops, and each hop ends with a checkpoint, so that no hop is computed twice.
     """
     adj = graph.adjacency(rel_types)
     seen = seeds.select("id", F.lit(0).alias("hop")).dropDuplicates(["id"]).join(graph.nodes.select("id", "label"), "id").orderBy("id").limit(most_nodes)
+    seen = cut(seen)
     frontier, trace = seen.select("id", "label"), None
     for hop in range(1, hops + 1):
         rows = F.broadcast(frontier.where("label <> ''").select(F.col("id").alias("at"))).join(adj, "at")  # most_nodes rows at most
-        rows = first_per(rows, ["at_label"], "id", "at", "to", most=most_rows)
+        rows = cut(first_per(rows, ["at_label"], "id", "at", "to", most=most_rows).select("src", "rel_type", "dst", "id", "to", "to_label"))
         step = rows.select("src", "rel_type", "dst")
         trace = step if trace is None else trace.unionByName(step)
         fresh = rows.groupBy(F.col("to").alias("nid")).agg(F.min("id").alias("via"), F.min("to_label").alias("label"))
         fresh = fresh.join(F.broadcast(seen.select(F.col("id").alias("nid"))), "nid", "left_anti")
         order = fresh.orderBy("via", "nid").limit(most_nodes).select(F.col("nid").alias("id"), F.lit(hop).alias("hop"), "label", "via")
         all_ = seen.select("id", "hop", "label", F.lit(-1).cast("bigint").alias("via")).unionByName(order)
-        seen = all_.orderBy("hop", "via", "id").limit(most_nodes).select("id", "hop", "label")
+        seen = cut(all_.orderBy("hop", "via", "id").limit(most_nodes).select("id", "hop", "label"))
         frontier = seen.where(F.col("hop") == hop).select("id", "label")
     kept = F.broadcast(seen.select("id"))
     ends = trace.distinct().join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
