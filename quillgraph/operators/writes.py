@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import truncated
 from ..graph import Graph, first_per
@@ -102,7 +103,7 @@ def size_batches(rows: DataFrame, most_bytes: int, most_rows: int) -> DataFrame:
             out.append(batch)
         return pdf.assign(batch=out)
 
-    return rows.groupBy("part").applyInPandas(lambda pdf: runs(pdf), rows.schema.add("batch", "bigint"))
+    return rows.groupBy("part").applyInPandas(lambda pdf: runs(pdf), StructType([*rows.schema.fields, StructField("batch", LongType())]))
 
 
 def chunks(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import embedding_text, person_name, stable_id
-from ..graph import Graph
+from ..graph import Graph, cut
 
 ROOT = "root"
 
@@ -56,7 +56,11 @@ def _text(c: Column) -> Column:
 def _list(name: str) -> Column:
     c = _get(name)
     one = F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
-    return F.filter(F.transform(F.coalesce(one, F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.coalesce(one, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def _people(name: str, relation: str) -> Column:
+    return F.transform(_list(name), lambda n: F.struct(n.alias("name"), F.lit(relation).alias("relation")))
 
 
 def body(fallbacks: tuple[str, ...]) -> Column:
@@ -73,26 +77,33 @@ def normalise(raw: DataFrame) -> DataFrame:
 
     Rows of sources without an adapter go.
     """
-    out = None
-    for source, a in ADAPTERS.items():
-        b = body(a.fallbacks)
-        people = F.concat(*[F.transform(_list(f), lambda n, r=r: F.struct(n.alias("name"), F.lit(r).alias("relation"))) for r, fs in (("AUTHORED", a.authored), ("ASSIGNED_TO", a.assigned)) for f in fs])
-        project = F.coalesce(*[F.nullif(F.trim(_get(x)), F.lit("")) for x in a.project]) if a.project else F.lit(None).cast("string")
-        one = lambda f: F.nullif(F.trim(_get(f)), F.lit("")) if f else F.lit(None).cast("string")
-        props = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in {**{k: _get(f) for k, f in a.properties.items()}, "source": F.lit(source), "dsid": F.col("dsid"), a.body: b}.items()]), lambda e: e["v"].isNotNull()))
-        part = raw.where(F.col("source_type") == source).select(
-            "dsid", "source_type", F.lit(a.label).alias("label"), F.substring(b if source == "slack" else F.coalesce(_get(a.text), F.lit("")), 1, 140 if source == "slack" else 2**31 - 1).alias("primary_text"),
-            b.alias("body"), props.alias("properties"), people.alias("people"), project.alias("project"), one(a.channel).alias("channel"), one(a.company).alias("company"),
-            F.array_compact(F.array(F.col("dsid"), *[one(k) for k in a.keys])).alias("keys"), F.concat(*[_list(x) for x in a.links], F.array().cast("array<string>")).alias("links"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    source = F.col("source_type")
+    forms = [F.when(source == name, _normal(name, a)) for name, a in ADAPTERS.items()]  # one pass over all sources
+    return raw.where(source.isin(list(ADAPTERS))).select("dsid", "source_type", F.coalesce(*forms).alias("d")).select("dsid", "source_type", "d.*")
+
+
+def _normal(source: str, a: Adapter) -> Column:
+    """What one source's document becomes, as a struct."""
+    b = body(a.fallbacks)
+    people = F.concat(*[_people(f, r) for r, fs in (("AUTHORED", a.authored), ("ASSIGNED_TO", a.assigned)) for f in fs])
+    one = lambda f: F.nullif(F.trim(_get(f)), F.lit("")) if f else F.lit(None).cast("string")
+    project = F.coalesce(*[one(x) for x in a.project]) if a.project else one(None)
+    values = {**{k: _get(f) for k, f in a.properties.items()}, "source": F.lit(source), "dsid": F.col("dsid"), a.body: b}
+    props = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()]), lambda e: e["v"].isNotNull()))
+    text = F.substring(b, 1, 140) if source == "slack" else F.coalesce(_get(a.text), F.lit(""))
+    return F.struct(
+        F.lit(a.label).alias("label"), text.alias("primary_text"), b.alias("body"), props.alias("properties"), people.alias("people"), project.alias("project"), one(a.channel).alias("channel"), one(a.company).alias("company"),
+        F.array_compact(F.array(F.col("dsid"), *[one(k) for k in a.keys])).alias("keys"), F.concat(*[_list(x) for x in a.links], F.array().cast("array<string>")).alias("links"),
+    )
 
 
 def graph_rows(docs: DataFrame, organisation: str = "Home") -> Graph:
-    """Nodes of documents, people, projects, channels, companies and the root, and their edges, all with stable ids."""
+    """Nodes of documents, people, projects, channels, companies and the root, and their edges, all with stable ids.
+
+    Documents are written once in the shared folder, since every kind of node and edge reads them.
+    """
     spark = docs.sparkSession
-    d = docs.withColumn("id", stable_id("doc", "dsid"))
+    d = cut(docs.select(stable_id("doc", "dsid").alias("id"), "label", "primary_text", "properties", "people", "project", "channel", "company"))
 
     def node(df: DataFrame, kind: str, label: str, key: str) -> DataFrame:
         props = F.create_map(F.lit("name"), F.col(key))
