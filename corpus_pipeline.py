@@ -23,8 +23,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, leas
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the smallest id."""
-    return minhash_dedup.drop_near_duplicates(docs, percent=85)
+    """One document of each group of near copies (Jaccard 0.8 or more) stays, that with the smallest id."""
+    return minhash_dedup.drop_near_duplicates(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select(real("did").alias("doc_id"), "n_shingles", F.coalesce(real("root"), real("did")).alias("component_id"), (F.coalesce("root", "did") == F.col("did")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each group, that with the smallest id; of repeated rows one stays. All columns stay."""
     kept = components(keyed(docs), percent).where(F.coalesce("root", "did") == F.col("did")).groupBy("did").agg(F.min("th").alias("th"))
     rows = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})

@@ -1,5 +1,7 @@
 """The corpus pipeline, stage by stage."""
 
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -17,3 +19,40 @@ def test_stages(spark):
     assert now.where(F.length("text") != F.col("n_chars")).count() == 0
     packed = corpus_pipeline.STAGES[-1][1](spark, now, "")
     assert packed.select("doc_id").distinct().count() == counts[3]
+
+
+def _sets(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _survivors(rows):
+    """Brute force: the first of each group of texts that are linked at 0.8, of (key, text) in order of keys."""
+    sets, root = [_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            i = len(sets[a] & sets[b])
+            if i and 100 * i >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return sorted(k for i, (k, _) in enumerate(rows) if find(i) == i)
+
+
+def test_near_dedup_takes_0_8(spark):
+    """The stage links at 0.80: pairs between 0.80 and 0.85 go as well, those under 0.80 stay."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(40):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(204)]
+        tail = 14 + i % 16  # 200 shingles, of which `tail` differ: Jaccard 0.87 down to 0.75
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-tail] + [f"t{rnd.randrange(10**6)}" for _ in range(tail)]))]
+    want = _survivors(rows)
+    assert 40 < len(want) < 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want
