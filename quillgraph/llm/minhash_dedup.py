@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants
@@ -171,18 +171,22 @@ def across_groups(members: DataFrame, open_: DataFrame, sets: DataFrame, percent
 
 
 def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> DataFrame:
-    """did, th, n_shingles, root of each keyed document; root is null for documents without words.
+    """did, th, n_shingles, rid, rep of each keyed document; rep is the first row (rid, did, th) of its component.
 
-    Equal sets are one node, named by their smallest document. Rows that share an id count as one document.
+    rid numbers the rows; rep is null for documents without words. Equal sets are one node, whoever has them: texts that
+    share an id stay apart. Nodes are numbered in the order of their first rows, by id with null ids last.
     """
-    sig = materialise(signatures(docs))
-    nodes = sig.where("n_shingles > 0").groupBy("fp1", "fp2").agg(F.min(F.struct("did", "th")).alias("rep"))
-    nodes = materialise(nodes.select("fp1", "fp2", F.col("rep.did").alias("node"), F.col("rep.th").alias("th")))
-    reps = sig.join(nodes.select(F.col("node").alias("did"), "th", "fp1", "fp2"), ["did", "th", "fp1", "fp2"]).dropDuplicates(["did", "th"])
-    buckets = reps.select(F.explode("bands").alias("key"), F.col("did").alias("node"))
+    sig = materialise(signatures(docs).withColumn("rid", F.monotonically_increasing_id()))
+    first = F.min(F.struct((F.col("did") == NO_ID).alias("no_id"), "did", "th", "rid"))
+    nodes = sig.where("n_shingles > 0").groupBy("fp1", "fp2").agg(first.alias("rep")).select("fp1", "fp2", "rep.*")
+    order = ["no_id", "did", "th"]
+    nodes = nodes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id())
+    nodes = materialise(nodes.drop("no_id"))
+    reps = sig.select("rid", "bands").join(nodes.select("rid", "node"), "rid")
+    buckets = reps.select(F.explode("bands").alias("key"), "node")
     several = buckets.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
     buckets = materialise(hot_join(buckets, several, ["key"]).distinct())
-    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", F.col("node").alias("did"), "th")
+    wanted = nodes.join(buckets.select("node").distinct(), "node").select("node", "did", "th")
     sets = materialise(_sets(docs, wanted).dropDuplicates(["node"]))
 
     tested = links = roots = None
@@ -207,27 +211,36 @@ def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> Dat
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = stars(links)
-    own = hot_join(sig.select("did", "th", "n_shingles", "fp1", "fp2"), nodes.select("fp1", "fp2", "node"), ["fp1", "fp2"], "left")
-    root = F.col("node") if roots is None else F.coalesce("root", "node")
-    out = (own if roots is None else hot_join(own, roots, ["node"], "left")).select("did", "th", "n_shingles", root.alias("root"))
-    return out
+    named = nodes.select("fp1", "fp2", "node", F.struct("rid", "did", "th").alias("rep"))
+    if roots is not None:
+        far = hot_join(roots, named.select(F.col("node").alias("root"), F.col("rep").alias("far")), ["root"]).select("node", "far")
+        named = named.join(far, "node", "left").withColumn("rep", F.coalesce("far", "rep"))
+    return hot_join(sig.select("did", "th", "n_shingles", "rid", "fp1", "fp2"), named.select("fp1", "fp2", "rep"), ["fp1", "fp2"], "left").drop("fp1", "fp2")
+
+
+def _kept() -> Column:
+    """Whether a row of components() stays: the first of its component, with its repetitions under the same id."""
+    same = (F.col("did") != NO_ID) & (F.col("did") == F.col("rep.did")) & (F.col("th") == F.col("rep.th"))
+    return F.col("rep").isNull() | (F.col("rid") == F.col("rep.rid")) | same
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
     Documents are linked where 100 * intersection >= percent * union of their shingle sets. Null, empty and blank texts
-    have no shingles and stand alone; equal sets are linked; of documents whose ids repeat each row is returned. A null
-    doc_id is its own component's null. Empty tables give no rows.
+    have no shingles and stand alone; equal sets are linked; of documents whose ids repeat each row is returned, and
+    their texts are linked by what they hold alone. component_id is the smallest doc_id of the group, null only where
+    all its ids are null. One row of each group is kept, with its repetitions of the same id and text. Empty tables give
+    no rows.
     """
     out = components(keyed(docs), percent)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("did").alias("doc_id"), "n_shingles", F.coalesce(real("root"), real("did")).alias("component_id"), (F.coalesce("root", "did") == F.col("did")).alias("kept"))
+    return out.select(real("did").alias("doc_id"), "n_shingles", F.when(F.col("rep").isNotNull(), real("rep.did")).otherwise(real("did")).alias("component_id"), _kept().alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, that with the smallest id; of repeated rows one stays. All columns stay."""
-    kept = components(keyed(docs), percent).where(F.coalesce("root", "did") == F.col("did")).groupBy("did").agg(F.min("th").alias("th"))
+    """docs with one document of each group, that with the smallest id, null ids last; of repeated rows one stays. All columns stay."""
+    kept = components(keyed(docs), percent).where(_kept()).select("did", "th").distinct()
     rows = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = rows.join(kept.withColumnsRenamed({"did": "_did", "th": "_th"}), ["_did", "_th"], "left_semi")
     return rows.dropDuplicates(["_did", "_th"]).select(docs.columns)

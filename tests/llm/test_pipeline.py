@@ -5,6 +5,8 @@ import random
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from quillgraph.llm import minhash_dedup
+
 
 def test_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -56,3 +58,26 @@ def test_near_dedup_takes_0_8(spark):
     assert 40 < len(want) < 60
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want
+
+
+def test_near_dedup_keeps_texts_apart(spark):
+    """Texts under one id, null included, are told apart: each group of copies keeps one text, unrelated texts stay."""
+    rnd = random.Random(9)
+    text = lambda n=80: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    near = lambda w: w[:-1] + ["changed"]
+    w = [text() for _ in range(8)]
+    rows = [(None, w[0]), (None, w[1]), (None, w[2]), (None, w[2]), (1, near(w[1])), (2, w[3]), (2, w[4]), (3, near(w[4])), (4, w[5]), (4, near(w[5])), (5, w[6]), (6, near(w[3])), (None, near(w[6])), (7, w[7]), (7, w[7])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = list(dict.fromkeys(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, minhash_key(spark, r[1])))))
+    want = _survivors([(k, t) for k, (_, t) in enumerate(left)])
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(repr(left[k]) for k in want)
+    assert len(got) == 8
+    op5 = minhash_dedup.near_duplicates(docs).collect()
+    groups = sorted(((r.doc_id, r.component_id, r.kept) for r in op5), key=repr)
+    assert groups == sorted([(None, None, True), (None, None, True), (None, None, False), (None, 1, False), (None, 5, False), (1, 1, True), (2, 2, True), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, False), (5, 5, True), (6, 2, False), (7, 7, True), (7, 7, True)], key=repr)
+
+
+def minhash_key(spark, text):
+    return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
