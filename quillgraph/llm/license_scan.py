@@ -1,15 +1,14 @@
 """Licence scans with DataFrame functions only: a positional index of rare licence words.
 
-The words of the licence templates get their inverse document frequency from all documents. Each document's few rarest
-licence words are looked up in the templates' postings; occurrences that agree on where the template would start vote
-for that start; the template is then laid over the document there, the share of equal words is its score, and it counts
-only if its mandatory key phrases stand in that place. The base phrases are found wherever they stand.
+The words of the licence templates get their document frequency from all documents. Each template is looked up by the
+rarest word of its key phrases, in every document that has all words of these phrases: as a template counts only if its
+key phrases stand in their place, none is missed. Each occurrence says where the template would start; the template is
+laid over the document there, and the share of equal words is its score. The base phrases are found wherever they stand.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +76,20 @@ def _lookup(postings: list[tuple[str, int, int]]) -> Column:
     return F.create_map(*[x for w, ps in sorted(by.items()) for x in (F.lit(w), F.array(*ps))])
 
 
-def matches(w: Column, top: Column) -> Column:
-    """array<struct<label, score, whole>>: the templates laid over the words wherever a rare word's posting puts them."""
-    lookup = _lookup([(x, k, i) for k, (_, t, _) in enumerate(TEMPLATES) for i, x in enumerate(t.split()) if x in TELLING])
+def rarest(seen: dict[str, int]) -> list[tuple[str, int, int]]:
+    """For each template, the rarest telling word of its key phrases, the template's number, the word's place in it."""
+    out = []
+    for k, (_, text, keys) in enumerate(TEMPLATES):
+        t = text.split()
+        spans = [(i, i + len(p)) for p in map(str.split, keys) for i in range(len(t)) if t[i : i + len(p)] == p]
+        _, w, at = min((seen[t[i]], t[i], i) for a, b in spans for i in range(a, b) if t[i] in TELLING)
+        out.append((w, k, at))
+    return out
+
+
+def matches(w: Column, top: Column, postings: list[tuple[str, int, int]]) -> Column:
+    """array<struct<label, score, whole>>: the templates laid over the words wherever a posting of a word of top puts them."""
+    lookup = _lookup(postings)
     layout = F.array(*[F.array(*[F.lit(x) for x in t.split()]) for _, t, _ in TEMPLATES])
     keys = F.array(*[F.array(*[F.lit(f" {x} ") for x in ks]) for _, _, ks in TEMPLATES])
     labels = F.array(*[F.lit(x) for x, _, _ in TEMPLATES])
@@ -100,24 +110,23 @@ def matches(w: Column, top: Column) -> Column:
     return F.transform(F.transform(F.array_distinct(starts), laid), judged)
 
 
-def scan(docs: DataFrame, rare: int = 4, least: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
     A template counts where at least `least` of its words and all its key phrases stand in place. score is the best share
     of a template's words in place; a base phrase is a template of its own that stands whole: 1. Null and empty texts have
     no words, no labels and score 0. Repeated rows each give a row.
     """
-    seen = frequencies(docs.select("text"))
-    n = max(1, docs.count())
-    idf = F.create_map(*[F.lit(x) for w, c in sorted(seen.items()) for x in (w, log((n + 1) / (c + 1)))])
+    postings = rarest(frequencies(docs.select("text")))
     rows = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
     rows = rows.select("doc_id", "w", F.size("w").cast("long").alias("n_words"), listed(F.col("w")).alias("hits"))
-    weighed = F.filter(F.transform("hits", lambda w: F.struct(F.try_element_at(idf, w).alias("idf"), w.alias("w"))), lambda x: x["idf"].isNotNull())
-    top = F.transform(F.slice(F.sort_array(weighed, False), 1, rare), lambda x: x["w"])
+    # a word is looked up where all listed words of the key phrases of one of its templates stand in the document
+    needed = sorted({(w, *sorted({x for p in TEMPLATES[k][2] for x in p.split() if x in LISTED})) for w, k, _ in postings})
+    top = F.array_distinct(F.array_compact(F.array(*[F.when(reduce(lambda a, b: a & b, [F.array_contains("hits", x) for x in xs]), F.lit(w)) for w, *xs in needed])))
     has = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains("hits", x) for x in p.split()]) for p in BASE])
     rows = rows.select("doc_id", "w", "n_words", has.alias("has"), F.when(F.size("hits") > 0, top).alias("top"))
     spots = F.when(F.col("has"), F.array(*[places(F.col("w"), p) for p in BASE]))
-    laid = F.when(F.size("top") > 0, F.filter(matches(F.col("w"), F.col("top")), lambda m: m["whole"] & (m["score"] >= least)))
+    laid = F.when(F.size("top") > 0, F.filter(matches(F.col("w"), F.col("top"), postings), lambda m: m["whole"] & (m["score"] >= least)))
     listed_rows = rows.select("doc_id", "n_words", spots.alias("spots"), laid.alias("laid"))
     every = F.flatten("spots")
     none = F.array().cast("array<string>")

@@ -284,5 +284,32 @@ def test_license_templates(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def test_every_template_is_tried(spark):
+    """labels and score against laying every template over every place, on texts with several licences and stray words."""
+    rnd = random.Random(12)
+    whole = [t.split() for _, t, _ in license_scan.TEMPLATES]
+    stray = license_scan.LISTED + ["filler", "2", "0", "and"]
+    texts = [" ".join(t) for t in whole]
+    texts += [" ".join(whole[14] + whole[5]), " ".join(whole[15] + ["or"] + whole[5]), " ".join(["person", "copy", "forms", "binary", "hereby", "x"] + whole[9])]
+    for _ in range(150):
+        w = []
+        for t in rnd.sample(whole, rnd.randint(1, 5)):
+            w += [x if rnd.random() < 0.95 else "other" for x in t] + rnd.choices(stray, k=rnd.randint(0, 6))
+        texts.append(" ".join(w))
+    want = {}
+    for n, text in enumerate(texts):
+        w, found = text.split(), [(b, 1.0) for p, b in license_scan.BASE.items() if f" {p} " in f" {text} "]
+        sure = bool(found)
+        for (label, t, keys), parts in zip(license_scan.TEMPLATES, whole):
+            for at in range(-len(parts), len(w)):
+                here = [w[at + i] if 0 <= at + i < len(w) else "" for i in range(len(parts))]
+                score = sum(a == b for a, b in zip(here, parts)) / len(parts)
+                if score >= 0.8 and all(f" {x} " in f" {' '.join(here)} " for x in keys):
+                    found.append((label, score))
+        want[n] = (",".join(sorted({x for x, _ in found})), 1.0 if sure else max((s for _, s in found), default=0.0))
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: (r.labels, r.score) for r in got.collect()} == want
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
