@@ -205,7 +205,9 @@ def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> Dat
             pairs = pairs.join(tested, ["u", "v"], "left_anti")
         pairs = materialise(pairs)
         if pairs.isEmpty():
-            break
+            if open_.isEmpty():
+                break
+            continue  # what is left of open buckets is compared across groups in the last round
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = materialise(confirmed(pairs, sets, percent))
         if not found.isEmpty():

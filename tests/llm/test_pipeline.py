@@ -81,3 +81,13 @@ def test_near_dedup_keeps_texts_apart(spark):
 
 def minhash_key(spark, text):
     return spark.range(1).select(F.xxhash64(F.lit(text))).first()[0]
+
+
+def test_open_buckets_are_compared(spark):
+    """Of three texts only the last two are linked; every bucket they share holds the first, the pivot of both rounds."""
+    rnd = random.Random(136)
+    text = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    base = text(96)
+    rows = [(i, " ".join(base + text(n))) for i, n in enumerate((9, 8, 8))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 85).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {0: (0, True), 1: (1, True), 2: (1, False)}
