@@ -1,8 +1,9 @@
-"""Best-fit packing of token sequences with a bounded number of open bins.
+"""Bounded-space online best-fit packing of token sequences.
 
-Open bins are kept by free space, and a bitset says which free spaces exist: the lowest set bit from a piece's length
-on is its best fit. When too many bins are open, the fullest closes first. Pieces are dealt into groups of some
-thousands; a group is packed from its longest piece to its shortest.
+Pieces arrive one by one and are placed at once. Open bins are kept by free space, and a bitset says which free spaces
+exist: the lowest set bit from a piece's length on is its best fit. At most a fixed number of bins is open; when a piece
+would open one more, the fullest closes. Pieces are dealt into groups of some ten thousand, which arrive in the order
+of a hash.
 """
 
 from __future__ import annotations
@@ -95,20 +96,30 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return text.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(lengths: list[int], capacity: int = CAPACITY, most_open: int = 4096) -> tuple[list[int], list[int]]:
-    """For each piece in turn, its bin and its place there."""
+def best_fit(lengths: list[int], capacity: int = CAPACITY, most_open: int = 64) -> tuple[list[int], list[int], int]:
+    """For each piece in turn, its bin and its place there; and how many bins were closed because too many were open."""
     free: dict[int, list[int]] = {}
-    mask = used = opened = 0
+    mask = used = opened = forced = 0
     bins, places = [], []
+
+    def take(room: int) -> int:
+        nonlocal mask
+        b = free[room].pop()
+        if not free[room]:
+            mask ^= 1 << room
+        return b
+
     for n in lengths:
         fit = mask >> n
         if fit:
             room = n + (fit & -fit).bit_length() - 1
-            b = free[room].pop()
-            if not free[room]:
-                mask ^= 1 << room
+            b = take(room)
             opened -= 1
         else:
+            if opened == most_open:
+                take((mask & -mask).bit_length() - 1)  # the fullest
+                opened -= 1
+                forced += 1
             room, b, used = capacity, used, used + 1
         bins.append(b)
         places.append(capacity - room)
@@ -117,30 +128,26 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY, most_open: int = 4096
             free.setdefault(room, []).append(b)
             mask |= 1 << room
             opened += 1
-            if opened > most_open:  # the fullest bin closes
-                least = (mask & -mask).bit_length() - 1
-                free[least].pop()
-                if not free[least]:
-                    mask ^= 1 << least
-                opened -= 1
-    return bins, places
+    return bins, places, forced
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most_open: int = 4096, group_rows: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most_open: int = 64, group_rows: int = 32768) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 
     Null and empty texts are one piece that only has END. Repeated rows are packed each by itself. Groups are dealt by a
-    hash of the row and packed independently, so at most one poorly filled sequence is left in each.
+    hash of the row and packed independently, so at most `most_open` poorly filled sequences are left in each. Only the
+    columns doc_id and text are read. An empty table gives no rows.
     """
     cut = materialise(pieces(docs, path, capacity))
     groups = max(1, -(-cut.count() // group_rows))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True])
-        bins, places = best_fit(pdf.length.tolist(), capacity, most_open)
+        pdf = pdf.sort_values(["h", "doc_id", "piece", "ids_crc32"])
+        bins, places, _ = best_fit(pdf.length.tolist(), capacity, most_open)
         pdf["sequence_id"] = np.array(bins, np.int64) + pdf.pop("g").astype("int64") * 2**24
-        return pdf.assign(offset=np.array(places, np.int64))
+        return pdf.drop(columns="h").assign(offset=np.array(places, np.int64))
 
-    g = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    h = F.xxhash64("doc_id", "piece", "ids_crc32")
+    dealt = cut.withColumns({"h": h, "g": F.pmod(h, F.lit(groups))})
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return cut.withColumn("g", g).groupBy("g").applyInPandas(lambda pdf: packed(pdf), out)
+    return dealt.groupBy("g").applyInPandas(lambda pdf: packed(pdf), out)

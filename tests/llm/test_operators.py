@@ -220,6 +220,45 @@ def test_packing(odd, docs):
     assert packing.pack(odd.limit(0), WORD).count() == 0
 
 
+def test_bounded_bins():
+    """Against trying every open bin: the tightest that fits, else a new one, for which the fullest closes at the bound."""
+    rnd = random.Random(11)
+    for most in (1, 2, 5, 64):
+        lengths = [rnd.choice([rnd.randint(1, 100), rnd.randint(60, 100)]) for _ in range(2000)]
+        open_, want, used, shut = [], [], 0, 0  # free space, number, in order of last use
+        for n in lengths:
+            fits = [x for x in open_ if x[0] >= n]
+            if fits:
+                best = max((x for x in fits if x[0] == min(fits)[0]), key=open_.index)
+            else:
+                if len(open_) == most:
+                    least = min(open_)[0]
+                    open_.remove(max((x for x in open_ if x[0] == least), key=open_.index))
+                    shut += 1
+                best, used = (100, used), used + 1
+            if best in open_:
+                open_.remove(best)
+            want.append((best[1], 100 - best[0]))
+            if best[0] > n:
+                open_.append((best[0] - n, best[1]))
+        bins, places, forced = packing.best_fit(lengths, 100, most)
+        assert list(zip(bins, places)) == want and forced == shut > 0
+
+
+def test_packing_is_online_and_tight():
+    """The bound acts on the lengths of sf0.1, and sequences stay within 2 % of what the tokens need."""
+    import pyarrow.parquet as pq
+
+    tokens = packing.tokens(WORD)
+    texts = [x or "" for x in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()]
+    lengths = [min(2048, n - at) for i in range(0, len(texts), 64) for ids in tokens.encode(texts[i : i + 64]) for n in [len(ids) // 4 + 1] for at in range(0, n, 2048)]
+    random.Random(1).shuffle(lengths)
+    bins, _, forced = packing.best_fit(lengths, most_open=32)
+    assert forced > 0 and max(bins) + 1 <= 1.02 * sum(lengths) / 2048
+    again, _, _ = packing.best_fit(lengths[:5000], most_open=32)
+    assert again == bins[:5000]  # what comes later moves nothing
+
+
 PAGES = [
     (1, "http://a.example/x/1", "<html><head><title>T</title></head><body><nav><a>Menu</a></nav><article><h1>Big &amp; <b>bold</b></h1><p>One\n two<br>three<p>Four<div class='ad'>Buy</div></article><footer>F</footer></body></html>"),
     (2, "http://a.example/x/2", "<body><div>Site name</div><div>Own text of two</div><div>All rights</div></body>"),
