@@ -1,15 +1,20 @@
 """Removal of repeated passages by prefix-free parsing, on a table of texts of any size.
 
-A rolling hash of K bytes triggers phrases: a window of LENGTH bytes belongs to the trigger with the smallest hash in
-it, so equal windows have equal triggers at equal offsets, and every window has one. Successive windows of one trigger
-form a phrase. The dictionary of distinct phrases, sorted by trigger and content, stands for the corpus order:
+Strings of K bytes whose rolling hash is 0 modulo EVERY are triggers. They cut each text into phrases that run from one
+trigger to the end of the next; the distinct phrases are the dictionary, the sequence of phrase numbers is the parse. A
+window of LENGTH bytes belongs to the first trigger in it, so it is a suffix of a dictionary phrase, up to that trigger,
+followed by a prefix of a parse suffix, from it on. No such phrase suffix is a prefix of another, so the order of all
+windows in the corpus is that of their phrase suffixes, then of their parse suffixes; and repeated windows are neighbours
+with a common prefix of LENGTH bytes. In stretches without a trigger the least hash of a window stands for one.
 
-* a phrase that occurs twice is repeated whole, and all its windows with it;
-* distinct phrases of one trigger can share some windows; these neighbours in corpus order are compared window by window;
-* a trigger that occurs once has no neighbour, and its windows are unique.
+The work is dealt by triggers, since equal phrase suffixes end with the same one:
 
-Only trigger hashes of all phrases are dealt; phrases with repeated triggers follow, windows only of those whose
-phrases differ.
+* the same phrases, as far as the windows at a trigger reach, occur twice: all these windows are repeated;
+* a trigger that occurs once has no equal window anywhere;
+* triggers whose phrases differ are put in buckets. In each, the suffix array of the bucket's dictionary (by prefix
+  doubling) and that of its parse are combined, and neighbours are compared by their longest common prefix.
+
+Only trigger hashes of all phrases are dealt; phrases with repeated triggers follow, bytes only of those that differ.
 """
 
 from __future__ import annotations
@@ -26,9 +31,14 @@ from pyspark.sql import functions as F
 from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants
 
 LENGTH = 200
+#: Bytes of a trigger, and the share of strings that are triggers: one in EVERY.
 K = 32
+EVERY = 64
 BASE = 0x9E3779B97F4A7C15
 TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Bases of the two hashes of a sequence of phrases, and their inverses.
+BASES = [int(x) for x in odd_constants(2, 78)]
+INVERSES = [pow(b, -1, 2**64) for b in BASES]
 #: Windows in a range of a phrase whose trigger is very common.
 STEP = 16
 #: Bytes of text handled at once; positions must fit the low bits of a sort key.
@@ -92,36 +102,78 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield full()
 
 
+def triggers(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of triggers among the hashes h of a buffer whose parts end at `ends`, and the parts they are in."""
+    t = np.flatnonzero(h % np.uint64(EVERY) == 0)
+    part = np.searchsorted(ends, t, "right")
+    inside = t + K <= ends[part]
+    return t[inside], part[inside]
+
+
+def _digests(view: memoryview, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(a.tolist(), b.tolist())]), ">u8").reshape(-1, 2).astype(np.uint64)
+
+
+def _sequences(ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Two hashes of each sequence of ids from first to last: polynomials, from their sums over all ids before."""
+    out = []
+    for c, (base, inverse) in enumerate(zip(BASES, INVERSES)):
+        power = np.cumprod(np.full(len(ids), base, np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ids[:, c] * power)])
+        back = np.cumprod(np.full(len(ids), inverse, np.uint64))
+        out.append(mix64((sums[last + 1] - sums[first]) * back[first]))
+    return np.stack(out, 1).view(np.int64)
+
+
 def phrases_of(texts: list[bytes]) -> pd.DataFrame:
-    """row, s1, s2 (first and last window start), trig, fp1, fp2, n, e, off of every phrase.
+    """row, s1, s2 (first and last window start), trig, fp1, fp2, n, e, off of the windows at every trigger.
 
-    A run of n equal phrases is one row; e is the last window start of its first phrase, off where the trigger is in it.
+    fp1 and fp2 stand for the phrase that ends with the trigger and those after it that its windows reach. A run of n
+    equal ones is one row; e is the last window start of the first of them, off where the trigger is in it.
     """
     parts = []
-    width = LENGTH - K + 1
     for buf, row, offset, size in _blocks(texts):
         h = rolling(buf, K)
-        pos = np.arange(len(h), dtype=np.uint64)
-        low = sliding_min((h & ~LOW) | (LOW - pos), width)
+        view = memoryview(buf)
         ends = np.cumsum(size)
         starts = ends - size
+        t, of = triggers(h, ends)
+        # the parse of each part: a phrase for each trigger, and the rest
+        at = np.concatenate([t + K, ends])
+        part = np.concatenate([of, np.arange(len(size))])
+        order = np.lexsort((np.arange(len(at)), part))  # the rest comes last in its part
+        ending, part, rest = at[order], part[order], order >= len(t)
+        begin = np.concatenate([[0], ending[:-1] - K])
+        opens = np.concatenate([[True], part[1:] != part[:-1]])
+        begin[opens] = starts[part[opens]]
+        ids = _digests(view, begin, ending)
+        ids[rest] ^= np.uint64(BASES[0])  # the end of a part is no trigger
+        # windows by their first trigger, or by their least hash
         live = size - LENGTH + 1
         w = np.arange(live.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(live)[:-1]]), live)
-        anchor = (LOW - (low[w] & LOW)).astype(np.int64)
         own = np.repeat(np.arange(len(size)), live)
+        k = np.searchsorted(t, w)
+        anchor = np.concatenate([t, [len(buf) + LENGTH]])[k]
+        cut = anchor - w <= LENGTH - K
+        if not cut.all():
+            pos = np.arange(len(h), dtype=np.uint64)
+            low = sliding_min((h & ~LOW) | (LOW - pos), LENGTH - K + 1)
+            anchor = np.where(cut, anchor, (LOW - (low[w] & LOW)).astype(np.int64))
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])]))
         last = np.concatenate([new[1:], [len(w)]]) - 1
-        a, b, p = w[new], w[last], own[new]
-        view = memoryview(buf)
-        fp = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[x : y + LENGTH]) for x, y in zip(a.tolist(), b.tolist())]), ">i8").reshape(-1, 2)
+        a, b, p, cut = w[new], w[last], own[new], cut[new]
+        fp = np.zeros((len(new), 2), np.int64)
+        place = np.flatnonzero(~rest)[k[new][cut]]  # of the phrase that ends with the trigger
+        reach = np.searchsorted(ending, b[cut] + LENGTH)
+        fp[cut] = _sequences(ids, place, reach)
+        fp[~cut] = _digests(view, a[~cut], b[~cut] + LENGTH).view(np.int64)
         again = np.concatenate([[False], (fp[1:] == fp[:-1]).all(1) & (p[1:] == p[:-1])])
         first = np.flatnonzero(~again)
         end = np.concatenate([first[1:], [len(again)]]) - 1
         shift = offset[p] - starts[p]
         parts.append(pd.DataFrame({
             "row": row[p[first]], "s1": a[first] + shift[first], "s2": b[end] + shift[end], "trig": h[anchor[new[first]]].view(np.int64),
-            "fp1": fp[first, 0].astype(np.int64), "fp2": fp[first, 1].astype(np.int64), "n": end - first + 1,
-            "e": b[first] + shift[first], "off": (anchor[new] - a)[first],
+            "fp1": fp[first, 0], "fp2": fp[first, 1], "n": end - first + 1, "e": b[first] + shift[first], "off": (anchor[new] - a)[first],
         }))
     return pd.concat(parts) if parts else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("row", "s1", "s2", "trig", "fp1", "fp2", "n", "e", "off")})
 
@@ -172,20 +224,114 @@ def _windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return own, at, rolling(buf, LENGTH)[w].view(np.int64), rolling(buf, LENGTH, SECOND)[w].view(np.int64)
 
 
+def suffix_ranks(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of every suffix of every word, one after the other, its place in their order (equal ones have the same); and
+    where each word begins. By prefix doubling, from ranks of seven bytes on; a word's end comes before all bytes.
+    """
+    size = np.array([len(x) for x in words], np.int64)
+    ends = np.cumsum(size)
+    left = np.repeat(ends, size) - np.arange(size.sum())
+    byte = np.frombuffer(b"".join(words), np.uint8).astype(np.int64) + 1
+    rank = np.zeros(len(byte), np.int64)
+    for i in range(7):
+        rank = rank << 9
+        more = np.flatnonzero(left > i)
+        rank[more] |= byte[more + i]
+    rank = np.unique(rank, return_inverse=True)[1] + 1
+    step = 7
+    while step < size.max(initial=0):
+        after = np.zeros(len(rank), np.int64)
+        more = np.flatnonzero(left > step)
+        after[more] = rank[more + step]
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1] + 1
+        step *= 2
+    return rank, ends - size
+
+
+def _common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (x.bit_length() + 7) // 8
+
+
+def parse_ranks(parts: list[bytes], off: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of the bucket's parse: the rank of what follows each part's trigger, as a sequence of phrases,
+    and of every two neighbours in that order how many bytes after the trigger they share.
+    """
+    buf = np.frombuffer(b"".join(parts), np.uint8)
+    ends = np.cumsum([len(x) for x in parts])
+    t, of = triggers(rolling(buf, K), ends)
+    at = t - (ends - [len(x) for x in parts])[of]
+    cuts: list[list[int]] = [[o] for o in off]
+    for p, x in zip(of.tolist(), at.tolist()):
+        if x > off[p]:
+            cuts[p].append(x)
+    phrases = [[part[a : b + K] for a, b in zip(c, c[1:])] + [part[c[-1] :]] for part, c in zip(parts, cuts)]
+    words = sorted({x for seq in phrases for x in seq})
+    number = {x: i for i, x in enumerate(words)}
+    seqs = [tuple([number[x] for x in seq]) for seq in phrases]
+    order = sorted(set(seqs))
+    shared = []
+    for x, y in zip(order, order[1:]):
+        n = i = 0
+        while i < min(len(x), len(y)) and x[i] == y[i]:
+            n += len(words[x[i]]) - K
+            i += 1
+        shared.append(n + (_common(words[x[i]], words[y[i]]) - K if i < min(len(x), len(y)) else 0))
+    place = {x: i for i, x in enumerate(order)}
+    return np.array([place[x] for x in seqs]), np.array(shared, np.int64)
+
+
+def _least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The minimum of x[a:b] for arrays a < b, from minima of runs of powers of two."""
+    level = np.frexp((b - a).astype(float))[1] - 1
+    runs, out = x, np.zeros(len(a), x.dtype)
+    for k in range(int(level.max(initial=-1)) + 1):
+        here = level == k
+        out[here] = np.minimum(runs[a[here]], runs[b[here] - 2**k])
+        runs = np.minimum(runs[: -(2**k)], runs[2**k :])
+    return out
+
+
+def shared_windows(parts: list[bytes], off: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(part, start) of every window that another part has as well, if its trigger (at off in its part) is the same.
+
+    A window is the suffix of a dictionary phrase up to the trigger and a prefix of the parse suffix from there on; in
+    the order of the two, a window with an equal one has it beside itself.
+    """
+    heads = [x[: o + K] for x, o in zip(parts, off)]
+    words = sorted(set(heads))
+    number = {x: i for i, x in enumerate(words)}
+    rank, begin = suffix_ranks(words)
+    head = begin[[number[x] for x in heads]]
+    after, shared = parse_ranks(parts, off)
+    live = np.array([len(x) for x in parts]) - LENGTH + 1
+    own = np.repeat(np.arange(len(parts)), live)
+    at = np.arange(live.sum()) - np.repeat(np.cumsum(live) - live, live)
+    suffix, follows = rank[head[own] + at], after[own]
+    order = np.lexsort((follows, suffix))
+    x, y = order[:-1], order[1:]
+    beside = suffix[x] == suffix[y]
+    x, y = x[beside], y[beside]
+    common = np.full(len(x), LENGTH)
+    differ = follows[x] < follows[y]
+    common[differ] = _least_between(shared, follows[x][differ], follows[y][differ])
+    common += np.array(off)[own[x]] + K - at[x]
+    twice = np.zeros(len(own), bool)
+    twice[x[common >= LENGTH]] = True
+    twice[y[common >= LENGTH]] = True
+    return own[twice], at[twice]
+
+
 def shared_in_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
     """The runs of windows that two rows of one bucket share; all phrases of a trigger are in the same bucket."""
-    own, at, h1, h2 = _windows(pdf.part.tolist())
-    order = np.lexsort((h2, h1))
-    same = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])
-    twice = np.zeros(len(own), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    hit = np.flatnonzero(twice)
-    if not len(hit):
+    own, at = shared_windows(pdf.part.tolist(), pdf.off.tolist())
+    if not len(own):
         return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("did", "th", "a", "b")})
-    own, at = own[hit], at[hit]
     first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
-    last = np.concatenate([first[1:], [len(hit)]]) - 1
+    last = np.concatenate([first[1:], [len(own)]]) - 1
     p = own[first]
     s1 = pdf.s1.to_numpy()[p]
     return pd.DataFrame({"did": pdf.did.to_numpy()[p], "th": pdf.th.to_numpy()[p], "a": s1 + at[first], "b": s1 + at[last] + LENGTH})

@@ -167,6 +167,46 @@ def test_repeats(spark, odd, monkeypatch, peers):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw[i]), m.sum(), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_suffix_ranks():
+    """Ranks by prefix doubling against sorting all suffixes."""
+    rnd = random.Random(13)
+    for _ in range(50):
+        words = sorted({bytes(rnd.choices(b"ab\x00\xff", k=rnd.randint(1, 40))) for _ in range(rnd.randint(1, 12))})
+        rank, begin = suffix_dedup.suffix_ranks(words)
+        every = [w[i:] for w in words for i in range(len(w))]
+        place = {x: i + 1 for i, x in enumerate(sorted(set(every)))}
+        assert rank.tolist() == [place[x] for x in every] and begin.tolist() == [sum(map(len, words[:i])) for i in range(len(words))]
+
+
+def test_least_between():
+    x = np.array(random.Random(14).choices(range(50), k=40))
+    a, b = np.array([(i, j) for i in range(40) for j in range(i + 1, 41)]).T
+    assert suffix_dedup._least_between(x, a, b).tolist() == [x[i:j].min() for i, j in zip(a, b)]
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefgh ", "a"])
+def test_phrases_and_buckets(letters):
+    """Without Spark: texts of few letters that share passages, with and without triggers, against counting windows."""
+    rnd = random.Random(15)
+    base = "".join(rnd.choices(letters, k=3000))
+    texts = [base[i : i + rnd.randint(100, 900)] + "".join(rnd.choices(letters, k=rnd.randint(0, 300))) + base[j : j + 350] for i, j in zip(rnd.sample(range(2500), 25), rnd.sample(range(2500), 25))]
+    raw = [t.encode() for t in texts + texts[:2] + ["", "x" * 199]]
+    p = suffix_dedup.phrases_of(raw)
+    count = p.groupby(["trig", "fp1", "fp2"]).n.transform("sum")
+    masks = [np.zeros(len(t), bool) for t in raw]
+    for r in p[count > 1].itertuples():
+        masks[r.row][r.s1 : r.s2 + 200] = True
+    kinds = p.drop_duplicates(["trig", "fp1", "fp2"])
+    mixed = kinds[kinds.groupby("trig").trig.transform("count") > 1].reset_index(drop=True)
+    parts = [raw[r.row][r.s1 : r.e + 200] for r in mixed.itertuples()]
+    if parts:
+        for o, x in zip(*suffix_dedup.shared_windows(parts, mixed.off.tolist())):
+            at = mixed.s1[o] + x
+            masks[mixed.row[o]][at : at + 200] = True
+    for i, m in enumerate(_repeated(raw)):
+        assert (masks[i] == m).all(), i
+
+
 def test_strip_repeats(odd):
     got = suffix_dedup.strip_repeats(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
