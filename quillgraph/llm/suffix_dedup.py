@@ -33,7 +33,7 @@ from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants
 LENGTH = 200
 #: Bytes of a trigger, and the share of strings that are triggers: one in EVERY.
 K = 32
-EVERY = 64
+EVERY = 100
 BASE = 0x9E3779B97F4A7C15
 TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 #: Bases of the two hashes of a sequence of phrases, and their inverses.
