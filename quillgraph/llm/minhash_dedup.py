@@ -6,9 +6,9 @@ fall into bin i; a bin keeps its least value. So after 2T rounds every bin is fi
 and equal bins estimate the Jaccard similarity with the concentration of T independent samples. Bands of ROWS bins are
 hashed to bucket keys. Documents that share a bucket are candidates; links are confirmed on the full sets.
 
-Only connectivity is asked for, so a bucket is never expanded into all its pairs at once: each round links its members
-to one pivot, members that are connected by then are done, and only what is left of a bucket in different groups after
-these rounds is compared across groups.
+Only connectivity is asked for, so a bucket is never expanded into its pairs: each round links its members to one pivot,
+members that are connected by then are done, and what is left of a bucket in different groups after these rounds is
+compared block by block on the full sets. A pair of blocks gives no more links than it has groups.
 """
 
 from __future__ import annotations
@@ -28,9 +28,7 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 T = BANDS * ROWS
 _WORD = odd_constants(SHINGLE, 11)
-#: Coordinates of the longer sketch that candidates of a crowded bucket are compared by, before their full sets are.
-LONG = 480
-_ROUND = odd_constants(2 * LONG, 12)
+_ROUND = odd_constants(2 * T, 12)
 _BAND = odd_constants(ROWS, 13)
 
 
@@ -106,7 +104,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, n, s, bands, sk: shingle hashes, bucket keys and the long sketch's low bytes of the wanted (node, did, th)."""
+    """node, n, s: number and hashes of the shingles of the wanted (node, did, th)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -114,9 +112,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for i in range(0, len(b), 256):
                 part = b.iloc[i : i + 256]
                 sets = shingles(part.text.tolist(), words)
-                yield pd.DataFrame({"node": part.node.to_numpy(), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets], "bands": list(band_keys(sketches(sets))), "sk": [x.tobytes() for x in sketches(sets, LONG).astype(np.uint8)]})
+                yield pd.DataFrame({"node": part.node.to_numpy(), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    return docs.select("did", "th", "text").join(wanted, ["did", "th"]).mapInPandas(made, "node long, n long, s array<long>, bands array<long>, sk binary")
+    return docs.select("did", "th", "text").join(wanted, ["did", "th"]).mapInPandas(made, "node long, n long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -127,45 +125,63 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("un") + F.col("vn") - common) * percent).select("u", "v")
 
 
-def _cell_pairs(key: int, cell: pd.DataFrame, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different groups in one cell whose sketches agree enough, if the cell's bucket is the first they share."""
-    sk = np.frombuffer(b"".join(cell.sk), np.uint8).reshape(len(cell), -1)
-    bands, g, node, own = np.stack(cell.bands.to_numpy()), cell.g.to_numpy(), cell.node.to_numpy(), cell.own.to_numpy()
-    ci, cj = cell.ci.iat[0], cell.cj.iat[0]
+def cell_links(node: np.ndarray, group: np.ndarray, sets: list[np.ndarray], own: np.ndarray, ci: int, cj: int, percent: int, strip: int = 32) -> list[tuple[int, int]]:
+    """(u, v): links between members of blocks ci and cj (column own) that join different groups; each joins two anew.
+
+    The full sets are compared: of a strip of members the shingles are looked up for all others at once, so a strip
+    takes as many steps as the others have shingles in common with it, times its width.
+    """
+    size = np.array([len(s) for s in sets])
+    root = np.unique(group, return_inverse=True)[1]
     left, right = np.flatnonzero(own == ci), np.flatnonzero(own == cj)
-    for i in range(0, len(left), 64):
-        a = left[i : i + 64]
-        near = (sk[a][:, None, :] == sk[right][None, :, :]).mean(2) >= least
-        near &= g[a][:, None] != g[right][None, :]
-        if ci == cj:
-            near &= node[a][:, None] > node[right][None, :]
-        x, y = np.nonzero(near)
-        x, y = a[x], right[y]
-        same = bands[x] == bands[y]
-        first = bands[x, same.argmax(1)] == key
-        u, v = node[x[first]], node[y[first]]
-        yield np.maximum(u, v), np.minimum(u, v)
-
-
-def across_groups(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, block: int = 1024, rows_per_task: int = 4096) -> DataFrame:
-    """u, v: candidate pairs of different groups in open buckets. members: key, node, g; open_: key, m (members).
-
-    A bucket is cut into blocks of about `block` members, and every two blocks meet in a cell of their own, so a crowded
-    bucket is spread over tasks; many small buckets share one. Inside a cell the long sketches are compared; pairs more
-    than 5.5 standard deviations under the threshold go, and of pairs in several buckets the first counts.
+    flat, holder = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), size[right])
+    out = []
+    for i in range(0, len(left), strip):
+        a = left[i : i + strip]
+        if (root[right] == root[a[0]]).all() and (root[a] == root[a[0]]).all():
+            continue
+        words = np.unique(np.concatenate([sets[x] for x in a]))
+        has = np.zeros((len(words), len(a)), np.uint8)
+        for j, x in enumerate(a):
+            has[np.searchsorted(words, sets[x]), j] = 1
+        at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
+        hit = np.flatnonzero(words[at] == flat)
+        common = np.zeros((len(right), len(a)), np.int64)
+        if len(hit):
+            first = np.flatnonzero(np.concatenate([[True], np.diff(holder[hit]) > 0]))
+            common[holder[hit][first]] = np.add.reduceat(has[at[hit]], first, axis=0, dtype=np.int32)
+        near = common * 100 >= (size[right][:, None] + size[a][None, :] - common) * percent
+        near &= root[right][:, None] != root[a][None, :]
+        for y, x in zip(*np.nonzero(near)):
+            p, q = right[y], a[x]
+            if root[p] != root[q]:
+                out.append((int(node[p]), int(node[q])))
+                root[root == root[p]] = root[q]
+    return out
+
+
+def across_groups(members: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, block: int = 1024, weight: int = 1_000_000, rows_per_task: int = 4096) -> DataFrame:
+    """u, v: links between different groups in open buckets. members: key, node, g; open_: key.
+
+    A bucket is cut into blocks of about `block` members and `weight` shingles, and every two blocks meet in a cell of
+    their own, so a crowded bucket is spread over tasks; many small buckets share one. Cells compare full sets and give
+    links that join groups, never pairs.
     """
-    p = percent / 100
-    least = p - 5.5 * (p * (1 - p) / LONG) ** 0.5
-    n = F.ceil(F.col("m") / block).cast("int")
-    rows = hot_join(members, open_.select("key", n.alias("nb")), ["key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "node", "g", "own", F.least("own", "j").alias("ci"), F.greatest("own", "j").alias("cj"))
-    rows = materialise(hot_join(rows, sets.select("node", "bands", "sk"), ["node"]))
-    tasks = max(1, -(-rows.count() // rows_per_task))
+    rows = hot_join(hot_join(members, open_.select("key"), ["key"]), sets, ["node"])
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / weight)).cast("int")
+    rows = hot_join(rows, rows.groupBy("key").agg(blocks.alias("nb")), ["key"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "node", "g", "n", "s", "own", F.least("own", "j").alias("ci"), F.greatest("own", "j").alias("cj"))
+    rows = materialise(rows)
+    count, total = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tasks = max(1, -(-count // rows_per_task), -(-total // (4 * weight)))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [x for (key, _, _), cell in pdf.groupby(["key", "ci", "cj"]) for x in _cell_pairs(key, cell, least)]
-        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        return pd.DataFrame({"u": u, "v": v})
+        found = []
+        for (_, ci, cj), cell in pdf.groupby(["key", "ci", "cj"]):
+            if ((cell.own == ci).any()) and ((cell.own == cj).any()):
+                found += cell_links(cell.node.to_numpy(), cell.g.to_numpy(), [np.asarray(x) for x in cell.s], cell.own.to_numpy(), ci, cj, percent)
+        u, v = zip(*found) if found else ((), ())
+        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
 
     return rows.groupBy(F.pmod(F.xxhash64("key", "ci", "cj"), F.lit(tasks)).alias("t")).applyInPandas(lambda pdf: compare(pdf), "u long, v long")
 
@@ -194,22 +210,21 @@ def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> Dat
         group = F.col("node") if roots is None else F.coalesce("root", "node")
         members = (buckets if roots is None else hot_join(buckets, roots, ["node"], "left")).select("key", "node", group.alias("g"))
         order = F.struct((F.col("node") if r == 0 else F.xxhash64(F.lit(r), "node")).alias("h"), F.col("node").alias("node"), F.col("g").alias("g"))
-        open_ = members.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min(order).alias("p"), F.count("*").alias("m")).where("g0 < g1")
-        open_ = open_.select("key", "m", F.col("p.node").alias("pivot"), F.col("p.g").alias("pg"))
-        if r < pivot_rounds:
-            pairs = hot_join(members, open_.drop("m"), ["key"]).where("g != pg").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v"))
+        open_ = members.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min(order).alias("p")).where("g0 < g1")
+        open_ = open_.select("key", F.col("p.node").alias("pivot"), F.col("p.g").alias("pg"))
+        if r == pivot_rounds:
+            found = materialise(across_groups(members, open_, sets, percent).distinct())
         else:
-            pairs = across_groups(members, open_, sets, percent)
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            if open_.isEmpty():
-                break
-            continue  # what is left of open buckets is compared across groups in the last round
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialise(confirmed(pairs, sets, percent))
+            pairs = hot_join(members, open_, ["key"]).where("g != pg").select(F.greatest("node", "pivot").alias("u"), F.least("node", "pivot").alias("v")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["u", "v"], "left_anti")
+            pairs = materialise(pairs)
+            if pairs.isEmpty():
+                if open_.isEmpty():
+                    break
+                continue  # what is left of open buckets is compared across groups in the last round
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            found = materialise(confirmed(pairs, sets, percent))
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = stars(links)
@@ -232,12 +247,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     Documents are linked where 100 * intersection >= percent * union of their shingle sets. Null, empty and blank texts
     have no shingles and stand alone; equal sets are linked; of documents whose ids repeat each row is returned, and
     their texts are linked by what they hold alone. component_id is the smallest doc_id of the group, null only where
-    all its ids are null. One row of each group is kept, with its repetitions of the same id and text. Empty tables give
-    no rows.
+    all its ids are null; kept says that it is the row's own id, and where all ids are null, that the row is the group's
+    first. Only doc_id and text are read. Empty tables give no rows.
     """
     out = components(keyed(docs), percent)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return out.select(real("did").alias("doc_id"), "n_shingles", F.when(F.col("rep").isNotNull(), real("rep.did")).otherwise(real("did")).alias("component_id"), _kept().alias("kept"))
+    out = out.select(real("did").alias("doc_id"), "n_shingles", F.when(F.col("rep").isNotNull(), real("rep.did")).otherwise(real("did")).alias("component_id"), _kept().alias("first"))
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.col("first"))
+    return out.select("doc_id", "n_shingles", "component_id", same.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

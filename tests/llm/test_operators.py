@@ -130,15 +130,58 @@ def test_near_duplicates(spark, odd, docs):
     assert minhash_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_crowded_buckets(spark):
-    """Blocks of a crowded bucket find what all pairs find."""
+def _family(rnd, members, base=300, changes=(5, 60)):
+    """Sets that share most of a base."""
+    own = rnd.integers(0, 2**62, base, dtype=np.int64)
+    return [np.unique(np.concatenate([own[: base - k], rnd.integers(0, 2**62, k, dtype=np.int64)])) for k in rnd.integers(*changes, members)]
+
+
+def test_sketches_estimate():
+    sets = [s.astype(np.uint64) for s in _family(np.random.default_rng(5), 120)]
+    sketch = minhash_dedup.sketches(sets)
+    gaps = [(sketch[a] == sketch[b]).mean() - len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(0, 120, 3) for b in range(a)]
+    assert abs(np.mean(gaps)) < 0.01 and np.max(np.abs(gaps)) < 0.25 and (sketch < np.uint64(2**63)).all()
+
+
+def _groups(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        root[max(find(u), find(v))] = min(find(u), find(v))
+    return {n: find(n) for n in nodes}
+
+
+@pytest.mark.parametrize("block", [1024, 40])
+def test_crowded_buckets(spark, block):
+    """Blocks of crowded buckets connect what all pairs connect, with fewer links than members; groups there before count."""
     rnd = np.random.default_rng(5)
-    base = rnd.integers(0, 2**62, 300, dtype=np.int64)
-    sets = [np.unique(np.concatenate([base[: 300 - k], rnd.integers(0, 2**62, k, dtype=np.int64)]).astype(np.uint64)) for k in rnd.integers(5, 60, 120)]
-    long = minhash_dedup.sketches(sets, minhash_dedup.LONG)
-    for a, b in [(0, 1), (2, 3), (4, 5), (6, 7)]:
-        true = len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
-        assert abs((long[a] == long[b]).mean() - true) < 0.1
+    sets = _family(rnd, 150) + _family(rnd, 60, changes=(1, 20)) + _family(rnd, 50, changes=(40, 45)) + [np.sort(rnd.integers(0, 2**62, 40, dtype=np.int64)) for _ in range(20)]
+    n = len(sets)
+    known = [(0, 7), (3, 160)]
+    groups = _groups(range(n), known)
+    members = [(1, i, groups[i]) for i in range(0, 240)] + [(2, i, groups[i]) for i in range(100, n)]
+    pairs = [(i, j) for i in range(n) for j in range(i) if (i < 240 or j >= 100) and (c := len(np.intersect1d(sets[i], sets[j]))) * 100 >= (len(sets[i]) + len(sets[j]) - c) * 85]
+    m, o = spark.createDataFrame(members, "key long, node long, g long"), spark.createDataFrame([(1,), (2,)], "key long")
+    s = spark.createDataFrame([(i, len(x), x.tolist()) for i, x in enumerate(sets)], "node long, n long, s array<long>")
+    found = [tuple(r) for r in minhash_dedup.across_groups(m, o, s, 85, block).collect()]
+    assert set(map(tuple, map(sorted, found))) <= set(map(tuple, map(sorted, pairs)))
+    assert _groups(range(n), known + found) == _groups(range(n), known + pairs)
+    assert block == 40 or len(found) < 2 * n
+
+
+def test_family_below_the_threshold():
+    """1,500 sets at Jaccard 0.80 of each other: nothing is linked and nothing is emitted; a link in it is found."""
+    rnd = np.random.default_rng(6)
+    sets = _family(rnd, 1500, changes=(33, 34))
+    sets[700] = np.unique(np.concatenate([sets[20][:-9], rnd.integers(0, 2**62, 9, dtype=np.int64)]))
+    node, own = np.arange(1500), np.arange(1500) % 2
+    links = [x for ci, cj in ((0, 0), (0, 1), (1, 1)) for x in minhash_dedup.cell_links(node, node, sets, own, ci, cj, 85)]
+    assert [set(x) for x in links] == [{20, 700}]
 
 
 def _repeated(texts):
