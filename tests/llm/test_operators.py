@@ -423,8 +423,10 @@ def test_every_template_is_tried(spark):
         w, found = text.split(), [(b, 1.0) for p, b in license_scan.BASE.items() if f" {p} " in f" {text} "]
         sure = bool(found)
         for (label, t, keys), parts in zip(license_scan.TEMPLATES, whole):
-            for at in range(-len(parts), len(w)):
-                here = [w[at + i] if 0 <= at + i < len(w) else "" for i in range(len(parts))]
+            padded = np.array([""] * len(parts) + w + [""] * len(parts))
+            laid = np.lib.stride_tricks.sliding_window_view(padded, len(parts))
+            for at in np.flatnonzero((laid == np.array(parts)).mean(1) >= 0.8):
+                here = laid[at].tolist()
                 score = sum(a == b for a, b in zip(here, parts)) / len(parts)
                 if score >= 0.8 and all(f" {x} " in f" {' '.join(here)} " for x in keys):
                     found.append((label, score))
@@ -433,5 +435,29 @@ def test_every_template_is_tried(spark):
     assert {r.doc_id: (r.labels, r.score) for r in got.collect()} == want
 
 
+def test_license_words(spark):
+    """Letters beyond A-Z never become listed words; every template can be told by a word."""
+    df = spark.createDataFrame([(1, "Creative Commons Attribution-ShareAlike 4.0 International License")], "doc_id long, text string")
+    wide = df.select("doc_id", F.replace("text", F.lit("k"), F.lit("\u212a")).alias("text"))
+    least = lambda x: [tuple(r) for r in license_scan.scan(x, least=0.2).select("n_words", "labels").collect()]
+    assert least(df) == [(8, "cc-by-sa-4.0")] and least(wide) == [(8, "")]
+    for c in map(chr, range(128, 0x11000)):
+        assert c == "\u212a" or not c.lower().isascii(), c
+    for _, text, keys in license_scan.TEMPLATES:
+        assert all(f" {text} ".count(f" {x} ") == 1 for x in keys) and set(" ".join(keys).split()) & set(license_scan.TELLING)
+
+
+def test_long_license_texts(spark):
+    """A text of 100,000 licence words takes seconds."""
+    import time
+
+    whole = license_scan.TEMPLATES[16][1]
+    rows = [(1, "permission " * 100_000), (2, " ".join([whole] * 600)), (3, "the mit license " * 33_000)]
+    start = time.time()
+    got = {r.doc_id: (r.n_words, r.labels, r.score) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: (100_000, "", 0.0), 2: (600 * len(whole.split()), "mit", 1.0), 3: (99_000, "mit", 1.0)}
+    assert time.time() - start < 60
+
+
 def test_registered():
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
