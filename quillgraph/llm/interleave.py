@@ -2,8 +2,9 @@
 
 Rows of a source are shuffled by a seeded hash and ranked; row r of n gets the fractional rank (r + 1/2) / n. Sorting
 all rows by that fraction interleaves the sources in proportion, and equal cuts of the sorted table are the shards.
-Both ranks are found without a global sort: rows are dealt into even ranges of their sort value, each range is ranked
-by itself, and the counts of the ranges before it are added.
+Both ranks are found by ranges: rows are dealt into ranges of their sort value, each range is ranked by itself, and the
+counts of the ranges before it are added. The first goes by even ranges of the hash within each source, the second by
+sampled ranges of the whole order, so neither one large source nor very many tiny ones end up in one task.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import numbered
+
 
 def _ranges(n: int, rows_per_range: int) -> int:
     return max(1, min(65536, -(-n // rows_per_range)))
@@ -31,24 +34,18 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_range
 
     Null or missing sources are one stratum of their own; null text has size 8 and the crc of the empty text; repeated
     rows each get their own slot, and ties in the shuffle go by doc_id, size and checksum. Only keys and sizes are
-    shuffled, never texts. An empty table gives no rows; with fewer rows than shards, some shards stay empty.
+    shuffled, never texts; other columns are not read. An empty table gives no rows; with fewer rows than shards, some
+    shards stay empty. The shuffle goes by the md5 of seed, doc_id, size and checksum.
     """
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    rows = rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size", "text_crc32"))
+    rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary")))
     n = docs.count()
     b = _ranges(n, rows_per_range)
-    unit = (F.col("h").cast("double") + 2.0**63) / 2.0**64  # in [0, 1]: an even spread by the hash
+    unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32  # in [0, 1): an even spread by the hash
     ties = ["h", "doc_id", "size", "text_crc32"]
-    ranked = _global_rank(rows, ["source"], F.least(F.floor(unit * b), F.lit(b - 1)), ties, "_of", "_rank")
-    ranked = ranked.withColumn("f", (F.col("_rank") + 0.5) / F.col("_of")).withColumn("_all", F.floor(F.col("f") * 64))
-    # the counts of the second ranking are summed in 64 coarse groups, then over the groups
-    fine = F.least(F.floor(F.col("f") * b), F.lit(b - 1))
-    ranked = _global_rank(ranked, ["_all"], fine, ["f", "source", *ties], "_in", "_pos")
-    heads = ranked.groupBy("_all").agg(F.count("*").alias("_c"))
-    prior = Window.orderBy("_all").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows
-    heads = heads.select("_all", F.coalesce(F.sum("_c").over(prior), F.lit(0)).alias("_start"))
-    placed = ranked.join(F.broadcast(heads), "_all").withColumn("pos", F.col("_pos") + F.col("_start"))
-    placed = placed.withColumn("shard", F.expr(f"int(pos * {shards} div {max(n, 1)})"))
+    ranked = _global_rank(rows, ["source"], F.floor(unit * b), ties, "_of", "_rank")
+    ranked = ranked.select("doc_id", "size", "text_crc32", "source", "h", ((F.col("_rank") + 0.5) / F.col("_of")).alias("f"))
+    placed = numbered(ranked, ["f", "source", *ties]).withColumn("shard", F.expr(f"int(pos * {shards} div {max(n, 1)})"))
     start = F.expr(f"(shard * {n}L + {shards} - 1) div {shards}")
     return placed.select("doc_id", "size", "text_crc32", "source", "shard", (F.col("pos") - start).alias("slot"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_codec, html_extract, interleave, langid, license_scan, media_chunks, minhash_dedup, packing, suffix_dedup, topk_search
+from .oracle import ORACLE_SQL
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,20 +54,8 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_media_chunks, op3_interleave, op4_byte_cnn, op5_fast_similarity, op6_prefix_free, op7_bpe_transducer, op8_best_fit, op9_page_difference, op10_license_index)}
+__all__ = ["ORACLE_SQL", "queries"]
 
 
-#: DuckDB SQL where it can say the same: op1 whole; the rest is tested against brute force, round trips or held-out rows.
-ORACLE_SQL = {
-    "op1_exact_topk": """
-        with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
-            where embedding is not null and len(embedding) > 0 and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-        ), s as (
-            select q.vec_id as query_id, c.vec_id, list_inner_product(q.v::double[], c.v::double[])::bigint as score
-            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
-        ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
-        select query_id, rank::integer as rank, vec_id, score from r where rank <= 5
-    """,
-}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (op1_exact_topk, op2_media_chunks, op3_interleave, op4_byte_cnn, op5_fast_similarity, op6_prefix_free, op7_bpe_transducer, op8_best_fit, op9_page_difference, op10_license_index)}
