@@ -1,9 +1,10 @@
 """Exact top-k inner-product search with multi-resolution segment statistics.
 
-A vector is cut into 1, 4, then 16 segments; of each the mean and the standard deviation are kept. For segments of
+A vector is cut into 1, 4, 16, then 32 segments; of each the mean and the standard deviation are kept. For segments of
 length l the squared distance of q and x is at least the sum of l * ((mean_q - mean_x)^2 + (dev_q - dev_x)^2), and the
 inner product is (|q|^2 + |x|^2 - distance^2) / 2. So each resolution bounds every score from above; a candidate whose
 bound is below the query's k-th exact score so far is out, and only survivors of the finest resolution are computed.
+A first pass over a few thousand vectors gives every query a score to start from, which all tasks share.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RESOLUTIONS = (1, 4, 16)
+RESOLUTIONS = (1, 4, 16, 32)
 
 
 def integer_vectors(df: DataFrame, vec: str = "embedding", scale: int = 256) -> DataFrame:
@@ -34,8 +35,10 @@ def _segments(m: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return mean, dev, np.diff(cuts).astype(float)
 
 
-def score_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best (query, candidate, score) of a block of queries against a block of candidates, ties to smaller ids."""
+def score_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """The k best (query, candidate, score) of a block of queries against a block of candidates, ties to smaller ids, and
+    how many candidates were left to compute. Scores under a query's floor are not wanted.
+    """
     wide = max(q.shape[1], x.shape[1])
     q, x = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (q, x))
     order = np.argsort(xid, kind="stable")
@@ -54,21 +57,28 @@ def score_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray,
     root = np.sqrt(size)
     qs, xs = np.hstack([qm * root, qd * root]), np.hstack([xm * root, xd * root])
     coarse = qs @ xs.T  # (norms - lower distance) / 2 without its constant part, which cancels
-    out = []
+    out, left = [], 0
     for i in range(len(qid)):
         keep = np.flatnonzero(xid != qid[i])
         if not len(keep):
             continue
+        floor = -np.inf if floors is None else floors[i]
         bound = coarse[i, keep] + 1e-9 * (1 + norms[i, keep])
-        first = keep[np.argpartition(-bound, min(4 * k, len(keep)) - 1)[: 4 * k]]
-        exact = x[first] @ q[i]
-        floor = np.sort(exact)[-k] if len(exact) >= k else -np.inf
-        keep = keep[bound >= floor]
-        for level in range(1, len(RESOLUTIONS)):
-            keep = keep[upper(level, i, keep) >= floor]
+        for level in range(len(RESOLUTIONS)):
+            if level:
+                bound = upper(level, i, keep)
+            # the most promising at this resolution are computed, which raises the floor
+            first = keep[np.argpartition(-bound, min(2 * k, len(keep)) - 1)[: 2 * k]]
+            exact = x[first] @ q[i]
+            if len(exact) >= k:
+                floor = max(floor, np.sort(exact)[-k])
+            keep = keep[bound >= floor]
+            if not len(keep):
+                break
+        left += len(keep)
         score = x[keep] @ q[i]
         out += [(int(qid[i]), int(xid[j]), int(s)) for j, s in ((keep[t], score[t]) for t in np.lexsort((xid[keep], -score))[:k])]
-    return out
+    return out, left
 
 
 def _pack(batches: Iterator[pd.DataFrame], rows: int, groups: int) -> Iterator[pd.DataFrame]:
@@ -80,31 +90,53 @@ def _pack(batches: Iterator[pd.DataFrame], rows: int, groups: int) -> Iterator[p
             for r, v in enumerate(part.v):
                 m[r, : len(v)] = v
             ids = part.vec_id.to_numpy(np.int64)
-            yield pd.DataFrame({"g": [int(np.bitwise_xor.reduce(ids) * 2654435761 % 2**31 % groups)], "ids": [ids.tobytes()], "m": [m.tobytes()]})
-
+            floors = part.floor.fillna(-np.inf).to_numpy(float) if "floor" in part else np.zeros(0)
+            yield pd.DataFrame({"g": [int(np.bitwise_xor.reduce(ids) * 2654435761 % 2**31 % groups)], "ids": [ids.tobytes()], "m": [m.tobytes()], "floors": [floors.tobytes()]})
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 256, groups: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest scores of each query among all vectors but its own.
 
-    Both inputs are (vec_id long, v array<long>) as integer_vectors makes them. Blocks of candidates stay where they
-    were read; blocks of queries, a few hundred rows each, are sent once to each of `groups` groups of candidate
-    blocks, so neither side is broadcast or crossed row by row. Rows that share the query's vec_id count as its own.
-    Vectors of other lengths are padded with zeros. Repeated candidates each keep their row; repeated queries count
-    once. Empty inputs give no rows.
-    """
-    layout = "g int, ids binary, m binary"
-    x = vectors.mapInPandas(lambda it: _pack(it, block_rows, groups), layout)
-    q = queries.dropDuplicates(["vec_id", "v"]).mapInPandas(lambda it: _pack(it, query_rows, 1), layout)
-    q = q.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.col("ids").alias("qids"), F.col("m").alias("qm"))
+def _hits(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int, query_rows: int, groups: tuple[int, int]) -> DataFrame:
+    """query_id, vec_id, score: of each query the k best of every block, if they reach its floor (column of queries)."""
+    layout = "g int, ids binary, m binary, floors binary"
+    gx, gq = groups
+    x = vectors.select("vec_id", "v").mapInPandas(lambda it: _pack(it, block_rows, gx), layout)
+    q = queries.select("vec_id", "v", "floor").mapInPandas(lambda it: _pack(it, query_rows, gq), layout)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    x = x.select(F.col("g").alias("gx"), every(gq).alias("gq"), F.col("ids").alias("xids"), F.col("m").alias("xm"))
+    q = q.select(every(gx).alias("gx"), F.col("g").alias("gq"), F.col("ids").alias("qids"), F.col("m").alias("qm"), "floors")
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows: list[tuple[int, int, int]] = []
             for r in b.itertuples():
-                qid, xid = np.frombuffer(r.qids, np.int64), np.frombuffer(r.ids, np.int64)
-                rows += score_block(qid, np.frombuffer(r.qm, np.int64).reshape(len(qid), -1), xid, np.frombuffer(r.m, np.int64).reshape(len(xid), -1), k)
+                qid, xid = np.frombuffer(r.qids, np.int64), np.frombuffer(r.xids, np.int64)
+                rows += score_block(qid, np.frombuffer(r.qm, np.int64).reshape(len(qid), -1), xid, np.frombuffer(r.xm, np.int64).reshape(len(xid), -1), k, np.frombuffer(r.floors))[0]
             yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    hits = x.join(q, "g").mapInPandas(scored, "query_id long, vec_id long, score long")
+    return x.join(q, ["gx", "gq"]).mapInPandas(scored, "query_id long, vec_id long, score long")
+
+
+def _grid(vectors: int, queries: int, side: int = 65536, least: int = 64) -> tuple[int, int]:
+    """Groups of candidates and of queries: about `side` of each meet in a task; on small tables up to `least` tasks."""
+    return max(-(-vectors // side), min(least, -(-vectors // 512))), max(1, -(-queries // side))
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4096, query_rows: int = 256, first: int = 4096) -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest scores of each query among all vectors but its own.
+
+    Both inputs are (vec_id long, v array<long>) as integer_vectors makes them. Candidates and queries are packed into
+    blocks and dealt over a grid of groups, whose size follows both counts; neither side is broadcast or crossed row by
+    row. About `first` vectors by hash are searched before, and the k-th score there is the query's floor everywhere.
+    Rows that share the query's vec_id count as its own. Vectors of other lengths are padded with zeros. Repeated
+    candidates each keep their row; repeated queries count once. Empty inputs give no rows.
+    """
+    n, m = vectors.count(), queries.count()
+    queries = queries.dropDuplicates(["vec_id", "v"]).withColumn("floor", F.lit(None).cast("double"))
+    share = n // max(1, first)
+    if share > 1:
+        few = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0)
+        found = _hits(queries, few, k, block_rows, query_rows, _grid(first, m)).groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s"))
+        floors = found.select(F.col("query_id").alias("vec_id"), F.get("s", F.lit(k - 1)).cast("double").alias("floor"))
+        queries = queries.drop("floor").join(floors, "vec_id", "left")
+    hits = _hits(queries, vectors, k, block_rows, query_rows, _grid(n, m))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

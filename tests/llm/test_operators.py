@@ -42,11 +42,23 @@ def test_top_k(spark):
     v = topk_search.integer_vectors(e.unionByName(extra))
     x = [(r.vec_id, np.array(r.v)) for r in v.collect()]
     want = {(i, k + 1, j, s) for i, q in x if i % 50 == 0 for k, (s, j) in enumerate(sorted(((-int(q @ c), j) for j, c in x if j != i))[:5]) for s in [-s]}
-    got = topk_search.top_k(v.where("vec_id % 50 = 0"), v, 5, block_rows=97, query_rows=3, groups=5)
+    got = topk_search.top_k(v.where("vec_id % 50 = 0"), v, 5, block_rows=97, query_rows=3, first=60)
     assert {tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()} == want
     assert topk_search.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_prunes():
+    """Bounds leave out most of what cannot be among the best, and floors and blocks change no result."""
+    rnd = np.random.default_rng(8)
+    x = np.floor(256 * np.repeat(rnd.normal(size=(40, 64)), 50, 0) + 40 * rnd.normal(size=(2000, 64))).astype(np.int64)
+    ids = np.arange(2000)
+    want = {(i, j, int(x[i] @ x[j])) for i in range(20) for j in sorted((j for j in range(2000) if j != i), key=lambda j: (-(x[i] @ x[j]), j))[:5]}
+    got, left = topk_search.score_block(ids[:20], x[:20], ids, x, 5)
+    assert set(got) == want and left < 20 * 200
+    floors = np.array([sorted(x[i] @ x[j] for j in range(0, 2000, 3) if j != i)[-5] for i in range(20)], float)
+    assert set(topk_search.score_block(ids[:20], x[:20], ids, x, 5, floors)[0]) == want
+
+
 def test_media(odd, docs):
     for df in (odd, docs):
         got = media_chunks.media_column(df).collect()
@@ -267,6 +279,13 @@ def test_bpe(odd, docs):
         assert Counter(tuple(r) for r in bpe_codec.encode_documents(df, BYTE, 500).collect()) == want
 
 
+def test_frequent_words(spark):
+    counts = spark.createDataFrame([(f"w{i}", 2 + i // 3) for i in range(300)], "word string, n long")
+    for most in (0, 2, 50, 299, 300, 5000):
+        words = {int(r.word[1:]) for r in bpe_codec.frequent_words(counts, most).collect()}
+        assert len(words) <= most and words == set(range(300 - len(words), 300)) and (most < 50 or len(words) > most * 0.8 or len(words) == 300)
+
+
 def test_bpe_random_texts():
     t, v = Tokenizer.from_file(BYTE), bpe_codec.Vocabulary(BYTE)
     words = [b" the", b"the", b"s", b" thing", b"hing", b"ing", b"a", "é".encode()]
