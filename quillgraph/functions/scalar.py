@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def stable_id(kind: str | Column, key: str | Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", kind, F.col(key) if isinstance(key, str) else key).cast("binary")), 1, 12), 16, 10).cast("bigint") + FIRST_ID
 
 
+def stable_id_of(kind: str, key: str) -> int:
+    """stable_id of a known key, so that a look-up is a filter with a constant."""
+    return int(hashlib.md5(f"{kind}:{key}".encode()).hexdigest()[:12], 16) + FIRST_ID
+
+
 def title_case(c: str) -> Column:
     """Words between underscores and white space with their first letter in upper case; the rest stays as it is."""
     words = F.filter(F.split(c, r"[_\s]+"), lambda w: w != "")
@@ -75,7 +82,7 @@ def address(c: str) -> Column:
 
 def recipients(c: str) -> Column:
     """Parts between commas that are not inside angle brackets, trimmed."""
-    return F.filter(F.transform(F.split(c, r",(?![^<]*>)"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r",(?![^<]*>)"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def mentions(c: str) -> Column:
@@ -97,6 +104,24 @@ def display_time(c: str) -> Column:
     return F.coalesce(F.date_format(F.try_to_timestamp(F.col(c)), "d MMM yyyy, HH:mm"), F.col(c))
 
 
+def percent(c: str | Column) -> Column:
+    """A share as a whole percentage; null is `n/a`."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.concat(F.round(c * 100).cast("bigint").cast("string"), F.lit("%")), F.lit("n/a"))
+
+
+def mention_at(text: str | Column, cursor: str | Column) -> Column:
+    """struct<start, query> of the mention being typed before the cursor (a number of characters); null if there is none.
+
+    An open bracket `@[words` counts first; else the word after the last `@`, if white space or nothing stands before it.
+    """
+    text, cursor = (F.col(x) if isinstance(x, str) else x for x in (text, cursor))
+    before = F.substring(text, F.lit(1), cursor)
+    bracket, bare = r"(?s)^(.*)@\[([^\]]*)$", r"(?s)^(|.*\s)@((?!\[)[^\s@]*)$"
+    found = lambda p: F.struct(F.length(F.regexp_extract(before, p, 1)).alias("start"), F.regexp_extract(before, p, 2).alias("query"))
+    return F.when(before.rlike(bracket), found(bracket)).when(before.rlike(bare), found(bare))
+
+
 def display_type(c: str) -> Column:
     return F.lower(F.replace(F.col(c), F.lit("_"), F.lit(" ")))
 
@@ -105,9 +130,15 @@ def short_title(c: str, most: int = 42) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(F.col(c))
 
 
+#: Words of a name that may be in lower case, unless they come first.
+PARTICLES = ("de", "del", "der", "den", "van", "von", "la", "le", "du", "da", "dos", "bin", "al")
+
+
 def looks_like_name(c: str | Column) -> Column:
-    """One to four words, each capitalised, or a lower-case particle that is not the first."""
-    return F.coalesce((F.col(c) if isinstance(c, str) else c).rlike(r"^\p{Lu}[\p{L}'’.-]*( (\p{Lu}[\p{L}'’.-]*|de|del|der|di|da|la|le|van|von|den|bin|al)){0,3}$"), F.lit(False))
+    """One to four words between any white space, each capitalised, or a particle in any case that is not the first."""
+    c = F.col(c) if isinstance(c, str) else c
+    word = r"\p{Lu}[\p{L}'’.-]*"
+    return F.coalesce(c.rlike(rf"^\s*{word}(\s+({word}|(?i:{'|'.join(PARTICLES)}))){{0,3}}\s*$"), F.lit(False))
 
 
 def token_overlap(a: str, b: str) -> Column:

@@ -1,7 +1,8 @@
 """A property graph as two DataFrames, and its lookups.
 
 nodes: id, label, primary_text, properties (map of strings). edges: id, rel_type, src, src_label, dst, dst_label,
-properties. Stored partitioned by label and rel_type, so that those filters prune files.
+properties. Stored partitioned by label and rel_type, so that those filters prune files; and edges once more as seen
+from both ends, sorted by the end that looks, so that a small frontier reads a few row groups only.
 """
 
 from __future__ import annotations
@@ -23,15 +24,23 @@ EDGE = "id bigint, rel_type string, src bigint, src_label string, dst bigint, ds
 class Graph:
     nodes: DataFrame
     edges: DataFrame
+    ends: DataFrame | None = None  # edges seen from both ends, as stored
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Graph:
-        return cls(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
+        return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges", "ends")))
 
     def save(self, path: str) -> None:
-        """Nodes partitioned by label and sorted by id, edges partitioned by type and sorted by source."""
+        """Nodes partitioned by label and sorted by id; edges by type and source; their two views by type and own end."""
         self.nodes.repartitionByRange("label", "id").sortWithinPartitions("label", "id").write.partitionBy("label").parquet(f"{path}/nodes")
         self.edges.repartitionByRange("rel_type", "src", "id").sortWithinPartitions("rel_type", "src").write.partitionBy("rel_type").parquet(f"{path}/edges")
+        ends = self._ends(self.edges).repartitionByRange("rel_type", "at", "id").sortWithinPartitions("rel_type", "at")
+        ends.write.partitionBy("rel_type").option("parquet.block.size", 8 << 20).parquet(f"{path}/ends")
+
+    def only(self, rel_types: Sequence[str]) -> Graph:
+        """The graph with edges of these types; a stored one reads their files only."""
+        mine = F.col("rel_type").isin(list(rel_types))
+        return Graph(self.nodes, self.edges.where(mine), None if self.ends is None else self.ends.where(mine))
 
     # lookups
 
@@ -66,15 +75,44 @@ class Graph:
     def rel_type_counts(self) -> DataFrame:
         return self.edges.where(F.col("rel_type").isNotNull()).groupBy("rel_type").agg(F.count("*").alias("n"))
 
+    @staticmethod
+    def _ends(e: DataFrame) -> DataFrame:
+        rest = ["id", "rel_type", "src", "dst", "properties"]
+        out = e.select(F.col("src").alias("at"), F.col("src_label").alias("at_label"), F.col("dst").alias("to"), F.col("dst_label").alias("to_label"), *rest, F.lit(True).alias("out"))
+        back = e.select(F.col("dst").alias("at"), F.col("dst_label").alias("at_label"), F.col("src").alias("to"), F.col("src_label").alias("to_label"), *rest, F.lit(False).alias("out"))
+        return out.unionByName(back)
+
     def adjacency(self, rel_types: Sequence[str] | None = None, direction: str = "both") -> DataFrame:
         """at, at_label, to, to_label, and the edge with its true orientation, seen from its source, target or both."""
-        e = self.edges if rel_types is None else self.edges.where(F.col("rel_type").isin(list(rel_types)))
-        rest = ["id", "rel_type", "src", "dst", "properties"]
-        out = e.select(F.col("src").alias("at"), F.col("src_label").alias("at_label"), F.col("dst").alias("to"), F.col("dst_label").alias("to_label"), *rest)
-        back = e.select(F.col("dst").alias("at"), F.col("dst_label").alias("at_label"), F.col("src").alias("to"), F.col("src_label").alias("to_label"), *rest)
         if direction not in ("outgoing", "incoming", "both"):
             raise ValueError(f"unknown direction: {direction!r}")
-        return {"outgoing": out, "incoming": back}.get(direction) or out.unionByName(back)
+        e = self._ends(self.edges) if self.ends is None else self.ends
+        e = e if rel_types is None else e.where(F.col("rel_type").isin(list(rel_types)))
+        e = e if direction == "both" else e.where(F.col("out") == (direction == "outgoing"))
+        return e.select("at", "at_label", "to", "to_label", "id", "rel_type", "src", "dst", "properties")
+
+
+def few_ids(ids: DataFrame, most: int = 1000) -> list[int] | None:
+    """The distinct ids (column id), if there are no more than `most` of them."""
+    found = [r["id"] for r in ids.select("id").where("id is not null").distinct().limit(most + 1).collect()]
+    return found if len(found) <= most else None
+
+
+def at_ids(adjacency: DataFrame, ids: DataFrame, most: int = 1000) -> DataFrame:
+    """Rows of an adjacency at a table of ids: up to `most` ids go into the scan as a filter, which prunes; more are joined."""
+    few = few_ids(ids, most)
+    if few is not None:
+        return adjacency.where(F.col("at").isin(few) if few else F.lit(False))
+    return adjacency.join(ids.select(F.col("id").alias("at")).distinct(), "at", "left_semi")
+
+
+def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """rows with column pos, their place in the whole order: ranges are numbered by themselves, then shifted."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumns({"_part": F.spark_partition_id(), "_idx": F.monotonically_increasing_id() % F.lit(2**33)}))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = dealt.groupBy("_part").count().select("_part", before.alias("_start"))  # a row for each partition
+    return dealt.join(F.broadcast(heads), "_part").withColumn("pos", F.col("_start") + F.col("_idx")).drop("_start", "_idx", "_part")
 
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column | str, most: int = 1) -> DataFrame:
@@ -83,9 +121,16 @@ def first_per(df: DataFrame, keys: Sequence[str], *order: Column | str, most: in
     return df.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a checkpoint in the shared folder the cluster names; a local one only where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it; a local one only where none is named, as in tests."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-"))
+        sc.setCheckpointDir(root)
+    return root
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine
-from ..graph import Graph
+from ..graph import Graph, numbered
 from .references import hubs, in_degrees
 
 
@@ -24,6 +26,28 @@ def audit_references(graph: Graph, rel_type: str, over: int = 200) -> DataFrame:
     return d.agg(F.count("*").alias("targets"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"), F.round(F.sum("n") / F.greatest(F.count("*"), F.lit(1)), 2).alias("mean"), F.count_if("hub").alias("hubs"), F.round(F.sum(F.when(F.col("hub"), F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("hub_share"))
 
 
+def label_histogram(vectors: DataFrame) -> DataFrame:
+    """label, n of a vector table, the most frequent first."""
+    return vectors.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label")
+
+
+def page(rows: DataFrame, order: Sequence[str], skip: int, limit: int) -> DataFrame:
+    """`limit` rows after the first `skip` in a stated order."""
+    return rows.orderBy(*order).offset(max(0, skip)).limit(max(0, limit))
+
+
+def middle_samples(nodes: DataFrame, bodies: DataFrame, most: int = 3) -> DataFrame:
+    """id, label, has_body: of each label `most` nodes from the middle of its ids, so that a load which only reached its
+    first part shows; labels with few nodes give their first.
+    """
+    totals = nodes.groupBy("label").agg(F.count("*").alias("total"))
+    placed = numbered(nodes.select("label", "id"), ["label", "id"])
+    first = placed.groupBy("label").agg(F.min("pos").alias("start"))
+    skip = F.when(F.col("total") > most, F.floor(F.col("total") / 2)).otherwise(0)
+    at = placed.join(F.broadcast(totals.join(first, "label")), "label").where((F.col("pos") - F.col("start") >= skip) & (F.col("pos") - F.col("start") < skip + most))  # a row for each label
+    return at.select("id", "label").join(bodies.where("text <> ''").select("id", F.lit(True).alias("has")).distinct(), "id", "left").select("id", "label", F.coalesce("has", F.lit(False)).alias("has_body"))
+
+
 def verify_vectors(vectors: DataFrame, queue: DataFrame) -> DataFrame:
     """present, total, missing of queued ids, and how many vectors do not match themselves."""
     has = queue.select("id").distinct().join(vectors.select("id", F.lit(1).alias("has")).distinct(), "id", "left")
@@ -31,4 +55,4 @@ def verify_vectors(vectors: DataFrame, queue: DataFrame) -> DataFrame:
     return has.agg(F.count("has").alias("present"), F.count("*").alias("total"), (F.count("*") - F.count("has")).alias("missing")).join(F.broadcast(bad))
 
 
-__all__ = ["audit_references", "hubs", "verify_graph", "verify_vectors"]
+__all__ = ["audit_references", "hubs", "label_histogram", "middle_samples", "page", "verify_graph", "verify_vectors"]

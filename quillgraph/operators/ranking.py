@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import cosine, norm, token_overlap
 from ..graph import first_per
+from .evidence import subtitle
 
 
 def with_norm(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
@@ -18,7 +19,7 @@ def with_norm(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
 def search(vectors: DataFrame, query: Sequence[float], k: int = 10, labels: Sequence | None = None, vec: str = "embedding") -> DataFrame:
     """The vectors with a score, the k highest, ties by id. Labels filter before scoring; an empty list matches nothing.
 
-    A zero query has no matches; a zero vector scores 0.
+    A zero query has no matches; a zero vector scores 0. The order goes by full scores; they are rounded after it.
     """
     if k < 1 or not any(query):
         return vectors.withColumn("score", F.lit(0.0)).limit(0)
@@ -26,7 +27,8 @@ def search(vectors: DataFrame, query: Sequence[float], k: int = 10, labels: Sequ
     length = sum(float(x) ** 2 for x in query) ** 0.5
     found = vectors if labels is None else vectors.where(F.col("label").isin(list(labels)))
     na = F.col("norm") if "norm" in vectors.columns else None
-    return found.withColumn("score", F.round(cosine(F.col(vec), q, na, F.lit(length)), 6)).orderBy(F.desc("score"), "id").limit(k)
+    best = found.withColumn("score", cosine(F.col(vec), q, na, F.lit(length))).orderBy(F.desc("score"), "id").limit(k)
+    return best.withColumn("score", F.round("score", 6))
 
 
 def above(matches: DataFrame, least: float) -> DataFrame:
@@ -72,16 +74,59 @@ def neighbour_summary(hops: DataFrame, most_edges: int = 12, most_names: int = 6
     return named.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ", ").alias("summary"))
 
 
-def confident(ranked: DataFrame, least: float = 0.02, most: int = 5, drop_under: float = 0.08) -> DataFrame:
+def confident(ranked: DataFrame, least: float = 0.02, most: int = 5, drop_under: float = 0.08, overrides: DataFrame | None = None) -> DataFrame:
     """mention, id, confidence, rank, resolved, ambiguous: what remains of each mention's ranked candidates.
 
-    The first always stays, others from `least` on, `most` in all; a mention whose best is under `drop_under` goes.
+    The first always stays, others from `least` on, `most` in all; a mention whose best is under `drop_under` goes,
+    overridden or not. overrides: mention, id of choices that count instead of the first (an id that did not remain
+    leaves no row resolved).
     """
     w = Window.partitionBy("mention")
     r = ranked.withColumn("rank", F.row_number().over(w.orderBy(F.desc("confidence"), "ord", "id"))).withColumn("top", F.max("confidence").over(w))
     kept = r.where(((F.col("rank") == 1) | (F.col("confidence") >= least)) & (F.col("rank") <= most) & (F.col("top") >= drop_under))
     n = F.count("*").over(w)
-    return kept.select("mention", "id", "confidence", "rank", (F.col("rank") == 1).alias("resolved"), ((n > 1) & (F.col("top") < 0.85)).alias("ambiguous"))
+    kept = kept.select("mention", "id", "confidence", "rank", (F.col("rank") == 1).alias("resolved"), ((n > 1) & (F.col("top") < 0.85)).alias("ambiguous"))
+    if overrides is None:
+        return kept
+    chosen = overrides.groupBy("mention").agg(F.min("id").alias("_id"))
+    return kept.join(chosen, "mention", "left").withColumn("resolved", F.coalesce(F.col("id") == F.col("_id"), F.col("resolved"))).drop("_id")
+
+
+def mention_matches(vectors: DataFrame, nodes: DataFrame, text: str, query: Sequence[float], k: int = 8, least: float = 0.15) -> DataFrame:
+    """id, label, name, subtitle for completing a mention: the k nearest with a score of at least `least`; blank: none."""
+    found = above(search(vectors, query, k if text.strip() else 0), least).select("id", "score")
+    own = subtitle(names=("title", "name", "summary", "status"))
+    return hydrate(found, nodes).select("id", "label", F.col("primary_text").alias("name"), F.when(own != F.col("primary_text"), own).alias("subtitle"), "rank")
+
+
+def documents_of(matches: DataFrame, nodes: DataFrame) -> DataFrame:
+    """matches with the document id (dsid) of their nodes; a match without one stays, with null."""
+    ids = nodes.select("id", F.try_element_at("properties", F.lit("dsid")).alias("dsid"))
+    return matches.join(ids, "id", "left")
+
+
+def baseline(vectors: DataFrame, nodes: DataFrame, bodies: DataFrame, questions: DataFrame, labels: Sequence[str], k: int = 5, most_text: int = 4000, blocks: int = 64) -> DataFrame:
+    """question_id, document_ids, context: plain vector retrieval of the k nearest content nodes of each question.
+
+    questions: question_id, embedding. Each question meets the vectors block by block and keeps k of each, so the rows
+    between are k * blocks for a question. The context has a title and body of each, cut to `most_text` characters.
+    """
+    v = vectors.where(F.col("label").isin(list(labels))).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
+    q = questions.select("question_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"))
+    near = first_per(q.join(v, "b").select("question_id", "b", "id", cosine(F.col("embedding"), F.col("q")).alias("score")), ["question_id", "b"], F.desc("score"), "id", most=k)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
+    top = documents_of(near.withColumn("rank", rank).where(F.col("rank") <= k), nodes)
+    texts = nodes.select("id", "primary_text").join(bodies.select("id", F.col("text").alias("body")), "id", "left")
+    part = F.substring(F.concat_ws("\n", F.nullif("primary_text", F.lit("")), F.nullif("body", F.lit(""))), 1, most_text)
+    line = F.concat(F.lit("[Doc "), F.col("rank").cast("string"), F.lit("] "), F.coalesce(part, F.lit("")))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c])
+    top = top.join(texts, "id", "left").withColumn("line", line)
+    return top.groupBy("question_id").agg(F.array_compact(in_order("dsid")).alias("document_ids"), F.array_join(in_order("line"), "\n\n").alias("context"))
+
+
+def has_ids(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, has: whether each distinct id is in the vector table."""
+    return ids.select("id").distinct().join(vectors.select("id", F.lit(True).alias("has")).distinct(), "id", "left").select("id", F.coalesce("has", F.lit(False)).alias("has"))
 
 
 def fallback(pool: DataFrame, most: int = 5) -> DataFrame:

@@ -53,6 +53,12 @@ def email_messages(df: DataFrame) -> DataFrame:
     return parts.select("id", F.col("seq").cast("bigint").alias("seq"), field("From").alias("sender"), field("To").alias("to_"), field("Subject").alias("subject"), field("Date").alias("date"), body.alias("body"))
 
 
+def thread_counts(messages: DataFrame) -> DataFrame:
+    """id, messages, speakers, groups of each chat (id, seq, speaker): runs of one speaker are a group."""
+    runs = islands(messages, "id", "speaker", "seq")
+    return runs.groupBy("id").agg(F.count("*").alias("messages"), F.count_distinct("speaker").alias("speakers"), F.max("run").cast("bigint").alias("groups"))
+
+
 def content_kind(source: str, chats: str, mails: str) -> Column:
     """How a body is shown: as a thread or mails where its source is one and something was parsed, else as a document."""
     return F.when((F.col(source) == "slack") & (F.col(chats) > 0), "thread").when((F.col(source) == "gmail") & (F.col(mails) > 0), "mail").otherwise("document")

@@ -2,80 +2,115 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, cut, first_per
+from ..graph import Graph, at_ids, cut, few_ids, first_per
+from ..schema import GraphSchema
+
+
+#: Types that are walked whatever a question asks for.
+CONFLICT_TYPES = ("CONTRADICTS", "SUPERSEDES")
+
+
+def focus_types(focus: Sequence[str], schema: GraphSchema) -> list[str]:
+    """The types to walk: the asked ones and the schema's conflict types, each once; all of the schema's if none is asked."""
+    known = [t.name for t in schema.rel_types]
+    return list(dict.fromkeys([*focus, *(t for t in known if t in CONFLICT_TYPES)])) if focus else known
 
 
 def one_hop(graph: Graph, seeds: DataFrame, rel_type: str, direction: str = "outgoing") -> DataFrame:
     """seed, rel_type and the neighbour's columns for each edge of a type at a seed (column id)."""
-    hop = seeds.select(F.col("id").alias("seed")).join(graph.adjacency([rel_type], direction), F.col("seed") == F.col("at"))
+    hop = at_ids(graph.adjacency([rel_type], direction), seeds)
+    hop = seeds.select(F.col("id").alias("seed")).join(hop, F.col("seed") == F.col("at"))
     return hop.select("seed", "rel_type", F.col("id").alias("edge"), F.col("to").alias("id")).join(graph.nodes, "id")
 
 
 def expand(graph: Graph, seeds: DataFrame, rel_types: Sequence[str] | None = None, most: int = 200) -> DataFrame:
     """Edges at the seeds in either direction, at most `most` for each label of seeds, by edge id and seed."""
-    hop = seeds.select(F.col("id").alias("at")).join(graph.adjacency(rel_types), "at")
+    hop = seeds.select(F.col("id").alias("at")).join(at_ids(graph.adjacency(rel_types), seeds), "at")
     return first_per(hop, ["at_label"], "id", "at", "to", most=most)
 
 
-def paths(graph: Graph, seeds: DataFrame, rel_types: Sequence[str], direction: str = "outgoing", least: int = 1, most: int = 3) -> DataFrame:
-    """start, end, hops, nodes, edges of all paths of `least` to `most` hops whose edges are distinct."""
-    step = graph.adjacency(rel_types, direction).select("at", "to", F.col("id").alias("edge"))
+def path_steps(graph: Graph, seeds: DataFrame, rel_types: Sequence[str], direction: str = "outgoing", most: int = 3) -> Iterator[DataFrame]:
+    """start, end, hops, nodes, edges of the paths of one hop, then of two, and so on; their edges are distinct.
+
+    Each hop is written before it is given, so the next one reads the edges at its ends only.
+    """
+    adj = graph.adjacency(rel_types, direction)
     now = seeds.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("nodes"), F.array().cast("array<bigint>").alias("edges"))
-    found = None
     for hops in range(1, most + 1):
+        step = at_ids(adj, now.select(F.col("end").alias("id"))).select("at", "to", F.col("id").alias("edge"))
         now = now.join(step, F.col("end") == F.col("at")).where(~F.array_contains("edges", F.col("edge")))
-        now = now.select("start", F.col("to").alias("end"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"))
-        if hops >= least:
-            part = now.withColumn("hops", F.lit(hops))
-            found = part if found is None else found.unionByName(part)
-    return found
+        now = cut(now.select("start", F.col("to").alias("end"), F.lit(hops).alias("hops"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges")))
+        yield now
+
+
+def paths(graph: Graph, seeds: DataFrame, rel_types: Sequence[str], direction: str = "outgoing", least: int = 1, most: int = 3, target: int | None = None, limit: int | None = None) -> DataFrame:
+    """All paths of `least` to `most` hops, to a target if one is named; or the first `limit` by hops, nodes and edges.
+
+    Since fewer hops come first, no hop is made once shorter paths fill the limit.
+    """
+    found, n = None, 0
+    for hops, step in enumerate(path_steps(graph, seeds, rel_types, direction, most), 1):
+        if hops < least:
+            continue
+        step = step if target is None else step.where(F.col("end") == target)
+        found = step if found is None else found.unionByName(step)
+        if limit is not None:
+            n += step.limit(limit - n).count()
+            if n >= limit:
+                break
+    return found if limit is None else found.orderBy("hops", "nodes", "edges").limit(limit)
 
 
 def bounded(graph: Graph, seeds: DataFrame, rel_types: Sequence[str], direction: str, least: int, most: int, limit: int = 200) -> DataFrame:
     """Ends of variable-length paths, the first `limit` by hops and path."""
-    return paths(graph, seeds, rel_types, direction, least, most).orderBy("hops", "nodes", "edges").limit(limit)
+    return paths(graph, seeds, rel_types, direction, least, most, limit=limit)
 
 
 def shortest_paths(graph: Graph, seeds: DataFrame, target: int, rel_types: Sequence[str], direction: str = "outgoing", most: int = 3, count: int = 5) -> DataFrame:
     """Up to `count` shortest paths to the target; weight and cost are the number of hops."""
-    found = paths(graph, seeds, rel_types, direction, 1, most).where(F.col("end") == target)
-    return found.orderBy("hops", "nodes", "edges").limit(count).withColumns({"weight": F.col("hops").cast("double"), "cost": F.col("hops").cast("double")})
+    found = paths(graph, seeds, rel_types, direction, 1, most, target, count)
+    return found.withColumns({"weight": F.col("hops").cast("double"), "cost": F.col("hops").cast("double")})
 
 
 def single_source_paths(graph: Graph, seeds: DataFrame, rel_types: Sequence[str], direction: str = "outgoing", most: int = 3, count: int = 20) -> DataFrame:
-    return paths(graph, seeds, rel_types, direction, 1, most).orderBy("hops", "nodes", "edges").limit(count)
+    return paths(graph, seeds, rel_types, direction, 1, most, limit=count)
 
 
 def budgeted(graph: Graph, seeds: DataFrame, rel_types: Sequence[str] | None = None, hops: int = 3, most_nodes: int = 40, most_rows: int = 200) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, hop, label), (edges: src, rel_type, dst): breadth-first expansion with a budget that includes the seeds.
 
     In each hop a label's frontier brings at most `most_rows` edges, by edge id; new nodes are taken by edge id and id
-    until the budget is full. Parallel edges of one type collapse; edges to nodes that did not fit go. The budgets bound
-    everything that is kept between hops, and each hop ends with a checkpoint, so that no hop is computed twice.
+    until the budget is full. Parallel edges of one type collapse; edges to nodes that did not fit go. The budgets are
+    the feature: a frontier is `most_nodes` ids at most and goes into the scan as a filter, and a hop brings no more
+    than `most_rows` edges for each of its labels, so what is kept between hops is small whatever the graph is.
     """
+    spark = graph.nodes.sparkSession
     adj = graph.adjacency(rel_types)
-    seen = seeds.select("id", F.lit(0).alias("hop")).dropDuplicates(["id"]).join(graph.nodes.select("id", "label"), "id").orderBy("id").limit(most_nodes)
-    seen = cut(seen)
-    frontier, trace = seen.select("id", "label"), None
+    few = few_ids(seeds)
+    start = graph.nodes.where(F.col("id").isin(few) if few else F.lit(False)) if few is not None else graph.nodes.join(seeds.select("id").distinct(), "id", "left_semi")
+    seen = {r["id"]: (0, r["label"]) for r in start.select("id", "label").orderBy("id").limit(most_nodes).collect()}
+    frontier = list(seen)
+    trace: set[tuple[int, str, int]] = set()
     for hop in range(1, hops + 1):
-        rows = F.broadcast(frontier.where("label <> ''").select(F.col("id").alias("at"))).join(adj, "at")  # most_nodes rows at most
-        rows = cut(first_per(rows, ["at_label"], "id", "at", "to", most=most_rows).select("src", "rel_type", "dst", "id", "to", "to_label"))
-        step = rows.select("src", "rel_type", "dst")
-        trace = step if trace is None else trace.unionByName(step)
-        fresh = rows.groupBy(F.col("to").alias("nid")).agg(F.min("id").alias("via"), F.min("to_label").alias("label"))
-        fresh = fresh.join(F.broadcast(seen.select(F.col("id").alias("nid"))), "nid", "left_anti")
-        order = fresh.orderBy("via", "nid").limit(most_nodes).select(F.col("nid").alias("id"), F.lit(hop).alias("hop"), "label", "via")
-        all_ = seen.select("id", "hop", "label", F.lit(-1).cast("bigint").alias("via")).unionByName(order)
-        seen = cut(all_.orderBy("hop", "via", "id").limit(most_nodes).select("id", "hop", "label"))
-        frontier = seen.where(F.col("hop") == hop).select("id", "label")
-    kept = F.broadcast(seen.select("id"))
-    ends = trace.distinct().join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return seen, ends.select("src", "rel_type", "dst")
+        frontier = [i for i in frontier if seen[i][1]]
+        if not frontier:
+            break
+        rows = first_per(adj.where(F.col("at").isin(frontier)), ["at_label"], "id", "at", "to", most=most_rows).select("src", "rel_type", "dst", "id", "to", "to_label").collect()
+        trace |= {(r["src"], r["rel_type"], r["dst"]) for r in rows}
+        fresh: dict[int, tuple[int, str]] = {}
+        for r in rows:
+            if r["to"] not in seen:
+                fresh[r["to"]] = min(fresh.get(r["to"], (r["id"], r["to_label"])), (r["id"], r["to_label"]))
+        taken = sorted(fresh, key=lambda i: (fresh[i][0], i))[: most_nodes - len(seen)]
+        seen |= {i: (hop, fresh[i][1]) for i in taken}
+        frontier = taken
+    nodes = spark.createDataFrame([(i, h, label) for i, (h, label) in seen.items()], "id bigint, hop int, label string")
+    return nodes, spark.createDataFrame(sorted(x for x in trace if x[0] in seen and x[2] in seen), "src bigint, rel_type string, dst bigint")
 
 
 def layers(nodes: DataFrame, edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:

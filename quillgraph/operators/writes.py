@@ -60,9 +60,10 @@ def detach_delete(graph: Graph, first_id: int) -> Graph:
 
 
 def prune_into(edges: DataFrame, hubs: DataFrame, rel_type: str) -> DataFrame:
-    """edges without those of a type that lead to a hub (column id)."""
-    e = edges.withColumn("_hub", F.when(F.col("rel_type") == rel_type, F.col("dst")))
-    return e.join(hubs.select(F.col("id").alias("_hub")), "_hub", "left_anti").select(edges.columns)
+    """edges without those of a type that lead to a hub (column id); edges of other types are not joined."""
+    mine = F.coalesce(F.col("rel_type") == rel_type, F.lit(False))
+    kept = edges.where(mine).join(hubs.select(F.col("id").alias("dst")).distinct(), "dst", "left_anti").select(edges.columns)
+    return edges.where(~mine).unionByName(kept)
 
 
 def resume(queue: DataFrame, done: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .graph import Graph
-from .operators import conflicts, evaluation, evidence, quality, ranking, references, threads, traversal, writes
-from .sources import files
-from .sources.tables import edges_sql, id_sql, nodes_sql, star_graph, table
+from .operators import conflicts, conversations, evaluation, evidence, quality, ranking, references, threads, traversal, writes
+from .schema import GraphSchema, Label, RelType
+from .sources import adapters, files
+from .sources.demo import demo_graph
+from .sources.tables import edges_sql, id_sql, nodes_sql, star_graph, stored_graph, table
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,12 +36,8 @@ def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
-def _id(kind: str, key: int) -> Column:
-    return S.stable_id(kind, F.lit(str(key)))
-
-
 def _seed(spark: SparkSession, kind: str, *keys: int) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*[_id(kind, k) for k in keys])).alias("id"))
+    return spark.createDataFrame([(S.stable_id_of(kind, str(k)),) for k in keys], "id bigint")
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -55,34 +53,33 @@ def _first_vector(spark: SparkSession, d: str) -> list[float]:
 
 @_query(f"select id, label, primary_text from ({nodes_sql()}) where label = 'customer' order by id limit 20")
 def label_scan(spark, d):
-    return star_graph(spark, d, ()).by_label("customer", 20).select("id", "label", "primary_text")
+    return stored_graph(spark, d).by_label("customer", 20).select("id", "label", "primary_text")
 
 
 @_query(f"select id, label, primary_text from ({nodes_sql()}) where label = 'part' and id = {id_sql('part', '7')}")
 def point_lookup(spark, d):
-    g = star_graph(spark, d, ())
-    return g.by_label("part").join(_seed(spark, "part", 7), "id", "left_semi").select("id", "label", "primary_text")
+    return stored_graph(spark, d).by_id("part", S.stable_id_of("part", "7")).select("id", "label", "primary_text")
 
 
-@_query(f"select n.id, label, primary_text from ({nodes_sql()}) n join (select {id_sql('customer', 'o_custkey')} as id from orders where o_orderkey <= 50) s on n.id = s.id")
+@_query(f"select n.id, label, primary_text from ({nodes_sql()}) n join (select {id_sql('customer', 'o_custkey')} as id from orders) s on n.id = s.id")
 def batch_lookup(spark, d):
-    ids = table(spark, d, "orders").where("o_orderkey <= 50").select(S.stable_id("customer", F.col("o_custkey").cast("string")).alias("id"))
-    return star_graph(spark, d, ()).by_ids(ids).select("id", "label", "primary_text")
+    ids = table(spark, d, "orders").select(S.stable_id("customer", F.col("o_custkey").cast("string")).alias("id"))
+    return stored_graph(spark, d).by_ids(ids).select("id", "label", "primary_text")
 
 
 @_query(f"select id, primary_text from ({nodes_sql()}) where label = 'order' and primary_text = 'F' order by id limit 50")
 def property_lookup(spark, d):
-    return star_graph(spark, d, ()).by_property("order", "primary_text", "F").select("id", "primary_text")
+    return stored_graph(spark, d).by_property("order", "primary_text", "F").select("id", "primary_text")
 
 
 @_query(f"select label, count(*) as n from ({nodes_sql()}) group by label")
 def label_counts(spark, d):
-    return star_graph(spark, d, ()).label_counts()
+    return stored_graph(spark, d).label_counts()
 
 
 @_query(f"select rel_type, count(*) as n from ({edges_sql()}) group by rel_type")
 def rel_type_counts(spark, d):
-    return star_graph(spark, d).rel_type_counts()
+    return stored_graph(spark, d).rel_type_counts()
 
 
 @_query("select doc_id, n_chars from (select doc_id, n_chars, row_number() over (order by doc_id) as rn, count(*) over () as n from documents) where (rn - 1) % greatest(1, n // 100) = 0 order by doc_id limit 100")
@@ -95,13 +92,13 @@ def strided_sample(spark, d):
 
 @_query(f"with e as ({edges_sql(('PLACED',))}), n as ({nodes_sql()}) select e.src as seed, e.dst as id, n.primary_text from e join n on e.dst = n.id where e.src in ({id_sql('customer', '1')}, {id_sql('customer', '4')})")
 def one_hop_out(spark, d):
-    g = star_graph(spark, d, ("PLACED",))
+    g = stored_graph(spark, d)
     return traversal.one_hop(g, _seed(spark, "customer", 1, 4), "PLACED").select("seed", "id", "primary_text")
 
 
 @_query(f"with e as ({edges_sql(('LOCATED_IN',))}), n as ({nodes_sql()}) select e.dst as seed, e.src as id, n.primary_text from e join n on e.src = n.id where e.dst = {id_sql('nation', '3')}")
 def one_hop_in(spark, d):
-    g = star_graph(spark, d, ("LOCATED_IN",))
+    g = stored_graph(spark, d)
     return traversal.one_hop(g, _seed(spark, "nation", 3), "LOCATED_IN", "incoming").select("seed", "id", "primary_text")
 
 
@@ -110,7 +107,7 @@ _ADJ = "(select src as at, src_label as at_label, dst as \"to\", id, rel_type, s
 
 @_query(f"with e as ({edges_sql(PLACES)}), h as (select *, row_number() over (partition by at_label order by id, \"at\", \"to\") as rn from {_ADJ} where \"at\" in ({id_sql('nation', '1')}, {id_sql('nation', '2')}, {id_sql('region', '0')})) select \"at\", \"to\", rel_type, id as edge from h where rn <= 25")
 def expand_capped(spark, d):
-    g = star_graph(spark, d, PLACES)
+    g = stored_graph(spark, d).only(PLACES)
     seeds = _seed(spark, "nation", 1, 2).unionByName(_seed(spark, "region", 0))
     return traversal.expand(g, seeds, most=25).select("at", "to", "rel_type", F.col("id").alias("edge"))
 
@@ -122,14 +119,14 @@ _PATHS = f"""with recursive e as ({edges_sql(('PLACED', 'CONTAINS', 'SUPPLIED_BY
 
 @_query(_PATHS + """ select start, "end", hops, array_to_string(nodes, '>') as path from p where hops between 1 and 3 order by hops, nodes, edges limit 200""")
 def variable_length(spark, d):
-    g = star_graph(spark, d, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    g = stored_graph(spark, d)
     found = traversal.bounded(g, _seed(spark, "customer", 1), ("PLACED", "CONTAINS", "SUPPLIED_BY"), "outgoing", 1, 3)
     return found.select("start", "end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
 @_query(_PATHS + """ select hops, array_to_string(nodes, '>') as path, hops::double as cost from p where "end" in (select max(dst) from e where rel_type = 'SUPPLIED_BY') order by hops, nodes, edges limit 5""")
 def shortest_paths(spark, d):
-    g = star_graph(spark, d, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    g = stored_graph(spark, d)
     target = g.edges.where("rel_type = 'SUPPLIED_BY'").agg(F.max("dst")).first()[0]
     found = traversal.shortest_paths(g, _seed(spark, "customer", 1), target, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
     return found.select("hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "cost")
@@ -137,7 +134,7 @@ def shortest_paths(spark, d):
 
 @_query(_PATHS + """ select "end", hops, array_to_string(nodes, '>') as path from p order by hops, nodes, edges limit 20""")
 def single_source_paths(spark, d):
-    g = star_graph(spark, d, ("PLACED", "CONTAINS", "SUPPLIED_BY"))
+    g = stored_graph(spark, d)
     found = traversal.single_source_paths(g, _seed(spark, "customer", 1), ("PLACED", "CONTAINS", "SUPPLIED_BY"))
     return found.select("end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
@@ -153,7 +150,7 @@ def _bfs_sql(hops: int = 3, budget: int = 40, cap: int = 200) -> str:
 
 @_query(_bfs_sql())
 def budgeted_expansion(spark, d):
-    g = star_graph(spark, d)
+    g = stored_graph(spark, d)
     seeds = _seed(spark, "customer", 1).unionByName(_seed(spark, "nation", 5))
     return traversal.budgeted(g, seeds)[0].select("id", "hop", "label")
 
@@ -163,38 +160,37 @@ FLAGSHIP = budgeted_expansion
 
 # vectors
 
-_Q = "(select embedding::double[] as q from embeddings where vec_id = 0)"
-_COS = "round(list_cosine_similarity(embedding::double[], q), 6)"
+_SCORED = "(select vec_id as id, label, list_cosine_similarity(embedding::double[], q) as s from embeddings, (select embedding::double[] as q from embeddings where vec_id = 0))"
 
 
-@_query(f"select vec_id as id, label, {_COS} as score from embeddings, {_Q} order by score desc, id limit 10")
+@_query(f"select id, label, round(s, 6) as score from {_SCORED} order by s desc, id limit 10")
 def topk_cosine(spark, d):
     return ranking.search(_vectors(spark, d), _first_vector(spark, d), 10).select("id", "label", "score")
 
 
-@_query(f"select vec_id as id, label, {_COS} as score from embeddings, {_Q} where label in (1, 3) order by score desc, id limit 10")
+@_query(f"select id, label, round(s, 6) as score from {_SCORED} where label in (1, 3) order by s desc, id limit 10")
 def topk_by_label(spark, d):
     return ranking.search(_vectors(spark, d), _first_vector(spark, d), 10, [1, 3]).select("id", "label", "score")
 
 
-@_query(f"select * from (select vec_id as id, {_COS} as score from embeddings, {_Q} order by score desc, id limit 5) where score >= 0.3")
+@_query(f"select * from (select id, round(s, 6) as score from {_SCORED} order by s desc, id limit 5) where score >= 0.3")
 def score_floor(spark, d):
     return ranking.above(ranking.search(_vectors(spark, d), _first_vector(spark, d), 5), 0.3).select("id", "score")
 
 
-@_query(f"select vec_id as id, {_COS} as score from embeddings, {_Q} where vec_id in (select doc_id from labels) order by score desc, id limit 10")
+@_query(f"select id, round(s, 6) as score from {_SCORED} where id in (select doc_id from labels) order by s desc, id limit 10")
 def search_among(spark, d):
     ids = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
     return ranking.among(_vectors(spark, d), _first_vector(spark, d), ids, 10).select("id", "score")
 
 
-@_query(f"with c as (select l.doc_id as id, {_COS} as score from (select distinct doc_id from labels) l join embeddings on vec_id = l.doc_id, {_Q} order by score desc, id limit 8) select id, score from c union all select distinct doc_id, null from labels where doc_id not in (select vec_id from embeddings)")
+@_query(f"with c as (select id, round(s, 6) as score from {_SCORED} where id in (select doc_id from labels) order by s desc, id limit 8) select id, score from c union all select distinct doc_id, null from labels where doc_id not in (select vec_id from embeddings)")
 def relevance_cut(spark, d):
     ids = table(spark, d, "labels").select(F.col("doc_id").alias("id")).distinct()
     return ranking.relevance_cut(ids, _vectors(spark, d), _first_vector(spark, d), 8)
 
 
-@_query(f"with m as (select vec_id as id, {_COS} as score from embeddings, {_Q} order by score desc, id limit 10) select m.id, score, rank::integer as rank, lang, source from (select *, row_number() over (order by score desc, id) as rank from m) m join documents on doc_id = m.id")
+@_query(f"with m as (select id, round(s, 6) as score from {_SCORED} order by s desc, id limit 10) select m.id, score, rank::integer as rank, lang, source from (select *, row_number() over (order by score desc, id) as rank from m) m join documents on doc_id = m.id")
 def hydrate_ranked(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", "source")
     return ranking.hydrate(ranking.search(_vectors(spark, d), _first_vector(spark, d), 10).select("id", "score"), docs)
@@ -204,13 +200,17 @@ def hydrate_ranked(spark, d):
 
 
 def _pool(spark, d) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey <= 30").select(F.concat(F.lit("customer#00000000"), (F.col("c_custkey") % 5).cast("string")).alias("mention"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), F.col("c_custkey").alias("ord"))
-    s = table(spark, d, "customer").where("c_custkey between 20 and 60").select(F.concat(F.lit("customer#00000000"), (F.col("c_custkey") % 5).cast("string")).alias("mention"), F.col("c_custkey").alias("id"), F.col("c_name").alias("text"), (-F.col("c_custkey")).alias("ord"))
-    return ranking.candidate_pool(c, s)
+    """Mentions are names without their last digit, so ten names share one; both tables take part whole."""
+    row = lambda df, text, key, order: df.select(F.replace(F.substring(F.lower(text), 1, 17), F.lit("supplier"), F.lit("customer")).alias("mention"), F.col(key).alias("id"), F.col(text).alias("text"), order.alias("ord"))
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    near = row(c.where("c_custkey % 3 <> 0"), "c_name", "c_custkey", F.col("c_custkey"))
+    listed = row(c.where("c_custkey % 2 = 0"), "c_name", "c_custkey", -F.col("c_custkey")).unionByName(row(s, "s_name", "s_suppkey", F.col("s_suppkey") + 10**9))
+    return ranking.candidate_pool(near, listed)
 
 
-_POOL = """with u as (select 'customer#00000000' || (c_custkey % 5) as mention, c_custkey as id, c_name as text, 0 as src, c_custkey as ord from customer where c_custkey <= 30
-    union all select 'customer#00000000' || (c_custkey % 5), c_custkey, c_name, 1, -c_custkey from customer where c_custkey between 20 and 60),
+_POOL = """with u as (select substr(lower(c_name), 1, 17) as mention, c_custkey as id, c_name as text, 0 as src, c_custkey as ord from customer where c_custkey % 3 <> 0
+    union all select substr(lower(c_name), 1, 17), c_custkey, c_name, 1, -c_custkey from customer where c_custkey % 2 = 0
+    union all select replace(substr(lower(s_name), 1, 17), 'supplier', 'customer'), s_suppkey, s_name, 1, s_suppkey + 1000000000 from supplier),
     pool as (select * from (select *, row_number() over (partition by mention, id order by src, ord) as rn from u) where rn = 1)"""
 
 
@@ -224,18 +224,18 @@ def shortlist_overlap(spark, d):
     return ranking.shortlist(_pool(spark, d)).select("mention", "id")
 
 
-@_query(_POOL + ", c as (select *, round(1.0 / (1 + id % 17), 6)::double as confidence from pool), r as (select *, row_number() over (partition by mention order by confidence desc, ord, id) as rank, max(confidence) over (partition by mention) as top from c) select mention, id, confidence, rank::integer as rank from r where (rank = 1 or confidence >= 0.1) and rank <= 5 and top >= 0.08")
+@_query(_POOL + ", c as (select *, round(1.0 / (1 + id % 17), 6)::double as confidence from pool), r as (select *, row_number() over (partition by mention order by confidence desc, ord, id) as rank, max(confidence) over (partition by mention) as top from c), k as (select *, count(*) over (partition by mention) as n from r where (rank = 1 or confidence >= 0.1) and rank <= 5 and top >= 0.08) select mention, id, confidence, rank::integer as rank, rank = 1 as resolved, n > 1 and top < 0.85 as ambiguous from k")
 def confidence_filter(spark, d):
     pool = _pool(spark, d).withColumn("confidence", F.round(F.lit(1.0) / (1 + F.col("id") % 17), 6))
-    return ranking.confident(pool, least=0.1).select("mention", "id", "confidence", "rank")
+    return ranking.confident(pool, least=0.1)
 
 
-@_query(f"""with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}), h as (select a.at as id, a.id as edge, a."to" as other, n.primary_text || ' (' || n.label || ')' as name from {_ADJ} a join n on n.id = a."to" where a.at_label in ('nation', 'region')),
+@_query(f"""with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}), h as (select a.at as id, a.id as edge, a."to" as other, n.primary_text || ' (' || n.label || ')' as name from {_ADJ} a join n on n.id = a."to"),
     f as (select * from (select *, row_number() over (partition by id order by edge, other) as rn from h where other <> id) where rn <= 12), g as (select id, name, min(edge) as edge from f group by id, name), k as (select *, row_number() over (partition by id order by edge) as rn from g)
     select id, string_agg(name, ', ' order by edge) as summary from k where rn <= 6 group by id""")
 def neighbour_summary(spark, d):
-    g = star_graph(spark, d, PLACES)
-    hops = g.adjacency().where("at_label in ('nation', 'region')").select(F.col("at").alias("id"), F.col("id").alias("edge"), F.col("to").alias("other"))
+    g = stored_graph(spark, d).only(PLACES)
+    hops = g.adjacency().select(F.col("at").alias("id"), F.col("id").alias("edge"), F.col("to").alias("other"))
     hops = hops.join(g.nodes.select(F.col("id").alias("other"), F.col("primary_text").alias("text"), "label"), "other")
     return ranking.neighbour_summary(hops)
 
@@ -261,7 +261,7 @@ def body_attach(spark, d):
 
 # conflicts and time
 
-_DUP = """with k as (select doc_id as id, md5(lower(trim(text, ' '))) as h, source from documents), p as (select a.id as src, b.id as dst from k a join k b on a.h = b.h and a.id < b.id),
+_DUP = """with k as (select doc_id as id, md5(lower(trim(text, ' '))) as h from documents), f as (select id, min(id) over (partition by h) as first from k), p as (select first as src, id as dst from f where first < id),
     e as (select src, dst, 'CONTRADICTS' as rel_type, src * 1000000 + dst as id from p union all select dst, src, 'SUPERSEDES', src * 1000000 + dst + 500000000000 from p where (src + dst) % 3 = 0),
     t as (select doc_id as id, case when doc_id % 5 = 0 then null else '2026-01-' || lpad((doc_id % 28 + 1)::varchar, 2, '0') end as at from documents)"""
 
@@ -271,7 +271,7 @@ _DUP = """with k as (select doc_id as id, md5(lower(trim(text, ' '))) as h, sour
     from o join t s on s.id = src join t d on d.id = dst where rn = 1""")
 def conflict_resolution(spark, d):
     k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.lower(F.trim("text")).cast("binary")).alias("h"))
-    p = k.select(F.col("id").alias("src"), "h").join(k.select(F.col("id").alias("dst"), "h"), "h").where("src < dst")
+    p = k.groupBy("h").agg(F.min("id").alias("src")).join(k.select(F.col("id").alias("dst"), "h"), "h").where("src < dst")
     e = p.selectExpr("src", "dst", "'CONTRADICTS' as rel_type", "src * 1000000 + dst as id").unionByName(p.where("(src + dst) % 3 = 0").selectExpr("dst as src", "src as dst", "'SUPERSEDES' as rel_type", "src * 1000000 + dst + 500000000000 as id"))
     at = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
     return conflicts.detect(table(spark, d, "documents").select(F.col("doc_id").alias("id"), at.alias("at")), e)
@@ -319,23 +319,23 @@ def link_resolution(spark, d):
 
 @_query(f"with g as (select dst, count(*) as n from ({edges_sql()}) group by dst), b as (select case when n <= 1 then '1' when n <= 5 then '2-5' when n <= 20 then '6-20' when n <= 100 then '21-100' when n <= 1000 then '101-1000' else '>1000' end as bucket, n from g) select bucket, count(*) as targets, sum(n)::bigint as edges, round(100.0 * sum(n) / (select sum(n) from g), 1)::double as pct from b group by bucket")
 def in_degree_histogram(spark, d):
-    return references.histogram(references.in_degrees(star_graph(spark, d).edges))
+    return references.histogram(references.in_degrees(stored_graph(spark, d).edges))
 
 
 @_query(f"select dst as id, dst_label as label, count(*) as n from ({edges_sql()}) group by all having count(*) > 50 order by n desc, id limit 15")
 def hubs(spark, d):
-    return references.hubs(references.in_degrees(star_graph(spark, d).edges), 50).orderBy(F.desc("n"), "id").limit(15)
+    return references.hubs(references.in_degrees(stored_graph(spark, d).edges), 50).orderBy(F.desc("n"), "id").limit(15)
 
 
 @_query(f"with e as ({edges_sql(PLACES)}) select rel_type, count(*) as n from e where not (rel_type = 'LOCATED_IN' and dst in (select dst from e where rel_type = 'LOCATED_IN' group by dst having count(*) > 60)) group by rel_type")
 def prune_hubs(spark, d):
-    e = star_graph(spark, d, PLACES).edges
+    e = stored_graph(spark, d).only(PLACES).edges
     return writes.prune_into(e, references.hubs(references.in_degrees(e, "LOCATED_IN"), 60), "LOCATED_IN").groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
 @_query(f"with e as ({edges_sql()}), n as ({nodes_sql()}) select 'nodes' as what, count(*) as n from n union all select 'edges', count(*) from e union all select 'dangling', count(*) from e where src not in (select id from n) or dst not in (select id from n) union all select 'untitled', count(*) from n where coalesce(primary_text, '') = ''")
 def graph_report(spark, d):
-    return quality.verify_graph(star_graph(spark, d))
+    return quality.verify_graph(stored_graph(spark, d))
 
 
 # writes
@@ -351,17 +351,21 @@ def upsert_nodes(spark, d):
     return writes.upsert_nodes(old, new).select("id", "primary_text", Graph.value("seg").alias("seg"), Graph.value("nation").alias("nation"))
 
 
-@_query(f"with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}) select rel_type, src, dst from e where src_label <> 'supplier' or src in (select id from n)")
+@_query(f"with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}) select rel_type, src, dst, case when id % 3 = 0 then 'last' else 'first' end as note, case when rel_type <> 'LOCATED_IN' or id % 2 = 0 then 'kept' end as old from e")
 def upsert_edges(spark, d):
-    g = star_graph(spark, d, PLACES)
-    part = Graph(g.nodes, g.edges.where("rel_type <> 'LOCATED_IN' or id % 2 = 0"))
-    again = g.edges.withColumn("seq", F.lit(1)).unionByName(g.edges.limit(5).withColumns({"src": F.lit(1).cast("bigint"), "seq": F.lit(2)}))
-    return writes.upsert_edges(part, again).select("rel_type", "src", "dst")
+    g = stored_graph(spark, d).only(PLACES)
+    note = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    part = Graph(g.nodes, g.edges.where("rel_type <> 'LOCATED_IN' or id % 2 = 0").withColumn("properties", note("old", "kept")))
+    first = g.edges.withColumns({"properties": note("note", "first"), "seq": F.lit(1)})
+    later = g.edges.where("id % 3 = 0").withColumns({"properties": note("note", "last"), "seq": F.lit(2)})
+    nowhere = g.edges.where("rel_type = 'PART_OF'").withColumns({"src": F.lit(1).cast("bigint"), "seq": F.lit(3)})  # its source is not there
+    merged = writes.upsert_edges(part, later.unionByName(first).unionByName(nowhere))
+    return merged.select("rel_type", "src", "dst", Graph.value("note").alias("note"), Graph.value("old").alias("old"))
 
 
 @_query(f"with e as ({edges_sql(PLACES)}), n as ({nodes_sql()}), c as (select 10000 + (1::bigint << 47) as id) select rel_type, count(*) as n from e where src < (select id from c) and dst < (select id from c) group by rel_type union all select 'nodes', count(*) from n where id < (select id from c)")
 def detach_delete(spark, d):
-    g = writes.detach_delete(star_graph(spark, d, PLACES), 10000 + 2**47)
+    g = writes.detach_delete(stored_graph(spark, d).only(PLACES), 10000 + 2**47)
     return g.edges.groupBy("rel_type").agg(F.count("*").alias("n")).unionByName(g.nodes.agg(F.count("*").alias("n")).select(F.lit("nodes").alias("rel_type"), "n"))
 
 
@@ -381,26 +385,30 @@ def speaker_runs(spark, d):
     return r.groupBy("user_id", F.col("run").cast("bigint").alias("run")).agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
-_CHAT = "(select conv_id as id, turn, upper(role[1]) || role[2:] as head, trim(replace(replace(text, chr(10), ' '), ':', ' '), ' ') as body from conversations)"
+_CHAT = "(select conv_id as id, turn, row_number() over (partition by conv_id order by turn) as seq, upper(role[1]) || role[2:] as head, regexp_replace(replace(text, ':', ' '), '^\\s+|\\s+$', '', 'g') as body from conversations)"
 
 
-@_query(f"select id, row_number() over (partition by id order by turn) as seq, head as speaker, body from {_CHAT}")
+@_query(f"select id, seq, head as speaker, body from {_CHAT} where body <> ''")
 def chat_parse(spark, d):
+    return _chats(spark, d)
+
+
+def _chats(spark, d) -> DataFrame:
     c = table(spark, d, "conversations")
-    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(": "), F.trim(F.translate("text", "\n:", "  ")))
+    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(": "), F.translate("text", ":", " "))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
     return threads.chat_messages(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
 
 
-@_query(f"select id, row_number() over (partition by id order by turn) as seq, head as title, body from {_CHAT}")
+@_query(f"select id, seq, head as title, body from {_CHAT}")
 def section_parse(spark, d):
     c = table(spark, d, "conversations")
-    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(":\n"), F.trim(F.translate("text", "\n:", "  ")))
+    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(":\n"), F.translate("text", ":", " "))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
     return threads.field_sections(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
 
 
-@_query()
+@_query("""select conv_id as id, row_number() over (partition by conv_id order by turn) - 1 as seq, role || ' <a@b.example>' as sender, '' as to_, 'Re: t' as subject, '' as date, trim(regexp_replace(translate(text, ':', ' '), '^\\s+|\\s+$', '', 'g'), ' ') as body from conversations""")
 def email_parse(spark, d):
     c = table(spark, d, "conversations")
     mail = F.concat(F.lit("From: "), "role", F.lit(" <a@b.example>\nSubject: Re: t\n---\n\n"), F.translate("text", ":", " "))
@@ -459,3 +467,287 @@ def tumbling_windows(spark, d):
 def pricing_summary(spark, d):
     rows = table(spark, d, "lineitem").where("l_shipdate <= date'1998-09-02'").groupBy("l_returnflag", "l_linestatus")
     return rows.agg(F.sum("l_quantity").cast("double").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).cast("double").alias("revenue"), F.count("*").alias("n"))
+
+
+# operators of single rows, reports and state
+
+
+_STAR = GraphSchema((Label("customer", {"id": "number", "key": "number", "seg": "string"}),), tuple(RelType(x) for x in (*PLACES, "PLACED")))
+
+
+@_query("select " + id_sql("customer", "c_custkey") + " as id, 'customer' as label, c_name as primary_text, c_custkey as key, null::varchar as seg from customer")
+def typed_nodes(spark, d):
+    return stored_graph(spark, d).typed(_STAR, "customer")
+
+
+@_query(f"with g as (select dst, count(*) as n from ({edges_sql(('LOCATED_IN',))}) group by dst) select count(*) as targets, sum(n)::bigint as edges, round(sum(n) / count(*), 2) as mean, count(*) filter (n > 60) as hubs, round(sum(case when n > 60 then n else 0 end) / sum(n), 4) as hub_share from g")
+def reference_audit(spark, d):
+    return quality.audit_references(stored_graph(spark, d).only(["LOCATED_IN"]), "LOCATED_IN", 60)
+
+
+@_query("with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]{6,}')) as token from documents) select token, count(*) as n from t group by token order by n desc, token limit 15")
+def top_fan_out(spark, d):
+    return references.fan_out(table(spark, d, "documents").select(F.explode(S.link_tokens("text")).alias("token")))
+
+
+@_query("select source, case when count(l.doc_id) = 0 then 1.0 else round(count(*) filter (l.quality = 1) / count(l.doc_id), 6) end as completeness from documents d left join labels l using (doc_id) group by source")
+def completeness_ratio(spark, d):
+    facts = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").groupBy("source").agg(F.collect_list(F.col("quality") == 1).alias("facts"))
+    return facts.select("source", F.round(evaluation.completeness("facts"), 6).alias("completeness"))
+
+
+@_query("with q as (select distinct doc_id as id from documents), h as (select q.id, e.vec_id from q left join (select distinct vec_id from embeddings) e on e.vec_id = q.id) select count(vec_id) as present, count(*) as total, count(*) - count(vec_id) as missing, (select count(*) from embeddings where list_cosine_similarity(embedding::double[], embedding::double[]) < 0.99) as unlike_self from h")
+def queue_coverage(spark, d):
+    return quality.verify_vectors(_vectors(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+@_query("select label, count(*) as n from embeddings group by label order by n desc, label")
+def index_labels(spark, d):
+    return quality.label_histogram(_vectors(spark, d))
+
+
+@_query("select distinct doc_id as id, doc_id in (select vec_id from embeddings) as has from documents")
+def index_members(spark, d):
+    return ranking.has_ids(_vectors(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id")))
+
+
+@_query("select o_orderkey as id, o_totalprice as price from orders order by o_totalprice desc, o_orderkey offset 40 limit 20")
+def page_of_orders(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
+    return quality.page(rows, [F.desc("price"), F.col("id")], 40, 20)
+
+
+@_query(f"with n as (select *, row_number() over (partition by label order by id) - 1 as pos, count(*) over (partition by label) as total from ({nodes_sql()})) select id, label, id % 2 = 0 as has_body from n where pos >= case when total > 3 then total // 2 else 0 end and pos < case when total > 3 then total // 2 else 0 end + 3")
+def middle_samples(spark, d):
+    n = stored_graph(spark, d).nodes
+    return quality.middle_samples(n, n.where("id % 2 = 0").select("id", F.col("label").alias("text")))
+
+
+@_query("select conv_id as id, count(*) as messages, count(distinct role) as speakers, sum(new)::bigint as groups from (select *, case when lag(role) over w = role then 0 else 1 end as new from (select * from conversations where trim(replace(text, ':', ' '), ' ' || chr(10) || chr(9)) <> '') window w as (partition by conv_id order by turn)) group by conv_id")
+def thread_counts(spark, d):
+    return threads.thread_counts(_chats(spark, d))
+
+
+@_query(_DUP + " select (select count(*) from documents where doc_id % 7 = 0) as nodes, (select count(*) from (select distinct least(src, dst), greatest(src, dst) from e)) as conflicts")
+def evidence_counts(spark, d):
+    return evidence.counts(table(spark, d, "documents").where("doc_id % 7 = 0"), conflict_resolution(spark, d))
+
+
+@_query(_DUP + """, o as (select *, least(src, dst) as a, greatest(src, dst) as b, row_number() over (partition by least(src, dst), greatest(src, dst) order by rel_type <> 'SUPERSEDES', id) as rn from e),
+    w as (select a, b, rel_type, case when rel_type = 'SUPERSEDES' or s.at is null or d.at is null or s.at >= d.at then src else dst end as winner, case when rel_type = 'SUPERSEDES' then 'supersedes' when s.at is not null and d.at is not null then 'later' else 'defaulted' end as reason from o join t s on s.id = src join t d on d.id = dst where rn = 1)
+    select a, b, rel_type, winner, reason, lang || ' conflict' as subject, case when winner % 2 = 0 then 'graph' else source end as source, coalesce(t.at, '') as at from w join documents on doc_id = winner join t on t.id = winner""")
+def conflict_presentation(spark, d):
+    at = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
+    nodes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.col("source")).alias("source"), at.alias("at"))
+    return conflicts.presented(conflict_resolution(spark, d), nodes)
+
+
+def _bfs_edges_sql() -> str:
+    whole = _bfs_sql()
+    head = whole[: whole.rindex(" select id, hop, label")]
+    return head + ", t as (" + " union ".join(f"select src, rel_type, dst from r{h}" for h in (1, 2, 3)) + ") select src, rel_type, dst from t where src in (select id from s3) and dst in (select id from s3)"
+
+
+@_query(_bfs_edges_sql())
+def expansion_edges(spark, d):
+    seeds = _seed(spark, "customer", 1).unionByName(_seed(spark, "nation", 5))
+    return traversal.budgeted(stored_graph(spark, d), seeds)[1]
+
+
+@_query(f"with e as ({edges_sql(PLACES)}), c as (select id, [id, {id_sql('region', '2')}] as cited from ({nodes_sql()}) where label = 'nation') select c.id, e.src, e.dst from c join e on list_contains(cited, e.src) and list_contains(cited, e.dst)")
+def supporting_edges(spark, d):
+    g = stored_graph(spark, d).only(PLACES)
+    claims = g.by_label("nation").select(F.col("id").alias("claim"), F.array("id", F.lit(S.stable_id_of("region", "2"))).alias("cited"))
+    near = claims.select("claim", "cited", F.explode("cited").alias("src")).join(g.edges.select("src", "dst"), "src")
+    return evidence.cited_edges(near, "cited").select(F.col("claim").alias("id"), "src", "dst")
+
+
+@_query(_POOL + ", r as (select *, row_number() over (partition by mention order by src, ord, id) as rank from pool) select mention, id, (rank = 1)::int::double as confidence from r where rank <= 5")
+def fallback_candidates(spark, d):
+    return ranking.fallback(_pool(spark, d)).select("mention", "id", "confidence")
+
+
+@_query(_POOL + """, c as (select *, 1.0::double / (1 + id % 17) as confidence from pool), r as (select *, row_number() over (partition by mention order by confidence desc, ord, id) as rank, max(confidence) over (partition by mention) as top from c),
+    o as (select mention, min(id) as choice from pool where id % 4 = 1 group by mention) select r.mention, r.id, coalesce(r.id = o.choice, rank = 1) as resolved from r left join o on o.mention = r.mention where (rank = 1 or confidence >= 0.02) and rank <= 5 and top >= 0.08""")
+def confidence_override(spark, d):
+    pool = _pool(spark, d).withColumn("confidence", F.lit(1.0) / (1 + F.col("id") % 17))
+    return ranking.confident(pool, overrides=pool.where("id % 4 = 1").select("mention", "id")).select("mention", "id", "resolved")
+
+
+@_query(f"with m as (select id, label, s from {_SCORED} order by s desc, id limit 8) select m.id, m.label::varchar as label, coalesce(d.source, '') as name, d.lang as subtitle, (row_number() over (order by s desc, m.id))::integer as rank from m join documents d on d.doc_id = m.id where s >= 0.15")
+def mention_completion(spark, d):
+    nodes = table(spark, d, "documents").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("label")), "doc_id")
+    nodes = nodes.select(F.col("doc_id").alias("id"), "label", F.coalesce("source", F.lit("")).alias("primary_text"), F.create_map(F.lit("name"), F.col("lang")).alias("properties"))
+    return ranking.mention_matches(_vectors(spark, d), nodes, "who", _first_vector(spark, d))
+
+
+@_query("""with q as (select vec_id as question_id, embedding::double[] as q from embeddings where vec_id % 50 = 0), s as (select question_id, vec_id as id, list_cosine_similarity(embedding::double[], q) as s from q, embeddings where label in (1, 2, 3)),
+    r as (select *, row_number() over (partition by question_id order by s desc, id) as rank from s), t as (select r.*, doc_id, source, substr(concat_ws(chr(10), nullif(source, ''), nullif(text, '')), 1, 400) as part from r left join documents on doc_id = id where rank <= 5)
+    select question_id, list('d' || doc_id order by rank) filter (doc_id % 3 <> 0) as document_ids, string_agg('[Doc ' || rank || '] ' || coalesce(part, ''), chr(10) || chr(10) order by rank) as context from t group by question_id""")
+def baseline_retrieval(spark, d):
+    e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
+    props = F.when(F.col("doc_id") % 3 != 0, F.create_map(F.lit("dsid"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("primary_text"), props.alias("properties"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
+    return ranking.baseline(_vectors(spark, d), nodes, docs.select(F.col("doc_id").alias("id"), "text"), asked, [1, 2, 3], most_text=400)
+
+
+def _talks(spark, d) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, d, "conversations")
+    m = c.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("conv_id").alias("conversation_id"), F.col("turn").cast("int").alias("position"), "role", "text", (F.col("turn") % 3 == 2).alias("pending"), F.lit(None).cast("string").alias("result"))
+    return c.select(F.col("conv_id").alias("id")).distinct().select("id", F.concat(F.lit("talk "), "id").alias("title"), (F.col("id") % 7).alias("created_at")), m
+
+
+@_query("select conv_id as id, 'talk ' || conv_id as title, conv_id % 7 as created_at, string_agg(role || turn, ',' order by turn) as roles from conversations group by conv_id")
+def conversation_listing(spark, d):
+    shown = conversations.listing(*_talks(spark, d))
+    return shown.select("id", "title", "created_at", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], m["position"].cast("string"))), ",").alias("roles"))
+
+
+@_query("select id, case when length(t) > 42 then substr(t, 1, 42) || '…' else t end as title from (select conv_id as id, min_by(text, turn) as t from conversations where role = 'user' group by conv_id)")
+def conversation_titles(spark, d):
+    return conversations.titles(_talks(spark, d)[1])
+
+
+@_query("select conv_id as conversation_id, case when conv_id % 5 = 0 then row_number() over (partition by conv_id order by turn desc) - 1 else turn end::integer as position, text, false as pending, case when turn % 3 = 2 then '{\"error\": \"interrupted\"}' end as result from conversations where conv_id % 11 <> 0")
+def conversation_changes(spark, d):
+    c, m = _talks(spark, d)
+    again = m.where("conversation_id % 5 = 0").withColumn("ord", -F.col("position"))
+    _, m = conversations.delete(c, conversations.replace_messages(m, again), c.where("id % 11 = 0"))
+    return conversations.repaired(m).select("conversation_id", "position", "text", "pending", "result")
+
+
+@_query(f"with recursive e as ({edges_sql(('PLACED', 'CONTAINS'))}), w as (select id, 0 as layer from ({nodes_sql()}) where label = 'customer' union select e.dst, w.layer + 1 from w join e on e.src = w.id) select n.id, coalesce(max(layer), 0) as layer from ({nodes_sql()}) n left join w on w.id = n.id group by n.id")
+def longest_layers(spark, d):
+    g = stored_graph(spark, d).only(["PLACED", "CONTAINS"])
+    return traversal.layers(g.nodes, g.edges, g.by_label("customer"), 2)
+
+
+@_query("select c_custkey as id, (row_number() over (partition by c_nationkey order by c_custkey) - 1) // 10 as chunk from customer")
+def fixed_chunks(spark, d):
+    return writes.chunks(table(spark, d, "customer"), "c_nationkey", "c_custkey", 10).select(F.col("c_custkey").alias("id"), F.col("chunk").cast("bigint").alias("chunk"))
+
+
+@_query("select vec_id as id, case when vec_id % 4 = 0 then 99 else label end as label from embeddings union all select doc_id, 99 from documents where doc_id % 4 = 0 and doc_id not in (select vec_id from embeddings)")
+def upsert_vectors(spark, d):
+    old = _vectors(spark, d).select("id", "label")
+    new = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit(98), F.lit(99))).alias("label"))
+    return writes.upsert_vectors(old, new.withColumn("seq", F.col("label").cast("bigint")))
+
+
+@_query("select c_custkey as id, c_mktsegment as seg, coalesce(nullif(c_name, ''), '') || chr(10) || chr(10) || c_mktsegment as body, 0 as left_over from customer")
+def split_bodies(spark, d):
+    n = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("label"), F.create_map(F.lit("content"), F.col("c_name"), F.lit("text"), F.col("c_mktsegment"), F.lit("body"), F.lit(""), F.lit("seg"), F.col("c_mktsegment")).alias("properties"))
+    bare, bodies = writes.split_bodies(n)
+    held = F.size(F.filter(F.map_keys("properties"), lambda k: k.isin("content", "text", "body", "description"))).alias("left_over")
+    return bare.join(bodies, "id").select("id", Graph.value("seg").alias("seg"), F.col("text").alias("body"), held)
+
+
+@_query("with q as (select list(doc_id order by doc_id) as x, doc_id // 4 as g from documents where doc_id % 2 = 0 group by doc_id // 4 having count(*) = 2) select 's' || g as question_id, x[1] as src, x[2] as dst from q")
+def gold_contradictions(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("dsid"), F.col("doc_id").alias("id"))
+    q = docs.where("id % 2 = 0").groupBy(F.floor(F.col("id") / 4).alias("g")).agg(F.array_sort(F.collect_list(F.struct("id", "dsid"))).alias("x"))
+    asked = q.select(F.concat(F.lit("s"), F.col("g").cast("string")).alias("question_id"), F.lit("conflicting_info").alias("question_type"), F.transform("x", lambda v: v["dsid"]).alias("expected"))
+    other = asked.withColumn("question_type", F.lit("basic"))
+    return references.contradictions(asked.unionByName(other), docs)
+
+
+@_query("""select event_id as id, case event_type when 'click' then 'Clicked' else replace(event_type, '_', ' ') end as source, lower(replace(upper(event_type), '_', ' ')) as shown, (user_id % 101)::varchar || '%' as pct, strftime(date_trunc('minute', ts), '%-d %b %Y, %H:%M') as at from events""")
+def display_formats(spark, d):
+    e = table(spark, d, "events").withColumns({"raw": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "kind": F.upper("event_type")})
+    return e.select(F.col("event_id").alias("id"), S.source_label("event_type", {"click": "Clicked"}).alias("source"), S.display_type("kind").alias("shown"), S.percent((F.col("user_id") % 101) / 100).alias("pct"), S.display_time("raw").alias("at"))
+
+
+@_query("""select c_custkey as id, 'mail of ' || c_name as subject, c_custkey % 3 = 0 as bot, c_name || '|"L" <x,y@z>|Bo' as names from customer""")
+def mail_fields(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("RE: Fwd : re:mail of "), "c_name").alias("subject"), F.when(F.col("c_custkey") % 3 == 0, "Helpbot").otherwise("bottle").alias("speaker"), F.concat("c_name", F.lit(' , "L" <x,y@z>,Bo ')).alias("to"))
+    return c.select("id", S.thread_subject("subject").alias("subject"), S.is_bot("speaker").alias("bot"), F.array_join(S.recipients("to"), "|").alias("names"))
+
+
+@_query("""select p_partkey as id, 'see ' || p_name || ' and @x' as plain, p_name as mention, p_partkey % 4 <> 3 as typing, case p_partkey % 4 when 0 then 'two wor' when 1 then 'ab' when 2 then '' end as query from part""")
+def mention_texts(spark, d):
+    p = table(spark, d, "part")
+    text = F.concat(F.lit("see @["), "p_name", F.lit("] and @x"))
+    typed = F.element_at(F.array(*[F.lit(x) for x in ("hi @[two words", "hi @ab", "@", "a@b c")]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = p.select(F.col("p_partkey").alias("id"), text.alias("text"), typed.alias("typed"), F.element_at(F.array(F.lit(12), F.lit(6), F.lit(1), F.lit(3)), (F.col("p_partkey") % 4 + 1).cast("int")).alias("cursor"))
+    at = S.mention_at("typed", "cursor")
+    return p.select("id", S.without_mentions("text").alias("plain"), F.array_join(S.mentions("text"), "|").alias("mention"), at.isNotNull().alias("typing"), at["query"].alias("query"))
+
+
+_CLAIMED = "(select doc_id as id, text, substr(text, 1, 20) as a, substr(text, 41, 20) as b from documents where length(text) > 80)"
+
+
+@_query(f"select id, 'claim-0' as claim_id, a as text from {_CLAIMED} union all select id, 'claim-1', b from {_CLAIMED}")
+def verbatim_claims(spark, d):
+    rows = table(spark, d, "documents").where("length(text) > 80").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array(F.lit("\u0001 nowhere"), F.substring("text", 1, 20), F.substring("text", 41, 20)).alias("claims"))
+    return threads.verbatim_claims(rows)
+
+
+@_query("select c_custkey as id, x.seq, x.a as start, x.b as end, x.claim from customer, (values (0, 0, 5, 0), (1, 5, 9, null), (2, 9, 13, 2), (3, 13, 18, null)) x(seq, a, b, claim)")
+def claim_segments(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_name", 1, 18).alias("answer"), F.array(F.substring("c_name", 1, 5), F.lit("nowhere"), F.substring("c_name", 10, 4)).alias("claims"))
+    return threads.claim_segments(rows.withColumns({"answer": F.lit("alpha mid beta end"), "claims": F.array(F.lit("alpha"), F.lit("nowhere"), F.lit(" bet"))}))
+
+
+@_query("select conv_id as id, case when conv_id % 3 = 0 and conv_id % 2 = 0 then 'thread' when conv_id % 3 = 1 then 'mail' else 'document' end as kind from (select distinct conv_id from conversations)")
+def content_kinds(spark, d):
+    c = table(spark, d, "conversations").select("conv_id").distinct()
+    source = F.element_at(F.array(F.lit("slack"), F.lit("gmail"), F.lit("jira")), (F.col("conv_id") % 3 + 1).cast("int"))
+    c = c.select(F.col("conv_id").alias("id"), source.alias("source"), (1 - F.col("conv_id") % 2).alias("chats"), F.lit(1).alias("mails"))
+    return c.select("id", threads.content_kind("source", "chats", "mails").alias("kind"))
+
+
+@_query(f"""with n as ({nodes_sql()}), e as ({edges_sql(('PART_OF',))}) select '- id=' || id || ' [' || label || '] "' || primary_text || '" properties={{"key":"' || n_nationkey || '"}}' as line from n join nation on id = {id_sql('nation', 'n_nationkey')}
+    union all select '- ' || src || ' -[PART_OF {{a: 1, b: x}}]-> ' || dst from e union all select '7. Node ' || src || ' vs node ' || dst || ' (PART_OF edge). Graph reasoning selected node ' || src || ' as current: later' from e""")
+def evidence_lines(spark, d):
+    g = stored_graph(spark, d).only(["PART_OF"])
+    lines = g.by_label("nation").select(evidence.node_line().alias("line"))
+    e = g.edges.withColumn("properties", F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.lit("1")))
+    fights = e.select(F.lit(7).alias("i"), F.col("src").alias("a"), F.col("dst").alias("b"), "rel_type", F.col("src").alias("winner"), F.lit("later").alias("reason"))
+    return lines.unionByName(e.select(evidence.edge_line().alias("line"))).unionByName(fights.select(evidence.conflict_line().alias("line")))
+
+
+@_query("select c_custkey as id, case when c_custkey % 2 = 0 then '' else c_name end as first, case when c_custkey % 2 = 0 then c_mktsegment else c_mktsegment end as shown, case when c_custkey % 3 <> 0 then c_mktsegment end as body from customer")
+def subtitles(spark, d):
+    c = table(spark, d, "customer")
+    props = F.create_map(F.lit("title"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.col("c_name")), F.lit("name"), F.upper("c_name"), F.lit("summary"), F.col("c_mktsegment"), F.lit("text"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_mktsegment")), F.lit("body"), F.lit("later"))
+    n = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("primary_text"), props.alias("properties"))
+    return n.select("id", evidence.subtitle().alias("first"), evidence.shown_subtitle().alias("shown"), evidence.shown_body().alias("body"))
+
+
+@_query("with w as (select unnest(['OWNS', 'SUPERSEDES', 'CONTRADICTS']) as t) select t as rel_type, case t when 'OWNS' then 2 else 1 end::bigint as n from w")
+def focus_edges(spark, d):
+    from .schema import DEFAULT
+
+    return demo_graph(spark).only(traversal.focus_types(["OWNS"], DEFAULT)).rel_type_counts()
+
+
+@_query("select * from (values (10, '2026-03-01', 4), (10, '2026-08-01', 1), (10, '2025-01-01', null)) v(key, t, owner)")
+def demo_ownership(spark, d):
+    owns = demo_graph(spark).edges.where("rel_type = 'OWNS'").select(F.col("dst").alias("key"), F.col("src").alias("owner"), Graph.value("valid_from").alias("valid_from"), Graph.value("valid_to").alias("valid_to"))
+    return conflicts.latest_before(owns, spark.createDataFrame([(10, t) for t in ("2026-03-01", "2026-08-01", "2025-01-01")], "key bigint, t string"))
+
+
+@_query("select * from (values (1, 20, 2, '1>10>20')) v(start, \"end\", hops, path)")
+def demo_shortest_path(spark, d):
+    found = traversal.shortest_paths(demo_graph(spark), spark.createDataFrame([(1,)], "id bigint"), 20, ["WORKS_ON", "DISCUSSED_IN"])
+    return found.select("start", "end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
+
+
+@_query("select rel_type, src_label, dst_label, n from (values ('DISCUSSED_IN', 'Message', 'Channel', 2), ('REFERENCES', 'Message', 'Document', 1)) v(rel_type, src_label, dst_label, n)")
+def demo_out_of_schema(spark, d):
+    from .schema import DEFAULT, out_of_schema
+
+    return out_of_schema(demo_graph(spark).edges, DEFAULT)
+
+
+@_query("""select label, count(*) as n from (
+    select 'Document' as label from documents where doc_id % 3 = 0 union all select 'Task' from documents where doc_id % 3 = 1 union all select 'Issue' from documents where doc_id % 3 = 2
+    union all select distinct 'Project' || '' from (select distinct source from documents) where false union all select 'Project' from (select distinct coalesce(source, '') as s from documents where coalesce(source, '') <> '')
+    union all select 'Person' from (select distinct 'u' || (doc_id % 50) from documents) union all select 'Organization') group by label""")
+def adapted_graph(spark, d):
+    docs = table(spark, d, "documents")
+    kind = F.element_at(F.array(F.lit("confluence"), F.lit("jira"), F.lit("github")), (F.col("doc_id") % 3 + 1).cast("int"))
+    who, where = F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")), F.coalesce("source", F.lit(""))
+    raw = F.create_map(*[x for name, v in (("title", F.col("lang")), ("summary", F.col("lang")), ("content", F.col("text")), ("description", F.col("text")), ("body", F.col("text")), ("author", who), ("reporter", who), ("space", where), ("project", where), ("repo", where)) for x in (F.lit(name), v)])
+    return adapters.graph_rows(adapters.normalise(docs.select(F.col("doc_id").cast("string").alias("dsid"), kind.alias("source_type"), raw.alias("raw")))).label_counts()

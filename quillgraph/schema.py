@@ -85,7 +85,21 @@ DEFAULT = GraphSchema(
         _label("Decision", "summary decided_at status"),
         _label("Event", "title starts_at ends_at"),
     ),
-    tuple(RelType(x) for x in "WORKS_ON MEMBER_OF AUTHORED MENTIONED_IN REFERENCES PART_OF OWNS ASSIGNED_TO DISCUSSED_IN RELATED_TO DEPENDS_ON CONTRADICTS SUPERSEDES".split()),
+    (
+        RelType("WORKS_ON", ("Person",), ("Project", "Task")),
+        RelType("MEMBER_OF", ("Person",), ("Organization", "Channel")),
+        RelType("AUTHORED", ("Person",), ("Document", "Message", "Issue", "Task")),
+        RelType("MENTIONED_IN", ("Person", "Project", "Document", "Task", "Issue"), ("Document", "Message")),
+        RelType("REFERENCES", ("Decision", "Document"), ("Document", "Message", "Issue", "Task")),
+        RelType("PART_OF", ("Task", "Issue", "Document", "Message"), ("Project", "Repository")),
+        RelType("OWNS", ("Person", "Organization"), ("Project", "Repository", "Document")),
+        RelType("ASSIGNED_TO", ("Task", "Issue"), ("Person",)),
+        RelType("DISCUSSED_IN", ("Project", "Task", "Decision"), ("Channel", "Message")),
+        RelType("RELATED_TO"),
+        RelType("DEPENDS_ON", ("Task", "Issue"), ("Task", "Issue")),
+        RelType("CONTRADICTS", ("Decision", "Document", "Message"), ("Decision", "Document", "Message")),
+        RelType("SUPERSEDES", ("Decision", "Document"), ("Decision", "Document")),
+    ),
 )
 
 

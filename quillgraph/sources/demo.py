@@ -1,0 +1,35 @@
+"""A small graph by hand: people, projects, channels, messages, documents, a decision and their organization."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+from ..graph import EDGE, NODE, Graph
+
+#: Labels with the ids that have them, and edges by type.
+NODES = {"Person": (1, 2, 3, 4, 5), "Project": (10, 11), "Channel": (20, 21), "Message": (30, 31), "Document": (40, 41, 42), "Decision": (50,), "Organization": (60,)}
+EDGES = {
+    "MEMBER_OF": ((1, 60), (2, 60), (3, 60), (4, 60), (5, 60)),
+    "OWNS": ((4, 10), (1, 10)),
+    "WORKS_ON": ((1, 10), (2, 11), (4, 10)),
+    "AUTHORED": ((1, 30), (4, 31), (5, 40), (1, 41), (4, 42)),
+    "DISCUSSED_IN": ((30, 20), (31, 20), (10, 20)),
+    "REFERENCES": ((30, 40), (50, 40), (50, 41), (50, 30)),
+    "SUPERSEDES": ((41, 42),),
+    "CONTRADICTS": ((41, 42),),
+    "PART_OF": ((40, 10), (41, 10), (42, 10)),
+}
+#: Of OWNS edges, from when until when; an empty end is open.
+PERIODS = {(4, 10): ("2026-01-01T00:00:00Z", "2026-06-30T23:59:59Z"), (1, 10): ("2026-07-01T00:00:00Z", "")}
+
+
+def demo_graph(spark: SparkSession) -> Graph:
+    label = {i: x for x, ids in NODES.items() for i in ids}
+    nodes = [(i, x, f"{x} {i}", {"name": f"{x} {i}"}) for i, x in label.items()]
+    edges, n = [], 100
+    for kind, pairs in EDGES.items():
+        for a, b in pairs:
+            props = dict(zip(("valid_from", "valid_to"), PERIODS[a, b])) if kind == "OWNS" else {}
+            edges.append((n, kind, a, label[a], b, label[b], props))
+            n += 1
+    return Graph(spark.createDataFrame(nodes, NODE), spark.createDataFrame(edges, EDGE))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..graph import numbered
+
 QUESTION = "question_id string, question_type string, question string, expected array<string>, facts array<string>"
 ANSWER = "question_id string, answer string, document_ids array<string>"
 
@@ -24,12 +26,10 @@ def raw_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def strided(df: DataFrame, order: str, most: int) -> DataFrame:
-    """Every n-th row in order, so that at most `most` remain. Only the order column is dealt for the ranks."""
-    n = df.count()
-    stride = max(1, n // max(1, most))
-    rank = F.row_number().over(Window.orderBy(order))
-    keep = df.select(order).withColumn("_rn", rank).where((F.col("_rn") - 1) % stride == 0).orderBy("_rn").limit(most)
-    return df.join(keep.drop("_rn"), order, "left_semi")
+    """Every n-th row in order, so that at most `most` remain. Only the order column is dealt, by ranges, for the ranks."""
+    stride = max(1, df.count() // max(1, most))
+    keep = numbered(df.select(order), [order]).where(F.col("pos") % stride == 0).orderBy("pos").limit(most)
+    return df.join(keep.drop("pos"), order, "left_semi")
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -44,3 +44,16 @@ def answers(spark: SparkSession, path: str) -> DataFrame:
 
 def queue(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path).dropDuplicates(["id"])
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report as JSON lines, null fields included; what is there is replaced."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_bodies(bodies: DataFrame, path: str) -> None:
+    """The body table (id, text) in ranges of ids, sorted by id, so that look-ups prune; of an id that is there twice the
+    longer text stays, then the greater.
+    """
+    last = bodies.groupBy("id").agg(F.max(F.struct(F.length("text").alias("n"), "text")).alias("b")).select("id", F.col("b.text").alias("text"))
+    last.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stable_id
-from ..graph import Graph
+from ..graph import Graph, shared_folder
 
 #: label, table, key column, text column.
 NODES = (("region", "region", "r_regionkey", "r_name"), ("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("part", "part", "p_partkey", "p_name"), ("order", "orders", "o_orderkey", "o_orderstatus"))
@@ -43,6 +45,22 @@ def star_graph(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None =
     return Graph(nodes, edges)
 
 
+#: Folders of graphs that this application has stored, by application and tables.
+_stored: dict[tuple[str, str], str] = {}
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The star graph as a stored one: written to the shared folder at the first call of an application, then read pruned."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        path = f"{shared_folder(spark)}/quillgraph-graph-{uuid.uuid4().hex}"
+        star_graph(spark, sf_dir).save(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _stored[key] = path
+    return Graph.load(spark, _stored[key])
+
+
 def id_sql(kind: str, key: str) -> str:
     """stable_id in DuckDB's SQL."""
     return f"(('0x' || substr(md5('{kind}:' || {key}::varchar), 1, 12))::bigint + 10000)"
