@@ -1,7 +1,8 @@
 """Proportional stratified interleaving: every shard gets the mixture of sources that the whole table has.
 
-Rows of a source are shuffled by a seeded hash and ranked; row r of n gets the fractional rank (r + 1/2) / n. Sorting
-all rows by that fraction interleaves the sources in proportion, and equal cuts of the sorted table are the shards.
+Rows of a source are shuffled by a seeded hash and ranked; row r of n gets the fractional rank (r + u) / n, where u is a
+number of the source's own in [0, 1), so that sources of one row do not all fall in the middle. Sorting all rows by that
+fraction interleaves the sources in proportion, and equal cuts of the sorted table are the shards.
 Both ranks are found by ranges: rows are dealt into ranges of their sort value, each range is ranked by itself, and the
 counts of the ranges before it are added. The first goes by even ranges of the hash within each source, the second by
 sampled ranges of the whole order, so neither one large source nor very many tiny ones end up in one task.
@@ -42,10 +43,11 @@ def interleave(docs: DataFrame, shards: int = 24, seed: int = 17, rows_per_range
     rows = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("doc_id").cast("string"), F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary")))
     n = docs.count()
     b = _ranges(n, rows_per_range)
-    unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 2.0**32  # in [0, 1): an even spread by the hash
+    in_unit = lambda x: F.conv(F.substring(x, 1, 8), 16, 10).cast("double") / 2.0**32  # noqa: E731  # in [0, 1), evenly
+    own = in_unit(F.md5(F.concat_ws("|", F.lit(str(seed)), "source").cast("binary")))
     ties = ["h", "doc_id", "size", "text_crc32"]
-    ranked = _global_rank(rows, ["source"], F.floor(unit * b), ties, "_of", "_rank")
-    ranked = ranked.select("doc_id", "size", "text_crc32", "source", "h", ((F.col("_rank") + 0.5) / F.col("_of")).alias("f"))
+    ranked = _global_rank(rows, ["source"], F.floor(in_unit(F.col("h")) * b), ties, "_of", "_rank")
+    ranked = ranked.select("doc_id", "size", "text_crc32", "source", "h", ((F.col("_rank") + own) / F.col("_of")).alias("f"))
     placed = numbered(ranked, ["f", "source", *ties]).withColumn("shard", F.expr(f"int(pos * {shards} div {max(n, 1)})"))
     start = F.expr(f"(shard * {n}L + {shards} - 1) div {shards}")
     return placed.select("doc_id", "size", "text_crc32", "source", "shard", (F.col("pos") - start).alias("slot"))

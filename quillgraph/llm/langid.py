@@ -92,12 +92,17 @@ def train(data: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 4
 def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, windows_per_row: int = 6, most_langs: int = 200, seed: int = 5) -> Model:
     """Train on a bounded sample: of each of at most `most_langs` most frequent languages, the `rows_per_lang` rows with
     the smallest seeded hash among those that `learn` admits, and `windows_per_row` windows spread over each whole text.
+
+    Only rows whose hash is in the part of its range that holds four times as many rows on average are ranked, so a
+    language that most rows have is not sorted in one task.
     """
     fine = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     h = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    common = F.broadcast(fine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang"))
-    first = fine.select("lang", h.alias("h")).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows_per_lang)
-    first = first.join(common, "lang").select("h").distinct()  # rows_per_lang * most_langs numbers at most
+    common = F.broadcast(fine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs))
+    part = F.lit(4.0 * rows_per_lang) / F.col("count")
+    near = fine.select("lang", h.alias("h")).join(common, "lang").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= part)
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows_per_lang)
+    first = first.select("h").distinct()  # rows_per_lang * most_langs numbers at most
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -197,7 +202,8 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row.
 
     Learns from the text and language of rows that are not held out; a row with null doc_id is not held out. Null text,
-    empty text and text without letters: `und`, 0. Without any labelled row to learn from, every row is `und`.
+    empty text and text without letters: `und`, 0. Without any labelled row to learn from, every row is `und`. Repeated
+    rows each give a row; other columns than doc_id, text and lang are not read; an empty table gives no rows.
     """
     model = fit(docs, ~held_out())
     return docs.select("doc_id", held_out().alias("held_out"), predict_column(model).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -102,7 +102,7 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _features(data: bytes) -> str:
-    """Mean, deviation, and share of each sixteenth of the value range, of the samples without the filler's frames."""
+    """Mean, deviation, and share of each sixteenth of the value range, of all samples, the filler included."""
     s = np.frombuffer(data, np.uint8)
     share = np.bincount(s >> 4, minlength=16) * 1000 // len(s)
     return f"mean={s.mean():.4f};dev={s.std():.4f};hist=" + ",".join(map(str, share))
@@ -143,5 +143,9 @@ def rebuild(media: DataFrame, lent: DataFrame) -> DataFrame:
 
 
 def media_column(docs: DataFrame) -> DataFrame:
-    """Store every text as media and read it back. Null text: the empty text, one frame of filler. Empty table: no rows."""
+    """Store every text as media and read it back.
+
+    Null text is the empty text, one frame of filler. Rows that repeat, and texts that share an id or a null id, each give
+    a row of their own. Only doc_id and text are read. An empty table gives no rows.
+    """
     return rebuild(*store(docs))

@@ -29,7 +29,7 @@ INTERLEAVE = """
     c as (select doc_id, source, octet_length(b) + 8 as size, list_transform(range(0, octet_length(b)), lambda i: ('0x' || hex(b[i + 1:i + 1]))::bigint) as bytes from b),
     d as (select doc_id, source, size::bigint as size, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) as text_crc32 from c, t),
     h as (select *, md5(concat_ws('|', '17', doc_id, size, text_crc32)) as h from d),
-    f as (select *, (row_number() over (partition by source order by h, doc_id, size, text_crc32) - 0.5::double) / count(*) over (partition by source) as f from h),
+    f as (select *, (row_number() over (partition by source order by h, doc_id, size, text_crc32) - 1 + ('0x' || md5('17|' || source)[1:8])::bigint / 4294967296::double) / count(*) over (partition by source) as f from h),
     p as (select *, row_number() over (order by f, source, h, doc_id, size, text_crc32) - 1 as pos, count(*) over () as n from f),
     s as (select *, pos * 24 // n as shard from p)
     select doc_id, size, text_crc32, 'rows' as law, shard::integer as shard, pos - (shard * n + 23) // 24 as slot, null::integer as grown_shard, source from s

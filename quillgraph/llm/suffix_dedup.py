@@ -433,7 +433,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Every byte covered by a LENGTH-byte string that also starts elsewhere in the corpus goes, all copies alike; matches
-    stay within a text. Null and short texts lose nothing; repeated rows are copies of each other.
+    stay within a text. Null and short texts lose nothing; repeated rows are copies of each other, and so are equal texts
+    under one id or under null ids. Only doc_id and text are read; an empty table gives no rows.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -451,7 +452,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def strip_repeats(docs: DataFrame) -> DataFrame:
     """docs with every repeated byte cut out of the texts; all columns stay, n_chars follows where there is one.
 
-    A character of which only a part is repeated is cut as well. Null texts stay null.
+    A character of which only a part is repeated is cut as well. Null texts stay null; an empty table stays empty.
     """
 
     @F.pandas_udf("string")

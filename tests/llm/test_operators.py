@@ -104,6 +104,58 @@ def test_language(odd, docs, spark):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_language_tables_equal_convolution(docs):
+    """The folded tables against sliding every filter over every window."""
+    model = langid.fit(docs, ~langid.held_out(), rows_per_lang=30)
+    rnd = np.random.default_rng(9)
+    w = rnd.integers(0, 256, (20, langid.WINDOW)).astype(np.uint8)
+    e, best = model.emb[w], []
+    for width, conv, bias in zip(langid.WIDTHS, model.conv, model.bias):
+        z = np.stack([sum(e[:, at + i] @ conv[i] for i in range(width)) for at in range(langid.WINDOW - width + 1)], 1)
+        best.append(z.max(1) + bias)
+    assert np.allclose(langid.Predictor(model)._pooled(w), np.maximum(np.hstack(best), 0), atol=1e-4)
+
+
+def test_language_of_a_hot_label(spark):
+    """The sample is the rows with the smallest hashes of each language, however many rows one has."""
+    rows = [(i, f"text {i} of many", "en" if i % 50 else "fr") for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    h = F.xxhash64(F.lit(5), "doc_id", F.xxhash64("text"))
+    want = {}
+    for r in df.select("doc_id", "text", "lang", h.alias("h")).collect():
+        want.setdefault(r.lang, []).append((r.h, r.text))
+    seen = {}
+    real = langid.train
+    try:
+        langid.train = lambda data, labels, langs, seed: seen.update({x: {bytes(d).rstrip(b"\0").decode() for d, y in zip(data, labels) if langs[y] == x} for x in langs})
+        langid.fit(df, F.lit(True), rows_per_lang=40)
+    finally:
+        langid.train = real
+    assert seen == {x: {t for _, t in sorted(v)[:40]} for x, v in want.items()}
+
+
+def test_empty_tables(odd):
+    """Every operator gives no rows for an empty table."""
+    none = odd.limit(0)
+    assert media_chunks.media_column(none).count() == 0
+    assert interleave.interleave(none).count() == 0
+    assert bpe_codec.encode_documents(none, BYTE).count() == 0
+    assert license_scan.scan(none).count() == 0
+    assert suffix_dedup.strip_repeats(none).count() == 0
+    assert minhash_dedup.drop_near_duplicates(none).count() == 0
+
+
+def test_interleave_of_tiny_sources(spark):
+    """A source for each row, and one that holds a third of all rows."""
+    rows = [(i, "x" * (i % 9), f"s{i}" if i % 3 else "hot") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = interleave.interleave(df, 24, rows_per_range=16).collect()
+    n, hot = Counter(r.shard for r in got), Counter(r.shard for r in got if r.source == "hot")
+    assert sorted((r.doc_id, r.size, r.text_crc32, r.source) for r in got) == sorted((i, len(t) + 8, zlib.crc32(t.encode()), x) for i, t, x in rows)
+    assert set(n.values()) == {37, 38} and all(abs(hot[s] - 12.5) <= 6 for s in range(24))
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n[s])) for s in range(24))
+
+
 def _shingles(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -222,6 +274,21 @@ def test_repeats(spark, odd, monkeypatch, peers):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(raw[i]), m.sum(), runs, hashlib.sha256(kept).hexdigest())
 
 
+def test_repeats_of_null_ids_and_repeated_rows(spark):
+    """Values for null ids, shared ids and repeated rows: every copy loses what it shares, whoever has it."""
+    rnd = random.Random(16)
+    text = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    a, b, c = text(700), text(500), text(400)
+    rows = [(None, a), (None, a[:300] + b), (7, b), (7, c), (7, c), (8, text(300)), (None, None), (9, "")]
+    raw = [(t or "").encode() for _, t in rows]
+    want = Counter()
+    for (i, _), r, m in zip(rows, raw, _repeated(raw)):
+        kept = np.frombuffer(r, np.uint8)[~m].tobytes()
+        want[i, len(r), int(m.sum()), int((m[1:] & ~m[:-1]).sum() + m[:1].sum()), hashlib.sha256(kept).hexdigest()] += 1
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter(tuple(r) for r in got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == want
+
+
 def test_suffix_ranks():
     """Ranks by prefix doubling against sorting all suffixes."""
     rnd = random.Random(13)

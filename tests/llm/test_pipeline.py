@@ -23,6 +23,13 @@ def test_stages(spark):
     assert packed.select("doc_id").distinct().count() == counts[3]
 
 
+def test_stages_of_an_empty_table(spark):
+    now = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, "")
+        assert now.count() == 0
+
+
 def _sets(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
