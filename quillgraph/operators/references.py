@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import distinctive_key
@@ -10,10 +10,14 @@ from ..graph import first_per
 
 
 def usable_keys(declared: DataFrame, most_declarers: int = 3, digits: bool = True) -> DataFrame:
-    """token, dst: keys of (token, dst) that at most `most_declarers` distinct documents declare; others go altogether."""
+    """token, dst: keys of (token, dst) that at most `most_declarers` distinct documents declare; others go altogether.
+
+    A key carries one more of its documents than it may have, and goes if it has that many; so the table is read once
+    and no key is heavier than that after the first step.
+    """
     fine = declared.where(distinctive_key("token")) if digits else declared
-    n = fine.groupBy("token").agg(F.count_distinct("dst").alias("n")).where(F.col("n") <= most_declarers)
-    return fine.select("token", "dst").distinct().join(n.select("token"), "token")
+    few = first_per(fine.select("token", "dst").distinct(), ["token"], "dst", most=most_declarers + 1)
+    return few.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).where(F.col("_n") <= most_declarers).select("token", "dst")
 
 
 def resolve_links(cited: DataFrame, declared: DataFrame, most_declarers: int = 3, most_citations: int = 200, digits: bool = True) -> DataFrame:
@@ -23,9 +27,9 @@ def resolve_links(cited: DataFrame, declared: DataFrame, most_declarers: int = 3
     more than `most_citations` references is dropped with them, even where another token reaches a target as well.
     """
     hits = cited.join(usable_keys(declared, most_declarers, digits), "token").where("src <> dst")
-    first = first_per(hits, ["src", "dst"], "pos", "token").select("src", "dst", "token")
-    over = first.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > most_citations)
-    return first.join(over.select("token"), "token", "left_anti").select("src", "dst", "token")
+    first = hits.groupBy("src", "dst").agg(F.min(F.struct("pos", "token")).alias("at")).select("src", "dst", "at.token")
+    few = first_per(first, ["token"], "src", "dst", most=most_citations + 1)  # one more than may be shows that there are too many
+    return few.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).where(F.col("_n") <= most_citations).select("src", "dst", "token")
 
 
 def fan_out(links: DataFrame, most: int = 15) -> DataFrame:
