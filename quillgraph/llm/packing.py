@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +18,32 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import NO_ID, materialise
 
 CAPACITY = 2048
 END = 0
 MOST_CACHED = 1_000_000
-#: The vocabulary's pattern for lower-case ASCII (a fixed value).
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Characters of texts that are encoded together.
+BATCH = 1_000_000
+#: The vocabulary's pattern for lower-case ASCII (a fixed value), and the line ends that part words.
+ASCII_PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+class _Pieces(dict):
+    """Ids of single pieces, merged once each."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        return got
 
 
 class WordTokens(dict):
-    """Ids of the words between spaces and line ends, which no token and no normalisation crosses."""
+    """Ids, as little-endian unsigned 32-bit integers, of the words between spaces and line ends, which no token and no
+    normalisation crosses.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -36,36 +52,64 @@ class WordTokens(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.pieces[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
-        return got
+        self.pieces = _Pieces(self.tokenizer.model)
 
     def learn(self, words: set[str]) -> None:
-        """Printable ASCII needs no normalisation but lower case and goes to the merges by piece; the rest goes whole."""
-        new = []
-        for w in words:
-            if w in self:
-                continue
-            if w.isascii() and w.isprintable() and not any(s in w for s in self.specials):
-                self[w] = b"".join([self._piece(p) for p in ASCII_PIECES.findall(w.lower())])
+        """Add words that are not there. Printable ASCII needs no normalisation but lower case and goes to the merges by piece; the rest goes whole."""
+        plain = [w for w in words if w.isascii() and w.isprintable()]
+        lines = "\n".join(plain)
+        if any(s in lines for s in self.specials):
+            plain = [w for w in plain if not any(s in w for s in self.specials)]
+            lines = "\n".join(plain)
+        rest = list(words.difference(plain)) if len(plain) < len(words) else []
+        pieces, own, i = self.pieces, [], 0
+        for piece in ASCII_PIECES.findall(lines.lower()):
+            if piece == "\n":
+                self[plain[i]] = b"".join(own)
+                own, i = [], i + 1
             else:
-                new.append(w)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                own.append(pieces[piece])
+        if plain:
+            self[plain[i]] = b"".join(own)
+        for i in range(0, len(rest), 4096):
+            part = rest[i : i + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        """The ids of each text. Words are looked up once; those that are new are learned together and then filled in."""
         if len(self) > MOST_CACHED:
             self.clear()
             self.pieces.clear()
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.__getitem__, words)) for words in cut]
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes] = []
+        open_: list[tuple[int, list[bytes | None]]] = []
+        new: set[str] = set()
+        for words in cut:
+            ids = list(map(self.get, words))
+            try:
+                out.append(b"".join(ids))
+            except TypeError:  # a word is new
+                new.update([w for w, x in zip(words, ids) if x is None])
+                open_.append((len(out), ids))
+                out.append(b"")
+        if new:
+            self.learn(new)
+        for at, ids in open_:
+            out[at] = b"".join([self[w] if x is None else x for w, x in zip(cut[at], ids)])
+        return out
+
+
+def batches_of(texts: list[str], size: int = BATCH) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about `size` characters each; a longer text is alone."""
+    at = n = 0
+    for i, t in enumerate(texts):
+        if i > at and n + len(t) > size:
+            yield at, i
+            at, n = i, 0
+        n += len(t)
+    if at < len(texts):
+        yield at, len(texts)
 
 
 #: One for each vocabulary in a worker.
@@ -79,20 +123,22 @@ def tokens(path: str) -> WordTokens:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: each text's ids and END, cut only where they are more than capacity."""
+    """doc_id (NO_ID for null), piece, start, length, ids_crc32: each text's ids and END, cut only where they are more than
+    capacity.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = tokens(path)
         for b in batches:
             rows = []
-            for i in range(0, len(b), 64):
-                part = b.iloc[i : i + 64]
-                for doc, ids in zip(part.doc_id, words.encode(part.text.tolist())):
+            texts, docs_ = b.text.tolist(), b.doc_id.tolist()
+            for i, j in batches_of(texts):
+                for doc, ids in zip(docs_[i:j], words.encode(texts[i:j])):
                     ids += END.to_bytes(4, "little")
                     rows += [(doc, p, at // 4, len(x) // 4, zlib.crc32(x)) for p, at in enumerate(range(0, len(ids), 4 * capacity)) for x in [ids[at : at + 4 * capacity]]]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return text.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -150,4 +196,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most_open: int =
     h = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cut.withColumns({"h": h, "g": F.pmod(h, F.lit(groups))})
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("g").applyInPandas(lambda pdf: packed(pdf), out)
+    return dealt.groupBy("g").applyInPandas(lambda pdf: packed(pdf), out).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
