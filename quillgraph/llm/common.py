@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -58,6 +59,18 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("th"), *more)
 
 
+def batches_of(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about `size` characters each; a longer text is alone."""
+    at = n = 0
+    for i, t in enumerate(texts):
+        if i > at and n + len(t) > size:
+            yield at, i
+            at, n = i, 0
+        n += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

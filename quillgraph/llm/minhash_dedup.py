@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants
+from .common import NO_ID, batches_of, hot_join, keyed, materialise, mix64, odd_constants
 from .components import stars
 
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 T = BANDS * ROWS
+#: Characters of texts that are handled together, and words whose hashes a task keeps.
+BATCH, MOST_CACHED = 400_000, 250_000
 _WORD = odd_constants(SHINGLE, 11)
 _ROUND = odd_constants(2 * T, 12)
 _BAND = odd_constants(ROWS, 13)
@@ -36,7 +38,7 @@ class _Words(dict):
     """Hashes of words, computed once each; emptied when too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > MOST_CACHED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -94,8 +96,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
+            for i, j in batches_of(b.text.tolist(), BATCH):
+                part = b.iloc[i:j]
                 sets = shingles(part.text.tolist(), words)
                 fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
                 yield pd.DataFrame({"did": part.did.to_numpy(), "th": part.th.to_numpy(), "n_shingles": [len(s) for s in sets], "fp1": fp[:, 0], "fp2": fp[:, 1], "bands": list(band_keys(sketches(sets)))})
@@ -109,8 +111,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for b in batches:
-            for i in range(0, len(b), 256):
-                part = b.iloc[i : i + 256]
+            for i, j in batches_of(b.text.tolist(), BATCH):
+                part = b.iloc[i:j]
                 sets = shingles(part.text.tolist(), words)
                 yield pd.DataFrame({"node": part.node.to_numpy(), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 

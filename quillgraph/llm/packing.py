@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise
+from .common import NO_ID, batches_of, materialise
 
 CAPACITY = 2048
 END = 0
@@ -100,18 +100,6 @@ class WordTokens(dict):
         return out
 
 
-def batches_of(texts: list[str], size: int = BATCH) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about `size` characters each; a longer text is alone."""
-    at = n = 0
-    for i, t in enumerate(texts):
-        if i > at and n + len(t) > size:
-            yield at, i
-            at, n = i, 0
-        n += len(t)
-    if at < len(texts):
-        yield at, len(texts)
-
-
 #: One for each vocabulary in a worker.
 _tokens: dict[str, WordTokens] = {}
 
@@ -132,7 +120,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for b in batches:
             rows = []
             texts, docs_ = b.text.tolist(), b.doc_id.tolist()
-            for i, j in batches_of(texts):
+            for i, j in batches_of(texts, BATCH):
                 for doc, ids in zip(docs_[i:j], words.encode(texts[i:j])):
                     ids += END.to_bytes(4, "little")
                     rows += [(doc, p, at // 4, len(x) // 4, zlib.crc32(x)) for p, at in enumerate(range(0, len(ids), 4 * capacity)) for x in [ids[at : at + 4 * capacity]]]
