@@ -71,6 +71,11 @@ def batches_of(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def with_null_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """df with NO_ID as null again. Ids pass through pandas without nulls, which would make them inexact numbers."""
+    return df.withColumn(name, F.nullif(name, F.lit(NO_ID)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

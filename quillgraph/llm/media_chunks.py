@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, keyed, materialise
+from .common import hot_join, keyed, materialise, with_null_ids
 
 #: Samples of 8 bits; a frame of 24 x 24 of them is the least unit of a payload.
 FRAME = 576
@@ -71,7 +71,7 @@ def manifest(docs: DataFrame) -> DataFrame:
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(media, lent): media has a row per document with its own frames; lent has the chunks that other rows refer to.
 
-    media: doc_id, did, th, n_bytes, frames array<struct<seq, digest, z>> (z null where another document owns the chunk).
+    media: did (NO_ID for null), th, n_bytes, frames array<struct<seq, digest, z>> (z null where another document owns the chunk).
     lent: did, th, seq, digest, z of chunks that are fetched from their owner. Only rows that share chunks take part
     in joins on digests; the bytes of a document move once, to meet its list.
     """
@@ -88,13 +88,13 @@ def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             rows = []
             for r in b.itertuples(index=False):
                 data, n = payload(r.text)
-                rows.append((r.doc_id, r.did, r.th, n, [{"seq": i, "digest": _digest(c), "z": pack(c)} for i, c in enumerate(chunks(data))]))
-            yield pd.DataFrame(rows, columns=["doc_id", "did", "th", "n_bytes", "frames"]).astype({"doc_id": "Int64"})
+                rows.append((r.did, r.th, n, [{"seq": i, "digest": _digest(c), "z": pack(c)} for i, c in enumerate(chunks(data))]))
+            yield pd.DataFrame(rows, columns=["did", "th", "n_bytes", "frames"])
 
-    frames = keyed(docs).mapInPandas(framed, "doc_id long, did long, th long, n_bytes long, frames array<struct<seq int, digest binary, z binary>>")
+    frames = keyed(docs).mapInPandas(framed, "did long, th long, n_bytes long, frames array<struct<seq int, digest binary, z binary>>")
     known = frames.join(orders, ["did", "th"], "left").join(owned, ["did", "th"], "left")
     own = F.expr("transform(frames, f -> named_struct('seq', f.seq, 'digest', f.digest, 'z', if(away is not null and array_contains(away, f.seq), null, f.z)))")
-    media = materialise(known.select("doc_id", "did", "th", "n_bytes", own.alias("frames"), F.col("away").isNotNull().alias("borrows"), "lend"), "none")
+    media = materialise(known.select("did", "th", "n_bytes", own.alias("frames"), F.col("away").isNotNull().alias("borrows"), "lend"), "none")
     give = media.where("lend is not null").select(F.col("did").alias("odid"), F.col("th").alias("oth"), F.explode(F.expr("filter(frames, f -> array_contains(lend, f.seq))")).alias("f"))
     give = give.select("odid", "oth", F.col("f.seq").alias("oseq"), F.col("f.z").alias("z")).dropDuplicates(["odid", "oth", "oseq"])
     lent = hot_join(refs.where(away).dropDuplicates(["did", "th", "seq"]), give, ["odid", "oth", "oseq"]).select("did", "th", "seq", "digest", "z")
@@ -127,19 +127,19 @@ def rebuild(media: DataFrame, lent: DataFrame) -> DataFrame:
                     z = f["z"] if f["z"] is not None else got[f["seq"]]
                     c = unpack(z)
                     if _digest(c) != f["digest"]:
-                        raise ValueError(f"chunk {f['seq']} of document {r.doc_id} is damaged")
+                        raise ValueError(f"chunk {f['seq']} of document {r.did} is damaged")
                     data.append(c)
                     form.append(z)
                 whole, kept = b"".join(data), b"".join(form)
-                rows.append((r.doc_id, r.n_bytes, len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(kept), hashlib.sha256(kept).hexdigest(), _features(whole)))
+                rows.append((r.did, r.n_bytes, len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]), len(kept), hashlib.sha256(kept).hexdigest(), _features(whole)))
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     got = lent.groupBy("did", "th").agg(F.collect_list(F.struct("seq", "z")).alias("got"))
-    whole = media.where("not borrows").select("doc_id", "n_bytes", "frames", F.expr("cast(null as array<struct<seq int, z binary>>)").alias("got"))
-    mended = media.where("borrows").join(got, ["did", "th"]).select("doc_id", "n_bytes", "frames", "got")
-    return whole.mapInPandas(read, out).unionByName(mended.mapInPandas(read, out))
+    whole = media.where("not borrows").select("did", "n_bytes", "frames", F.expr("cast(null as array<struct<seq int, z binary>>)").alias("got"))
+    mended = media.where("borrows").join(got, ["did", "th"]).select("did", "n_bytes", "frames", "got")
+    return with_null_ids(whole.mapInPandas(read, out).unionByName(mended.mapInPandas(read, out)))
 
 
 def media_column(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batches_of, materialise
+from .common import NO_ID, batches_of, materialise, with_null_ids
 
 CAPACITY = 2048
 END = 0
@@ -184,4 +184,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most_open: int =
     h = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cut.withColumns({"h": h, "g": F.pmod(h, F.lit(groups))})
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return dealt.groupBy("g").applyInPandas(lambda pdf: packed(pdf), out).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
+    return with_null_ids(dealt.groupBy("g").applyInPandas(lambda pdf: packed(pdf), out))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants
+from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants, with_null_ids
 
 LENGTH = 200
 #: Bytes of a trigger, and the share of strings that are triggers: one in EVERY.
@@ -440,13 +440,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, text, spans in zip(b.doc_id, b.text, b.spans):
+            for i, text, spans in zip(b.did, b.text, b.spans):
                 raw = text.encode("utf-8", "surrogatepass")
                 kept, gone, runs = cut_out(raw, [(s["a"], s["b"]) for s in spans] if spans is not None else [])
                 rows.append((i, len(raw), gone, runs, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_spans(keyed(docs)).select("doc_id", "text", "spans").mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = _with_spans(keyed(docs)).select("did", "text", "spans")
+    return with_null_ids(rows.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:

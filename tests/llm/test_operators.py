@@ -145,6 +145,16 @@ def test_empty_tables(odd):
     assert minhash_dedup.drop_near_duplicates(none).count() == 0
 
 
+def test_large_ids_beside_null_ones(spark):
+    """Ids that no double can hold stay exact in tables that have null ids as well."""
+    ids = [2**60 + 1, 2**60 + 2, None]
+    df = spark.createDataFrame([(i, "some text for all") for i in ids], "doc_id long, text string").coalesce(1)
+    for got in (media_chunks.media_column(df), interleave.interleave(df.withColumn("source", F.lit("s"))), bpe_codec.encode_documents(df, BYTE), suffix_dedup.remove_repeats(df), packing.pack(df, WORD), license_scan.scan(df), minhash_dedup.near_duplicates(df), langid.identify(df.withColumn("lang", F.lit("en")))):
+        assert {r.doc_id for r in got.collect()} == set(ids)
+    pages = spark.createDataFrame([(i, "http://x.example/a", "<p>one") for i in ids], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in html_extract.extract(pages).collect()} == set(ids)
+
+
 def test_interleave_of_tiny_sources(spark):
     """A source for each row, and one that holds a third of all rows."""
     rows = [(i, "x" * (i % 9), f"s{i}" if i % 3 else "hot") for i in range(900)]
