@@ -28,11 +28,14 @@ def integer_vectors(df: DataFrame, vec: str = "embedding", scale: int = 256) ->
     )
 
 
-def _segments(m: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(m: np.ndarray, parts: int) -> np.ndarray:
+    """Segment means and deviations of each row, times the root of the segment's length.
+
+    With these the bound is an inner product: the squares of a row's entries add up to its norm, whatever the resolution.
+    """
     cuts = np.linspace(0, m.shape[1], min(parts, m.shape[1]) + 1).astype(int)
-    mean = np.stack([m[:, a:b].mean(1) for a, b in zip(cuts, cuts[1:])], 1)
-    dev = np.stack([m[:, a:b].std(1) for a, b in zip(cuts, cuts[1:])], 1)
-    return mean, dev, np.diff(cuts).astype(float)
+    root = np.sqrt(np.diff(cuts))
+    return np.hstack([np.stack([m[:, a:b].mean(1) for a, b in zip(cuts, cuts[1:])], 1) * root, np.stack([m[:, a:b].std(1) for a, b in zip(cuts, cuts[1:])], 1) * root])
 
 
 def score_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], int]:
@@ -44,39 +47,34 @@ def score_block(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray,
     order = np.argsort(xid, kind="stable")
     xid, x = xid[order], x[order]
     qf, xf = q.astype(float), x.astype(float)
-    norms = (qf**2).sum(1)[:, None] + (xf**2).sum(1)[None, :]
-    levels = [(_segments(qf, r), _segments(xf, r)) for r in RESOLUTIONS]
-
-    def upper(level: int, i: int, keep: np.ndarray) -> np.ndarray:
-        (qm, qd, size), (xm, xd, _) = levels[level]
-        gap = (size * ((xm[keep] - qm[i]) ** 2 + (xd[keep] - qd[i]) ** 2)).sum(1)
-        best = (norms[i, keep] - gap) / 2
-        return best + 1e-9 * (1 + norms[i, keep])
-
-    (qm, qd, size), (xm, xd, _) = levels[0]
-    root = np.sqrt(size)
-    qs, xs = np.hstack([qm * root, qd * root]), np.hstack([xm * root, xd * root])
-    coarse = qs @ xs.T  # (norms - lower distance) / 2 without its constant part, which cancels
+    qn, xn = (qf**2).sum(1), (xf**2).sum(1)
+    if max(qn.max(initial=0), xn.max(initial=0)) < 2**52:
+        q, x = qf, xf  # every partial sum is a whole number that a double holds
+    floor = np.full(len(qid), -np.inf) if floors is None else floors.copy()
+    alive = xid[None, :] != qid[:, None]
+    cols = np.arange(len(xid))
+    for parts in RESOLUTIONS:
+        cols = cols[alive[:, cols].any(0)]
+        if not len(cols):
+            break
+        bound = _segments(qf, parts) @ _segments(xf[cols], parts).T + 1e-9 * (1 + qn[:, None] + xn[None, cols])
+        bound[~alive[:, cols]] = -np.inf
+        # the most promising at this resolution are computed, which raises the floors
+        n = min(2 * k, len(cols))
+        first = np.argpartition(-bound, n - 1, axis=1)[:, :n]
+        exact = np.einsum("qnd,qd->qn", x[cols[first]], q).astype(float)
+        exact[np.take_along_axis(bound, first, 1) == -np.inf] = -np.inf
+        if n >= k:
+            floor = np.maximum(floor, np.sort(exact, 1)[:, -k])
+        alive[:, cols] &= bound >= floor[:, None]
     out, left = [], 0
     for i in range(len(qid)):
-        keep = np.flatnonzero(xid != qid[i])
-        if not len(keep):
-            continue
-        floor = -np.inf if floors is None else floors[i]
-        bound = coarse[i, keep] + 1e-9 * (1 + norms[i, keep])
-        for level in range(len(RESOLUTIONS)):
-            if level:
-                bound = upper(level, i, keep)
-            # the most promising at this resolution are computed, which raises the floor
-            first = keep[np.argpartition(-bound, min(2 * k, len(keep)) - 1)[: 2 * k]]
-            exact = x[first] @ q[i]
-            if len(exact) >= k:
-                floor = max(floor, np.sort(exact)[-k])
-            keep = keep[bound >= floor]
-            if not len(keep):
-                break
+        keep = np.flatnonzero(alive[i])
         left += len(keep)
         score = x[keep] @ q[i]
+        if len(keep) > 4 * k:  # ties of the k-th stay
+            kth = np.partition(score, -k)[-k]
+            keep, score = keep[score >= kth], score[score >= kth]
         out += [(int(qid[i]), int(xid[j]), int(s)) for j, s in ((keep[t], score[t]) for t in np.lexsort((xid[keep], -score))[:k])]
     return out, left
 
