@@ -94,13 +94,14 @@ def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, windows_per_ro
     the smallest seeded hash among those that `learn` admits, and `windows_per_row` windows spread over each whole text.
 
     Only rows whose hash is in the part of its range that holds four times as many rows on average are ranked, so a
-    language that most rows have is not sorted in one task.
+    language that most rows have is not sorted in one task. Rows that repeat id, language and text count as one, so they
+    neither crowd out others nor reach the driver more than once.
     """
     fine = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     h = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
     common = F.broadcast(fine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs))
     part = F.lit(4.0 * rows_per_lang) / F.col("count")
-    near = fine.select("lang", h.alias("h")).join(common, "lang").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= part)
+    near = fine.select("lang", h.alias("h")).join(common, "lang").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= part).select("lang", "h").distinct()
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows_per_lang)
     first = first.select("h").distinct()  # rows_per_lang * most_langs numbers at most
 
@@ -113,7 +114,8 @@ def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, windows_per_ro
                     rows += [(h, i, lang, w[i].tobytes()) for i in sorted({int(i) for i in np.linspace(0, len(w) - 1, windows_per_row)})]
             yield pd.DataFrame(rows, columns=["h", "i", "lang", "w"])
 
-    part = fine.withColumn("h", h).join(F.broadcast(first), "h").select("h", "lang", "text").mapInPandas(cut, "h long, i int, lang string, w binary").toPandas()
+    sample = fine.withColumn("h", h).join(F.broadcast(first), "h").select("h", "lang", "text").dropDuplicates(["h", "lang"])
+    part = sample.mapInPandas(cut, "h long, i int, lang string, w binary").toPandas()
     part = part.drop_duplicates(["h", "i", "lang"]).sort_values(["lang", "h", "i"])
     langs = sorted(part.lang.unique().tolist())
     if not langs:
