@@ -169,19 +169,20 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, most_open: int =
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row.
 
     Null and empty texts are one piece that only has END. Repeated rows are packed each by itself. Groups are dealt by a
-    hash of the row and packed independently, so at most `most_open` poorly filled sequences are left in each. Only the
-    columns doc_id and text are read. An empty table gives no rows.
+    hash of the row and its number, so that repeated rows spread as well, and packed independently, so at most
+    `most_open` poorly filled sequences are left in each. Only the columns doc_id and text are read. An empty table gives
+    no rows.
     """
-    cut = materialise(pieces(docs, path, capacity))
+    cut = materialise(pieces(docs, path, capacity).withColumn("row", F.monotonically_increasing_id()))
     groups = max(1, -(-cut.count() // group_rows))
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "piece", "ids_crc32"])
+        pdf = pdf.sort_values(["h", "row"])
         bins, places, _ = best_fit(pdf.length.tolist(), capacity, most_open)
         pdf["sequence_id"] = np.array(bins, np.int64) + pdf.pop("g").astype("int64") * 2**24
-        return pdf.drop(columns="h").assign(offset=np.array(places, np.int64))
+        return pdf.drop(columns=["h", "row"]).assign(offset=np.array(places, np.int64))
 
     h = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = cut.withColumns({"h": h, "g": F.pmod(h, F.lit(groups))})
+    dealt = cut.withColumns({"h": h, "g": F.pmod(F.xxhash64(h, "row"), F.lit(groups))})
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return with_null_ids(dealt.groupBy("g").applyInPandas(lambda pdf: packed(pdf), out))
