@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,24 +17,59 @@ NO_ID = -(2**63)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-")
+    """The folder all executors share, as the cluster names it; a local one only where none is named and all run in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
+#: Tables written inside the innermost passing().
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
+def _place(table: DataFrame):
+    """The file system and path of a table that materialise() wrote."""
+    sc = table.sparkSession.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(table._written)
+    return where.getFileSystem(sc._jsc.hadoopConfiguration()), where
+
+
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; the table goes when the driver ends."""
+    """Write df as a Parquet table in the shared folder and read it back; the table goes with passing() or when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/quillgraph-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = path
+    files, where = _place(table)
+    files.deleteOnExit(where)
+    if _made.get() is not None:
+        _made.get().append(table)
+    return table
+
+
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Tables that materialise() writes inside are deleted at the end, but for those put into the list this gives.
+
+    What is read later may only derive from the tables in the list.
+    """
+    outer, made, keep = _made.get(), [], []
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for t in made:
+            if not any(t is k for k in keep):
+                files, where = _place(t)
+                files.delete(where, True)
+            elif outer is not None:
+                outer.append(t)
 
 
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

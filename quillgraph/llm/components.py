@@ -25,6 +25,6 @@ def stars(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         e = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct())
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return materialise(e.select(F.col("u").alias("node"), F.col("v").alias("root")))
         seen = state
     raise RuntimeError("components did not settle")

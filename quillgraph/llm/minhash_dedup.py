@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batches_of, hot_join, keyed, materialise, mix64, odd_constants
+from .common import NO_ID, batches_of, hot_join, keyed, materialise, mix64, odd_constants, passing
 from .components import stars
 
 SHINGLE = 5
@@ -188,12 +188,8 @@ def across_groups(members: DataFrame, open_: DataFrame, sets: DataFrame, percent
     return rows.groupBy(F.pmod(F.xxhash64("key", "ci", "cj"), F.lit(tasks)).alias("t")).applyInPandas(lambda pdf: compare(pdf), "u long, v long")
 
 
-def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> DataFrame:
-    """did, th, n_shingles, rid, rep of each keyed document; rep is the first row (rid, did, th) of its component.
-
-    rid numbers the rows; rep is null for documents without words. Equal sets are one node, whoever has them: texts that
-    share an id stay apart. Nodes are numbered in the order of their first rows, by id with null ids last.
-    """
+def grouped(docs: DataFrame, percent: int, pivot_rounds: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Written tables: signatures of the rows, numbered by rid; a node for each distinct set; node, root of linked nodes."""
     sig = materialise(signatures(docs).withColumn("rid", F.monotonically_increasing_id()))
     first = F.min(F.struct((F.col("did") == NO_ID).alias("no_id"), "did", "th", "rid"))
     nodes = sig.where("n_shingles > 0").groupBy("fp1", "fp2").agg(first.alias("rep")).select("fp1", "fp2", "rep.*")
@@ -230,6 +226,19 @@ def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> Dat
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = stars(links)
+    return sig, nodes, roots
+
+
+def components(docs: DataFrame, percent: int = 85, pivot_rounds: int = 2) -> DataFrame:
+    """did, th, n_shingles, rid, rep of each keyed document; rep is the first row (rid, did, th) of its component.
+
+    rid numbers the rows; rep is null for documents without words. Equal sets are one node, whoever has them: texts that
+    share an id stay apart. Nodes are numbered in the order of their first rows, by id with null ids last. Buckets, sets
+    and pairs are deleted on return.
+    """
+    with passing() as keep:
+        sig, nodes, roots = grouped(docs, percent, pivot_rounds)
+        keep += [t for t in (sig, nodes, roots) if t is not None]
     named = nodes.select("fp1", "fp2", "node", F.struct("rid", "did", "th").alias("rep"))
     if roots is not None:
         far = hot_join(roots, named.select(F.col("node").alias("root"), F.col("rep").alias("far")), ["root"]).select("node", "far")

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillgraph.llm import bpe_codec, html_extract, interleave, langid, license_scan, media_chunks, minhash_dedup, packing, queries, suffix_dedup, topk_search
+from quillgraph.llm import bpe_codec, common, html_extract, interleave, langid, license_scan, media_chunks, minhash_dedup, packing, queries, suffix_dedup, topk_search
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
@@ -134,6 +134,19 @@ def test_language_of_a_hot_label(spark):
     assert seen == {x: {t for _, t in sorted(v)[:40]} for x, v in want.items()}
 
 
+def test_language_sample_of_repeated_rows(spark):
+    """A row that most of the table repeats counts once in the sample, and the other rows of its language stay in it."""
+    rows = [(None, "the same again", "en")] * 3000 + [(i, f"text {i} of many", "en") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, real = [], langid.train
+    try:
+        langid.train = lambda data, labels, langs, seed: seen.extend(bytes(d).rstrip(b"\0").decode() for d in data)
+        langid.fit(df, F.lit(True), rows_per_lang=2000)
+    finally:
+        langid.train = real
+    assert sorted(seen) == sorted({t for _, t, _ in rows})
+
+
 def test_empty_tables(odd):
     """Every operator gives no rows for an empty table."""
     none = odd.limit(0)
@@ -399,6 +412,34 @@ def test_packing(odd, docs):
     assert packing.pack(odd.limit(0), WORD).count() == 0
 
 
+def test_packing_spreads_repeated_rows(spark):
+    """Rows that are equal in all columns are dealt over all groups."""
+    df = spark.createDataFrame([(None, "one text")] * 4000, "doc_id long, text string").repartition(4)
+    groups = Counter(r.sequence_id >> 24 for r in packing.pack(df, WORD, group_rows=400).collect())
+    assert len(groups) == 10 and max(groups.values()) < 600 and sum(groups.values()) == 4000
+
+
+def test_passing_tables(spark, tmp_path, monkeypatch):
+    """Tables written inside go at its end, also after an error, but for those that are kept; those go with the outer one."""
+    monkeypatch.setattr(common, "scratch_root", lambda _: f"file://{tmp_path}")
+    left = lambda: len(list(tmp_path.iterdir()))
+    with common.passing() as outer:
+        with common.passing() as keep:
+            first = common.materialise(spark.range(9))
+            keep.append(common.materialise(first.where("id > 3")))
+            assert left() == 2
+        assert left() == 1 and keep[0].count() == 5
+        with pytest.raises(KeyError), common.passing():
+            common.materialise(spark.range(2))
+            raise KeyError
+        assert left() == 1
+        outer.append(common.materialise(keep[0]))
+    assert left() == 1 and outer[0].count() == 5
+    texts = [(i, BASE[:1500] + " x" * (i % 3)) for i in range(9)]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert left() == 4 and {r.component_id for r in got.collect()} == {0}  # signatures, nodes and roots
+
+
 def test_bounded_bins():
     """Against trying every open bin: the tightest that fits, else a new one, for which the fullest closes at the bound."""
     rnd = random.Random(11)
