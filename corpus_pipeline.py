@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import ship
 from quillgraph.llm import langid, minhash_dedup, packing, suffix_dedup
-from quillgraph.llm.common import materialise
+from quillgraph.llm.common import materialise, passing
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
@@ -47,5 +47,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with passing() as keep:  # a stage's own tables go once its documents are written
+            docs = materialise(stage(spark, docs, sf_dir))
+            keep.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
