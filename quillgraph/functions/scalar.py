@@ -21,15 +21,16 @@ def stable_id_of(kind: str, key: str) -> int:
     return int(hashlib.md5(f"{kind}:{key}".encode()).hexdigest()[:12], 16) + FIRST_ID
 
 
-def title_case(c: str) -> Column:
+def title_case(c: Column | str) -> Column:
     """Words between underscores and white space with their first letter in upper case; the rest stays as it is."""
     words = F.filter(F.split(c, r"[_\s]+"), lambda w: w != "")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 2**31 - 1))), " ")
 
 
-def person_name(c: str) -> Column:
+def person_name(c: Column | str) -> Column:
     """Title case for lower-case names with underscores only."""
-    return F.when(F.col(c).contains("_") & (F.lower(c) == F.col(c)), title_case(c)).otherwise(F.col(c))
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c.contains("_") & (F.lower(c) == c), title_case(c)).otherwise(c)
 
 
 def distinctive_key(c: str | Column, least: int = 6) -> Column:

@@ -122,9 +122,12 @@ def first_per(df: DataFrame, keys: Sequence[str], *order: Column | str, most: in
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a local one only where none is named, as in tests."""
+    """The folder all executors share, as the cluster names it; a local one only where none is named and all run in one process."""
     sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-quillgraph-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root

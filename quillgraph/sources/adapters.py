@@ -27,19 +27,21 @@ class Adapter:
     keys: tuple[str, ...] = ()
     links: tuple[str, ...] = ()
     properties: dict[str, str] = field(default_factory=dict)
+    url: tuple[str, ...] = ()
+    scheme: str = ""
 
 
 #: The fields of each source that carry meaning.
 ADAPTERS = {
-    "confluence": Adapter("Document", "title", "content", ("body",), ("author", "reviewers"), project=("space", "owner_team"), links=("related_pages", "labels"), properties={"created_at": "created_at", "updated_at": "last_updated"}),
-    "google_drive": Adapter("Document", "title", "content", ("content",), ("owner", "collaborators"), project=("team",), links=("linked_artifacts", "tags"), properties={"created_at": "created_at", "updated_at": "last_modified"}),
-    "fireflies": Adapter("Document", "title", "content", ("summary", "next_steps", "action_items"), ("redwood_owner", "redwood_attendees"), company="customer_company", keys=("meeting_id",), links=("topics", "competitors_mentioned"), properties={"created_at": "recorded_at"}),
-    "gmail": Adapter("Message", "subject", "text", ("messages", "subject"), ("mailbox_owner", "participants_internal"), company="related_account", keys=("thread_id", "deal_id"), links=("related_links",), properties={"sent_at": "first_email_at", "thread_id": "thread_id"}),
+    "confluence": Adapter("Document", "title", "content", ("body",), ("author", "reviewers"), project=("space", "owner_team"), links=("related_pages", "labels"), properties={"created_at": "created_at", "updated_at": "last_updated"}, url=("space",), scheme="confluence://"),
+    "google_drive": Adapter("Document", "title", "content", ("content",), ("owner", "collaborators"), project=("team",), links=("linked_artifacts", "tags"), properties={"created_at": "created_at", "updated_at": "last_modified"}, url=("path", "original_location")),
+    "fireflies": Adapter("Document", "title", "content", ("summary", "next_steps", "action_items"), ("redwood_owner", "redwood_attendees"), company="customer_company", keys=("meeting_id",), links=("topics", "competitors_mentioned"), properties={"created_at": "recorded_at", "updated_at": "recorded_at"}, url=("meeting_id",)),
+    "gmail": Adapter("Message", "subject", "text", ("messages",), ("mailbox_owner", "participants_internal"), company="related_account", keys=("thread_id", "deal_id"), links=("related_links",), properties={"sent_at": "first_email_at", "thread_id": "thread_id"}),
     "slack": Adapter("Message", "text", "text", ("text",), ("participants",), channel="channel", keys=("thread_ts",), properties={"sent_at": "first_message_ts", "thread_id": "thread_ts"}),
     "jira": Adapter("Task", "summary", "description", ("description",), ("reporter",), ("assignee",), ("project",), company="customer_company", keys=("key",), links=("linked_issues", "labels", "components"), properties={"status": "status", "created_at": "created_at"}),
     "linear": Adapter("Task", "title", "description", ("description",), ("creator",), ("assignee",), ("project",), keys=("key",), links=("labels",), properties={"status": "status", "created_at": "created_at"}),
     "github": Adapter("Issue", "title", "body", ("body", "release_notes"), ("author", "reviewers"), project=("repo",), keys=("pr_number",), links=("linked_linear", "labels"), properties={"status": "state", "created_at": "created_at"}),
-    "hubspot": Adapter("Document", "company_name", "content", ("next_step", "blockers"), ("owner",), ("se_assigned",), company="company_name", keys=("company_id",), links=("linked_fireflies", "linked_gmail_threads", "linked_support_tickets"), properties={"created_at": "created_at", "updated_at": "updated_at"}),
+    "hubspot": Adapter("Document", "company_name", "content", ("next_step", "blockers"), ("owner",), ("se_assigned",), company="company_name", keys=("company_id",), links=("linked_fireflies", "linked_gmail_threads", "linked_support_tickets"), properties={"created_at": "created_at", "updated_at": "updated_at"}, url=("company_domain",)),
 }
 
 
@@ -53,18 +55,20 @@ def _text(c: Column) -> Column:
     return F.coalesce(F.when(c.startswith("["), F.array_join(listed, "\n")).otherwise(c), F.lit(""))
 
 
-def _list(name: str) -> Column:
+def _list(name: str, single: bool = False) -> Column:
+    """The strings of a list without blank ones; a plain string is a list of itself for `single` fields, else none."""
+    none = F.array().cast("array<string>")
     c = _get(name)
-    one = F.when(F.coalesce(F.trim(c), F.lit("")) == "", F.array().cast("array<string>")).when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
-    return F.filter(F.transform(F.coalesce(one, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    whole = F.when(c.startswith("["), F.from_json(c, "array<string>")).when(F.lit(single), F.array(c))
+    return F.filter(F.transform(F.coalesce(whole, none), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def _people(name: str, relation: str) -> Column:
-    return F.transform(_list(name), lambda n: F.struct(n.alias("name"), F.lit(relation).alias("relation")))
+    return F.transform(_list(name, single=True), lambda n: F.struct(person_name(n).alias("name"), F.lit(relation).alias("relation")))
 
 
 def body(fallbacks: tuple[str, ...]) -> Column:
-    """The declared content fields, else the fallbacks; several fields get their names as titles."""
+    """The declared content fields that hold text, else the fallbacks; of several fields each gets its name as a title."""
     declared = F.from_json(_get("content_field_names"), "array<string>")
     names = F.when(F.size(declared) > 0, declared).otherwise(F.array(*[F.lit(x) for x in fallbacks]))
     parts = F.filter(F.transform(names, lambda n: F.struct(n.alias("n"), _text(F.try_element_at("raw", n)).alias("t"))), lambda p: F.trim(p["t"]) != "")
@@ -75,7 +79,8 @@ def body(fallbacks: tuple[str, ...]) -> Column:
 def normalise(raw: DataFrame) -> DataFrame:
     """dsid, source_type, label, primary_text, body, properties, people, project, channel, company, keys, links.
 
-    Rows of sources without an adapter go.
+    Rows of sources without an adapter go. Properties that a source has are always there, empty where the field is
+    missing. A mail without a body has its subject as text.
     """
     source = F.col("source_type")
     forms = [F.when(source == name, _normal(name, a)) for name, a in ADAPTERS.items()]  # one pass over all sources
@@ -85,11 +90,17 @@ def normalise(raw: DataFrame) -> DataFrame:
 def _normal(source: str, a: Adapter) -> Column:
     """What one source's document becomes, as a struct."""
     b = body(a.fallbacks)
+    if source == "gmail":
+        b = F.coalesce(F.nullif(b, F.lit("")), _get("subject"), F.lit(""))
     people = F.concat(*[_people(f, r) for r, fs in (("AUTHORED", a.authored), ("ASSIGNED_TO", a.assigned)) for f in fs])
     one = lambda f: F.nullif(F.trim(_get(f)), F.lit("")) if f else F.lit(None).cast("string")
     project = F.coalesce(*[one(x) for x in a.project]) if a.project else one(None)
     values = {**{k: _get(f) for k, f in a.properties.items()}, "source": F.lit(source), "dsid": F.col("dsid"), a.body: b}
-    props = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()]), lambda e: e["v"].isNotNull()))
+    if a.label != "Message":
+        values["title"] = _get(a.text)
+    if a.url:
+        values["url"] = F.concat(F.lit(a.scheme), F.coalesce(*[F.nullif(_get(f), F.lit("")) for f in a.url], F.lit("")))
+    props = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.coalesce(v, F.lit("")))])
     text = F.substring(b, 1, 140) if source == "slack" else F.coalesce(_get(a.text), F.lit(""))
     return F.struct(
         F.lit(a.label).alias("label"), text.alias("primary_text"), b.alias("body"), props.alias("properties"), people.alias("people"), project.alias("project"), one(a.channel).alias("channel"), one(a.company).alias("company"),
@@ -109,7 +120,7 @@ def graph_rows(docs: DataFrame, organisation: str = "Home") -> Graph:
         props = F.create_map(F.lit("name"), F.col(key))
         return df.select(key).distinct().select(stable_id(kind, key).alias("id"), F.lit(label).alias("label"), F.col(key).alias("primary_text"), props.alias("properties"))
 
-    people = d.select("id", "label", F.explode("people").alias("p")).select("id", "label", F.col("p.name").alias("name"), F.col("p.relation").alias("relation")).withColumn("name", person_name("name"))
+    people = d.select("id", "label", F.explode("people").alias("p")).select("id", "label", F.col("p.name").alias("name"), F.col("p.relation").alias("relation"))
     persons = node(people, "person", "Person", "name")
     root = spark.range(1).select(stable_id("org", F.lit(ROOT)).alias("id"), F.lit("Organization").alias("label"), F.lit(organisation).alias("primary_text"), F.create_map(F.lit("name"), F.lit(organisation), F.lit("kind"), F.lit("internal")).alias("properties"))
     parts = [d.select("id", "label", "primary_text", "properties"), persons, root]

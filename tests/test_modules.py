@@ -44,6 +44,52 @@ def test_adapters(spark, tmp_path):
     assert len(ids) == g.nodes.count() and all(r.src in ids and r.dst in ids for r in g.edges.collect())
 
 
+#: One document of each source that the folder above lacks, and what it becomes.
+SOURCES = {
+    "confluence": (
+        {"title": "Plan", "space": "ENG", "owner_team": "Core", "author": "ann_lee", "reviewers": ["Bo Ray", ""], "body": "text", "related_pages": ["P-1"], "labels": ["a", "b"], "created_at": "2026-01-01"},
+        ("Document", "Plan", "text", [("Ann Lee", "AUTHORED"), ("Bo Ray", "AUTHORED")], "ENG", None, ["d"], ["P-1", "a", "b"]),
+        {"title": "Plan", "url": "confluence://ENG", "content": "text", "created_at": "2026-01-01", "updated_at": ""},
+    ),
+    "google_drive": (
+        {"title": "Sheet", "owner": "Ann Lee", "collaborators": ["cy_oh"], "team": "Core", "content": ["one", "two"], "original_location": "drive/x", "path": "", "last_modified": "2026-02-02", "tags": "loose", "linked_artifacts": ["L-1"]},
+        ("Document", "Sheet", "one\ntwo", [("Ann Lee", "AUTHORED"), ("Cy Oh", "AUTHORED")], "Core", None, ["d"], ["L-1"]),
+        {"title": "Sheet", "url": "drive/x", "content": "one\ntwo", "created_at": "", "updated_at": "2026-02-02"},
+    ),
+    "fireflies": (
+        {"title": "Call", "meeting_id": "m1", "recorded_at": "2026-03-03", "redwood_owner": "Ann Lee", "redwood_attendees": ["Bo Ray"], "customer_company": "Acme", "topics": ["t"], "competitors_mentioned": ["c"], "summary": "S", "action_items": ["x", "y"]},
+        ("Document", "Call", "Summary:\nS\n\nAction Items:\nx\ny", [("Ann Lee", "AUTHORED"), ("Bo Ray", "AUTHORED")], None, "Acme", ["d", "m1"], ["t", "c"]),
+        {"title": "Call", "url": "m1", "content": "Summary:\nS\n\nAction Items:\nx\ny", "created_at": "2026-03-03", "updated_at": "2026-03-03"},
+    ),
+    "gmail": (
+        {"subject": "Hello", "thread_id": "t1", "deal_id": "D-9", "mailbox_owner": "bo_ray", "participants_internal": [], "related_account": "Acme", "related_links": ["http://x"], "first_email_at": "2026-04-04"},
+        ("Message", "Hello", "Hello", [("Bo Ray", "AUTHORED")], None, "Acme", ["d", "t1", "D-9"], ["http://x"]),
+        {"text": "Hello", "sent_at": "2026-04-04", "thread_id": "t1"},
+    ),
+    "linear": (
+        {"key": "L-2", "title": "Fix", "description": "do it", "creator": "Ann Lee", "assignee": "Bo Ray", "project": "Core", "labels": ["bug"], "status": "done", "created_at": "2026-05-05"},
+        ("Task", "Fix", "do it", [("Ann Lee", "AUTHORED"), ("Bo Ray", "ASSIGNED_TO")], "Core", None, ["d", "L-2"], ["bug"]),
+        {"title": "Fix", "description": "do it", "status": "done", "created_at": "2026-05-05"},
+    ),
+    "hubspot": (
+        {"company_id": "c7", "company_name": "Acme", "company_domain": "acme.example", "owner": "Ann Lee", "se_assigned": "Bo Ray", "next_step": "call", "blockers": ["price", "time"], "linked_fireflies": ["m1"], "linked_support_tickets": ["S-1"], "updated_at": "2026-06-06"},
+        ("Document", "Acme", "Next Step:\ncall\n\nBlockers:\nprice\ntime", [("Ann Lee", "AUTHORED"), ("Bo Ray", "ASSIGNED_TO")], None, "Acme", ["d", "c7"], ["m1", "S-1"]),
+        {"title": "Acme", "url": "acme.example", "content": "Next Step:\ncall\n\nBlockers:\nprice\ntime", "created_at": "", "updated_at": "2026-06-06"},
+    ),
+}
+
+
+def test_every_source(spark):
+    plain = lambda v: v if isinstance(v, str) else json.dumps(v)  # noqa: E731  # as raw_documents has them
+    raw = spark.createDataFrame([("d", s, {k: plain(v) for k, v in doc.items()}) for s, (doc, _, _) in SOURCES.items()], "dsid string, source_type string, raw map<string,string>")
+    got = {r.source_type: r for r in adapters.normalise(raw).collect()}
+    assert set(got) == set(SOURCES)
+    for s, (_, want, props) in SOURCES.items():
+        r = got[s]
+        assert (r.label, r.primary_text, r.body, [(p.name, p.relation) for p in r.people], r.project, r.company, r.keys, r.links) == want, s
+        assert r.properties == props | {"source": s, "dsid": "d"} and r.channel is None, s
+
+
 def test_queue_and_storage(spark, tmp_path):
     g = adapters.graph_rows(adapters.normalise(files.raw_documents(spark, folder(tmp_path))))
     nodes, bodies = writes.split_bodies(g.nodes)
