@@ -1 +1 @@
-"""Training-data operators: search, media, sharding, language, deduplication, tokens, packing, pages, licences."""
+"""Training-data operators: search, media, sharding, language, deduplication, tokens, packing, pages, licences, clusters, phrases."""

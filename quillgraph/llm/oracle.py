@@ -106,4 +106,32 @@ def licences() -> str:
     """
 
 
-ORACLE_SQL = {"op1_exact_topk": TOP_K, "op3_interleave": INTERLEAVE, "op5_fast_similarity": NEAR_DUPLICATES, "op6_prefix_free": REPEATS, "op10_license_index": licences()}
+def clusters(k: int = 40, rounds: int = 5, seed: int = 2) -> str:
+    """Every vector against every centroid, in each round."""
+    out = [
+        "v as materialized (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"c0 as materialized (select row_number() over (order by h) - 1 as c, v from (select sha256('{seed}:' || vec_id) as h, v from v order by h limit {k}))",
+    ]
+    for i in range(rounds + 1):
+        d = "list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.v) + list_inner_product(c.v, c.v)"
+        out.append(f"a{i} as materialized (select vec_id, v, c, d from (select vec_id, v.v, c, {d} as d, row_number() over (partition by vec_id order by {d}, c) as r from v, c{i} c) where r = 1)")
+        out.append(f"m{i} as (select c, list(m order by i) as v from (select c, i, floor(sum(x) / count(*)) as m from (select c, unnest(v) as x, generate_subscripts(v, 1) as i from a{i}) group by c, i) group by c)")
+        out.append(f"c{i + 1} as materialized (select c{i}.c, coalesce(m.v, c{i}.v) as v from c{i} left join m{i} m on m.c = c{i}.c)")
+    told = f"select vec_id, a.c::integer as cluster, d::bigint as distance, (sum(d) over (partition by a.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(list_transform(c.v, lambda x: x::bigint), ',')) as centroid_sha256"
+    return f"with {', '.join(out)} {told} from a{rounds} a join c{rounds} c on c.c = a.c"
+
+
+COLLOCATIONS = f"""
+    with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) as piece from documents),
+    p as (select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as ws from t),
+    g as ({" union all ".join(f"select lang, {n} as words, array_to_string(ws[i:i + {n - 1}], ' ') as phrase from (select lang, ws, unnest(range(1, len(ws) - {n - 2})) as i from p)" for n in (1, 2, 3, 4))}),
+    f as materialized (select lang, words, phrase, count(*) as f from g group by all having count(*) >= 30), n as (select lang, sum(len(ws))::bigint as n from p group by lang),
+    a as (select * from f where words > 1 and not exists (select 1 from f b where b.lang = f.lang and b.words > f.words and contains(' ' || b.phrase || ' ', ' ' || f.phrase || ' ') and 100 * b.f >= 80 * f.f)),
+    k as (select a.*, unnest(range(1, words)) as k, string_split(phrase, ' ') as w from a),
+    c as (select k.lang, k.phrase, k.f as a, k, l.f as l, r.f as r, 2000000 * k.f // (l.f + r.f) as score from k join f l on l.lang = k.lang and l.phrase = array_to_string(w[1:k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(w[k + 1:], ' ')),
+    b as (select *, row_number() over (partition by lang, phrase order by score, k) as cut from c), o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from b where cut = 1)
+    select o.lang, rank, phrase, a, l, r, n, score from o join n on n.lang = o.lang where rank <= 2000
+"""
+
+
+ORACLE_SQL = {"op1_exact_topk": TOP_K, "op3_interleave": INTERLEAVE, "op5_fast_similarity": NEAR_DUPLICATES, "op6_prefix_free": REPEATS, "op10_license_index": licences(), "op11_weighted_lloyd": clusters(), "op13_suffix_phrases": COLLOCATIONS}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, html_extract, interleave, langid, license_scan, media_chunks, minhash_dedup, packing, suffix_dedup, topk_search
+from . import bpe_codec, centroids, collocations, html_extract, interleave, langid, license_scan, media_chunks, minhash_dedup, packing, slack_packing, suffix_dedup, topk_search
 from .oracle import ORACLE_SQL
 
 
@@ -54,8 +54,24 @@ def op10_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_weighted_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dim=64, seed=2)
+
+
+def op12_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_suffix_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 __all__ = ["ORACLE_SQL", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_topk, op2_media_chunks, op3_interleave, op4_byte_cnn, op5_fast_similarity, op6_prefix_free, op7_bpe_transducer, op8_best_fit, op9_page_difference, op10_license_index)}
+    every = (
+        op1_exact_topk, op2_media_chunks, op3_interleave, op4_byte_cnn, op5_fast_similarity, op6_prefix_free, op7_bpe_transducer, op8_best_fit, op9_page_difference, op10_license_index,
+        op11_weighted_lloyd, op12_bin_slack, op13_suffix_phrases,
+    )
+    return {f.__name__: f for f in every}
