@@ -9,6 +9,7 @@ for another phrase costs time and changes nothing, since the phrases themselves
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,36 +37,57 @@ class _Block:
     """Ids of words as they come; 0 stands between pieces. Each language has words of its own."""
 
     def __init__(self):
-        self.words: list[tuple[str, str]] = [("", "")]
+        self.words: list[bytes] = []
         self.langs: dict[str, _Vocabulary] = {}
-        self.ids: list[int] = []
+        self.lang_of = array("I")  # of each word
+        self.ids = array("i")
 
     def of(self, lang: str) -> _Vocabulary:
         if lang not in self.langs:
-            self.langs[lang] = _Vocabulary(lang, self.words)
+            self.langs[lang] = _Vocabulary(len(self.langs), self.words, self.lang_of)
         return self.langs[lang]
 
-    def row(self, own: int) -> dict:
+    def row(self, own: int) -> pd.DataFrame:
         """The block's first `own` words and separators, and what follows as context."""
-        ids = np.array(self.ids, np.int32)
-        n = np.bincount(ids[:own], minlength=len(self.words))
-        vocab = [{"lang": lang, "word": w, "n": int(c)} for (lang, w), c in zip(self.words, n)]
-        return {"own": own, "ids": ids.tobytes(), "vocab": vocab}
+        return pd.DataFrame([{"own": own, "ids": self.ids.tobytes(), "words": b" ".join(self.words), "lang_of": self.lang_of.tobytes(), "langs": list(self.langs)}])
 
 
 class _Vocabulary(dict):
-    def __init__(self, lang: str, words: list[tuple[str, str]]):
-        self.lang, self.words = lang, words
+    def __init__(self, lang: int, words: list[bytes], lang_of: array):
+        self.lang, self.words, self.lang_of = lang, words, lang_of
         self[b"\xff"] = 0
 
     def __missing__(self, word: bytes) -> int:
+        self.words.append(word)
+        self.lang_of.append(self.lang)
         got = self[word] = len(self.words)
-        self.words.append((self.lang, word.decode("utf-8", "replace")))
         return got
 
 
+class _Words:
+    """The words of a stored block by id; id 0 is none."""
+
+    def __init__(self, row):
+        self.ids = np.frombuffer(row.ids, np.int32)
+        self.own = row.own
+        self.words = [b"", *row.words.split(b" ")] if row.words else [b""]
+        self.langs, self.lang_of = list(row.langs), np.frombuffer(row.lang_of, np.uint32)
+
+    def lang(self, i: int) -> str:
+        return self.langs[self.lang_of[i - 1]]
+
+    def counts(self) -> pd.DataFrame:
+        n = np.bincount(self.ids[: self.own], minlength=len(self.words))[1:]
+        return pd.DataFrame({"lang": [self.langs[i] for i in self.lang_of.tolist()], "word": [w.decode("utf-8", "replace") for w in self.words[1:]], "n": n})
+
+    def keys(self) -> np.ndarray:
+        """A hash of each word and its language: Spark's xxhash64 of both columns."""
+        seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in self.langs], object)
+        return np.array([0, *map(xxhash.xxh64_intdigest, self.words[1:], seeds[self.lang_of])], np.uint64)
+
+
 def blocks(docs: DataFrame, words: int = BLOCK) -> DataFrame:
-    """own, ids (32-bit integers, packed), vocab (lang, word, n by id; that of id 0 is no word) of blocks of whole texts.
+    """own, ids (32-bit integers, packed), words by id from 1 (joined by spaces), their languages, of blocks of whole texts.
 
     A text longer than a block goes into several; they overlap by the words that a phrase may have beyond its first, and
     only phrases that start in the first `own` places are counted.
@@ -80,30 +102,18 @@ def blocks(docs: DataFrame, words: int = BLOCK) -> DataFrame:
                 while len(block.ids) + len(raw) - at > words:
                     end = at + words - len(block.ids)
                     block.ids.extend(map(block.of(lang).__getitem__, raw[at : end + LONGEST - 1]))
-                    yield pd.DataFrame([block.row(words)])
+                    yield block.row(words)
                     block, at = _Block(), end
                 block.ids.extend(map(block.of(lang).__getitem__, raw[at:]))
                 block.ids.append(0)
                 if len(block.ids) >= words:
-                    yield pd.DataFrame([block.row(len(block.ids))])
+                    yield block.row(len(block.ids))
                     block = _Block()
         if block.ids:
-            yield pd.DataFrame([block.row(len(block.ids))])
+            yield block.row(len(block.ids))
 
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
-    return rows.mapInPandas(cut, "own int, ids binary, vocab array<struct<lang string, word string, n long>>")
-
-
-def word_keys(vocab: list[dict]) -> np.ndarray:
-    """A hash of each word and its language: xxhash64 of both columns."""
-    seeds: dict[str, int] = {}
-    out = np.empty(len(vocab), np.uint64)
-    for i, v in enumerate(vocab):
-        lang = v["lang"]
-        if lang not in seeds:
-            seeds[lang] = xxhash.xxh64_intdigest(lang.encode(), 42)
-        out[i] = xxhash.xxh64_intdigest(v["word"].encode(), seeds[lang])
-    return out
+    return rows.mapInPandas(cut, "own int, ids binary, words binary, lang_of binary, langs array<string>")
 
 
 def bitmap(keys: Column, rows: DataFrame, bits: int) -> bytes:
@@ -148,14 +158,12 @@ def intervals(order: np.ndarray, shared: np.ndarray, words: int) -> tuple[np.nda
 class _Counter:
     """The phrases of a block whose words, and pairs if a second bitmap is given, may be frequent."""
 
-    def __init__(self, row, words: np.ndarray, bits: int):
-        self.vocab = row.vocab
-        ids = np.frombuffer(row.ids, np.int32)
-        h = word_keys(row.vocab)
-        fine = has_bit(h, words, bits)
+    def __init__(self, row, seen: np.ndarray, bits: int):
+        self.words = _Words(row)
+        self.h, self.own = self.words.keys(), row.own
+        fine = has_bit(self.h, seen, bits)
         fine[0] = False
-        self.ids = np.concatenate([np.where(fine[ids], ids, 0), np.zeros(LONGEST, np.int32)])
-        self.h, self.own = h, row.own
+        self.ids = np.concatenate([np.where(fine[self.words.ids], self.words.ids, 0), np.zeros(LONGEST, np.int32)])
 
     def pair_keys(self, at: np.ndarray) -> np.ndarray:
         return mix64(self.h[self.ids[at]] * _FACTOR + self.h[self.ids[at + 1]])
@@ -181,8 +189,8 @@ class _Counter:
             for i in range(1, words - 1):
                 ok &= fine[first + i]
             for p, c in zip(first[ok].tolist(), n[ok].tolist()):
-                told = [self.vocab[i] for i in self.ids[p : p + words].tolist()]
-                yield told[0]["lang"], " ".join(v["word"] for v in told), words, c
+                ids = self.ids[p : p + words].tolist()
+                yield self.words.lang(ids[0]), b" ".join([self.words.words[i] for i in ids]).decode("utf-8", "replace"), words, c
 
 
 def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -190,8 +198,14 @@ def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int
     sc = docs.sparkSession.sparkContext
     with passing() as keep:
         cut = materialise(blocks(docs, block))
-        told = cut.select(F.explode(F.slice("vocab", 2, F.size("vocab"))).alias("v")).select("v.*").groupBy("lang", "word").agg(F.sum("n").alias("f"))
-        told = materialise(told)
+
+        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for row in b.itertuples():
+                    if row.words:
+                        yield _Words(row).counts()
+
+        told = materialise(cut.mapInPandas(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f")))
         totals = materialise(told.groupBy("lang").agg(F.sum("f").alias("n")))
         often = told.where(F.col("f") >= least)
         seen = sc.broadcast(bitmap(F.xxhash64("lang", "word"), often, bits))
