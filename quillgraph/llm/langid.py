@@ -90,18 +90,20 @@ def train(data: np.ndarray, labels: np.ndarray, langs: list[str], steps: int = 4
 
 
 def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, windows_per_row: int = 6, most_langs: int = 200, seed: int = 5) -> Model:
-    """Train on a bounded sample: of each of at most `most_langs` most frequent languages, the `rows_per_lang` rows with
-    the smallest seeded hash among those that `learn` admits, and `windows_per_row` windows spread over each whole text.
+    """Train on a bounded sample: of each of at most `most_langs` most frequent languages, the `rows_per_lang` distinct
+    rows with the smallest seeded hash among those that `learn` admits, and `windows_per_row` windows spread over each
+    whole text. Labels beyond these languages are never predicted.
 
-    Only rows whose hash is in the part of its range that holds four times as many rows on average are ranked, so a
-    language that most rows have is not sorted in one task. Rows that repeat id, language and text count as one, so they
-    neither crowd out others nor reach the driver more than once.
+    Rows that repeat id, language and text are one, in the counts as well. Only rows whose hash is in the part of its
+    range that holds four times as many distinct rows on average are ranked (all, where there are fewer), so a language
+    that most rows have is not sorted in one task.
     """
     fine = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     h = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
-    common = F.broadcast(fine.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs))
+    distinct = fine.select("lang", h.alias("h")).distinct()
+    common = F.broadcast(distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs))
     part = F.lit(4.0 * rows_per_lang) / F.col("count")
-    near = fine.select("lang", h.alias("h")).join(common, "lang").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= part).select("lang", "h").distinct()
+    near = distinct.join(common, "lang").where((F.col("h").cast("double") + 2.0**63) / 2.0**64 <= part).select("lang", "h")
     first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows_per_lang)
     first = first.select("h").distinct()  # rows_per_lang * most_langs numbers at most
 

@@ -269,8 +269,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, that with the smallest id, null ids last; of repeated rows one stays. All columns stay."""
+    """docs with one document of each group, that with the smallest id, null ids last; of repeated rows one stays.
+
+    Null, empty and blank texts are linked with nothing, but equal ones under one id are repeated rows. All columns stay
+    as they are, whatever their names; an empty table stays empty.
+    """
     kept = components(keyed(docs), percent).where(_kept()).select("did", "th").distinct()
-    rows = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = rows.join(kept.withColumnsRenamed({"did": "_did", "th": "_th"}), ["_did", "_th"], "left_semi")
-    return rows.dropDuplicates(["_did", "_th"]).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    return rows.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("row.*")

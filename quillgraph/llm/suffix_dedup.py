@@ -451,9 +451,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """docs with every repeated byte cut out of the texts; all columns stay, n_chars follows where there is one.
+    """docs with every repeated byte cut out of the texts; n_chars follows where there is one, all other columns stay as
+    they are, whatever their names.
 
-    A character of which only a part is repeated is cut as well. Null texts stay null; an empty table stays empty.
+    A character of which only a part is repeated is cut as well. Null texts stay null; repeated rows are copies of each
+    other; an empty table stays empty.
     """
 
     @F.pandas_udf("string")
@@ -466,9 +468,11 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
                 out.append(cut_out(t.encode("utf-8", "surrogatepass"), [(x["a"], x["b"]) for x in s])[0].decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    spans = repeated_spans(keyed(docs)).groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
-    rows = docs.withColumns({"_did": F.coalesce("doc_id", F.lit(NO_ID)), "_th": F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = rows.join(spans.withColumnsRenamed({"did": "_did", "th": "_th"}), ["_did", "_th"], "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))
-    changed = {"text": text} | ({"n_chars": F.coalesce(F.length(text).cast("long"), F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.withColumns(changed).select(docs.columns)
+    spans = repeated_spans(keyed(docs)).groupBy("did", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = rows.join(spans, ["did", "th"], "left")
+    rows = rows.select("row", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("row.text", "spans")).alias("text"))
+    row = F.col("row").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.coalesce(F.length("text"), F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(row.alias("row")).select("row.*")

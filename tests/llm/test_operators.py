@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -147,6 +148,16 @@ def test_language_sample_of_repeated_rows(spark):
     assert sorted(seen) == sorted({t for _, t, _ in rows})
 
 
+def test_language_of_few_rows_repeated_often(spark):
+    """A language of which few rows repeat very often is learned at the default sample size, as without the repetitions."""
+    few = spark.createDataFrame([(i, f"zan zor {i} zuk zwe", "xx") for i in range(30)], "doc_id long, text string, lang string")
+    many = few.crossJoin(spark.range(4000).select()).unionByName(spark.createDataFrame([(100 + i, f"the text {i} of all", "yy") for i in range(800)], few.schema))
+    assert many.count() == 120_800
+    model = langid.fit(many, F.lit(True))
+    once = langid.fit(many.distinct(), F.lit(True))
+    assert model.langs == once.langs == ["xx", "yy"] and np.array_equal(model.emb, once.emb)
+
+
 def test_empty_tables(odd):
     """Every operator gives no rows for an empty table."""
     none = odd.limit(0)
@@ -598,3 +609,27 @@ def test_long_license_texts(spark):
 
 def test_registered():
     assert [q.split("_")[0] for q in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def _longest(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[-1]))
+    return row[-1]
+
+
+def test_common_lines_of_many_equal_ones():
+    """The alignment equals the dynamic programme, halved or not, and takes no longer where all lines are equal."""
+    rnd = random.Random(12)
+    for n in range(400):
+        a, b = ([rnd.randrange(rnd.choice([1, 2, 3, 9])) for _ in range(rnd.randint(0, 30))] for _ in range(2))
+        for found in (html_extract._pairs(a, b), html_extract._pairs(a, b, most_bits=rnd.choice([1, 8, 40]))):
+            assert all(a[i] == b[j] for i, j in found) and all(x < y and z < w for (x, z), (y, w) in zip(found, found[1:]))
+            assert len(found) == _longest(a, b)
+    began = time.process_time()
+    i, j = html_extract.common_lines([1] + [7] * 20000 + [2], [3] + [7] * 20000 + [4])
+    assert len(i) == len(j) == 20000 and time.process_time() - began < 3
+    i, j = html_extract.common_lines([1, *range(5000, 25000), 2], [3, *range(15000, 35000), 4])
+    assert len(i) == 10000

@@ -30,6 +30,25 @@ def test_stages_of_an_empty_table(spark):
         assert now.count() == 0
 
 
+#: Names that steps of the stages use themselves.
+INNER = ("row", "p", "did", "th", "spans", "h", "rid", "rep", "node", "root", "g", "bands", "key", "n_shingles", "fp1", "fp2", "u", "v", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_p", "_did", "_th", "_spans", "_deal", "score", "lang_pred", "count", "r", "a", "b", "s", "n", "w", "i")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named like those inside the stages come back as they were."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    now = docs.unionByName(spark.createDataFrame([(None, "some words without an id", "en", None, None), (None, None, None, None, None)], docs.schema))
+    now = now.withColumns({c: F.concat_ws("-", F.lit(c), "doc_id", F.xxhash64("lang", "source")) for c in INNER})
+    before = {(r.doc_id, *[r[c] for c in INNER]) for r in now.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = now.columns
+        now = stage(spark, now, "").cache()
+        rows = now.collect()
+        assert now.columns == columns and len(rows) > 100 and {(r.doc_id, *[r[c] for c in INNER]) for r in rows} <= before, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "")
+    assert packed.where("piece = 0").count() == now.count()
+
+
 def _sets(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
