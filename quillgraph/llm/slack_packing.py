@@ -12,82 +12,126 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_codec import Vocabulary
 from .common import NO_ID, batches_of, with_null_ids
 
 CAPACITY = 2048
 END = 1
 #: Characters of texts that are encoded together, tokens that are packed together, and bytes of words that are kept.
 BATCH = 1_000_000
-BLOCK = 2**22
-MOST_KEPT = 64_000_000
+BLOCK = 2**21
+MOST_KEPT = 128_000_000
 #: A longer word is not kept.
 LONGEST = 200
-#: Before a space that follows no white space a token always ends. In texts without MIXED each other space may be cut at as well.
+#: In white space of three and more, or of two at the end, tokens do not end before each single space and line end. Such
+#: texts are cut only before spaces that follow no white space, where a token always ends.
+PLAIN = re.compile(r"[^\S \n]|\x85|[ \n]{2}")  # texts without it have no such white space
+RUNS = re.compile(r"[\s\x85]{3}|[\s\x85]{2}\Z")
 CUT = re.compile(r"(?<=[^\s\x85])(?= )")
-MIXED = re.compile(r"[\s\x85] (?:[\s\x85]|\Z)")
+#: Words of these characters are encoded by ranks: their classes are the same in every version of Unicode.
+SIMPLE = re.compile(r"[!-~\xa1-\u024f]+")
+#: The published pattern that cuts text into words before merging (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteTokens:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers, by words that are encoded once and kept."""
+    """Ids of whole texts, as little-endian unsigned 32-bit integers, by words that are encoded once and kept.
+
+    `kept` has words by their text: one that starts with a line end or a space as it is, all others with a space before
+    them. New words are joined by line ends, which are tokens of their own there, and encoded together: simple ones by
+    the merge ranks alone, where the vocabulary's ids follow them, and the rest by the tokenizer.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}  # words with the space before them
+        v = Vocabulary(path)
+        self.specials = list(v.specials)
+        self.line_end = np.frombuffer(self.encoded(["\n"])[0], np.uint32)[0]
+        ordered = all(a < b for a, b in zip(v.into, v.into[1:]))
+        self.ranks = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks={t: i for i, t in v.token.items() if i not in v.specials.values()}, special_tokens={}) if ordered else None
+        self.kept: dict[str, bytes] = {}
         self.size = 0
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[str], simple: bool) -> list[bytes]:
+        """The ids of words without line ends and with no white space but a space in front."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 1000):
+            text = "\n".join(words[a : a + 1000])
+            ids = np.array(self.ranks.encode_ordinary(text), np.uint32) if simple and self.ranks else np.frombuffer(self.encoded([text])[0], np.uint32)
+            raw, at = ids.tobytes(), 0
+            for end in (np.flatnonzero(ids == self.line_end) * 4).tolist():
+                out.append(raw[at:end])
+                at = end + 4
+            out.append(raw[at:])
+        return out
+
+    def learned(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of new words, as they stand in `kept`."""
+        got: dict[str, bytes] = {}
+        words: tuple[list[str], list[str]] = [], []
+        lines: tuple[list[str], list[str]] = [], []
+        rest = []
+        for w in new:
+            if SIMPLE.fullmatch(w):
+                words[1].append(w)
+            elif w[:1] == "\n" and SIMPLE.fullmatch(w, 1):
+                lines[1].append(w[1:])
+            elif not w.strip() or any(map(str.isspace, w[1:])) or w[0] != "\n" and w[0].isspace():
+                rest.append(w)
+            elif w[0] == "\n":
+                lines[0].append(w[1:])
+            else:
+                words[0].append(w)
+        end = self.line_end.tobytes()
+        for simple in (True, False):
+            got.update(zip(words[simple], self.learn([" " + w for w in words[simple]], simple)))
+            got.update(("\n" + w, end + x) for w, x in zip(lines[simple], self.learn(lines[simple], simple)))
+        got.update(zip(rest, self.encoded([w if w[:1] in ("\n", " ") else " " + w for w in rest])))
+        return got
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.size > MOST_KEPT:
             self.kept.clear()
             self.size = 0
-        get, out, open_, new, whole = self.kept.get, [], [], set(), []
-        for i, t in enumerate(texts):
+        whole, cut = [], []
+        for t in texts:
             if any(s in t for s in self.specials):
-                whole.append(i)
-                out.append(b"")
-                continue
-            words = CUT.split(t) if MIXED.search(t) else _spaced(t)
-            ids = list(map(get, words))
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # a word is new
-                new.update([w for w, x in zip(words, ids) if x is None])
-                open_.append((i, words, ids))
-                out.append(b"")
-        for i, ids in zip(whole, self.encoded([texts[i] for i in whole])):
-            out[i] = ids
-        words = list(new)
-        learned: dict[str, bytes] = {}
-        for a, b in batches_of(words, BATCH):
-            learned.update(zip(words[a:b], self.encoded(words[a:b])))
-        for i, words, ids in open_:
-            out[i] = b"".join([learned[w] if x is None else x for w, x in zip(words, ids)])
-        for w, x in learned.items():
-            if len(w) <= LONGEST:
-                self.kept[w] = x
-                self.size += 2 * len(w) + len(x) + 150
+                first, words = t, []
+            elif PLAIN.search(t) and RUNS.search(t):
+                first, *words = CUT.split(t)
+                words = [w if any(map(str.isspace, w[1:])) else w[1:] for w in words]
+            else:
+                first, *words = t.replace("\n", " \n").split(" ")
+            whole.append(first)
+            cut.append(words)
+        kept = self.kept
+        new = set(chain.from_iterable(cut)).difference(kept)
+        kept.update(self.learned(new))
+        out = [first + b"".join(map(kept.__getitem__, words)) for first, words in zip(self.encoded(whole), cut)]
+        for w in new:
+            if len(w) > LONGEST:
+                del kept[w]
+            else:
+                self.size += 2 * len(w) + 200
         return out
 
 
-def _spaced(text: str) -> list[str]:
-    """A text cut before each space."""
-    first, *rest = text.split(" ")
-    return [first, *[" " + w for w in rest]]
-
-
 def fullest(lengths: dict[int, int], capacity: int) -> dict[int, int]:
     """How many of each length to take, so that their sum is as near to capacity as it can be. lengths: counts of lengths.
 
