@@ -2,9 +2,10 @@
 
 Texts become blocks: one sequence of word ids for about a million words, with the block's own vocabulary. In each block
 numpy sorts the suffixes by prefix doubling, and the intervals of the longest common prefixes give the count of every
-phrase. Counts of all blocks are merged by key. A phrase can only be frequent if its words and its pairs of words are, so
-words are counted first, then pairs by a hash, and bitmaps of fixed size tell which may be frequent; a bit that is set
-for another phrase costs time and changes nothing, since the phrases themselves are merged by their words.
+phrase. Counts of all blocks are merged by key. A phrase can only be frequent if all that it contains is, so words are
+counted first by a hash, then pairs of frequent words, then triples of frequent pairs, and bitmaps of fixed size tell
+which may be frequent. A bit that is set for another phrase costs time and changes nothing, since in the end the phrases
+that are left are merged by their words.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from .common import materialise, mix64, passing
 LEAST = 30
 LONGEST = 4
 TOP = 2000
-#: Words of a block, and bits of a bitmap.
-BLOCK = 2**20
-BITS = 25
+#: Words of a block, bits of a bitmap, and bits of the hashes that are counted.
+BLOCK = 2**19
+BITS = 26
+HASH = np.uint64(2**40 - 1)
 UNKNOWN = "und"
 #: Characters that end a piece (a fixed value); they become a byte that UTF-8 does not have. A to Z become lower case, tabs spaces.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -76,12 +78,11 @@ class _Words:
     def lang(self, i: int) -> str:
         return self.langs[self.lang_of[i - 1]]
 
-    def counts(self) -> pd.DataFrame:
-        n = np.bincount(self.ids[: self.own], minlength=len(self.words))[1:]
-        return pd.DataFrame({"lang": [self.langs[i] for i in self.lang_of.tolist()], "word": [w.decode("utf-8", "replace") for w in self.words[1:]], "n": n})
+    def counts(self) -> np.ndarray:
+        return np.bincount(self.ids[: self.own], minlength=len(self.words))
 
     def keys(self) -> np.ndarray:
-        """A hash of each word and its language: Spark's xxhash64 of both columns."""
+        """A hash of each word and its language."""
         seeds = np.array([xxhash.xxh64_intdigest(x.encode(), 42) for x in self.langs], object)
         return np.array([0, *map(xxhash.xxh64_intdigest, self.words[1:], seeds[self.lang_of])], np.uint64)
 
@@ -156,80 +157,89 @@ def intervals(order: np.ndarray, shared: np.ndarray, words: int) -> tuple[np.nda
 
 
 class _Counter:
-    """The phrases of a block whose words, and pairs if a second bitmap is given, may be frequent."""
-
-    def __init__(self, row, seen: np.ndarray, bits: int):
-        self.words = _Words(row)
-        self.h, self.own = self.words.keys(), row.own
-        fine = has_bit(self.h, seen, bits)
-        fine[0] = False
-        self.ids = np.concatenate([np.where(fine[self.words.ids], self.words.ids, 0), np.zeros(LONGEST, np.int32)])
-
-    def pair_keys(self, at: np.ndarray) -> np.ndarray:
-        return mix64(self.h[self.ids[at]] * _FACTOR + self.h[self.ids[at + 1]])
-
-    def starts(self) -> np.ndarray:
-        """Where two words stand that may be frequent."""
-        return np.flatnonzero((self.ids[: self.own] > 0) & (self.ids[1 : self.own + 1] > 0))
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
-        at, n = intervals(*suffix_array(self.ids, self.starts()), 2)
-        return self.pair_keys(at), n
-
-    def phrases(self, pairs: np.ndarray, bits: int) -> Iterator[tuple[str, str, int, int]]:
-        """lang, phrase, words, count of phrases of 2 to LONGEST words all of whose pairs may be frequent."""
-        at = np.flatnonzero((self.ids[:-LONGEST] > 0) & (self.ids[1 : 1 - LONGEST] > 0))
-        fine = np.zeros(len(self.ids), bool)
-        fine[at] = has_bit(self.pair_keys(at), pairs, bits)
-        starts = at[fine[at] & (at < self.own)]
-        order, shared = suffix_array(self.ids, starts)
+    """The phrases of a block of which all that the bitmaps (of words, pairs, triples) tell may be frequent."""
+
+    def __init__(self, row, maps: list[np.ndarray], bits: int):
+        self.words, self.own = _Words(row), row.own
+        self.h = self.words.keys()
+        self.fine = has_bit(self.h & HASH, maps[0], bits) if maps else np.ones(len(self.h), bool)
+        self.fine[0] = False
+        self.ids = np.concatenate([np.where(self.fine[self.words.ids], self.words.ids, 0), np.zeros(LONGEST, np.int32)])
+        self.may = [self.ids > 0]  # where phrases of one word, two and three start that may be frequent
+        for words, known in enumerate(maps[1:], 2):
+            at = self.starts(words)
+            self.may.append(np.zeros(len(self.ids), bool))
+            self.may[-1][at] = has_bit(self.key(at, words), known, bits)
+
+    def starts(self, words: int) -> np.ndarray:
+        """Where phrases start whose first and last words - 1 words may be frequent."""
+        part = self.may[words - 2]
+        return np.flatnonzero(part[:-LONGEST] & part[1 : 1 - LONGEST])
+
+    def key(self, at: np.ndarray, words: int) -> np.ndarray:
+        k = self.h[self.ids[at]]
+        for i in range(1, words):
+            k = mix64(k * _FACTOR + self.h[self.ids[at + i]])
+        return k & HASH
+
+    def counted(self, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and count of each distinct phrase of so many words that starts in the block's own part."""
+        if words == 1:
+            n = self.words.counts()
+            n[0] = 0
+            return (self.h & HASH)[n > 0], n[n > 0]
+        at = self.starts(words)
+        at, n = intervals(*suffix_array(self.ids, at[at < self.own]), words)
+        return self.key(at, words), n
+
+    def phrases(self) -> Iterator[tuple[str, str, int, int]]:
+        """lang, phrase, words, count of all phrases that may be frequent, and lang, '', 0, number of words."""
+        vocab, count = self.words.words, self.words.counts()
+        total = np.bincount(self.words.lang_of, count[1:], len(self.words.langs))
+        yield from ((lang, "", 0, int(n)) for lang, n in zip(self.words.langs, total))
+        for i in np.flatnonzero(self.fine & (count > 0)).tolist():
+            yield self.words.lang(i), vocab[i].decode("utf-8", "replace"), 1, int(count[i])
+        at = np.flatnonzero(self.may[1][: self.own])
+        order, shared = suffix_array(self.ids, at)
         for words in range(2, LONGEST + 1):
             first, n = intervals(order, shared, words)
-            ok = np.ones(len(first), bool)
-            for i in range(1, words - 1):
-                ok &= fine[first + i]
+            ok = self.may[words - 1][first] if words < LONGEST else self.may[-1][first] & self.may[-1][first + 1]
             for p, c in zip(first[ok].tolist(), n[ok].tolist()):
                 ids = self.ids[p : p + words].tolist()
-                yield self.words.lang(ids[0]), b" ".join([self.words.words[i] for i in ids]).decode("utf-8", "replace"), words, c
+                yield self.words.lang(ids[0]), b" ".join([vocab[i] for i in ids]).decode("utf-8", "replace"), words, c
 
 
 def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, n of all words), and (lang, phrase, words, f) of the phrases of 1 to LONGEST words with f >= least."""
     sc = docs.sparkSession.sparkContext
     with passing() as keep:
-        cut = materialise(blocks(docs, block))
+        cut, maps = materialise(blocks(docs, block)), []
 
-        def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for row in b.itertuples():
-                    if row.words:
-                        yield _Words(row).counts()
+        def known() -> list[np.ndarray]:
+            return [np.frombuffer(m.value, np.uint8) for m in maps]
 
-        told = materialise(cut.mapInPandas(counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f")))
-        totals = materialise(told.groupBy("lang").agg(F.sum("f").alias("n")))
-        often = told.where(F.col("f") >= least)
-        seen = sc.broadcast(bitmap(F.xxhash64("lang", "word"), often, bits))
+        for words in range(1, LONGEST):
 
-        def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            have = np.frombuffer(seen.value, np.uint8)
-            for b in batches:
-                for row in b.itertuples():
-                    key, n = _Counter(row, have, bits).pairs()
-                    yield pd.DataFrame({"key": key.view(np.int64), "n": n})
+            def level(batches: Iterator[pd.DataFrame], words: int = words) -> Iterator[pd.DataFrame]:
+                have = known()
+                for b in batches:
+                    for row in b.itertuples():
+                        key, n = _Counter(row, have, bits).counted(words)
+                        yield pd.DataFrame({"key": key.view(np.int64), "n": n})
 
-        two = cut.mapInPandas(pairs, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        joined = sc.broadcast(bitmap(F.col("key"), two, bits))
+            often = cut.mapInPandas(level, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+            maps.append(sc.broadcast(bitmap(F.col("key"), often, bits)))
 
         def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            have, both = np.frombuffer(seen.value, np.uint8), np.frombuffer(joined.value, np.uint8)
+            have = known()
             for b in batches:
                 for row in b.itertuples():
-                    yield pd.DataFrame(_Counter(row, have, bits).phrases(both, bits), columns=["lang", "phrase", "words", "n"])
+                    yield pd.DataFrame(_Counter(row, have, bits).phrases(), columns=["lang", "phrase", "words", "n"])
 
-        more = cut.mapInPandas(phrases, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        found = materialise(often.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f").unionByName(more))
-        keep += [totals, found]
-    return totals, found
+        merged = cut.mapInPandas(phrases, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+        found = materialise(merged.where((F.col("f") >= least) | (F.col("words") == 0)))
+        keep.append(found)
+    return found.where("words = 0 and f > 0").select("lang", F.col("f").alias("n")), found.where("words > 0")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, block: int = BLOCK, bits: int = BITS, salts: int = 64) -> DataFrame:
