@@ -31,10 +31,13 @@ class Graph:
         return cls(*(spark.read.parquet(f"{path}/{part}") for part in ("nodes", "edges", "ends")))
 
     def save(self, path: str) -> None:
-        """Nodes partitioned by label and sorted by id; edges by type and source; their two views by type and own end."""
+        """Nodes partitioned by label and sorted by id; edges by type; their two views by type and own end, made from the
+        edges as written, so that these are derived once.
+        """
         self.nodes.repartitionByRange("label", "id").sortWithinPartitions("label", "id").write.partitionBy("label").parquet(f"{path}/nodes")
-        self.edges.repartitionByRange("rel_type", "src", "id").sortWithinPartitions("rel_type", "src").write.partitionBy("rel_type").parquet(f"{path}/edges")
-        ends = self._ends(self.edges).repartitionByRange("rel_type", "at", "id").sortWithinPartitions("rel_type", "at")
+        self.edges.write.partitionBy("rel_type").parquet(f"{path}/edges")
+        written = self.edges.sparkSession.read.parquet(f"{path}/edges")
+        ends = self._ends(written).repartitionByRange("rel_type", "at", "id").sortWithinPartitions("rel_type", "at")
         ends.write.partitionBy("rel_type").option("parquet.block.size", 8 << 20).parquet(f"{path}/ends")
 
     def only(self, rel_types: Sequence[str]) -> Graph:
@@ -115,6 +118,19 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return dealt.join(F.broadcast(heads), "_part").withColumn("pos", F.col("_start") + F.col("_idx")).drop("_start", "_idx", "_part")
 
 
+def running(rows: DataFrame, order: Sequence[str], weight: Column) -> DataFrame:
+    """rows with column before, the sum of the weights in front of them in the whole order: ranges are summed by
+    themselves, then shifted by the sums of the ranges before. Rows that are equal in `order` may share a range boundary
+    anywhere, so name columns that tell them apart.
+    """
+    dealt = rows.withColumn("_w", weight.cast("bigint")).repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut(dealt.withColumns({"_part": F.spark_partition_id(), "_idx": F.monotonically_increasing_id()}))
+    ahead = lambda by: F.coalesce(F.sum("_w").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = dealt.groupBy("_part").agg(F.sum("_w").alias("_w")).select("_part", ahead(Window.orderBy("_part")).alias("_start"))  # a row for each partition
+    own = dealt.withColumn("_own", ahead(Window.partitionBy("_part").orderBy("_idx")))
+    return own.join(F.broadcast(heads), "_part").withColumn("before", F.col("_start") + F.col("_own")).drop("_start", "_own", "_part", "_idx", "_w")
+
+
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column | str, most: int = 1) -> DataFrame:
     """The first rows of each key in a stated order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

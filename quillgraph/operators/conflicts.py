@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import non_empty
-from ..graph import first_per
+from ..graph import cut, first_per, running
 
 #: Properties that date a node, the first that is not empty counts.
 TIMES = ("decided_at", "sent_at", "created_at", "updated_at")
@@ -42,13 +42,32 @@ def presented(conflicts: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.withColumns({"subject": F.concat("label", F.lit(" conflict")), "source": F.coalesce("source", F.lit("graph")), "at": F.coalesce("at", F.lit(""))}).drop("label")
 
 
-def held_at(intervals: DataFrame, asked: DataFrame) -> DataFrame:
+def held_at(intervals: DataFrame, asked: DataFrame, block: int = 16) -> DataFrame:
     """Owners of each asked (key, t): intervals (key, owner, valid_from, valid_to) that hold t, both ends included.
 
-    An empty or null valid_to is open. Keys are dealt by an equi-join; the range is a filter on it.
+    An empty or null valid_to is open; an interval without key or start, or that ends before it starts, holds nothing; a
+    question without key or time has no owner; repeated rows count each.
+
+    Questions and ends of intervals are laid in one order of key and time and the questions numbered in it, so an
+    interval becomes the range of numbers that it holds. Numbers are cut into blocks: an interval joins each block that
+    it covers, a question its own. The join makes no more than `block` rows for each end of an interval beyond those
+    that are returned, whatever a key has of both; a block is all that one key of the join has, so no key is hot.
     """
-    end = F.nullif("valid_to", F.lit(""))
-    return asked.join(intervals, "key").where((F.col("valid_from") <= F.col("t")) & (end.isNull() | (F.col("t") <= end))).select("key", "t", "owner")
+    return _near(intervals, asked, block).where("first <= n and n < last").select("key", "t", "owner")
+
+
+def _near(intervals: DataFrame, asked: DataFrame, block: int) -> DataFrame:
+    """key, t, owner, and n, the question's number, first and last, those that the interval holds, in blocks that they share."""
+    i = cut(intervals.where("key is not null and valid_from is not null").select("key", "owner", "valid_from", F.nullif("valid_to", F.lit("")).alias("valid_to"), F.monotonically_increasing_id().alias("i")))
+    event = lambda df, t, kind, i: df.select("key", F.col(t).isNull().alias("open"), F.col(t).alias("t"), F.lit(kind).alias("kind"), i.alias("i"))
+    q = asked.where("key is not null and t is not null")
+    events = event(i, "valid_from", 0, F.col("i")).unionByName(event(q, "t", 1, F.monotonically_increasing_id())).unionByName(event(i, "valid_to", 2, F.col("i")))
+    placed = running(events, ["key", "open", "t", "kind", "i"], (F.col("kind") == 1).cast("int"))
+    end = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("before")))
+    spans = placed.where("kind <> 1").groupBy("i").agg(end(0).alias("first"), end(2).alias("last")).where("first < last").join(i.select("i", "owner"), "i")
+    spans = spans.withColumn("b", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(last - 1) div {block}"))))
+    numbers = placed.where("kind = 1").select("key", "t", F.col("before").alias("n"), F.expr(f"before div {block}").alias("b"))
+    return numbers.join(spans, "b")
 
 
 def latest_before(intervals: DataFrame, asked: DataFrame) -> DataFrame:

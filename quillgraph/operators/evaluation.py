@@ -36,3 +36,11 @@ def summary(rows: DataFrame, by: str, *metrics: str) -> DataFrame:
 
 def leaderboard(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.avg(F.col("correct") * F.col("completeness")), 6).alias("score"))
+
+
+def completeness_by(facts: DataFrame, key: str, fact: str) -> DataFrame:
+    """key, completeness: the share of each key's facts (a boolean column) that are covered; null ones are no facts, and
+    without any the share is 1. Only partial counts are exchanged.
+    """
+    n = F.count(fact)
+    return facts.groupBy(key).agg(F.when(n == 0, F.lit(1.0)).otherwise(F.round(F.count_if(fact) / n, 6)).alias("completeness"))

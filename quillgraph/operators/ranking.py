@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import cosine, norm, token_overlap
-from ..graph import first_per
+from ..graph import few_ids, first_per
 from .evidence import subtitle
 
 
@@ -16,6 +19,16 @@ def with_norm(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     return vectors.withColumn("norm", norm(F.col(vec)))
 
 
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """The vector table with its norms, in folders by label and sorted by id: labels prune files, ids prune row groups."""
+    with_norm(vectors).repartitionByRange("label", "id").sortWithinPartitions("label", "id").write.partitionBy("label").option("parquet.block.size", 16 << 20).parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A table that save_vectors wrote; schema is that of the vectors before, which gives the labels their type."""
+    return spark.read.schema(StructType([*schema.fields, StructField("norm", DoubleType())])).parquet(path)
+
+
 def search(vectors: DataFrame, query: Sequence[float], k: int = 10, labels: Sequence | None = None, vec: str = "embedding") -> DataFrame:
     """The vectors with a score, the k highest, ties by id. Labels filter before scoring; an empty list matches nothing.
 
@@ -38,7 +51,45 @@ def above(matches: DataFrame, least: float) -> DataFrame:
 
 def among(vectors: DataFrame, query: Sequence[float], ids: DataFrame, k: int, vec: str = "embedding") -> DataFrame:
     """Search restricted to a table of ids; unknown ids are ignored, an id that is there twice is scored twice."""
-    return search(ids.select("id").join(vectors, "id"), query, k, vec=vec)
+    few = few_ids(ids)
+    near = vectors if few is None else vectors.where(F.col("id").isin(few) if few else F.lit(False))
+    return search(ids.select("id").join(near, "id"), query, k, vec=vec)
+
+
+def search_many(vectors: DataFrame, questions: DataFrame, k: int, vec: str = "embedding", rows: int = 8192, asked: int = 1024) -> DataFrame:
+    """question_id, id, score, rank: the k vectors with the highest cosine of each question (question_id, embedding).
+
+    Vectors and questions are dealt into blocks of about `rows` and `asked` by the hash of their ids; every two blocks
+    meet in a task of their own, as one product of matrices, which gives k rows for a question. So a task's work is
+    bounded, and what is merged is k rows for each question and block of vectors. Scores are rounded to 12 places before
+    they are compared; ties go by id. A zero vector, or one of another dimension, scores 0.
+    """
+    nv, nq = (max(1, -(-df.count() // n)) for df, n in ((vectors, rows), (questions, asked)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    v = vectors.where(F.col(vec).isNotNull()).select("id", F.col(vec).cast("array<double>").alias("v"), block("id", nv).alias("vb"), every(nq).alias("qb"))
+    q = questions.where("embedding is not null").select("question_id", F.col("embedding").cast("array<double>").alias("q"), block("question_id", nq).alias("qb")).withColumn("vb", every(nv))
+
+    def unit(rows: list[np.ndarray], dim: int) -> np.ndarray:
+        m = np.array([x if len(x) == dim else np.zeros(dim) for x in rows]).reshape(len(rows), dim)
+        n = np.sqrt((m * m).sum(1, keepdims=True))
+        return m / np.where(n == 0, 1, n)
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        v, out = v.sort_values("id", kind="stable"), []
+        ids = v.id.to_numpy()
+        for dim, part in q.groupby(q.q.map(len)):
+            m = unit(v.v.tolist(), dim) if len(v) else np.zeros((0, dim))
+            for name, score in zip(part.question_id, (unit(part.q.tolist(), dim) @ m.T).round(12)):
+                floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -2.0
+                at = np.concatenate([np.flatnonzero(score > floor), np.flatnonzero(score == floor)])[:k]
+                out += [(name, ids[i], score[i]) for i in at]
+        return pd.DataFrame(out, columns=["question_id", "id", "score"])
+
+    out = StructType([StructField("question_id", questions.schema["question_id"].dataType), StructField("id", vectors.schema["id"].dataType), StructField("score", DoubleType())])
+    near = v.groupBy("vb", "qb").cogroup(q.groupBy("vb", "qb")).applyInPandas(lambda a, b: best(a, b), out)
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def relevance_cut(ids: DataFrame, vectors: DataFrame, query: Sequence[float], k: int) -> DataFrame:
@@ -62,8 +113,12 @@ def candidate_pool(semantic: DataFrame, listed: DataFrame) -> DataFrame:
 def shortlist(pool: DataFrame, most: int = 8) -> DataFrame:
     """Candidates that overlap with the mention by word prefix; where none does, the first of the pool."""
     flagged = pool.withColumn("hit", token_overlap("mention", "text").cast("int"))
-    flagged = flagged.withColumn("any_hit", F.max("hit").over(Window.partitionBy("mention"))).where("hit = any_hit")
-    return first_per(flagged, ["mention"], "src", "ord", "id", most=most).drop("any_hit")
+    return first_per(flagged, ["mention"], F.desc("hit"), "src", "ord", "id", most=most).transform(_best_hits)
+
+
+def _best_hits(first: DataFrame) -> DataFrame:
+    """Of each mention's first rows, hits before others, those as good as the first."""
+    return first.withColumn("any_hit", F.max("hit").over(Window.partitionBy("mention"))).where("hit = any_hit").drop("any_hit")
 
 
 def neighbour_summary(hops: DataFrame, most_edges: int = 12, most_names: int = 6) -> DataFrame:
@@ -105,17 +160,12 @@ def documents_of(matches: DataFrame, nodes: DataFrame) -> DataFrame:
     return matches.join(ids, "id", "left")
 
 
-def baseline(vectors: DataFrame, nodes: DataFrame, bodies: DataFrame, questions: DataFrame, labels: Sequence[str], k: int = 5, most_text: int = 4000, blocks: int = 64) -> DataFrame:
+def baseline(vectors: DataFrame, nodes: DataFrame, bodies: DataFrame, questions: DataFrame, labels: Sequence[str], k: int = 5, most_text: int = 4000) -> DataFrame:
     """question_id, document_ids, context: plain vector retrieval of the k nearest content nodes of each question.
 
-    questions: question_id, embedding. Each question meets the vectors block by block and keeps k of each, so the rows
-    between are k * blocks for a question. The context has a title and body of each, cut to `most_text` characters.
+    questions: question_id, embedding. The context has a title and body of each, cut to `most_text` characters.
     """
-    v = vectors.where(F.col("label").isin(list(labels))).select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    q = questions.select("question_id", F.col("embedding").alias("q"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("b"))
-    near = first_per(q.join(v, "b").select("question_id", "b", "id", cosine(F.col("embedding"), F.col("q")).alias("score")), ["question_id", "b"], F.desc("score"), "id", most=k)
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))
-    top = documents_of(near.withColumn("rank", rank).where(F.col("rank") <= k), nodes)
+    top = documents_of(search_many(vectors.where(F.col("label").isin(list(labels))), questions, k), nodes)
     texts = nodes.select("id", "primary_text").join(bodies.select("id", F.col("text").alias("body")), "id", "left")
     part = F.substring(F.concat_ws("\n", F.nullif("primary_text", F.lit("")), F.nullif("body", F.lit(""))), 1, most_text)
     line = F.concat(F.lit("[Doc "), F.col("rank").cast("string"), F.lit("] "), F.coalesce(part, F.lit("")))

@@ -71,9 +71,71 @@ def bounded(graph: Graph, seeds: DataFrame, rel_types: Sequence[str], direction:
     return paths(graph, seeds, rel_types, direction, least, most, limit=limit)
 
 
+def _between(graph: Graph, seeds: DataFrame, target: int, rel_types: Sequence[str], direction: str, most: int) -> Iterator[list[DataFrame]]:
+    """For one hop, two and so on up to `most`: the nodes that walks of so many hops from a seed to the target have at each place.
+
+    Frontiers grow from both ends and meet in the middle; from there each side is walked back through its own. A table
+    holds each node once, so no more is written than a node for each side and hop, however many walks there are. Numbers
+    of hops that reach nothing give nothing.
+    """
+    there = graph.adjacency(rel_types, direction)
+    back = graph.adjacency(rel_types, {"outgoing": "incoming", "incoming": "outgoing"}.get(direction, direction))
+    near = lambda adj, ids: at_ids(adj, ids).select(F.col("to").alias("id")).distinct()
+    ahead, behind = [cut(seeds.select("id").distinct())], [seeds.sparkSession.createDataFrame([(target,)], "id bigint")]
+    for hops in range(1, most + 1):
+        half = (hops + 1) // 2
+        if len(ahead) <= half:
+            ahead.append(cut(near(there, ahead[-1])))
+        if len(behind) <= hops - half:
+            behind.append(cut(near(back, behind[-1])))
+        at = {half: cut(ahead[half].join(behind[hops - half], "id", "left_semi"))}
+        if at[half].isEmpty():
+            continue
+        for i in range(half - 1, -1, -1):
+            at[i] = cut(near(back, at[i + 1]).join(ahead[i], "id", "left_semi"))
+        for i in range(half + 1, hops + 1):
+            at[i] = cut(near(there, at[i - 1]).join(behind[hops - i], "id", "left_semi"))
+        yield [at[i] for i in range(hops + 1)]
+
+
+def _first_through(adj: DataFrame, places: list[DataFrame], keep: int) -> tuple[DataFrame, bool]:
+    """The paths through the given nodes whose nodes come first: of every length, the first `keep` lists of nodes go on.
+
+    Every list can reach the end, and what goes on comes before what does not, so what is found are the first paths; but
+    paths that would repeat an edge are none, so it may be fewer than `keep`. The flag says that some did not go on.
+    """
+    now, left = places[0].select(F.col("id").alias("start"), F.col("id").alias("end"), F.array("id").alias("nodes"), F.array().cast("array<bigint>").alias("edges")), False
+    for place in places[1:]:
+        step = at_ids(adj, now.select(F.col("end").alias("id"))).join(place.withColumnRenamed("id", "to"), "to", "left_semi").select("at", "to", F.col("id").alias("edge"))
+        now = now.join(step, F.col("end") == F.col("at")).where(~F.array_contains("edges", F.col("edge")))
+        now = cut(now.select("start", F.col("to").alias("end"), F.concat("nodes", F.array("to")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges")))
+        first = cut(now.select("nodes").distinct().orderBy("nodes").limit(keep + 1))
+        if first.count() > keep:
+            now, left = now.join(first.orderBy("nodes").limit(keep), "nodes", "left_semi"), True
+    return now.select("start", "end", F.lit(len(places) - 1).alias("hops"), "nodes", "edges"), left
+
+
 def shortest_paths(graph: Graph, seeds: DataFrame, target: int, rel_types: Sequence[str], direction: str = "outgoing", most: int = 3, count: int = 5) -> DataFrame:
-    """Up to `count` shortest paths to the target; weight and cost are the number of hops."""
-    found = paths(graph, seeds, rel_types, direction, 1, most, target, count)
+    """start, end, hops, nodes, edges, weight, cost: the first `count` paths to the target by hops, nodes and edges, of at
+    most `most` hops and with distinct edges; weight and cost are the number of hops.
+
+    Only nodes between both ends are read, and of the paths among them only the first are made; parallel edges between
+    two nodes each make a path.
+    """
+    found, n, adj = None, 0, graph.adjacency(rel_types, direction)
+    for places in _between(graph, seeds, target, rel_types, direction, most):
+        keep = count - n
+        step, left = _first_through(adj, places, keep)
+        while left and step.limit(count - n).count() < count - n:
+            keep *= 8
+            step, left = _first_through(adj, places, keep)
+        found = step if found is None else found.unionByName(step)
+        n += step.limit(count - n).count()
+        if n >= count:
+            break
+    if found is None:
+        found = seeds.sparkSession.createDataFrame([], "start bigint, end bigint, hops int, nodes array<bigint>, edges array<bigint>")
+    found = found.orderBy("hops", "nodes", "edges").limit(count)
     return found.withColumns({"weight": F.col("hops").cast("double"), "cost": F.col("hops").cast("double")})
 
 

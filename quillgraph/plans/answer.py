@@ -8,9 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import token_overlap
 from ..graph import Graph, first_per
-from ..operators import conflicts, evidence, ranking, traversal, writes
+from ..operators import conflicts, evidence, names, ranking, traversal, writes
 from .models import Embedder, extract_answer, lexical_mentions, overlap_rank
 
 
@@ -24,17 +23,19 @@ class Answer:
     found: bool
 
 
-def resolve(graph: Graph, mentions: list[str], vectors: DataFrame | None, embedder: Embedder, per_label: int = 50) -> DataFrame:
-    """mention, id, confidence, rank, resolved, ambiguous of each mention's candidates."""
+def resolve(graph: Graph, mentions: list[str], vectors: DataFrame | None, embedder: Embedder, per_label: int = 50, index: DataFrame | None = None) -> DataFrame:
+    """mention, id, confidence, rank, resolved, ambiguous of each mention's candidates: the 20 nearest vectors, then nodes
+    that share a word prefix, `per_label` of each label by id. index: names.index of the graph's nodes, stored or not.
+    """
     spark = graph.nodes.sparkSession
-    asked = F.broadcast(spark.createDataFrame([(m,) for m in mentions], "mention string"))  # one question's mentions
-    named = graph.nodes.select("id", "label", F.col("primary_text").alias("text")).join(asked, token_overlap("mention", "text"))
-    listed = first_per(named, ["mention", "label"], "id", most=per_label).withColumn("ord", F.col("id"))
+    asked = spark.createDataFrame([(m,) for m in mentions], "mention string")
+    found = names.lookup(names.index(graph.nodes) if index is None else index, asked)
+    listed = first_per(found, ["mention", "label"], "id", most=per_label).withColumn("ord", F.col("id"))
     semantic = listed.limit(0)
-    if vectors is not None:
-        for m in mentions:
-            near = ranking.search(vectors, embedder([m])[0].tolist(), 20).select(F.lit(m).alias("mention"), "id", "label", F.col("primary_text").alias("text"), F.lit(0).cast("bigint").alias("ord"))
-            semantic = semantic.unionByName(near)
+    if vectors is not None and mentions:
+        embedded = spark.createDataFrame(list(zip(mentions, embedder(mentions).tolist())), "question_id string, embedding array<double>")
+        near = ranking.search_many(vectors, embedded, 20).select(F.col("question_id").alias("mention"), "id", F.lit(0).cast("bigint").alias("ord"))
+        semantic = near.join(vectors.select("id", "label", F.col("primary_text").alias("text")), "id")
     pool = ranking.shortlist(ranking.candidate_pool(semantic, listed))
     return ranking.confident(overlap_rank(pool))
 

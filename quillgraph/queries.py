@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .graph import Graph
-from .operators import conflicts, conversations, evaluation, evidence, quality, ranking, references, threads, traversal, writes
+from .operators import conflicts, conversations, evaluation, evidence, names, quality, ranking, references, threads, traversal, writes
 from .schema import GraphSchema, Label, RelType
 from .sources import adapters, files
 from .sources.demo import demo_graph
-from .sources.tables import edges_sql, id_sql, nodes_sql, star_graph, stored_graph, table
+from .sources.tables import edges_sql, id_sql, nodes_sql, star_graph, stored_graph, stored_names, stored_vectors, table
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,11 +41,11 @@ def _seed(spark: SparkSession, kind: str, *keys: int) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
+    return stored_vectors(spark, d)
 
 
 def _first_vector(spark: SparkSession, d: str) -> list[float]:
-    return table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]
+    return stored_vectors(spark, d).where("id = 0").select("embedding").first()["embedding"]
 
 
 # lookups and counts
@@ -132,6 +132,17 @@ def shortest_paths(spark, d):
     return found.select("hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "cost")
 
 
+_WALKS = f"""with recursive e as ({edges_sql(('PLACED', 'CONTAINS', 'SUPPLIED_BY'))}), s as (select src as "at", dst as "to", id from e union all select dst, src, id from e), p as (
+    select "at" as start, "to" as "end", 1 as hops, ["at", "to"] as nodes, [id] as edges from s where "at" = {id_sql('customer', '1')}
+    union all select p.start, s."to", p.hops + 1, list_append(p.nodes, s."to"), list_append(p.edges, s.id) from p join s on s."at" = p."end" where p.hops < 4 and not list_contains(p.edges, s.id))"""
+
+
+@_query(_WALKS + f""" select hops, array_to_string(nodes, '>') as path, hops::double as cost from p where "end" = {id_sql('supplier', '5')} order by hops, nodes, edges limit 50""")
+def shortest_paths_far(spark, d):
+    found = traversal.shortest_paths(stored_graph(spark, d), _seed(spark, "customer", 1), S.stable_id_of("supplier", "5"), ("PLACED", "CONTAINS", "SUPPLIED_BY"), "both", 4, 50)
+    return found.select("hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"), "cost")
+
+
 @_query(_PATHS + """ select "end", hops, array_to_string(nodes, '>') as path from p order by hops, nodes, edges limit 20""")
 def single_source_paths(spark, d):
     g = stored_graph(spark, d)
@@ -490,10 +501,21 @@ def top_fan_out(spark, d):
     return references.fan_out(table(spark, d, "documents").select(F.explode(S.link_tokens("text")).alias("token")))
 
 
+@_query(f"""with n as ({nodes_sql()}), m as (select p_name as mention from part union select substr(c_name, 1, 17) from customer union select upper(s_name) from supplier union select r_name || ' s' from region),
+    w as (select distinct id, label, primary_text as text, unnest(list_filter(regexp_split_to_array(lower(primary_text), '\\s+'), lambda x: x <> '')) as word from n where label <> 'order'),
+    a as (select distinct mention, unnest(list_filter(regexp_split_to_array(lower(mention), '\\s+'), lambda x: x <> '')) as word from m)
+    select distinct mention, w.id, label, text from a join w on starts_with(w.word, a.word) or starts_with(a.word, w.word)""")
+def mention_lookup(spark, d):
+    """Part names, customer names without their last digit, supplier names in upper case and region names with a letter, against all names but those of orders."""
+    m = table(spark, d, "part").select(F.col("p_name").alias("mention")).union(table(spark, d, "customer").select(F.substring("c_name", 1, 17)))
+    m = m.union(table(spark, d, "supplier").select(F.upper("s_name"))).union(table(spark, d, "region").select(F.concat("r_name", F.lit(" s"))))
+    return names.lookup(stored_names(spark, d).where("label <> 'order'"), m)
+
+
 @_query("select source, case when count(l.doc_id) = 0 then 1.0 else round(count(*) filter (l.quality = 1) / count(l.doc_id), 6) end as completeness from documents d left join labels l using (doc_id) group by source")
 def completeness_ratio(spark, d):
-    facts = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").groupBy("source").agg(F.collect_list(F.col("quality") == 1).alias("facts"))
-    return facts.select("source", F.round(evaluation.completeness("facts"), 6).alias("completeness"))
+    facts = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return evaluation.completeness_by(facts.withColumn("fact", F.col("quality") == 1), "source", "fact")
 
 
 @_query("with q as (select distinct doc_id as id from documents), h as (select q.id, e.vec_id from q left join (select distinct vec_id from embeddings) e on e.vec_id = q.id) select count(vec_id) as present, count(*) as total, count(*) - count(vec_id) as missing, (select count(*) from embeddings where list_cosine_similarity(embedding::double[], embedding::double[]) < 0.99) as unlike_self from h")
@@ -582,14 +604,14 @@ def mention_completion(spark, d):
 
 
 @_query("""with q as (select vec_id as question_id, embedding::double[] as q from embeddings where vec_id % 50 = 0), s as (select question_id, vec_id as id, list_cosine_similarity(embedding::double[], q) as s from q, embeddings where label in (1, 2, 3)),
-    r as (select *, row_number() over (partition by question_id order by s desc, id) as rank from s), t as (select r.*, doc_id, source, substr(concat_ws(chr(10), nullif(source, ''), nullif(text, '')), 1, 400) as part from r left join documents on doc_id = id where rank <= 5)
+    r as (select *, row_number() over (partition by question_id order by s desc, id) as rank from s), t as (select r.*, doc_id, source, substr(concat_ws(chr(10), nullif(source, ''), nullif(text, '')), 1, 4000) as part from r left join documents on doc_id = id where rank <= 5)
     select question_id, list('d' || doc_id order by rank) filter (doc_id % 3 <> 0) as document_ids, string_agg('[Doc ' || rank || '] ' || coalesce(part, ''), chr(10) || chr(10) order by rank) as context from t group by question_id""")
 def baseline_retrieval(spark, d):
     e, docs = table(spark, d, "embeddings"), table(spark, d, "documents")
     props = F.when(F.col("doc_id") % 3 != 0, F.create_map(F.lit("dsid"), F.concat(F.lit("d"), F.col("doc_id").cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
     nodes = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("primary_text"), props.alias("properties"))
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "embedding")
-    return ranking.baseline(_vectors(spark, d), nodes, docs.select(F.col("doc_id").alias("id"), "text"), asked, [1, 2, 3], most_text=400)
+    return ranking.baseline(_vectors(spark, d), nodes, docs.select(F.col("doc_id").alias("id"), "text"), asked, [1, 2, 3])
 
 
 def _talks(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -630,7 +652,7 @@ def fixed_chunks(spark, d):
 
 @_query("select vec_id as id, case when vec_id % 4 = 0 then 99 else label end as label from embeddings union all select doc_id, 99 from documents where doc_id % 4 = 0 and doc_id not in (select vec_id from embeddings)")
 def upsert_vectors(spark, d):
-    old = _vectors(spark, d).select("id", "label")
+    old = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
     new = table(spark, d, "documents").where("doc_id % 4 = 0").select(F.col("doc_id").alias("id"), F.explode(F.array(F.lit(98), F.lit(99))).alias("label"))
     return writes.upsert_vectors(old, new.withColumn("seq", F.col("label").cast("bigint")))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stable_id
 from ..graph import Graph, shared_folder
+from ..operators import names, ranking
 
 #: label, table, key column, text column.
 NODES = (("region", "region", "r_regionkey", "r_name"), ("nation", "nation", "n_nationkey", "n_name"), ("customer", "customer", "c_custkey", "c_name"), ("supplier", "supplier", "s_suppkey", "s_name"), ("part", "part", "p_partkey", "p_name"), ("order", "orders", "o_orderkey", "o_orderstatus"))
@@ -45,20 +47,49 @@ def star_graph(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None =
     return Graph(nodes, edges)
 
 
-#: Folders of graphs that this application has stored, by application and tables.
-_stored: dict[tuple[str, str], str] = {}
+#: Folders that this application has stored, by application, kind, tables and the tables' state.
+_stored: dict[tuple, str] = {}
 
 
-def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The star graph as a stored one: written to the shared folder at the first call of an application, then read pruned."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _state(spark: SparkSession, sf_dir: str, names: Sequence[str]) -> tuple:
+    """When each table was last written, and its size."""
+    sc, out = spark.sparkContext, []
+    for name in names:
+        where = sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        status = where.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(where)
+        out.append((status.getModificationTime(), status.getLen()))
+    return tuple(out)
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, names: Sequence[str], write: Callable[[str], None]) -> str:
+    """The folder that `write` filled in the shared folder, at the first call of an application and after the tables changed."""
+    key = (spark.sparkContext.applicationId, kind, sf_dir, _state(spark, sf_dir, names))
     if key not in _stored:
-        path = f"{shared_folder(spark)}/quillgraph-graph-{uuid.uuid4().hex}"
-        star_graph(spark, sf_dir).save(path)
+        path = f"{shared_folder(spark)}/quillgraph-{kind}-{uuid.uuid4().hex}"
+        write(path)
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
         _stored[key] = path
-    return Graph.load(spark, _stored[key])
+    return _stored[key]
+
+
+STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The star graph as a stored one, which reads are pruned on."""
+    return Graph.load(spark, _once(spark, sf_dir, "graph", STAR, lambda path: star_graph(spark, sf_dir).save(path)))
+
+
+def stored_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored index of the star graph's names."""
+    return spark.read.parquet(_once(spark, sf_dir, "names", STAR, lambda path: names.save(names.index(star_graph(spark, sf_dir, ()).nodes), path)))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, embedding, label, norm of the embeddings, stored by label."""
+    rows = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "id")
+    return ranking.load_vectors(spark, _once(spark, sf_dir, "vectors", ("embeddings",), lambda path: ranking.save_vectors(rows, path)), rows.schema)
 
 
 def id_sql(kind: str, key: str) -> str:
