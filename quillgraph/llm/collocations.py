@@ -24,10 +24,12 @@ from .common import materialise, mix64, passing
 LEAST = 30
 LONGEST = 4
 TOP = 2000
-#: Words of a block, bits of a bitmap, and bits of the hashes that are counted.
+#: Words of a block, bits of a bitmap, hashes that a task merges before it passes them on, and words of the corpus for each part
+#: that hashes are merged in.
 BLOCK = 2**19
 BITS = 26
-HASH = np.uint64(2**40 - 1)
+MERGED = 2**21
+PART = 2**20
 UNKNOWN = "und"
 #: Characters that end a piece (a fixed value); they become a byte that UTF-8 does not have. A to Z become lower case, tabs spaces.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -159,10 +161,10 @@ def intervals(order: np.ndarray, shared: np.ndarray, words: int) -> tuple[np.nda
 class _Counter:
     """The phrases of a block of which all that the bitmaps (of words, pairs, triples) tell may be frequent."""
 
-    def __init__(self, row, maps: list[np.ndarray], bits: int):
-        self.words, self.own = _Words(row), row.own
+    def __init__(self, row, maps: list[np.ndarray], bits: int, mask: np.uint64):
+        self.words, self.own, self.mask = _Words(row), row.own, mask
         self.h = self.words.keys()
-        self.fine = has_bit(self.h & HASH, maps[0], bits) if maps else np.ones(len(self.h), bool)
+        self.fine = has_bit(self.h & mask, maps[0], bits) if maps else np.ones(len(self.h), bool)
         self.fine[0] = False
         self.ids = np.concatenate([np.where(self.fine[self.words.ids], self.words.ids, 0), np.zeros(LONGEST, np.int32)])
         self.may = [self.ids > 0]  # where phrases of one word, two and three start that may be frequent
@@ -180,40 +182,72 @@ class _Counter:
         k = self.h[self.ids[at]]
         for i in range(1, words):
             k = mix64(k * _FACTOR + self.h[self.ids[at + i]])
-        return k & HASH
+        return k & self.mask
 
     def counted(self, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and count of each distinct phrase of so many words that starts in the block's own part."""
         if words == 1:
             n = self.words.counts()
             n[0] = 0
-            return (self.h & HASH)[n > 0], n[n > 0]
+            return (self.h & self.mask)[n > 0], n[n > 0]
         at = self.starts(words)
         at, n = intervals(*suffix_array(self.ids, at[at < self.own]), words)
         return self.key(at, words), n
 
-    def phrases(self) -> Iterator[tuple[str, str, int, int]]:
-        """lang, phrase, words, count of all phrases that may be frequent, and lang, '', 0, number of words."""
+    def phrases(self) -> Iterator[tuple[str, int]]:
+        """Phrase, a tab and language, and count, of all phrases that may be frequent; the empty phrase counts all words."""
         vocab, count = self.words.words, self.words.counts()
         total = np.bincount(self.words.lang_of, count[1:], len(self.words.langs))
-        yield from ((lang, "", 0, int(n)) for lang, n in zip(self.words.langs, total))
-        for i in np.flatnonzero(self.fine & (count > 0)).tolist():
-            yield self.words.lang(i), vocab[i].decode("utf-8", "replace"), 1, int(count[i])
+        yield from ((f"\t{lang}", int(n)) for lang, n in zip(self.words.langs, total))
+        told = lambda ids: f"{b' '.join([vocab[i] for i in ids]).decode('utf-8', 'replace')}\t{self.words.lang(ids[0])}"
+        yield from ((told([i]), int(count[i])) for i in np.flatnonzero(self.fine & (count > 0)).tolist())
         at = np.flatnonzero(self.may[1][: self.own])
         order, shared = suffix_array(self.ids, at)
         for words in range(2, LONGEST + 1):
             first, n = intervals(order, shared, words)
             ok = self.may[words - 1][first] if words < LONGEST else self.may[-1][first] & self.may[-1][first + 1]
-            for p, c in zip(first[ok].tolist(), n[ok].tolist()):
-                ids = self.ids[p : p + words].tolist()
-                yield self.words.lang(ids[0]), b" ".join([vocab[i] for i in ids]).decode("utf-8", "replace"), words, c
+            yield from ((told(self.ids[p : p + words].tolist()), c) for p, c in zip(first[ok].tolist(), n[ok].tolist()))
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _parts(keys: list[np.ndarray], counts: list[np.ndarray]) -> pd.DataFrame:
+    """part (the upper bits of a key), keys (the lower 32 bits, packed) and n (64-bit counts, packed) of merged keys."""
+    key, n = _merged(keys, counts)
+    part, first = np.unique(key >> np.uint64(32), return_index=True)
+    ends = [*first[1:].tolist(), len(key)]
+    low = key.astype(np.uint32)
+    return pd.DataFrame({"part": part.astype(np.int64), "keys": [low[a:b].tobytes() for a, b in zip(first.tolist(), ends)], "n": [n[a:b].tobytes() for a, b in zip(first.tolist(), ends)]})
+
+
+def often(counted: DataFrame, least: int) -> DataFrame:
+    """The keys whose counts add up to `least` and more, of the rows of _parts."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, n = _merged([np.frombuffer(k, np.uint32) for k in pdf["keys"]], [np.frombuffer(x, np.int64) for x in pdf.n])
+        return pd.DataFrame({"key": (int(pdf.part.iloc[0]) << 32) | key[n >= least].astype(np.int64)})
+
+    return counted.groupBy("part").applyInPandas(lambda pdf: add(pdf), "key long")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(lang, n of all words), and (lang, phrase, words, f) of the phrases of 1 to LONGEST words with f >= least."""
+    """(lang, n of all words), and (lang, phrase, words, f) of the phrases of 1 to LONGEST words with f >= least.
+
+    Hashes have 32 bits and as many more as there are parts, one for about a million words of the corpus; a task passes
+    on its merged hashes as one row for each part, and each part is merged by itself.
+    """
     sc = docs.sparkSession.sparkContext
     with passing() as keep:
         cut, maps = materialise(blocks(docs, block)), []
+        total = cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
+        mask = np.uint64((1 << 32 + (total // PART).bit_length()) - 1)
 
         def known() -> list[np.ndarray]:
             return [np.frombuffer(m.value, np.uint8) for m in maps]
@@ -221,22 +255,31 @@ def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int
         for words in range(1, LONGEST):
 
             def level(batches: Iterator[pd.DataFrame], words: int = words) -> Iterator[pd.DataFrame]:
-                have = known()
+                have, keys, counts = known(), [], []
                 for b in batches:
                     for row in b.itertuples():
-                        key, n = _Counter(row, have, bits).counted(words)
-                        yield pd.DataFrame({"key": key.view(np.int64), "n": n})
-
-            often = cut.mapInPandas(level, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-            maps.append(sc.broadcast(bitmap(F.col("key"), often, bits)))
+                        key, n = _Counter(row, have, bits, mask).counted(words)
+                        keys.append(key)
+                        counts.append(n)
+                        if sum(map(len, keys)) > MERGED:
+                            yield _parts(keys, counts)
+                            keys, counts = [], []
+                if keys:
+                    yield _parts(keys, counts)
+
+            found = often(cut.mapInPandas(level, "part long, keys binary, n binary"), least)
+            maps.append(sc.broadcast(bitmap(F.col("key"), found, bits)))
 
         def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             have = known()
             for b in batches:
                 for row in b.itertuples():
-                    yield pd.DataFrame(_Counter(row, have, bits).phrases(), columns=["lang", "phrase", "words", "n"])
+                    yield pd.DataFrame(_Counter(row, have, bits, mask).phrases(), columns=["told", "n"])
 
-        merged = cut.mapInPandas(phrases, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
+        merged = cut.mapInPandas(phrases, "told string, n long").groupBy("told").agg(F.sum("n").alias("f"))
+        phrase = F.substring_index("told", "\t", 1)
+        lang = F.substring(F.col("told"), F.length(phrase) + 2, F.length("told"))
+        merged = merged.select(lang.alias("lang"), phrase.alias("phrase"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), "f")
         found = materialise(merged.where((F.col("f") >= least) | (F.col("words") == 0)))
         keep.append(found)
     return found.where("words = 0 and f > 0").select("lang", F.col("f").alias("n")), found.where("words > 0")
