@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,19 +195,21 @@ class _Counter:
         at, n = intervals(*suffix_array(self.ids, at[at < self.own]), words)
         return self.key(at, words), n
 
-    def phrases(self) -> Iterator[tuple[str, int]]:
+    def phrases(self) -> Iterator[tuple[bytes, int]]:
         """Phrase, a tab and language, and count, of all phrases that may be frequent; the empty phrase counts all words."""
         vocab, count = self.words.words, self.words.counts()
-        total = np.bincount(self.words.lang_of, count[1:], len(self.words.langs))
-        yield from ((f"\t{lang}", int(n)) for lang, n in zip(self.words.langs, total))
-        told = lambda ids: f"{b' '.join([vocab[i] for i in ids]).decode('utf-8', 'replace')}\t{self.words.lang(ids[0])}"
-        yield from ((told([i]), int(count[i])) for i in np.flatnonzero(self.fine & (count > 0)).tolist())
+        tails = [b"\t" + lang.encode("utf-8", "replace") for lang in self.words.langs]
+        tail_of = [b"", *map(tails.__getitem__, self.words.lang_of.tolist())]
+        yield from zip(tails, np.bincount(self.words.lang_of, count[1:], len(tails)).astype(np.int64).tolist())
+        own = np.flatnonzero(self.fine & (count > 0))
+        yield from ((vocab[i] + tail_of[i], n) for i, n in zip(own.tolist(), count[own].tolist()))
         at = np.flatnonzero(self.may[1][: self.own])
         order, shared = suffix_array(self.ids, at)
         for words in range(2, LONGEST + 1):
             first, n = intervals(order, shared, words)
             ok = self.may[words - 1][first] if words < LONGEST else self.may[-1][first] & self.may[-1][first + 1]
-            yield from ((told(self.ids[p : p + words].tolist()), c) for p, c in zip(first[ok].tolist(), n[ok].tolist()))
+            ids = self.ids[first[ok][:, None] + np.arange(words)].tolist()
+            yield from ((b" ".join([vocab[i] for i in p]) + tail_of[p[0]], c) for p, c in zip(ids, n[ok].tolist()))
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +240,36 @@ def often(counted: DataFrame, least: int) -> DataFrame:
     return counted.groupBy("part").applyInPandas(lambda pdf: add(pdf), "key long")
 
 
+def _told(counts: dict[bytes, int], parts: int) -> pd.DataFrame:
+    """part, told (phrases in order, parted by a byte that UTF-8 does not have, compressed) and n (64-bit counts, packed)."""
+    by: dict[int, list[bytes]] = {}
+    for t in counts:
+        by.setdefault(xxhash.xxh3_64_intdigest(t) % parts, []).append(t)
+    pack, rows = zstandard.ZstdCompressor(level=1).compress, []
+    for part, told in by.items():
+        told.sort()
+        rows.append((part, pack(b"\xff".join(told)), np.fromiter(map(counts.__getitem__, told), np.int64, len(told)).tobytes()))
+    return pd.DataFrame(rows, columns=["part", "told", "n"])
+
+
+def summed(counted: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, words, f of phrases whose counts add up to `least` and more, and of the empty ones, of the rows of _told."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: dict[bytes, int] = {}
+        for told, n in zip(pdf.told, pdf.n):
+            for t, c in zip(zstandard.decompress(told).split(b"\xff"), np.frombuffer(n, np.int64).tolist()):
+                total[t] = total.get(t, 0) + c
+        rows = []
+        for t, f in total.items():
+            phrase, _, lang = t.decode("utf-8", "replace").partition("\t")
+            if f >= least or not phrase:
+                rows.append((lang, phrase, phrase.count(" ") + 1 if phrase else 0, f))
+        return pd.DataFrame(rows, columns=["lang", "phrase", "words", "f"])
+
+    return counted.groupBy("part").applyInPandas(lambda pdf: add(pdf), "lang string, phrase string, words int, f long")
+
+
 def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, n of all words), and (lang, phrase, words, f) of the phrases of 1 to LONGEST words with f >= least.
 
@@ -247,7 +280,8 @@ def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int
     with passing() as keep:
         cut, maps = materialise(blocks(docs, block)), []
         total = cut.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
-        mask = np.uint64((1 << 32 + (total // PART).bit_length()) - 1)
+        parts = 1 << (total // PART).bit_length()
+        mask = np.uint64((parts << 32) - 1)
 
         def known() -> list[np.ndarray]:
             return [np.frombuffer(m.value, np.uint8) for m in maps]
@@ -271,16 +305,18 @@ def frequent(docs: DataFrame, least: int = LEAST, block: int = BLOCK, bits: int
             maps.append(sc.broadcast(bitmap(F.col("key"), found, bits)))
 
         def phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            have = known()
+            have, counts = known(), {}
             for b in batches:
                 for row in b.itertuples():
-                    yield pd.DataFrame(_Counter(row, have, bits, mask).phrases(), columns=["told", "n"])
-
-        merged = cut.mapInPandas(phrases, "told string, n long").groupBy("told").agg(F.sum("n").alias("f"))
-        phrase = F.substring_index("told", "\t", 1)
-        lang = F.substring(F.col("told"), F.length(phrase) + 2, F.length("told"))
-        merged = merged.select(lang.alias("lang"), phrase.alias("phrase"), F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " "))).alias("words"), "f")
-        found = materialise(merged.where((F.col("f") >= least) | (F.col("words") == 0)))
+                    for told, n in _Counter(row, have, bits, mask).phrases():
+                        counts[told] = counts.get(told, 0) + n
+                    if len(counts) > MERGED // 4:
+                        yield _told(counts, parts)
+                        counts = {}
+            if counts:
+                yield _told(counts, parts)
+
+        found = materialise(summed(cut.mapInPandas(phrases, "part long, told binary, n binary"), least))
         keep.append(found)
     return found.where("words = 0 and f > 0").select("lang", F.col("f").alias("n")), found.where("words > 0")
 
