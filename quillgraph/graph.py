@@ -118,17 +118,19 @@ def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return dealt.join(F.broadcast(heads), "_part").withColumn("pos", F.col("_start") + F.col("_idx")).drop("_start", "_idx", "_part")
 
 
-def running(rows: DataFrame, order: Sequence[str], weight: Column) -> DataFrame:
-    """rows with column before, the sum of the weights in front of them in the whole order: ranges are summed by
+def running(rows: DataFrame, order: Sequence[str], **weights: Column) -> DataFrame:
+    """rows with a column for each weight, the sum of the weight in front of them in the whole order: ranges are summed by
     themselves, then shifted by the sums of the ranges before. Rows that are equal in `order` may share a range boundary
     anywhere, so name columns that tell them apart.
     """
-    dealt = rows.withColumn("_w", weight.cast("bigint")).repartitionByRange(*order).sortWithinPartitions(*order)
+    held = {f"_w{i}": w.cast("bigint") for i, w in enumerate(weights.values())}
+    dealt = rows.withColumns(held).repartitionByRange(*order).sortWithinPartitions(*order)
     dealt = cut(dealt.withColumns({"_part": F.spark_partition_id(), "_idx": F.monotonically_increasing_id()}))
-    ahead = lambda by: F.coalesce(F.sum("_w").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    heads = dealt.groupBy("_part").agg(F.sum("_w").alias("_w")).select("_part", ahead(Window.orderBy("_part")).alias("_start"))  # a row for each partition
-    own = dealt.withColumn("_own", ahead(Window.partitionBy("_part").orderBy("_idx")))
-    return own.join(F.broadcast(heads), "_part").withColumn("before", F.col("_start") + F.col("_own")).drop("_start", "_own", "_part", "_idx", "_w")
+    ahead = lambda c, by: F.coalesce(F.sum(c).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = dealt.groupBy("_part").agg(*[F.sum(c).alias(c) for c in held])  # a row for each partition
+    heads = heads.select("_part", *[ahead(c, Window.orderBy("_part")).alias(f"{c}s") for c in held])
+    own = dealt.withColumns({f"{c}o": ahead(c, Window.partitionBy("_part").orderBy("_idx")) for c in held}).join(F.broadcast(heads), "_part")
+    return own.select(*rows.columns, *[(F.col(f"{c}s") + F.col(f"{c}o")).alias(name) for c, name in zip(held, weights)])
 
 
 def first_per(df: DataFrame, keys: Sequence[str], *order: Column | str, most: int = 1) -> DataFrame:

@@ -62,7 +62,7 @@ def _near(intervals: DataFrame, asked: DataFrame, block: int) -> DataFrame:
     event = lambda df, t, kind, i: df.select("key", F.col(t).isNull().alias("open"), F.col(t).alias("t"), F.lit(kind).alias("kind"), i.alias("i"))
     q = asked.where("key is not null and t is not null")
     events = event(i, "valid_from", 0, F.col("i")).unionByName(event(q, "t", 1, F.monotonically_increasing_id())).unionByName(event(i, "valid_to", 2, F.col("i")))
-    placed = running(events, ["key", "open", "t", "kind", "i"], (F.col("kind") == 1).cast("int"))
+    placed = running(events, ["key", "open", "t", "kind", "i"], before=(F.col("kind") == 1).cast("int"))
     end = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("before")))
     spans = placed.where("kind <> 1").groupBy("i").agg(end(0).alias("first"), end(2).alias("last")).where("first < last").join(i.select("i", "owner"), "i")
     spans = spans.withColumn("b", F.explode(F.sequence(F.expr(f"first div {block}"), F.expr(f"(last - 1) div {block}"))))

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import distinctive_key
-from ..graph import first_per
+from ..graph import cut, first_per
+
+#: Bytes of keys that are broadcast.
+MOST_BROADCAST = 16_000_000
 
 
 def usable_keys(declared: DataFrame, most_declarers: int = 3, digits: bool = True) -> DataFrame:
@@ -24,9 +27,12 @@ def resolve_links(cited: DataFrame, declared: DataFrame, most_declarers: int = 3
     """src, dst, token of resolved references. cited: src, pos, token.
 
     A reference belongs to the first token, by position and then token, that reaches its target. A token that then has
-    more than `most_citations` references is dropped with them, even where another token reaches a target as well.
+    more than `most_citations` references is dropped with them, even where another token reaches a target as well. Few
+    keys survive their cap; where these are small, they are told to all tasks and no other token is exchanged.
     """
-    hits = cited.join(usable_keys(declared, most_declarers, digits), "token").where("src <> dst")
+    keys = cut(usable_keys(declared, most_declarers, digits))
+    size = keys.agg(F.coalesce(F.sum(F.octet_length("token") + 8), F.lit(0))).first()[0]
+    hits = cited.join(F.broadcast(keys) if size <= MOST_BROADCAST else keys, "token").where("src <> dst")
     first = hits.groupBy("src", "dst").agg(F.min(F.struct("pos", "token")).alias("at")).select("src", "dst", "at.token")
     few = first_per(first, ["token"], "src", "dst", most=most_citations + 1)  # one more than may be shows that there are too many
     return few.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).where(F.col("_n") <= most_citations).select("src", "dst", "token")

@@ -1,8 +1,8 @@
-"""Threads and sections in texts: one row to many, by windows over the lines of each text."""
+"""Threads and sections in texts: one row to many, inside the row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,29 +18,39 @@ def islands(df: DataFrame, key: str, value: str, *order: str) -> DataFrame:
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
 
 
-def _sections(df: DataFrame, opens: Column, head: Column, rest: Column) -> DataFrame:
-    """id, seq, head, body: lines from one that opens a section to the next; lines before the first have the head ''."""
-    lines = df.select("id", F.posexplode(F.split(unescaped("text"), "\n")).alias("pos", "line")).withColumn("open", F.coalesce(opens, F.lit(False)))
-    lines = lines.withColumn("seq", F.sum(F.col("open").cast("int")).over(Window.partitionBy("id").orderBy("pos")))
-    lines = lines.select("id", "seq", "pos", F.when(F.col("open"), head).alias("head"), F.when(F.col("open"), rest).otherwise(F.col("line")).alias("part"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\n")
-    body = F.regexp_replace(joined, r"^\s+|\s+\z", "")
-    return lines.groupBy("id", "seq").agg(F.coalesce(F.max("head"), F.lit("")).alias("head"), body.alias("body"))
+def _sections(df: DataFrame, opens: Callable[[Column], Column], head: Callable[[Column], Column], rest: Callable[[Column], Column]) -> DataFrame:
+    """id, seq, head, body: lines from one that opens a section to the next; lines before the first have the head ''.
+
+    All of it happens inside the row. Lines get a letter in front, `o` for the head of a section and `c` for what belongs
+    to its body, so that cutting the text before each `o` at the start of a line gives the sections, whatever is in them.
+    """
+    part = lambda x: F.when(F.coalesce(opens(x), F.lit(False)), F.concat(F.lit("o"), head(x), F.lit("\nc"), rest(x))).otherwise(F.concat(F.lit("c"), x))
+    lines = F.concat(F.lit("\n"), F.array_join(F.transform(F.split(unescaped("text"), "\n"), part), "\n"))
+    found = df.select("id", F.posexplode(F.split(lines, "\no")).alias("seq", "part"))
+    name = F.substring_index("part", "\n", 1)
+    body = F.replace(F.substring(F.col("part"), F.length(name) + 1, F.length("part")), F.lit("\nc"), F.lit("\n"))
+    return found.select("id", F.col("seq").cast("bigint").alias("seq"), name.alias("head"), F.regexp_replace(body, r"^\s+|\s+\z", "").alias("body"))
+
+
+#: Lines that open a message and a section.
+SPEAKER = r"^([^:]{1,40}):[ \t]+(.*)$"
+TITLE = r"^([A-Z][A-Za-z0-9 _-]{0,40}):$"
 
 
 def chat_messages(df: DataFrame) -> DataFrame:
-    """id, seq, speaker, body from (id, text) with lines `Name: text`; other lines continue the message before."""
-    line = r"^([^:]{1,40}):[ \t]+(.*)$"
-    name = F.regexp_extract("line", line, 1)
-    out = _sections(df, F.col("line").rlike(line) & looks_like_name(name), name, F.regexp_extract("line", line, 2))
-    return out.where("body <> ''").select("id", F.col("seq").cast("bigint").alias("seq"), F.col("head").alias("speaker"), "body")
+    """id, seq, speaker, body from (id, text) with lines `Name: text`; other lines continue the message before.
+
+    A null text has no messages, and lines before the first name are one without a speaker.
+    """
+    name = lambda x: F.regexp_extract(x, SPEAKER, 1)
+    out = _sections(df, lambda x: x.rlike(SPEAKER) & looks_like_name(name(x)), name, lambda x: F.regexp_extract(x, SPEAKER, 2))
+    return out.where("body <> ''").withColumnRenamed("head", "speaker")
 
 
 def field_sections(df: DataFrame) -> DataFrame:
     """id, seq, title, body from (id, text) with lines that are only `Title:`."""
-    line = r"^([A-Z][A-Za-z0-9 _-]{0,40}):$"
-    out = _sections(df, F.col("line").rlike(line), F.regexp_extract("line", line, 1), F.lit(""))
-    return out.where("body <> '' or head <> ''").select("id", F.col("seq").cast("bigint").alias("seq"), F.col("head").alias("title"), "body")
+    out = _sections(df, lambda x: x.rlike(TITLE), lambda x: F.regexp_extract(x, TITLE, 1), lambda x: F.lit(""))
+    return out.where("body <> '' or head <> ''").withColumnRenamed("head", "title")
 
 
 def email_messages(df: DataFrame) -> DataFrame:

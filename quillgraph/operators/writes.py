@@ -7,10 +7,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import truncated
-from ..graph import Graph, first_per
+from ..graph import Graph, cut, first_per, running
 
 
 def merged_properties(old: str, new: str):
@@ -88,23 +87,58 @@ def truncate_properties(nodes: DataFrame, most: int) -> DataFrame:
     return nodes.withColumn("properties", F.transform_values("properties", lambda k, v: truncated(v, most)))
 
 
-def size_batches(rows: DataFrame, most_bytes: int, most_rows: int) -> DataFrame:
-    """rows with column batch: greedy runs within each part (columns part, ord, bytes); a larger row is alone.
+def size_batches(rows: DataFrame, most_bytes: int, most_rows: int, block: int = 65536) -> DataFrame:
+    """rows with column batch: greedy runs within each part (columns part, ord, bytes), in the order of ord; a larger row is alone.
 
-    Rows of a part are sequential by nature; parts are the unit of work, so make them of bounded size.
+    Null bytes count as 0; rows that are equal in part and ord stand in any order. Where a batch that starts at a row
+    ends follows from running sums, so each row points at the start of the next batch; the end of a part is the start of
+    the next. All rows are one chain of such pointers, which is followed in blocks of `block` rows: each block tells where
+    its rows leave it, doubling these few pointers gives where the chain enters each block, and each block then marks its
+    own starts. So a part may have any number of rows, and no task holds more than a block.
     """
-
-    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        batch, size, n, out = 0, 0, 0, []
-        for b in pdf.bytes:
-            if n and (size + b > most_bytes or n >= most_rows):
-                batch, size, n = batch + 1, 0, 0
-            size, n = size + b, n + 1
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return rows.groupBy("part").applyInPandas(lambda pdf: runs(pdf), StructType([*rows.schema.fields, StructField("batch", LongType())]))
+    every = cut(rows.withColumn("_id", F.monotonically_increasing_id()))
+    size = F.greatest(F.coalesce("bytes", F.lit(0)).cast("bigint"), F.lit(0))
+    at = running(every.select("part", "ord", "_id", size.alias("size")), ["part", "ord", "_id"], i=F.lit(1), before=F.col("size"))
+    parts = at.groupBy("part").agg((F.max("i") + 1).alias("part_end"))
+    ends = at.select("i", F.lit(0).alias("kind"), (F.col("before") + F.col("size")).alias("value"))
+    asks = at.select("i", F.lit(1).alias("kind"), (F.col("before") + most_bytes).alias("value"))
+    fits = running(ends.unionByName(asks), ["value", "kind", "i"], fit=1 - F.col("kind")).where("kind = 1").select("i", "fit")
+    same = F.col("part").eqNullSafe(F.col("_part"))
+    to = at.join(parts.withColumnRenamed("part", "_part"), same).join(fits, "i")
+    to = to.select("i", F.least(F.greatest("fit", F.col("i") + 1), F.col("i") + most_rows, "part_end").alias("next"), F.expr(f"i div {block}").alias("b"))
+    to = cut(to)
+
+    def leave(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        low, out = int(pdf.i.iloc[0]), pdf.next.tolist()
+        for k in range(len(out) - 1, -1, -1):
+            if out[k] - low < len(out):
+                out[k] = out[out[k] - low]
+        return pd.DataFrame({"i": pdf.i, "leaves": out})
+
+    jump = cut(to.groupBy("b").applyInPandas(lambda pdf: leave(pdf), "i bigint, leaves bigint"))
+    entries = cut(jump.select(F.col("leaves").alias("i")).distinct())
+    jump = cut(jump.join(entries, "i", "left_semi").unionByName(jump.where("i = 0")).distinct())
+    reached = to.where("i = 0").select("i")
+    for _ in range(max(0, to.select("b").distinct().count() - 1).bit_length()):
+        reached = cut(reached.unionByName(reached.join(jump, "i").select(F.col("leaves").alias("i"))).distinct())
+        jump = cut(jump.join(jump.toDF("leaves", "then"), "leaves").select("i", F.col("then").alias("leaves")))
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        low, to = int(pdf.i.iloc[0]), pdf.next.tolist()
+        first, k = [0] * len(to), next(iter(pdf.i[pdf.enters.to_numpy(bool)] - low), len(to))
+        while k < len(to):
+            first[k] = 1
+            k = to[k] - low
+        return pd.DataFrame({"i": pdf.i, "first": first})
+
+    marked = to.join(reached.withColumn("enters", F.lit(True)), "i", "left").withColumn("enters", F.coalesce("enters", F.lit(False)))
+    marked = marked.groupBy("b").applyInPandas(lambda pdf: starts(pdf), "i bigint, first int")
+    counted = cut(running(marked, ["i"], ahead=F.col("first")).select("i", (F.col("ahead") + F.col("first")).alias("number")).join(at.select("i", "_id", "part"), "i"))
+    base = counted.groupBy("part").agg(F.min("number").alias("base")).withColumnRenamed("part", "_part")
+    found = counted.join(base, same).select("_id", (F.col("number") - F.col("base")).alias("batch"))
+    return every.join(found, "_id").drop("_id")
 
 
 def chunks(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..graph import Graph, first_per
 from ..operators import conflicts, evidence, names, ranking, traversal, writes
-from .models import Embedder, extract_answer, lexical_mentions, overlap_rank
+from ..schema import GraphSchema
+from .models import Embedder, extract_answer, overlap_rank, plan_question
 
 
 @dataclass
@@ -40,13 +41,17 @@ def resolve(graph: Graph, mentions: list[str], vectors: DataFrame | None, embedd
     return ranking.confident(overlap_rank(pool))
 
 
-def answer(graph: Graph, question: str, vectors: DataFrame, bodies: DataFrame, embedder: Embedder, synthesize: Callable = extract_answer, floor: float = 0.4, keep: int = 8) -> Answer:
-    """Only budgeted results are collected: at most 40 nodes of evidence."""
-    found = resolve(graph, lexical_mentions(question) or [question], vectors, embedder)
+def answer(graph: Graph, question: str, vectors: DataFrame, bodies: DataFrame, embedder: Embedder, synthesize: Callable = extract_answer, floor: float = 0.4, keep: int = 8, schema: GraphSchema | None = None) -> Answer:
+    """Resolve, search, expand, judge, cut and synthesize. With a schema the question's types are walked, and the schema's
+    conflict types; without one, or if the question names none, all. Only budgeted results are collected: at most 40
+    nodes of evidence.
+    """
+    plan = plan_question(question, schema or GraphSchema((), ()))
+    found = resolve(graph, plan.mentions or [question], vectors, embedder)
     q = embedder([question])[0].tolist()
     content = ranking.above(ranking.search(vectors, q, 5), floor).select("id")
     seeds = found.where("resolved").select("id").unionByName(content).distinct()
-    reached, edges = traversal.budgeted(graph, seeds)
+    reached, edges = traversal.budgeted(graph, seeds, traversal.focus_types(plan.focus, schema) if schema else None)
     reached = reached.cache()
     full = writes.attach_bodies(graph.nodes.join(F.broadcast(reached.select("id", "hop")), "id"), bodies)
     timed = full.select("id", "label", F.try_element_at("properties", F.lit("source")).alias("source"), conflicts.node_time().alias("at"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import token_overlap
+from ..schema import GraphSchema
 
 
 class Embedder(Protocol):
@@ -55,6 +57,36 @@ def lexical_mentions(question: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+@dataclass(frozen=True)
+class Plan:
+    """What a question asks: the names in it, its kind, and the relationship types to walk (none: all)."""
+
+    mentions: list[str]
+    kind: str
+    focus: list[str]
+
+
+#: Words that tell the kind of a question, the first kind that fits.
+KINDS = (
+    ("conflict", ("contradict", "conflict", "supersede", "disagree", "outdated", "replace")),
+    ("temporal", ("when", "before", "after", "until", "since", "previous", "latest", "current")),
+    ("aggregate", ("many", "count", "number", "list", "all")),
+    ("path", ("connect", "related", "between", "path", "link")),
+)
+
+
+def plan_question(question: str, schema: GraphSchema) -> Plan:
+    """The offline planner: mentions, the kind by its words, and the schema's types that have a word of the question.
+
+    A word of a type's name counts without its ending: OWNS is in focus of a question that has own, owns, owned or owner.
+    """
+    words = re.findall(r"[a-z]+", question.lower())
+    kind = next((k for k, marks in KINDS if any(w.startswith(m) for w in words for m in marks)), "lookup")
+    stem = lambda w: re.sub(r"(ed|s|e)$", "", w) if len(w) > 3 else w
+    named = lambda t: any(w.startswith(stem(x)) for x in t.lower().split("_") if len(x) > 3 for w in words)
+    return Plan(lexical_mentions(question), kind, [t.name for t in schema.rel_types if named(t.name)])
+
+
 def overlap_rank(pool: DataFrame) -> DataFrame:
     """pool with a confidence: 0.9 for equal texts, 0.6 for overlapping words, else little, by place: the offline ranker."""
     same = F.lower("mention") == F.lower("text")

@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
-from .graph import Graph
+from .graph import Graph, cut
 from .operators import conflicts, conversations, evaluation, evidence, names, quality, ranking, references, threads, traversal, writes
 from .schema import GraphSchema, Label, RelType
+from .schema import out_of_schema as edges_out_of_schema
 from .sources import adapters, files
-from .sources.demo import demo_graph
 from .sources.tables import edges_sql, id_sql, nodes_sql, star_graph, stored_graph, stored_names, stored_vectors, table
 from .streaming import incremental
 
@@ -281,11 +281,15 @@ _DUP = """with k as (select doc_id as id, md5(lower(trim(text, ' '))) as h from
     select a, b, rel_type, case when rel_type = 'SUPERSEDES' or s.at is null or d.at is null or s.at >= d.at then src else dst end as winner, case when rel_type = 'SUPERSEDES' then 'supersedes' when s.at is not null and d.at is not null then 'later' else 'defaulted' end as reason
     from o join t s on s.id = src join t d on d.id = dst where rn = 1""")
 def conflict_resolution(spark, d):
-    k = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.lower(F.trim("text")).cast("binary")).alias("h"))
-    p = k.groupBy("h").agg(F.min("id").alias("src")).join(k.select(F.col("id").alias("dst"), "h"), "h").where("src < dst")
-    e = p.selectExpr("src", "dst", "'CONTRADICTS' as rel_type", "src * 1000000 + dst as id").unionByName(p.where("(src + dst) % 3 = 0").selectExpr("dst as src", "src as dst", "'SUPERSEDES' as rel_type", "src * 1000000 + dst + 500000000000 as id"))
     at = F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")))
-    return conflicts.detect(table(spark, d, "documents").select(F.col("doc_id").alias("id"), at.alias("at")), e)
+    return conflicts.detect(table(spark, d, "documents").select(F.col("doc_id").alias("id"), at.alias("at")), _copies(spark, d))
+
+
+def _copies(spark, d) -> DataFrame:
+    """src, dst, rel_type, id: each document that repeats another contradicts the first that has its text; some are superseded."""
+    k = cut(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.md5(F.lower(F.trim("text")).cast("binary")).alias("h")))  # texts are read once
+    p = k.groupBy("h").agg(F.min("id").alias("src")).join(k.select(F.col("id").alias("dst"), "h"), "h").where("src < dst")
+    return p.selectExpr("src", "dst", "'CONTRADICTS' as rel_type", "src * 1000000 + dst as id").unionByName(p.where("(src + dst) % 3 = 0").selectExpr("dst as src", "src as dst", "'SUPERSEDES' as rel_type", "src * 1000000 + dst + 500000000000 as id"))
 
 
 _SPANS = """with i as (select o_custkey as key, o_orderkey as owner, strftime(o_orderdate, '%Y-%m-%d') as valid_from, coalesce(strftime(lead(o_orderdate) over (partition by o_custkey order by o_orderdate, o_orderkey), '%Y-%m-%d'), '') as valid_to from orders),
@@ -316,7 +320,7 @@ _TOK = "with x as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-
 
 
 def _links(spark, d, cap: int) -> DataFrame:
-    x = table(spark, d, "documents").select("doc_id", F.posexplode(S.link_tokens("text")).alias("pos", "token"))
+    x = table(spark, d, "documents").select("doc_id", F.posexplode(F.array_distinct(S.link_tokens("text"))).alias("pos", "token"))
     cited = x.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("src"), (F.col("pos") + 1).alias("pos"), "token")
     return references.resolve_links(cited, x.where("doc_id % 10 = 0").select(F.col("doc_id").alias("dst"), "token"), 3, cap, digits=False)
 
@@ -396,7 +400,37 @@ def speaker_runs(spark, d):
     return r.groupBy("user_id", F.col("run").cast("bigint").alias("run")).agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
-_CHAT = "(select conv_id as id, turn, row_number() over (partition by conv_id order by turn) as seq, upper(role[1]) || role[2:] as head, regexp_replace(replace(text, ':', ' '), '^\\s+|\\s+$', '', 'g') as body from conversations)"
+def _talk_sql(before: str) -> str:
+    return f"(select conv_id as id, string_agg({before} || text, chr(10) order by turn) as text from conversations group by conv_id)"
+
+
+def _sections_sql(texts: str, opens: str, head: str, rest: str) -> str:
+    """id, seq, head, body line by line: a line opens a section, or belongs to the one before."""
+    plain = r"regexp_replace(regexp_replace(text, '\\r\\n|\\n', chr(10), 'g'), '\\t', chr(9), 'g')"
+    return rf"""(with l as (select id, unnest(string_split({plain}, chr(10))) as line, generate_subscripts(string_split({plain}, chr(10)), 1) as pos from {texts}), o as (select *, coalesce({opens}, false) as open from l),
+        s as (select *, sum(open::int) over (partition by id order by pos) as seq from o)
+        select id, seq::bigint as seq, coalesce(max(case when open then {head} end), '') as head, regexp_replace(string_agg(case when open then {rest} else line end, chr(10) order by pos), '^\s+|\s+$', '', 'g') as body from s group by id, seq)"""
+
+
+_ROLE = "upper(role[1]) || role[2:]"
+_WORD = r"\p{Lu}[\p{L}''’.-]*"
+_NAME = rf"^\s*{_WORD}(\s+({_WORD}|(?i:{'|'.join(S.PARTICLES)}))){{0,3}}\s*$"
+_CHAT = _sections_sql(_talk_sql(f"{_ROLE} || ': '"), rf"regexp_matches(line, '{threads.SPEAKER}') and regexp_matches(regexp_extract(line, '{threads.SPEAKER}', 1), '{_NAME}')", f"regexp_extract(line, '{threads.SPEAKER}', 1)", f"regexp_extract(line, '{threads.SPEAKER}', 2)")
+
+
+def _talks_with(spark, d, before: Column) -> DataFrame:
+    """id, text: the turns of each conversation, each with a line's beginning in front, colons and line ends as they are."""
+    c = table(spark, d, "conversations").withColumn("line", F.concat(before, "text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "line"))), lambda x: x["line"]), "\n")
+    return c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text"))
+
+
+def _role() -> Column:
+    return F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100))
+
+
+def _chats(spark, d) -> DataFrame:
+    return threads.chat_messages(_talks_with(spark, d, F.concat(_role(), F.lit(": "))))
 
 
 @_query(f"select id, seq, head as speaker, body from {_CHAT} where body <> ''")
@@ -404,27 +438,25 @@ def chat_parse(spark, d):
     return _chats(spark, d)
 
 
-def _chats(spark, d) -> DataFrame:
-    c = table(spark, d, "conversations")
-    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(": "), F.translate("text", ":", " "))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
-    return threads.chat_messages(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
+@_query(f"select id, seq, head as title, body from {_sections_sql(_talk_sql(_ROLE + ' || chr(58) || chr(10)'), rf"regexp_matches(line, '{threads.TITLE}')", f"regexp_extract(line, '{threads.TITLE}', 1)", "''")} where body <> '' or head <> ''")
+def section_parse(spark, d):
+    return threads.field_sections(_talks_with(spark, d, F.concat(_role(), F.lit(":\n"))))
 
 
-@_query(f"select id, seq, head as title, body from {_CHAT}")
-def section_parse(spark, d):
-    c = table(spark, d, "conversations")
-    line = F.concat(F.concat(F.upper(F.substring("role", 1, 1)), F.substring("role", 2, 100)), F.lit(":\n"), F.translate("text", ":", " "))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n")
-    return threads.field_sections(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
+_LINES = "(select doc_id as id, regexp_replace(regexp_replace(text, '[.] ', chr(10), 'g'), ' ([a-z]+) ', chr(10) || 'Ann Lee: \\1' || chr(10)) as text from documents)"
+
+
+@_query(f"select id, seq, head as speaker, body from {_CHAT.replace(_talk_sql(f'{_ROLE} || {chr(39)}: {chr(39)}'), _LINES)} where body <> ''")
+def document_messages(spark, d):
+    """Every document with its sentences as lines and one speaker among them: parsed inside the row."""
+    text = F.regexp_replace(F.regexp_replace("text", "[.] ", "\n"), r"^([\s\S]*?) ([a-z]+) ", "$1\nAnn Lee: $2\n")
+    return threads.chat_messages(table(spark, d, "documents").select(F.col("doc_id").alias("id"), text.alias("text")))
 
 
-@_query("""select conv_id as id, row_number() over (partition by conv_id order by turn) - 1 as seq, role || ' <a@b.example>' as sender, '' as to_, 'Re: t' as subject, '' as date, trim(regexp_replace(translate(text, ':', ' '), '^\\s+|\\s+$', '', 'g'), ' ') as body from conversations""")
+@_query("""select conv_id as id, row_number() over (partition by conv_id order by turn) - 1 as seq, role || ' <a@b.example>' as sender, 'Bo Ray <b@c.example>, d@e.example' as to_, 'Re: t: u' as subject, 'Mon, ' || turn || ' May 2026 10:00' as date, trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), ' ') as body from conversations""")
 def email_parse(spark, d):
-    c = table(spark, d, "conversations")
-    mail = F.concat(F.lit("From: "), "role", F.lit(" <a@b.example>\nSubject: Re: t\n---\n\n"), F.translate("text", ":", " "))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", mail.alias("mail")))), lambda x: x["mail"]), "\n")
-    return threads.email_messages(c.groupBy(F.col("conv_id").alias("id")).agg(text.alias("text")))
+    head = F.concat(F.lit("From: "), "role", F.lit(" <a@b.example>\nTo: Bo Ray <b@c.example>, d@e.example\nSubject: Re: t: u\nDate: Mon, "), "turn", F.lit(" May 2026 10:00\n---\n\n"))
+    return threads.email_messages(_talks_with(spark, d, head))
 
 
 @_query("select c_custkey as id, c_name as name, lower(c_name) || '@x.example' as address from customer")
@@ -545,7 +577,7 @@ def middle_samples(spark, d):
     return quality.middle_samples(n, n.where("id % 2 = 0").select("id", F.col("label").alias("text")))
 
 
-@_query("select conv_id as id, count(*) as messages, count(distinct role) as speakers, sum(new)::bigint as groups from (select *, case when lag(role) over w = role then 0 else 1 end as new from (select * from conversations where trim(replace(text, ':', ' '), ' ' || chr(10) || chr(9)) <> '') window w as (partition by conv_id order by turn)) group by conv_id")
+@_query(f"select id, count(*) as messages, count(distinct head) as speakers, sum(new)::bigint as groups from (select *, case when lag(head) over (partition by id order by seq) = head then 0 else 1 end as new from {_CHAT} where body <> '') group by id")
 def thread_counts(spark, d):
     return threads.thread_counts(_chats(spark, d))
 
@@ -696,19 +728,24 @@ def mention_texts(spark, d):
     return p.select("id", S.without_mentions("text").alias("plain"), F.array_join(S.mentions("text"), "|").alias("mention"), at.isNotNull().alias("typing"), at["query"].alias("query"))
 
 
-_CLAIMED = "(select doc_id as id, text, substr(text, 1, 20) as a, substr(text, 41, 20) as b from documents where length(text) > 80)"
+_CLAIMED = "(select doc_id as id, text, substr(text, 1, 20) as a, substr(text, greatest(1, length(text) - 19), 20) as b from documents where text is not null)"
 
 
 @_query(f"select id, 'claim-0' as claim_id, a as text from {_CLAIMED} union all select id, 'claim-1', b from {_CLAIMED}")
 def verbatim_claims(spark, d):
-    rows = table(spark, d, "documents").where("length(text) > 80").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array(F.lit("\u0001 nowhere"), F.substring("text", 1, 20), F.substring("text", 41, 20)).alias("claims"))
+    """Of three claims on each whole text, the two that stand in it, from its beginning and its end."""
+    last = F.substring(F.col("text"), F.greatest(F.lit(1), F.length("text") - 19), F.lit(20))
+    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array(F.lit("\u0001 nowhere"), F.substring("text", 1, 20), last).alias("claims"))
     return threads.verbatim_claims(rows)
 
 
-@_query("select c_custkey as id, x.seq, x.a as start, x.b as end, x.claim from customer, (values (0, 0, 5, 0), (1, 5, 9, null), (2, 9, 13, 2), (3, 13, 18, null)) x(seq, a, b, claim)")
+@_query("""with t as (select doc_id as id, length(text) as n, substr(text, 1, 20) as a, substr(text, 41, 20) as b, strpos(substr(text, 21), substr(text, 41, 20)) + 19 as p from documents where text <> ''),
+    s as (select id, list_filter([{'s': 0, 'e': length(a), 'c': 0}, {'s': length(a), 'e': case when b = '' then n else p end, 'c': null}, {'s': p, 'e': p + length(b), 'c': case when b <> '' then 2 end}, {'s': p + length(b), 'e': case when b <> '' then n else 0 end, 'c': null}], lambda x: x.e > x.s and (x.c is null or x.c < 2 or b <> '')) as x from t)
+    select id, generate_subscripts(x, 1) - 1 as seq, unnest(x).s as start, unnest(x).e as end, unnest(x).c as claim from s""")
 def claim_segments(spark, d):
-    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.substring("c_name", 1, 18).alias("answer"), F.array(F.substring("c_name", 1, 5), F.lit("nowhere"), F.substring("c_name", 10, 4)).alias("claims"))
-    return threads.claim_segments(rows.withColumns({"answer": F.lit("alpha mid beta end"), "claims": F.array(F.lit("alpha"), F.lit("nowhere"), F.lit(" bet"))}))
+    """Each document as an answer, cut by its first words, a claim that is not there, and words from further on."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("answer"), F.array(F.substring("text", 1, 20), F.lit("\u0001 nowhere"), F.substring("text", 41, 20)).alias("claims"))
+    return threads.claim_segments(rows)
 
 
 @_query("select conv_id as id, case when conv_id % 3 = 0 and conv_id % 2 = 0 then 'thread' when conv_id % 3 = 1 then 'mail' else 'document' end as kind from (select distinct conv_id from conversations)")
@@ -737,30 +774,73 @@ def subtitles(spark, d):
     return n.select("id", evidence.subtitle().alias("first"), evidence.shown_subtitle().alias("shown"), evidence.shown_body().alias("body"))
 
 
-@_query("with w as (select unnest(['OWNS', 'SUPERSEDES', 'CONTRADICTS']) as t) select t as rel_type, case t when 'OWNS' then 2 else 1 end::bigint as n from w")
+@_query(_DUP + f", g as (select rel_type from ({edges_sql()}) union all select rel_type from e) select rel_type, count(*) as n from g where rel_type in ('PLACED', 'CONTRADICTS', 'SUPERSEDES') group by rel_type")
 def focus_edges(spark, d):
-    from .schema import DEFAULT
-
-    return demo_graph(spark).only(traversal.focus_types(["OWNS"], DEFAULT)).rel_type_counts()
-
-
-@_query("select * from (values (10, '2026-03-01', 4), (10, '2026-08-01', 1), (10, '2025-01-01', null)) v(key, t, owner)")
-def demo_ownership(spark, d):
-    owns = demo_graph(spark).edges.where("rel_type = 'OWNS'").select(F.col("dst").alias("key"), F.col("src").alias("owner"), Graph.value("valid_from").alias("valid_from"), Graph.value("valid_to").alias("valid_to"))
-    return conflicts.latest_before(owns, spark.createDataFrame([(10, t) for t in ("2026-03-01", "2026-08-01", "2025-01-01")], "key bigint, t string"))
-
-
-@_query("select * from (values (1, 20, 2, '1>10>20')) v(start, \"end\", hops, path)")
-def demo_shortest_path(spark, d):
-    found = traversal.shortest_paths(demo_graph(spark), spark.createDataFrame([(1,)], "id bigint"), 20, ["WORKS_ON", "DISCUSSED_IN"])
-    return found.select("start", "end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
-
-
-@_query("select rel_type, src_label, dst_label, n from (values ('DISCUSSED_IN', 'Message', 'Channel', 2), ('REFERENCES', 'Message', 'Document', 1)) v(rel_type, src_label, dst_label, n)")
-def demo_out_of_schema(spark, d):
-    from .schema import DEFAULT, out_of_schema
-
-    return out_of_schema(demo_graph(spark).edges, DEFAULT)
+    """Edges of the types that a question about orders walks: the asked one, and the schema's conflict types."""
+    schema = GraphSchema((), tuple(RelType(x) for x in (*PLACES, "PLACED", "CONTRADICTS", "SUPERSEDES")))
+    kinds = traversal.focus_types(["PLACED"], schema)
+    edges = stored_graph(spark, d).edges.select("rel_type").unionByName(_copies(spark, d).select("rel_type"))
+    return edges.where(F.col("rel_type").isin(kinds)).groupBy("rel_type").agg(F.count("*").alias("n"))
+
+
+@_query("""with i as (select l_partkey as key, l_orderkey as owner, strftime(l_shipdate, '%Y-%m-%d') as t from lineitem), q as (select p_partkey as key, t from part, (values ('1995-01-01'), ('1998-12-31'), ('1900-01-01')) v(t))
+    select q.key, q.t, (select owner from i where i.key = q.key and i.t <= q.t order by i.t desc, owner desc limit 1) as owner from q""")
+def part_ownership(spark, d):
+    """The order that each part went to last before three dates, one of them before all orders."""
+    i = table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_orderkey").alias("owner"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("valid_from"))
+    q = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.explode(F.array(*[F.lit(x) for x in ("1995-01-01", "1998-12-31", "1900-01-01")])).alias("t"))
+    return conflicts.latest_before(i, q)
+
+
+@_query(f"select rel_type, src_label, dst_label, count(*) as n from ({edges_sql()}) where rel_type in ('CONTAINS', 'SUPPLIED_BY', 'LOCATED_IN') group by all")
+def out_of_schema(spark, d):
+    """Edges of types that a schema lacks, or whose ends it has other labels for."""
+    schema = GraphSchema((), (RelType("PART_OF"), RelType("BASED_IN", ("supplier",), ("nation", "region")), RelType("PLACED", ("customer",), ("*",)), RelType("LOCATED_IN", ("supplier",), ("nation",))))
+    return edges_out_of_schema(stored_graph(spark, d).edges, schema)
+
+
+@_query("""with recursive r as (select source as part, doc_id as ord, octet_length(encode(coalesce(text, '')))::bigint as bytes, row_number() over (partition by source order by doc_id) as i from documents),
+    w as (select part, i, ord, bytes as used, 1 as n, 0::bigint as batch from r where i = 1 union all
+        select r.part, r.i, r.ord, case when used + r.bytes > 20000 or n >= 7 then r.bytes else used + r.bytes end, case when used + r.bytes > 20000 or n >= 7 then 1 else n + 1 end, batch + case when used + r.bytes > 20000 or n >= 7 then 1 else 0 end from w join r on r.part is not distinct from w.part and r.i = w.i + 1)
+    select ord as doc_id, part, batch from w""")
+def byte_batches(spark, d):
+    rows = table(spark, d, "documents").select(F.col("source").alias("part"), F.col("doc_id").alias("ord"), F.octet_length("text").alias("bytes"))
+    return writes.size_batches(rows, 20000, 7).select(F.col("ord").alias("doc_id"), "part", "batch")
+
+
+@_query("""with a as (select conv_id as question_id, string_agg(case when conv_id % 4 = 0 then ' ' else text end, '' order by turn) as answer from conversations where turn > 0 and conv_id % 5 <> 0 group by conv_id)
+    select q.question_id, case when trim(coalesce(answer, ''), ' ') = '' then null else answer end as answer from (select distinct conv_id as question_id from conversations) q left join a on a.question_id = q.question_id""")
+def answered_questions(spark, d):
+    """Each conversation as a question with what was said after its first turn; blank and missing answers are null."""
+    c = table(spark, d, "conversations")
+    text = F.when(F.col("conv_id") % 4 == 0, " ").otherwise(F.col("text"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))), lambda x: x["t"]), "")
+    a = c.where("turn > 0 and conv_id % 5 <> 0").groupBy(F.col("conv_id").alias("question_id")).agg(said.alias("answer"))
+    return evaluation.with_answers(c.select(F.col("conv_id").alias("question_id")).distinct(), a).select("question_id", "answer")
+
+
+@_query("select c_custkey as id, case when c_custkey % 2 = 0 then 'Customer#' || substr(c_name, 10) || ' Of  x' else upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' ' || 'Van' end as name from customer")
+def person_names(spark, d):
+    """Names in lower case with underscores become titles, all others stay."""
+    raw = F.when(F.col("c_custkey") % 2 == 0, F.concat("c_name", F.lit(" Of  x"))).otherwise(F.concat(F.lower("c_mktsegment"), F.lit("__van")))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), raw.alias("raw")).select("id", S.person_name("raw").alias("name"))
+
+
+@_query("""with d as (select doc_id % 4 as k, 'u' || (doc_id % 50) as who, 'w' || (doc_id % 7) as other, nullif(trim(coalesce(source, ''), ' '), '') as project, lang, ['Document', 'Task', 'Issue', 'Message'][doc_id % 4 + 1] as label from documents),
+    e as (select 'AUTHORED' as rel_type, 'Person' as src_label, label as dst_label from d union all select 'ASSIGNED_TO', 'Task', 'Person' from d where k = 1
+        union all select 'MEMBER_OF', 'Person', 'Organization' from (select who from d union select other from d where k = 1) union all select 'PART_OF', label, 'Project' from d where k <> 3 and project is not null
+        union all select 'DISCUSSED_IN', 'Message', 'Channel' from d where k = 3 and lang <> '' union all select 'REFERENCES', 'Task', 'Organization' from d where k = 1)
+    select rel_type, src_label, dst_label, count(*) as n from e group by all""")
+def adapted_edges(spark, d):
+    """Edges of documents that come as wiki pages, tasks, issues and chat threads."""
+    docs = table(spark, d, "documents")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("confluence", "jira", "github", "slack")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    num = lambda letter, n: F.concat(F.lit(letter), (F.col("doc_id") % n).cast("string"))
+    source, lang = (F.coalesce(c, F.lit("")) for c in ("source", "lang"))
+    fields = {"author": num("u", 50), "reporter": num("u", 50), "participants": num("u", 50), "assignee": num("w", 7), "space": source, "project": source, "repo": source, "channel": lang, "customer_company": F.concat(F.lit("c"), lang), "text": F.col("text"), "summary": lang}
+    raw = F.create_map(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+    g = adapters.graph_rows(adapters.normalise(docs.select(F.col("doc_id").cast("string").alias("dsid"), kind.alias("source_type"), raw.alias("raw"))))
+    return g.edges.groupBy("rel_type", "src_label", "dst_label").agg(F.count("*").alias("n"))
 
 
 @_query("""select label, count(*) as n from (

@@ -17,7 +17,19 @@ def raw_documents(spark: SparkSession, path: str) -> DataFrame:
     raw is a map of the top-level fields as JSON text or plain strings. The id falls back to the path. Files that are no
     JSON object are left out.
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    return _documents(_whole_files(spark.read).text(path), path)
+
+
+def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 4000) -> DataFrame:
+    """raw_documents of the files under a folder as they arrive, so many at a time."""
+    return _documents(_whole_files(spark.readStream).option("maxFilesPerTrigger", files_per_batch).text(path), path)
+
+
+def _whole_files(reader):
+    return reader.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true")
+
+
+def _documents(files: DataFrame, path: str) -> DataFrame:
     root = path.rstrip("/").rsplit("/", 1)[-1]
     rel = F.substring_index(F.expr("_metadata.file_path"), f"/{root}/", -1)
     raw = F.from_json("value", "map<string,string>")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.graph import EDGE, NODE, Graph
 from quillgraph.operators import writes
 from quillgraph.plans import answer, models
+from quillgraph.schema import DEFAULT
 from quillgraph.sources import adapters, files
 from quillgraph.streaming import incremental
 
@@ -134,6 +135,36 @@ def test_answer(spark):
     assert {(r.src, r.rel_type, r.dst) for r in got.edges.collect()} == {(1, "WORKS_ON", 10), (41, "PART_OF", 10), (42, "PART_OF", 10), (41, "SUPERSEDES", 42)}
 
 
+def test_plan_of_a_question():
+    plan = models.plan_question("Who owned Orion before Sam Ode?", DEFAULT)
+    assert plan.mentions == ["Who", "Orion", "Sam Ode"] and plan.kind == "temporal" and plan.focus == ["OWNS"]
+    assert models.plan_question("Does it contradict the plan?", DEFAULT).kind == "conflict" and models.plan_question("What is it?", DEFAULT) == models.Plan(["What"], "lookup", [])
+
+
+def test_answer_walks_the_types_of_the_question(spark):
+    """Only the asked type and the schema's conflict types are walked."""
+    g = small_graph(spark)
+    bodies = spark.createDataFrame([(41, "Trips need approval by Sam")], "id bigint, text string")
+    embedder = models.HashingEmbedder(64)
+    vectors = models.embed(adapters.embed_queue(g, bodies), embedder)
+    got = answer.answer(g, "On which project does Sam Ode works?", vectors, bodies, embedder, floor=0.99, schema=DEFAULT)
+    assert {(r.src, r.rel_type, r.dst) for r in got.edges.collect()} == {(1, "WORKS_ON", 10)} and {r.id for r in got.nodes.collect()} == {1, 10}
+
+
+def test_reports_and_bodies(spark, tmp_path):
+    bodies = spark.createDataFrame([(1, "short"), (1, "the longer one"), (2, "b")], "id bigint, text string")
+    files.write_bodies(bodies, str(tmp_path / "bodies"))
+    assert {(r.id, r.text) for r in spark.read.parquet(str(tmp_path / "bodies")).collect()} == {(1, "the longer one"), (2, "b")}
+    for n in (3, 2):  # the second replaces the first
+        files.write_report(spark.range(n).select("id", F.lit(None).cast("string").alias("none")), str(tmp_path / "report"))
+    lines = [json.loads(x) for p in (tmp_path / "report").glob("*.json") for x in p.read_text().splitlines()]
+    assert sorted(x["id"] for x in lines) == [0, 1] and all("none" in x for x in lines)
+    nodes = spark.createDataFrame([(1, "A", "", {"x": "123456"}), (2, "A", "", {}), (3, "B", "", {"x": "1"})], NODE)
+    assert {(r.label, r.n) for r in writes.property_counts(nodes, "x").collect()} == {("A", 1), ("B", 1)}
+    assert {r.properties.get("x") for r in writes.truncate_properties(nodes, 2).collect()} == {"12… [truncated 4 chars]", None, "1"}
+    assert "- OWNS: Person|Organization -> Project|Repository|Document" in DEFAULT.describe()
+
+
 def test_incremental(spark, tmp_path):
     source, done, state = (str(tmp_path / x) for x in ("in", "done", "state"))
     put = lambda name, *ids: (tmp_path / "in" / name).write_text("".join(json.dumps({"id": i, "text": f"t{i}"}) + "\n" for i in ids))
