@@ -20,6 +20,14 @@ def verify_graph(graph: Graph) -> DataFrame:
     return row("nodes", graph.nodes).unionByName(row("edges", e)).unionByName(row("dangling", dangling)).unionByName(row("untitled", graph.nodes.where("coalesce(primary_text, '') = ''")))
 
 
+def edge_samples(graph: Graph, rel_type: str, most: int = 3) -> DataFrame:
+    """id, src, src_text, dst, dst_text of the first edges of a type by id: what a look at the references shows."""
+    first = graph.only([rel_type]).edges.orderBy("id").limit(most).select("id", "src", "dst")
+    ends = graph.nodes.join(F.broadcast(first.select(F.explode(F.array("src", "dst")).alias("id")).distinct()), "id").select("id", "primary_text")  # 2 * most rows
+    named = first.join(ends.toDF("src", "src_text"), "src", "left").join(ends.toDF("dst", "dst_text"), "dst", "left")
+    return named.select("id", "src", "src_text", "dst", "dst_text")
+
+
 def audit_references(graph: Graph, rel_type: str, over: int = 200) -> DataFrame:
     """targets, edges, mean in-degree, hubs and the share of edges into these."""
     d = in_degrees(graph.edges, rel_type).withColumn("hub", F.col("n") > over)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import scalar as S
 from .graph import Graph, cut
 from .operators import conflicts, conversations, evaluation, evidence, names, quality, ranking, references, threads, traversal, writes
+from .plans import answer, models
 from .schema import GraphSchema, Label, RelType
 from .schema import out_of_schema as edges_out_of_schema
 from .sources import adapters, files
@@ -150,8 +151,8 @@ def single_source_paths(spark, d):
     return found.select("end", "hops", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ">").alias("path"))
 
 
-def _bfs_sql(hops: int = 3, budget: int = 40, cap: int = 200) -> str:
-    out = [f"e as ({edges_sql()})", f"adj as {_ADJ}", f"s0 as (select id, 0 as hop, label, -1::bigint as via from ({nodes_sql()}) where id in ({id_sql('customer', '1')}, {id_sql('nation', '5')}))"]
+def _bfs_sql(hops: int = 3, budget: int = 40, cap: int = 200, seeds: tuple[str, ...] = (id_sql("customer", "1"), id_sql("nation", "5"))) -> str:
+    out = [f"e as ({edges_sql()})", f"adj as {_ADJ}", f"s0 as (select id, 0 as hop, label, -1::bigint as via from ({nodes_sql()}) where id in ({', '.join(seeds)}))"]
     for h in range(1, hops + 1):
         out.append(f"r{h} as (select * from (select adj.*, row_number() over (partition by adj.at_label order by adj.id, adj.at, adj.\"to\") as rn from adj join s{h - 1} s on s.id = adj.at and s.hop = {h - 1}) where rn <= {cap})")
         out.append(f"n{h} as (select r.\"to\" as id, {h} as hop, min(n.label) as label, min(r.id) as via from r{h} r join ({nodes_sql()}) n on n.id = r.\"to\" where r.\"to\" not in (select id from s{h - 1}) group by r.\"to\" order by via, id limit {budget})")
@@ -528,6 +529,36 @@ def reference_audit(spark, d):
     return quality.audit_references(stored_graph(spark, d).only(["LOCATED_IN"]), "LOCATED_IN", 60)
 
 
+@_query(_bfs_sql(seeds=(id_sql("customer", "1"), id_sql("supplier", "3"))).replace(" select id, hop, label from", " select id, hop, label, case when hop = 0 then 'resolved' else 'hop' end as role from"))
+def question_expansion(spark, d):
+    """The names of a question resolved by the stored index, and the graph around them within the budget."""
+    g = stored_graph(spark, d)
+    asked = models.lexical_mentions("did @[customer#000000001] order from @[supplier#000000003]?")
+    found = answer.resolve(g, asked, None, models.HashingEmbedder(), index=stored_names(spark, d)).where("resolved").select("id").distinct()
+    nodes = traversal.budgeted(g, found)[0].join(F.broadcast(found.withColumn("own", F.lit(True))), "id", "left")  # two names
+    return nodes.select("id", "hop", "label", evidence.role(F.coalesce("own", F.lit(False)), F.lit(False), F.lit(False), F.lit("hop")).alias("role"))
+
+
+@_query(f"with e as ({edges_sql(('LOCATED_IN',))}), n as ({nodes_sql()}) select e.id, src, a.primary_text as src_text, dst, b.primary_text as dst_text from (select * from e order by id limit 25) e join n a on a.id = src join n b on b.id = dst")
+def reference_samples(spark, d):
+    return quality.edge_samples(stored_graph(spark, d), "LOCATED_IN", 25)
+
+
+@_query("select 'customer' as label, count(*) as n from customer where c_custkey % 3 = 0 union all select 'part', count(*) from part where p_size > 10")
+def property_counts(spark, d):
+    """Which nodes still have a body, by label."""
+    node = lambda name, label, has: table(spark, d, name).select(F.lit(label).alias("label"), F.when(has, F.create_map(F.lit("body"), F.lit("x"))).otherwise(F.create_map(F.lit("seg"), F.lit("y"))).alias("properties"))
+    nodes = node("customer", "customer", F.col("c_custkey") % 3 == 0).unionByName(node("part", "part", F.col("p_size") > 10))
+    return writes.property_counts(nodes, "body")
+
+
+@_query("select conv_id as id, case when conv_id % 2 = 0 then 'new ' || conv_id else 'talk ' || conv_id end as title from (select distinct conv_id from conversations)")
+def conversation_renames(spark, d):
+    c, _ = _talks(spark, d)
+    names = c.where("id % 2 = 0").select("id", F.concat(F.lit("new "), F.col("id").cast("string")).alias("title"))
+    return conversations.rename(c, names.unionByName(names.withColumn("id", -F.col("id") - 1))).select("id", "title")
+
+
 @_query("with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_-]{6,}')) as token from documents) select token, count(*) as n from t group by token order by n desc, token limit 15")
 def top_fan_out(spark, d):
     return references.fan_out(table(spark, d, "documents").select(F.explode(S.link_tokens("text")).alias("token")))
