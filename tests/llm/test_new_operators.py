@@ -1,10 +1,12 @@
 """Clustering, packing by slack and collocations against brute force, on odd rows as well."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
 from itertools import product
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -141,6 +143,18 @@ def test_pack_by_slack(spark):
     assert slack_packing.pack(df.limit(0), BYTE).count() == 0
 
 
+def test_merge_ranks_give_the_ids_of_the_tokenizer():
+    """Every token is what the tokenizer merges its own bytes into, so merging by ranks cannot differ; and words of Latin letters agree."""
+    spec = json.loads(Path(BYTE).read_text())
+    tok, special = Tokenizer.from_file(BYTE), {t["content"] for t in spec["added_tokens"]}
+    assert all([x.id for x in tok.model.tokenize(t)] == [i] for t, i in spec["model"]["vocab"].items() if t not in special)
+    mine, rnd = slack_packing.ByteTokens(BYTE), random.Random(9)
+    assert mine.ranks is not None
+    chars = [chr(c) for c in range(33, 0x250) if slack_packing.SIMPLE.fullmatch(chr(c))]
+    words = [" " + "".join(rnd.choice(rnd.choice([chars, chars[:94], "abcdeinrst"])) for _ in range(rnd.randint(1, 14))) for _ in range(20000)]
+    assert mine.learn(words, True) == mine.encoded(words)
+
+
 # phrases
 
 
