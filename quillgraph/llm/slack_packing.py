@@ -12,10 +12,11 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -110,26 +111,55 @@ class ByteTokens:
         if self.size > MOST_KEPT:
             self.kept.clear()
             self.size = 0
-        whole, cut = [], []
-        for t in texts:
-            if any(s in t for s in self.specials):
-                first, words = t, []
-            elif any(x in t for x in BLANKS) and RUNS.search(t):
-                first, *words = CUT.split(t)
-                words = [w if any(map(str.isspace, w[1:])) else w[1:] for w in words]
-            else:
-                first, *words = t.replace("\n", " \n").split(" ")
-            whole.append(first)
-            cut.append(words)
-        words = set(chain.from_iterable(cut))
-        own = dict(zip(words, map(self.kept.get, words)))  # those of these texts are few and near in memory
-        fresh = self.learned([w for w, x in own.items() if x is None])
-        own.update(fresh)
+        plain, odd = [], []
+        for i, t in enumerate(texts):
+            (odd if any(x in t for x in self.specials) or any(x in t for x in BLANKS) and RUNS.search(t) else plain).append(i)
+        out = [b""] * len(texts)
+        rows = [[t] if any(x in t for x in self.specials) else self.cut(t) for t in map(texts.__getitem__, odd)]
+        both = [(plain, pc.split_pattern(pa.array([texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")), (odd, pa.array(rows, pa.list_(pa.large_string())))]
+        for which, lists in both:
+            if which:
+                for i, x in zip(which, self.joined(lists)):
+                    out[i] = x
+        return out
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The words of a text with longer white space, cut only where a token always ends."""
+        first, *words = CUT.split(text)
+        return [first, *(w if any(map(str.isspace, w[1:])) else w[1:] for w in words)]
+
+    def joined(self, lists: pa.ListArray) -> Iterator[bytes]:
+        """The ids of each list of words; the first word of a list stands at the start of its text.
+
+        Arrow numbers the distinct words, each is looked up once, and the ids are gathered by number.
+        """
+        ends = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        firsts = self.encoded([distinct[c] for c in codes[ends[:-1]].tolist()])
+        inner = np.ones(len(codes), bool)
+        inner[ends[:-1]] = False
+        codes = codes[inner]
+        used = np.flatnonzero(np.bincount(codes, minlength=len(distinct)))  # not those that only begin texts
+        words = [distinct[c] for c in used.tolist()]
+        ids = list(map(self.kept.get, words))
+        fresh = self.learned([w for w, x in zip(words, ids) if x is None])
         for w, x in fresh.items():
             if len(w) <= LONGEST:
                 self.kept[w] = x
                 self.size += 2 * len(w) + 200
-        return [first + b"".join(map(own.__getitem__, words)) for first, words in zip(self.encoded(whole), cut)]
+        if fresh:
+            ids = [fresh[w] if x is None else x for w, x in zip(words, ids)]
+        size, start = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        size[used] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start[used] = np.cumsum(size[used]) - size[used]
+        n = size[codes]
+        before = np.concatenate([[0], np.cumsum(n)])
+        raw = np.frombuffer(b"".join(ids), np.uint32)[np.repeat(start[codes] - before[:-1], n) + np.arange(before[-1])].tobytes()
+        bounds = (4 * before[ends - np.arange(len(ends))]).tolist()  # each text before has one first word
+        for first, a, b in zip(firsts, bounds, bounds[1:]):
+            yield first + raw[a:b]
 
 
 def fullest(lengths: dict[int, int], capacity: int) -> dict[int, int]:

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -143,6 +144,20 @@ def test_pack_by_slack(spark):
     assert slack_packing.pack(df.limit(0), BYTE).count() == 0
 
 
+def test_slack_words_are_numbered_once_for_a_batch():
+    """Lists of words that Arrow numbers give the ids of the tokenizer: words that only begin texts, empty ones, none at all."""
+    mine, rnd = slack_packing.ByteTokens(BYTE), random.Random(5)
+    words = ["", "a", "the", "\nthe", "Straße", "été", "\n", "don't", "名前", "x" * 300, "  y", "1,000.5"]
+    lists = [[], ["only"], [""], ["first", "a"]] + [[rnd.choice(["", "The", "été"]), *(rnd.choice(words) for _ in range(rnd.randrange(40)))] for _ in range(60)]
+    texts = [" ".join(x).replace(" \n", "\n") for x in lists]
+    for _ in range(2):  # the second time all words are known
+        for some in (texts, [""], ["only"], ["one\t\ttwo   three "], []):
+            want = [np.array(mine.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() for t in some]
+            assert mine.encode(some) == want
+    plain = ["now then", "then now now", "now"]
+    assert list(mine.joined(pa.array([t.split(" ") for t in plain], pa.list_(pa.large_string())))) == mine.encode(plain)
+
+
 def test_merge_ranks_give_the_ids_of_the_tokenizer():
     """Every token is what the tokenizer merges its own bytes into, so merging by ranks cannot differ; and words of Latin letters agree."""
     spec = json.loads(Path(BYTE).read_text())
