@@ -2,9 +2,11 @@
 
 Each page is parsed once, into a table of its blocks. Pages of a host are put in the order of their paths; each is
 aligned, line by line, with the page before and the page after it by longest common subsequence, and lines they share
-are template lines. Where a page marks its article itself (an article or main element), that element bounds the text,
-since passages that two articles share are content; everywhere else shared lines go. Menus, headers, footers, sidebars,
-notices, adverts, forms, comments and code go by their markup in both cases.
+are template lines. Every page goes through this. Where a page marks its article itself (an article or main element), that
+element bounds the text, and since passages that two articles share are content, a shared line is cut from inside it only
+where its neighbours' articles share all lines from there to its start, headline aside, or to its end, and where at least
+four in five of the host's articles, of three or more, have it. Everywhere else shared lines go. Menus, headers, footers, sidebars, notices, adverts, forms, comments and code go by their markup in
+both cases.
 """
 
 from __future__ import annotations
@@ -207,11 +209,28 @@ def template_lines(sides: list[tuple[bool, list[int]]]) -> list[int]:
     return b if near else a if near2 else sorted(set(a) | set(b))
 
 
+def edge_lines(own: list[int], sides: list[tuple[bool, list[int]]]) -> list[int]:
+    """Lines to delete of a marked article (own) that all its neighbours share, as far as they reach from its ends.
+
+    A nearly equal neighbour may be a revision and tells nothing; nor does an article that has no line but shared ones.
+    """
+    both = set.intersection(*(set(x) for _, x in sides))
+    if not both or any(near for near, _ in sides) or both.issuperset(own):
+        return []
+    first = last = 0
+    start = int(own[0] not in both)  # the headline is its own
+    while own[start + first] in both and start + first < len(own) - 1:
+        first += 1
+    while own[-1 - last] in both:
+        last += 1
+    return own[start : start + first] + own[len(own) - last :]
+
+
 def blocks(pages: DataFrame) -> DataFrame:
-    """A row per page: url, its key (pid, ph; pid is NO_ID for null), host, path, marked, text, kept, lines; each page is parsed once.
+    """A row per page: url, its key (pid, ph; pid is NO_ID for null), host, path, marked, kept, lf, lines; each page is parsed once.
 
-    text is that of the article where the page marks one; else kept has the blocks (place, text) that markup leaves.
-    lines are the hashes of all blocks, for the alignment.
+    kept has the blocks (place, text) of the article where the page marks one, else those that markup leaves. lines are
+    the hashes of all blocks, for the alignment; lf names them with the places of kept.
     """
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,30 +244,28 @@ def blocks(pages: DataFrame) -> DataFrame:
                     host, path = "", url
                 lines = page_lines(html)
                 marked = any(m and not d for m, d, _ in lines)
-                text = "\n".join([t for m, d, t in lines if m and not d]) if marked else None
-                kept = None if marked else [(i, t) for i, (_, d, t) in enumerate(lines) if not d]
+                kept = [(i, t) for i, (m, d, t) in enumerate(lines) if (m or not marked) and not d]
                 hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - 2**63 for _, _, t in lines]
-                out.append((url, pid, ph, host, path, marked, text, kept, hashes))
-            yield pd.DataFrame(out, columns=["url", "pid", "ph", "host", "path", "marked", "text", "kept", "lines"])
+                out.append((url, pid, ph, host, path, marked, kept, hashes))
+            yield pd.DataFrame(out, columns=["url", "pid", "ph", "host", "path", "marked", "kept", "lines"])
 
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("url", html.alias("html"), F.coalesce("page_id", F.lit(NO_ID)).alias("pid"), F.xxhash64("url", html).alias("ph"))
-    layout = "url string, pid long, ph long, host string, path string, marked boolean, text string, kept array<struct<i int, t string>>, lines array<long>"
-    return materialise(rows.mapInPandas(listed, layout))
+    layout = "url string, pid long, ph long, host string, path string, marked boolean, kept array<struct<i int, t string>>, lines array<long>"
+    lf = F.xxhash64("marked", "kept.i", "lines")
+    return materialise(rows.mapInPandas(listed, layout).withColumn("lf", lf))
 
 
 def shared_lines(parsed: DataFrame) -> DataFrame:
-    """host, lf, sides: what each unmarked page shares with its neighbours on the host; lf names its list of lines.
+    """host, lf, gone: the lines to delete of each page that shares some with its neighbours on the host.
 
-    Pages with equal lists are one here, so copies are no neighbours. Only hosts with unmarked pages take part.
+    Pages with equal lists (and marks) are one here, so copies are no neighbours.
     """
-    keyed = parsed.select("host", "path", "marked", "lines", F.xxhash64("lines").alias("lf"))
-    hosts = keyed.where("not marked").select("host").distinct()
-    first = F.min(F.struct("path", "marked", "lines"))
-    lists = hot_join(keyed, hosts, ["host"]).groupBy("host", "lf").agg(first.alias("p")).select("host", "lf", "p.*")
+    first = F.min(F.struct("path", "marked", "lines", F.col("kept.i").alias("own")))
+    lists = parsed.groupBy("host", "lf").agg(first.alias("p")).select("host", "lf", "p.*")
     lines = numbered(lists, ["host", "path", "lf"])
-    after = lines.select((F.col("pos") - 1).alias("pos"), *(F.col(c).alias(f"{c}2") for c in ("host", "lf", "marked", "lines")))
-    pairs = lines.join(after, "pos").where("host = host2 and not (marked and marked2)")
+    after = lines.select((F.col("pos") - 1).alias("pos"), *(F.col(c).alias(f"{c}2") for c in ("host", "lf", "marked", "lines", "own")))
+    pairs = lines.join(after, "pos").where("host = host2")
 
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -256,11 +273,34 @@ def shared_lines(parsed: DataFrame) -> DataFrame:
             for r in b.itertuples(index=False):
                 i, j = common_lines(list(r.lines), list(r.lines2))
                 near = 5 * len(i) >= 4 * max(len(r.lines), len(r.lines2))
-                out += [(r.host, r.lf, near, i)] * (not r.marked) + [(r.host, r.lf2, near, j)] * (not r.marked2)
-            yield pd.DataFrame(out, columns=["host", "lf", "near", "gone"])
+                a, c = set(r.own), set(r.own2)
+                inside = [(x, y) for x, y in zip(i, j) if x in a and y in c]  # an article's lines count where they stand in both
+                out.append((r.host, r.lf, r.marked, r.own, near, [x for x, _ in inside] if r.marked else i))
+                out.append((r.host, r.lf2, r.marked2, r.own2, near, [y for _, y in inside] if r.marked2 else j))
+            yield pd.DataFrame(out, columns=["host", "lf", "marked", "own", "near", "shared"])
 
-    found = pairs.mapInPandas(differ, "host string, lf long, near boolean, gone array<int>")
-    return found.groupBy("host", "lf").agg(F.collect_list(F.struct("near", "gone")).alias("sides"))  # two neighbours at most
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for host, lf, marked, own, sides in zip(b.host, b.lf, b.marked, b.own, b.sides):
+                told = [(x["near"], list(x["shared"])) for x in sides]
+                gone = edge_lines(list(own), told) if marked else template_lines(told)
+                if gone:
+                    out.append((host, lf, marked, gone))
+            yield pd.DataFrame(out, columns=["host", "lf", "marked", "gone"])
+
+    found = pairs.mapInPandas(differ, "host string, lf long, marked boolean, own array<int>, near boolean, shared array<int>")
+    sides = F.collect_list(F.struct("near", "shared")).alias("sides")  # two neighbours at most
+    told = found.groupBy("host", "lf").agg(F.first("marked").alias("marked"), F.first("own").alias("own"), sides)
+    gone = materialise(told.mapInPandas(settle, "host string, lf long, marked boolean, gone array<int>"))
+
+    articles = lines.where("marked").select("host", "lf", "lines", F.array_distinct(F.transform("own", lambda i: F.get("lines", i))).alias("h"))
+    often = hot_join(articles.select("host", F.explode("h").alias("h")).groupBy("host", "h").count(), articles.groupBy("host").agg(F.count("*").alias("n")), ["host"])
+    often = often.where("n >= 3 and 5 * count >= 4 * n").select("host", "h")
+    cut = hot_join(gone.where("marked").select("host", "lf", F.explode("gone").alias("i")), articles.select("host", "lf", "lines"), ["host", "lf"])
+    cut = hot_join(cut.select("host", "lf", "i", F.get("lines", F.col("i")).alias("h")), often, ["host", "h"])
+    cut = cut.groupBy("host", "lf").agg(F.collect_list("i").alias("gone"))
+    return gone.where("not marked").select("host", "lf", "gone").unionByName(cut)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -272,16 +312,16 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     parsed = blocks(pages)
 
+    gone = materialise(shared_lines(parsed))  # written first, so that a small one is sent to the texts
+
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             text = []
-            for kept, sides in zip(b.kept, b.sides):
-                gone = set(template_lines([(s["near"], list(s["gone"])) for s in sides] if sides is not None else []))
-                text.append("\n".join(x["t"] for x in kept if x["i"] not in gone))
+            for kept, cut in zip(b.kept, b.gone):
+                cut = set(cut) if cut is not None else ()
+                text.append("\n".join([x["t"] for x in kept if x["i"] not in cut]))
             yield b[["page_id", "url"]].assign(text=text)
 
-    own = parsed.where("marked").select(F.col("pid").alias("page_id"), "url", "text")
-    rest = parsed.where("not marked").select(F.col("pid").alias("page_id"), "url", "host", F.xxhash64("lines").alias("lf"), "kept")
-    rest = hot_join(rest, shared_lines(parsed), ["host", "lf"], "left").select("page_id", "url", "kept", "sides")
-    both = own.unionByName(rest.mapInPandas(joined, "page_id long, url string, text string"))
-    return with_null_ids(both, "page_id").withColumn("n_chars", F.length("text").cast("long"))
+    rows = hot_join(parsed.select(F.col("pid").alias("page_id"), "url", "host", "lf", "kept"), gone, ["host", "lf"], "left").select("page_id", "url", "kept", "gone")
+    rows = rows.mapInPandas(joined, "page_id long, url string, text string")
+    return with_null_ids(rows, "page_id").withColumn("n_chars", F.length("text").cast("long"))

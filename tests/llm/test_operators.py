@@ -522,6 +522,18 @@ def test_common_lines():
         assert len(i) == d[-1][-1] and [a[x] for x in i] == [b[x] for x in j] and i == sorted(set(i)) and j == sorted(set(j))
 
 
+def test_differencing_decides_inside_marked_articles(spark):
+    """Template lines at the ends of article elements go by differencing; passages that articles share stay."""
+    body = "<article><h1>Title %d</h1><p>By the staff<p>Own text of %d<p>%s<p>More of %d<p>Send this to a friend</article>"
+    pages = [(i, f"http://m.example/{i}", body % (i, i, "A saying", i)) for i in range(1, 6)]
+    pages += [(6, "http://n.example/6", "<article><p>Same<p>All</article>"), (7, "http://n.example/7", "<article><p>Same<p>one<p>two<p>All</article>"), (8, "http://n.example/8", "<article><p>Same<p>six<p>ten<p>All</article>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(1, 6):
+        assert got[i] == f"Title {i}\nOwn text of {i}\nA saying\nMore of {i}"
+    assert got[6] == "Same\nAll" and got[7] == "one\ntwo"
+    assert html_extract.edge_lines([2, 3, 4], [(True, [2]), (False, [2])]) == [] and html_extract.edge_lines([2, 3], [(False, [2, 3]), (False, [2, 3])]) == []
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
