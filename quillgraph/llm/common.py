@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +111,37 @@ def batches_of(texts: list[str], size: int) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+#: What tasks keep in their worker for the next of their kind.
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]) -> object:
+    """What tasks of one kind keep in their worker, made once; it goes when a lean task begins there."""
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: workers outlive their stage, and what they hold counts beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if free:
+        free(0)
+
+
+def lean(step: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """step over batches, in a worker without what other stages kept there, trimmed before and after."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _kept.clear()
+        trim()
+        yield from step(batches)
+        trim()
+
+    return run
+
+
 def with_null_ids(df: DataFrame, name: str = "doc_id") -> DataFrame:
     """df with NO_ID as null again. Ids pass through pandas without nulls, which would make them inexact numbers."""
     return df.withColumn(name, F.nullif(name, F.lit(NO_ID)))

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import lean
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -117,7 +119,7 @@ def fit(docs: DataFrame, learn: Column, rows_per_lang: int = 400, windows_per_ro
             yield pd.DataFrame(rows, columns=["h", "i", "lang", "w"])
 
     sample = fine.withColumn("h", h).join(F.broadcast(first), "h").select("h", "lang", "text").dropDuplicates(["h", "lang"])
-    part = sample.mapInPandas(cut, "h long, i int, lang string, w binary").toPandas()
+    part = sample.mapInPandas(lean(cut), "h long, i int, lang string, w binary").toPandas()
     part = part.drop_duplicates(["h", "i", "lang"]).sort_values(["lang", "h", "i"])
     langs = sorted(part.lang.unique().tolist())
     if not langs:
@@ -189,10 +191,13 @@ def predict_column(model: Model, text: str = "text") -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        at = Predictor(model)
-        for s in parts:
-            lang, score = at(s.where(s.notna(), None).tolist())
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
+        def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            at = Predictor(model)
+            for s in batches:
+                lang, score = at(s.where(s.notna(), None).tolist())
+                yield pd.DataFrame({"lang_pred": lang, "score": score})
+
+        yield from lean(told)(parts)
 
     return predict(F.col(text))
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batches_of, hot_join, keyed, materialise, mix64, odd_constants, passing
+from .common import NO_ID, batches_of, hot_join, keyed, lean, materialise, mix64, odd_constants, passing
 from .components import stars
 
 SHINGLE = 5
@@ -102,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 fp = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").reshape(-1, 2).astype(np.int64)
                 yield pd.DataFrame({"did": part.did.to_numpy(), "th": part.th.to_numpy(), "n_shingles": [len(s) for s in sets], "fp1": fp[:, 0], "fp2": fp[:, 1], "bands": list(band_keys(sketches(sets)))})
 
-    return docs.select("did", "th", "text").mapInPandas(signed, "did long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>")
+    return docs.select("did", "th", "text").mapInPandas(lean(signed), "did long, th long, n_shingles long, fp1 long, fp2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = shingles(part.text.tolist(), words)
                 yield pd.DataFrame({"node": part.node.to_numpy(), "n": [len(s) for s in sets], "s": [s.view(np.int64) for s in sets]})
 
-    return docs.select("did", "th", "text").join(wanted, ["did", "th"]).mapInPandas(made, "node long, n long, s array<long>")
+    return docs.select("did", "th", "text").join(wanted, ["did", "th"]).mapInPandas(lean(made), "node long, n long, s array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, batches_of, materialise, with_null_ids
+from .common import NO_ID, batches_of, kept, materialise, with_null_ids
 
 CAPACITY = 2048
 END = 0
@@ -100,14 +100,9 @@ class WordTokens(dict):
         return out
 
 
-#: One for each vocabulary in a worker.
-_tokens: dict[str, WordTokens] = {}
-
-
 def tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    """One for each vocabulary in a worker, until another stage begins there."""
+    return kept(f"packing {path}", lambda: WordTokens(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

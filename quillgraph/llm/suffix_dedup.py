@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, hot_join, keyed, materialise, mix64, odd_constants, with_null_ids
+from .common import NO_ID, hot_join, keyed, lean, materialise, mix64, odd_constants, with_null_ids
 
 LENGTH = 200
 #: Bytes of a trigger, and the share of strings that are triggers: one in EVERY.
@@ -194,7 +194,7 @@ def parse(docs: DataFrame) -> DataFrame:
                 p.insert(1, "th", part.th.to_numpy()[p.row])
                 yield p.drop(columns="row")
 
-    return docs.select("did", "th", "text").mapInPandas(parsed, "did long, th long, s1 long, s2 long, trig long, fp1 long, fp2 long, n long, e long, off long")
+    return docs.select("did", "th", "text").mapInPandas(lean(parsed), "did long, th long, s1 long, s2 long, trig long, fp1 long, fp2 long, n long, e long, off long")
 
 
 def contents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def contents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
                 rows += [(did, th, x["s1"], x["off"], x["trig"], x["peers"], raw[x["s1"] : x["e"] + LENGTH]) for x in p]
             yield pd.DataFrame(rows, columns=["did", "th", "s1", "off", "trig", "peers", "part"])
 
-    return docs.select("did", "th", "text").join(lists, ["did", "th"]).mapInPandas(cut, "did long, th long, s1 long, off long, trig long, peers long, part binary")
+    return docs.select("did", "th", "text").join(lists, ["did", "th"]).mapInPandas(lean(cut), "did long, th long, s1 long, off long, trig long, peers long, part binary")
 
 
 def _windows(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -372,7 +372,7 @@ def shared_spans(parts: DataFrame, bucket_rows: int = 4000, most_peers: int = 51
             rows = [(did, th, s1 + x[0], s1 + x[1], *x[2:]) for did, th, s1, off, part in zip(b.did, b.th, b.s1, b.off, b.part) for x in split_phrase(part, off)]
             yield pd.DataFrame(rows, columns=["did", "th", "s1", "s2", "core", "fp1", "fp2", "part"])
 
-    ranges = materialise(parts.where(F.col("peers") > most_peers).mapInPandas(split, "did long, th long, s1 long, s2 long, core long, fp1 long, fp2 long, part binary"))
+    ranges = materialise(parts.where(F.col("peers") > most_peers).mapInPandas(lean(split), "did long, th long, s1 long, s2 long, core long, fp1 long, fp2 long, part binary"))
     words = ranges.groupBy("core", "fp1", "fp2").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "s1")).alias("rep"))
     equal = hot_join(ranges.select("did", "th", "s1", "s2", "core", "fp1", "fp2"), words.where("n > 1").select("core", "fp1", "fp2"), ["core", "fp1", "fp2"])
     both = words.groupBy("core").count().where("count > 1").select("core")
@@ -384,7 +384,7 @@ def shared_spans(parts: DataFrame, bucket_rows: int = 4000, most_peers: int = 51
             own, at, h1, h2 = _windows(b.part.tolist())
             yield pd.DataFrame({"did": b.did.to_numpy()[own], "th": b.th.to_numpy()[own], "a": b.s1.to_numpy()[own] + at, "h1": h1, "h2": h2})
 
-    w = open_.mapInPandas(hashed, "did long, th long, a long, h1 long, h2 long")
+    w = open_.mapInPandas(lean(hashed), "did long, th long, a long, h1 long, h2 long")
     twice = w.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
     far = hot_join(w, twice, ["h1", "h2"]).select("did", "th", "a", (F.col("a") + LENGTH).alias("b"))
     return near.unionByName(equal.select("did", "th", F.col("s1").alias("a"), (F.col("s2") + LENGTH).alias("b"))).unionByName(far)

@@ -1,11 +1,14 @@
 """The corpus pipeline, stage by stage."""
 
 import random
+import weakref
 
 import corpus_pipeline
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from quillgraph.llm import minhash_dedup
+from quillgraph.llm import minhash_dedup, packing
 
 
 def test_stages(spark):
@@ -117,3 +120,22 @@ def test_open_buckets_are_compared(spark):
     rows = [(i, " ".join(base + text(n))) for i, n in enumerate((9, 8, 8))]
     got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 85).collect()
     assert {r.doc_id: (r.component_id, r.kept) for r in got} == {0: (0, True), 1: (1, True), 2: (1, False)}
+
+
+class _Steps:
+    """Stands for a table and gives the function that is mapped over its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInPandas(self, step, _):
+        return step
+
+
+def test_stages_drop_what_others_kept_in_a_worker():
+    """Words that packing keeps in a Python worker do not stay there beside the next stage."""
+    words = weakref.ref(packing.tokens(public_tokenizers.path("word_bpe_49k.json")))
+    assert packing.tokens(public_tokenizers.path("word_bpe_49k.json")) is words()  # kept between tasks of packing
+    step = minhash_dedup.signatures(_Steps())
+    got = list(step(iter([pd.DataFrame({"did": [1], "th": [2], "text": ["one two three"]})])))
+    assert got[0].n_shingles.tolist() == [1] and words() is None
