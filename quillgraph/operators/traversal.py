@@ -22,10 +22,13 @@ def focus_types(focus: Sequence[str], schema: GraphSchema) -> list[str]:
 
 
 def one_hop(graph: Graph, seeds: DataFrame, rel_type: str, direction: str = "outgoing") -> DataFrame:
-    """seed, rel_type and the neighbour's columns for each edge of a type at a seed (column id)."""
+    """seed, rel_type and the neighbour's columns for each edge of a type at a seed (column id).
+
+    Nodes are merged, never sent to all tasks: the size of the files they are derived from tells little of theirs.
+    """
     hop = at_ids(graph.adjacency([rel_type], direction), seeds)
     hop = seeds.select(F.col("id").alias("seed")).join(hop, F.col("seed") == F.col("at"))
-    return hop.select("seed", "rel_type", F.col("id").alias("edge"), F.col("to").alias("id")).join(graph.nodes, "id")
+    return hop.select("seed", "rel_type", F.col("id").alias("edge"), F.col("to").alias("id")).join(graph.nodes.hint("merge"), "id")
 
 
 def expand(graph: Graph, seeds: DataFrame, rel_types: Sequence[str] | None = None, most: int = 200) -> DataFrame:
