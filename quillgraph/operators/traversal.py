@@ -179,9 +179,16 @@ def budgeted(graph: Graph, seeds: DataFrame, rel_types: Sequence[str] | None = N
 
 
 def layers(nodes: DataFrame, edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
-    """id, layer: the longest walk from a root in at most `rounds` steps, which bounds walks on cycles."""
-    now = roots.select("id", F.lit(0).alias("layer"))
-    for _ in range(rounds):
-        step = now.join(edges, now["id"] == edges["src"]).select(F.col("dst").alias("id"), (F.col("layer") + 1).alias("layer"))
-        now = now.unionByName(step).groupBy("id").agg(F.max("layer").alias("layer"))
-    return nodes.select("id").join(now, "id", "left").select("id", F.coalesce("layer", F.lit(0)).alias("layer"))
+    """id, layer of each id of the nodes: the longest walk from a root in at most `rounds` steps, which bounds walks on cycles.
+
+    A round goes on from the ends of the one before, each once, which are looked up by hash; so edges are dealt by their
+    source once for all rounds and never sorted, and the nodes are dealt once.
+    """
+    at = roots.select("id").where("id is not null").distinct()
+    steps = edges.select("src", "dst").where("src is not null and dst is not null")
+    found = nodes.select("id")
+    for n in range(1, rounds + 1):
+        at = at.hint("shuffle_hash").join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
+        found = found.join(at.select("id", F.lit(n).alias(f"_{n}")).hint("shuffle_hash"), "id", "left")
+    layer = F.coalesce(*[F.col(f"_{n}") for n in range(rounds, 0, -1)], F.lit(0))
+    return found.groupBy("id").agg(F.max(layer).alias("layer"))

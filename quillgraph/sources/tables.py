@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import stable_id
@@ -29,20 +29,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def star_graph(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None) -> Graph:
-    """All nodes, and edges of the asked types (all by default); equal edges are one."""
+def _id(label: str, key: Column) -> Column:
+    """stable_id of a node, told to be never null: else a join computes it twice, the first time to look for nulls."""
+    return F.coalesce(stable_id(label, key), F.lit(0))
+
+
+def star_graph(spark: SparkSession, sf_dir: str, types: tuple[str, ...] | None = None, repeats: bool = False) -> Graph:
+    """All nodes, and edges of the asked types (all by default); equal edges are one, or may stay apart (`repeats`), which
+    spares a shuffle.
+    """
     nodes = edges = None
     for label, name, key, text in NODES:
         k = F.col(key).cast("string")
-        part = table(spark, sf_dir, name).select(stable_id(label, k).alias("id"), F.lit(label).alias("label"), F.col(text).alias("primary_text"), F.create_map(F.lit("key"), k).alias("properties"))
+        part = table(spark, sf_dir, name).select(_id(label, k).alias("id"), F.lit(label).alias("label"), F.col(text).alias("primary_text"), F.create_map(F.lit("key"), k).alias("properties"))
         nodes = part if nodes is None else nodes.unionByName(part)
     for kind, name, sl, sk, dl, dk in EDGES:
         if types is not None and kind not in types:
             continue
         s, d = F.col(sk).cast("string"), F.col(dk).cast("string")
         rows = table(spark, sf_dir, name).select(sk, dk)
-        rows = rows.distinct() if name == "lineitem" else rows
-        part = rows.select(stable_id(kind, F.concat_ws("-", s, d)).alias("id"), F.lit(kind).alias("rel_type"), stable_id(sl, s).alias("src"), F.lit(sl).alias("src_label"), stable_id(dl, d).alias("dst"), F.lit(dl).alias("dst_label"), F.create_map().cast("map<string,string>").alias("properties"))
+        rows = rows.distinct() if name == "lineitem" and not repeats else rows
+        part = rows.select(stable_id(kind, F.concat_ws("-", s, d)).alias("id"), F.lit(kind).alias("rel_type"), _id(sl, s).alias("src"), F.lit(sl).alias("src_label"), _id(dl, d).alias("dst"), F.lit(dl).alias("dst_label"), F.create_map().cast("map<string,string>").alias("properties"))
         edges = part if edges is None else edges.unionByName(part)
     return Graph(nodes, edges)
 

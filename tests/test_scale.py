@@ -78,6 +78,30 @@ def test_shortest_paths_hold_no_more_than_the_nodes(spark, monkeypatch):
     assert max(df.count() for df in made) <= 6 * 20
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 4])
+def test_layers_equal_brute_force(spark, rounds):
+    """Cycles, equal edges, ends that are no nodes and roots that are there twice; an id that two nodes share has one row."""
+    rnd = random.Random(rounds)
+    edges, g = random_graph(spark, rnd, edges=16)
+    edges += [(900, "A", 0, "N", 77, "N", {}), (901, "A", 77, "N", 13, "N", {}), (902, "A", None, "N", 1, "N", {}), (903, "A", 0, "N", None, "N", {}), edges[0]]
+    nodes = g.nodes.unionByName(spark.createDataFrame([(3, "M", "", {}), (0, "M", "", {}), (None, "M", "", {})], NODE))
+    want = {i: 0 for i in [*range(14), None]}
+    for hops in range(1, rounds + 1):
+        for target in range(14):
+            if steps_to(edges, [0, 1], target, hops):
+                want[target] = hops
+    found = traversal.layers(nodes, spark.createDataFrame(edges, EDGE), spark.createDataFrame([(0,), (1,), (1,), (None,)], "id bigint"), rounds).collect()
+    assert sorted(((r.id, r.layer) for r in found), key=str) == sorted(want.items(), key=str) and max(want.values()) >= min(rounds, 2)
+
+
+def steps_to(edges, starts, target, hops):
+    """Whether a walk of so many steps, edges repeated or not, leads from a start to the target."""
+    now = set(starts)
+    for _ in range(hops):
+        now = {e[4] for e in edges if e[2] in now and e[2] is not None and e[4] is not None}
+    return target in now
+
+
 def test_names_equal_comparing_all(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abÄß#0") for _ in range(rnd.choice([1, 2, 3, 5, 7, 9, 11, 18, 40, 70])))
